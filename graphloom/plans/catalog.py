@@ -2,10 +2,273 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cached_property
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import labels as L
+from ..operators import browse, compare, contribution, dashboard, importing, structure, text, why
+from ..operators.fixpoint import checkpointed
+from ..sources import graph as source
+from . import sql as S
 
-def oracle_sql() -> dict:
-    return {}
+P = S.PRELUDE
+#: Nodes that the queries ask about: a part, its neighbours of other kinds, and a top-level order.
+REGION, NATION, SUPPLIER, PART, CUSTOMER, ORDER = 1_000_000_000, 2_000_000_001, 3_000_000_001, 4_000_000_001, 5_000_000_003, 6_000_000_050
+AS_OF = "2024-06-02 00:00:00"
+
+
+class Context:
+    """The graph of a data folder with its stages; what several queries need is checkpointed once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def raw(self) -> source.Graph:
+        g = source.from_tables(self.spark, self.sf_dir)
+        return source.Graph(checkpointed(g.nodes), checkpointed(g.edges))
+
+    @cached_property
+    def graph(self) -> source.Graph:
+        g = importing.with_stages(self.raw)
+        return source.Graph(checkpointed(g.nodes), self.raw.edges)
+
+    @cached_property
+    def g1(self) -> source.Graph:
+        return self.graph.of_import(1)
+
+    @cached_property
+    def g2(self) -> source.Graph:
+        return self.graph.of_import(2)
+
+    @cached_property
+    def g3(self) -> source.Graph:
+        return self.raw.of_import(3)
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        return source.imports(self.spark)
+
+    @cached_property
+    def contributions(self) -> DataFrame:
+        return checkpointed(contribution.named(self.g1, contribution.contributions(self.g1)))
+
+    @cached_property
+    def computed(self) -> DataFrame:
+        """Top-level nodes with times of computation by their id: none for every third, an older one for every second."""
+        day = F.when(F.col("id") % 2 == 0, "2024-05-01 00:00:00").otherwise("2024-06-01 12:00:00")
+        return self.g1.nodes.where("is_top_level").select("id", "label", "top_level_source", "closure_size", F.to_timestamp_ntz(F.when(F.col("id") % 3 != 0, day)).alias("computed_at"))
+
+    @cached_property
+    def label(self) -> str:
+        return self.raw.nodes.where(F.col("id") == PART).select("label").first()[0]
+
+    @cached_property
+    def diffs(self) -> DataFrame:
+        return checkpointed(compare.diffs(self.g1, self.g2))
+
+    @cached_property
+    def paths(self) -> DataFrame:
+        return checkpointed(why.attribution_paths(self.g1, SUPPLIER, max_paths=None))
+
+    @cached_property
+    def baselines(self) -> DataFrame:
+        rows = dashboard.baseline(self.g1, 1, "first", system=True, tags=("release", "host"), created_at="2024-01-02 00:00:00")
+        rows = rows.unionByName(dashboard.baseline(self.g2, 2, "second", tags=("host",), created_at="2024-02-02 00:00:00"))
+        return checkpointed(rows.unionByName(dashboard.baseline(self.g2, 3, "third", tags=("test",), created_at="2024-03-02 00:00:00")))
+
+
+_contexts: dict[tuple[str, str], Context] = {}
+
+
+def context(spark: SparkSession, sf_dir: str) -> Context:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _contexts:
+        _contexts.clear()
+        _contexts[key] = Context(spark, sf_dir)
+    return _contexts[key]
+
+
+_QUERIES: dict[str, tuple[Callable[[Context], DataFrame], str | None]] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(build: Callable[[Context], DataFrame]):
+        _QUERIES[name] = (build, sql)
+        return build
+
+    return keep
+
+
+def _add(name: str, build: Callable[[Context], DataFrame], sql: str | None = None) -> None:
+    _QUERIES[name] = (build, sql)
+
+
+N1, E1, D1 = "(SELECT * FROM n WHERE import_id = 1)", "(SELECT * FROM edges WHERE import_id = 1)", "(SELECT * FROM deps WHERE import_id = 1)"
+CL, BY = "coalesce(closure_size, 0)", "coalesce(closure_size, 0) DESC, label, id"
+LABEL = f"(SELECT label FROM nodes WHERE id = {PART})"
+
+# imports and their stages
+_add("import_list", lambda c: c.imports.orderBy(F.col("imported_at").desc()).select("id", "name", "config_path"), P + "SELECT id, name, config_path FROM imports")
+_add("graph_counts", lambda c: c.raw.nodes.groupBy("import_id").agg(F.count("*").alias("nodes")).join(c.raw.edges.groupBy("import_id").agg(F.count("*").alias("edges")), "import_id"), P + "SELECT import_id, nodes, edges FROM (SELECT import_id, count(*) AS nodes FROM nodes GROUP BY 1) JOIN (SELECT import_id, count(*) AS edges FROM edges GROUP BY 1) USING (import_id)")
+
+
+@query("dot_nodes", P + "SELECT drv_hash, drv_name, label FROM nodes WHERE import_id = 1")
+def _dot_nodes(c: Context) -> DataFrame:
+    return importing.parse_dot(importing.dot_lines(c.raw.of_import(1)))[0]
+
+
+@query("dot_edges", P + "SELECT s.drv_hash AS source_hash, t.drv_hash AS target_hash, 'red' AS edge_color FROM edges e JOIN nodes s ON s.id = source_id JOIN nodes t ON t.id = target_id WHERE e.import_id = 1")
+def _dot_edges(c: Context) -> DataFrame:
+    return importing.parse_dot(importing.dot_lines(c.raw.of_import(1)))[1]
+
+
+_add("depths", lambda c: c.graph.nodes.where("depth is not null").select("id", "depth"), P + "SELECT id, depth FROM depths")
+_add("closure_sizes", lambda c: c.graph.nodes.where("closure_size is not null").select("id", "closure_size"), P + "SELECT node AS id, closure_size FROM closure_sizes")
+_add("root_nodes", lambda c: importing.root_nodes(c.raw), P + "SELECT import_id, root, dependents FROM roots JOIN degrees ON degrees.id = root")
+_NAMES = "SELECT id, label || '-dev' AS name FROM nodes WHERE id % 3 = 0 UNION ALL SELECT id, 'gcc-' || label FROM nodes WHERE id % 3 = 1 UNION ALL SELECT id, label FROM nodes WHERE id % 3 = 2"
+
+
+def _named(c: Context) -> DataFrame:
+    return c.raw.nodes.select("id", F.when(F.col("id") % 3 == 0, F.concat("label", F.lit("-dev"))).when(F.col("id") % 3 == 1, F.concat(F.lit("gcc-"), "label")).otherwise(F.col("label")).alias("name"))
+
+
+_add("classify_package", lambda c: _named(c).select("id", L.package_type(F.col("name")).alias("kind")), P + f", x AS ({_NAMES}) SELECT id, {S.case('lower(name)', L.PACKAGE_TYPES, repr('application'))} AS kind FROM x")
+_add("classify_edge_type", lambda c: _named(c).select("id", L.edge_type(F.col("name")).alias("kind")), P + f", x AS ({_NAMES}) SELECT id, CASE WHEN regexp_matches(lower(name), '{L.one_of(L.BUILD_NAMES)}') THEN 'build' ELSE 'runtime' END AS kind FROM x")
+_add("classify_module_type", lambda c: c.raw.nodes.where("is_top_level").select("id", L.module_type(F.col("top_level_source")).alias("kind")), P + "SELECT id, module_type AS kind FROM nodes WHERE is_top_level")
+_add("reclassify_edges", lambda c: importing.reclassified_edges(c.raw).groupBy("import_id", "dependency_type").agg(F.count("*").alias("edges")), P + f"SELECT e.import_id, CASE WHEN regexp_matches(lower(s.drv_name), '{L.one_of(L.BUILD_NAMES)}') THEN 'build' ELSE 'runtime' END AS dependency_type, count(*) AS edges FROM edges e JOIN nodes s ON s.id = e.source_id GROUP BY 1, 2")
+_SOURCES = "(1, 'red', 'systemPackages'), (2, 'red-widget', 'programs.red.enable'), (3, 'small-ring', 'services.ring.enable')"
+
+
+@query("mark_top_level", P + f", m(place, package, source) AS (VALUES {_SOURCES}) SELECT id, min_by(source, place) AS top_level_source, {S.module_type('min_by(source, place)')} AS module_type FROM nodes JOIN m ON label = package OR starts_with(label, package || '-') WHERE import_id = 1 GROUP BY id")
+def _mark(c: Context) -> DataFrame:
+    rows = [(1, "red", "systemPackages"), (2, "red-widget", "programs.red.enable"), (3, "small-ring", "services.ring.enable")]
+    return importing.marked_top_level(c.raw.of_import(1), c.spark.createDataFrame(rows, "place int, package string, source string"))
+
+
+_add("module_summary", lambda c: importing.module_summary(c.raw), P + "SELECT import_id, count(*) FILTER (module_type = 'systemPackages') AS system_packages, count(*) FILTER (module_type = 'programs') AS programs, count(*) FILTER (module_type = 'services') AS services, count(*) FILTER (module_type = 'other') AS other, count(DISTINCT top_level_source) AS sources FROM nodes WHERE is_top_level GROUP BY 1")
+_add("module_top_sources", lambda c: importing.module_top_sources(c.g1), P + f", r AS (SELECT top_level_source, label, {CL} AS size, row_number() OVER (PARTITION BY top_level_source ORDER BY {BY}) AS place FROM n WHERE import_id = 1 AND is_top_level) SELECT top_level_source, count(*) AS packages, sum(size)::BIGINT AS closure, string_agg(label, ', ' ORDER BY place) FILTER (place <= 5) AS largest FROM r GROUP BY 1 ORDER BY closure DESC, top_level_source LIMIT 10")
+_add("top_level_source_map", lambda c: importing.top_level_sources(["a", "b"], {"b": "programs.b", "c": "programs.c"}, {"c": "services.c", "d": "services.d"}, c.spark), "SELECT * FROM (VALUES ('a', 'systemPackages'), ('b', 'programs.b'), ('c', 'services.c'), ('d', 'services.d')) t(package, source)")
+_add("service_packages", lambda c: importing.service_packages(c.spark.createDataFrame([("nginx",), ("mysql",), ("displayManager",), ("libvirtd",)], "service string")), "SELECT * FROM (VALUES ('nginx', 'nginx'), ('mysql', 'mysql'), ('mysql', 'mariadb'), ('libvirtd', 'libvirt'), ('libvirtd', 'qemu')) t(service, package)")
+_add("metadata_summary", lambda c: importing.metadata_summary(c.raw.nodes.where("import_id = 1").select("id", F.concat(F.lit('{"system": "x86", "builder": "'), "label", F.lit('", "outputs": {"out": "o", "dev": "d"}, "inputSrcs": ["a", "b"], "env": {"k": "v"}}')).alias("metadata"))), P + "SELECT id, 'x86' AS system, label AS builder, 'dev,out' AS outputs, 0::BIGINT AS input_drvs, 2::BIGINT AS input_srcs, 1::BIGINT AS env_keys FROM nodes WHERE import_id = 1")
+
+# browsing
+_add("clusters", lambda c: browse.clusters(c.g1), P + f"SELECT package_type, count(*) AS node_count, sum({CL})::BIGINT AS total_closure FROM {N1} GROUP BY 1")
+_add("nodes_by_type", lambda c: browse.nodes_by_type(c.g1, "application"), P + f"SELECT id, label, closure_size FROM {N1} WHERE package_type = 'application' ORDER BY {BY} LIMIT 100")
+_add("node", lambda c: browse.node(c.g1, PART).select("id", "label", "drv_hash", "closure_size"), P + f"SELECT id, label, drv_hash, closure_size FROM n WHERE id = {PART}")
+_add("node_by_hash", lambda c: c.g1.nodes.join(browse.node(c.g1, PART).select("drv_hash"), "drv_hash", "left_semi").select("id", "label"), P + f"SELECT id, label FROM {N1} WHERE drv_hash = (SELECT drv_hash FROM nodes WHERE id = {PART})")
+_add("neighbours", lambda c: browse.neighbours(c.g1, PART), P + f"SELECT 'dependency' AS direction, dependency AS id, label, dep_type FROM deps JOIN nodes ON nodes.id = dependency WHERE dependent = {PART} UNION ALL SELECT 'dependent', dependent, label, dep_type FROM deps JOIN nodes ON nodes.id = dependent WHERE dependency = {PART}")
+_add("subgraph", lambda c: browse.subgraph(c.g1)[1], P + f", s AS (SELECT id FROM {N1} ORDER BY {BY} LIMIT 200) SELECT source_id, target_id, dependency_type FROM {E1} WHERE source_id IN (FROM s) AND target_id IN (FROM s)")
+_add("subgraph_of_type", lambda c: browse.subgraph(c.g1, package_type="library", limit=100)[0].select("id", "label"), P + f"SELECT id, label FROM {N1} WHERE package_type = 'library' ORDER BY {BY} LIMIT 100")
+_TRI = "list_distinct(flatten([[substr('  ' || w || ' ', i, 3) for i in range(1, length(w) + 2)] for w in string_split_regex(lower({}), '[^a-z0-9]+') if w <> '']))"
+_SIM = f"coalesce(len(list_intersect({_TRI}, {_TRI}))::DOUBLE / nullif(len(list_distinct(list_concat({_TRI}, {_TRI}))), 0), 0)"
+
+
+def _sim(a: str, b: str) -> str:
+    return _SIM.format(a, b, a, b)
+
+
+_add("search", lambda c: browse.search(c.g1, "red widget"), P + f", x AS (SELECT id, label, {_sim('label', repr('red widget'))} AS s FROM {N1}) SELECT id, label, round(s, 6) AS sim FROM x WHERE s >= 0.3 ORDER BY s DESC, label, id LIMIT 20")
+_add("similarity", lambda c: c.g1.nodes.where("package_type = 'library'").select("id", F.round(L.similarity(F.col("label"), F.lit("small ring")), 6).alias("sim")), P + f"SELECT id, round({_sim('label', repr('small ring'))}, 6) AS sim FROM {N1} WHERE package_type = 'library'")
+_add("top_level_nodes", lambda c: browse.top_level_nodes(c.g1), P + f"SELECT id, label, top_level_source, closure_size FROM {N1} WHERE is_top_level ORDER BY {BY} LIMIT 50")
+_add("top_level_of_source", lambda c: browse.top_level_nodes(c.g1, "systemPackages"), P + f"SELECT id, label, top_level_source, closure_size FROM {N1} WHERE is_top_level AND top_level_source = 'systemPackages' ORDER BY {BY} LIMIT 50")
+_add("top_level_sources", lambda c: browse.top_level_sources(c.g1), P + f"SELECT top_level_source, count(*) AS packages FROM {N1} WHERE is_top_level GROUP BY 1")
+_add("top_level_count", lambda c: c.g1.nodes.where("is_top_level").agg(F.count("*").alias("n")), P + f"SELECT count(*) AS n FROM {N1} WHERE is_top_level")
+_add("graph_roots", lambda c: browse.graph_roots(c.g1), P + f"SELECT id, label, closure_size FROM {N1} WHERE id NOT IN (SELECT source_id FROM edges) ORDER BY {BY} LIMIT 50")
+_add("package_impact", lambda c: browse.impact(c.g1, ORDER), P + f", w(id, d) AS (SELECT {ORDER}, 0::BIGINT UNION SELECT dependency, d + 1 FROM w JOIN deps ON dependent = w.id WHERE d < 20), m AS (SELECT id, min(d) AS d FROM w WHERE d > 0 GROUP BY 1) SELECT package_type, count(*) AS packages, count(*) FILTER (d = 1) AS direct, min(d) AS nearest, max(d) AS farthest FROM m JOIN nodes USING (id) GROUP BY 1")
+_AROUND = "u AS (SELECT source_id AS a, target_id AS b FROM edges WHERE import_id = 1 UNION ALL SELECT target_id, source_id FROM edges WHERE import_id = 1), w(id, d) AS (SELECT {0}::BIGINT, 0::BIGINT UNION SELECT b, d + 1 FROM w JOIN u ON a = w.id WHERE d < 2), m AS (SELECT id, min(d) AS depth FROM w GROUP BY 1)"
+_add("graph_neighbours", lambda c: browse.around(c.g1, PART), P + ", " + _AROUND.format(PART) + " SELECT id, depth FROM m")
+_add("graph_neighbour_edges", lambda c: browse.induced_edges(c.g1, browse.around(c.g1, PART)), P + ", " + _AROUND.format(PART) + f" SELECT source_id, target_id, dependency_type FROM {E1} WHERE source_id IN (SELECT id FROM m) AND target_id IN (SELECT id FROM m)")
+_add("defined_packages", lambda c: browse.defined_packages(c.g3, c.spark.createDataFrame([("cyc-1",), ("cyc-7",), ("none-here",)], "name string")).where("name = 'none-here'"), "SELECT 'none-here' AS name, NULL::BIGINT AS id, NULL::VARCHAR AS label")
+_add("module_packages", lambda c: browse.module_packages(c.g1, "order-50", c.spark.createDataFrame([("small",)], "name string")), P + f"SELECT DISTINCT d.id, d.label, split_part(d.label, '-', 1) AS base FROM {N1} s JOIN deps ON dependent = s.id JOIN nodes d ON d.id = dependency WHERE s.label = 'order-50' AND split_part(d.label, '-', 1) <> 'small' AND d.label <> 'small'")
+
+# structure
+_add("duplicates", lambda c: structure.duplicates(c.g1), P + f", o AS (SELECT label, count(DISTINCT drv_hash) AS variants FROM {N1} GROUP BY 1 HAVING variants >= 2) SELECT label, variants, drv_hash, id FROM {N1} JOIN o USING (label)")
+_add("find_path", lambda c: structure.shortest_path(c.g1, ORDER, REGION), P + f", w(id, path) AS (SELECT {ORDER}::BIGINT, [{ORDER}::BIGINT] UNION ALL SELECT dependency, list_append(path, dependency) FROM w JOIN deps ON dependent = w.id WHERE w.id <> {REGION} AND len(path) <= 20) SELECT array_to_string(path, '→') AS path, len(path) - 1 AS length FROM w WHERE id = {REGION} ORDER BY length, w.path LIMIT 1")
+_CTX = f", x AS (SELECT 'dependency' AS direction, dependency AS id FROM deps WHERE dependent = {ORDER} UNION ALL SELECT 'dependent', dependent FROM deps WHERE dependency = {ORDER})"
+_add("node_context", lambda c: structure.node_context(c.g1, ORDER).select("direction", "label", "n"), P + _CTX + ", k AS (SELECT direction, label, package_type, count(*) AS n FROM x JOIN nodes USING (id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY n DESC, label, package_type NULLS FIRST) AS turn FROM k) SELECT direction, label, n FROM r WHERE turn <= 10")
+_add("node_role", lambda c: structure.node_role(c.g1, ORDER), P + f", x AS (SELECT label, package_type FROM deps JOIN nodes ON nodes.id = dependency WHERE dependent = {ORDER}) SELECT CASE WHEN coalesce(bool_or(coalesce(package_type = 'development', FALSE) OR regexp_matches(label, 'cargo|rustc')), FALSE) THEN 'build-time' WHEN coalesce(bool_and(package_type IS NULL OR package_type IN ('library', 'application')), TRUE) THEN 'runtime' ELSE 'unknown' END AS role FROM x")
+_BUILD = "|".join(structure.BUILD_WORDS)
+_add("compare_duplicates", lambda c: structure.compare_duplicates(c.g1, c.label), P + f""", v AS (SELECT id, drv_hash FROM {N1} WHERE label = {LABEL}), k AS (
+  SELECT v.id, v.drv_hash, count(*) FILTER (regexp_matches(lower(t.label), '{_BUILD}')) AS build_deps, count(*) FILTER (NOT regexp_matches(lower(t.label), '{_BUILD}')) AS runtime_deps
+  FROM v LEFT JOIN deps ON dependent = v.id LEFT JOIN nodes t ON t.id = dependency GROUP BY 1, 2
+), u AS (SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY label) AS turn FROM (SELECT DISTINCT v.id, t.label FROM v JOIN deps ON dependency = v.id JOIN nodes t ON t.id = dependent))
+SELECT id, drv_hash, build_deps, runtime_deps, coalesce((SELECT string_agg(label, ', ' ORDER BY label) FROM u WHERE u.id = k.id AND turn <= 5), '') AS used_by, build_deps > runtime_deps / 2.0 AS is_build_time FROM k""")
+_add("root_causes", lambda c: structure.root_causes(c.g1, c.label), P + f", v AS (SELECT id FROM {N1} WHERE label = {LABEL}), w(seed, id, d) AS (SELECT id, id, 0 FROM v UNION SELECT seed, dependent, d + 1 FROM w JOIN deps ON dependency = w.id WHERE d < 5), k AS (SELECT DISTINCT seed, label FROM w JOIN nodes USING (id) WHERE d > 0 AND package_type IN ('application', 'service') AND label NOT LIKE '%-unwrapped' AND label NOT LIKE '%-wrapped'), r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY label) AS turn FROM k) SELECT seed AS id, label AS cause FROM r WHERE turn <= 10")
+_add("sankey_direct", lambda c: structure.variant_links(c.g1, c.label), P + f", k AS (SELECT v.id, v.label || ' (' || left(v.drv_hash, 8) || ')' AS source, t.label AS target, count(*) AS links FROM {N1} v JOIN deps ON dependency = v.id JOIN nodes t ON t.id = dependent WHERE v.label = {LABEL} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY links DESC, target) AS turn FROM k) SELECT source, target, sum(links)::BIGINT AS value FROM r WHERE turn <= 10 GROUP BY 1, 2")
+_add("loops", lambda c: structure.loops(c.g3), P + ", c3 AS (SELECT node, dep FROM closure WHERE import_id = 3), m AS (SELECT a.node AS id, a.dep AS other FROM c3 a JOIN c3 b ON a.node = b.dep AND a.dep = b.node) SELECT min(other) AS scc_id, id FROM m GROUP BY id HAVING count(*) > 1")
+_add("loop_paths", lambda c: structure.loop_paths(c.g3), P + ", c3 AS (SELECT node, dep FROM closure WHERE import_id = 3), m AS (SELECT a.node AS id, min(a.dep) AS scc_id, count(*) AS k FROM c3 a JOIN c3 b ON a.node = b.dep AND a.dep = b.node GROUP BY 1 HAVING k > 1) SELECT scc_id, count(*) AS size, 5::BIGINT AS cycle_length FROM m GROUP BY 1")
+_RED = """, lim AS (SELECT dependent AS a, dependency AS c FROM deps WHERE import_id = 1 ORDER BY 1, 2 {0}), w(a, id, path) AS (SELECT DISTINCT a, a, [a] FROM lim UNION ALL SELECT a, dependency, list_append(path, dependency) FROM w JOIN deps ON dependent = w.id WHERE len(path) <= 5 AND NOT list_contains(path, dependency)),
+b AS (SELECT w.a, w.id AS c, path, row_number() OVER (PARTITION BY w.a, w.id ORDER BY len(path), path) AS turn FROM w JOIN lim ON lim.a = w.a AND lim.c = w.id WHERE len(path) > 2)"""
+_add("redundant_links", lambda c: structure.redundant_edges(c.g1), P + _RED.format("LIMIT 1000") + " SELECT a AS dependent, c AS dependency, len(path) - 1 AS bypass_length, array_to_string(path, '→') AS bypass FROM b WHERE turn = 1")
+_add("mark_redundant", lambda c: structure.marked_redundant(c.g1).where("is_redundant"), P + _RED.format("") + " SELECT c AS source_id, a AS target_id, TRUE AS is_redundant FROM b WHERE turn = 1")
+
+# comparison
+_DIFF = """, l AS (SELECT * FROM n WHERE import_id = 1), r AS (SELECT * FROM n WHERE import_id = 2), diff AS (
+  SELECT coalesce(l.label, r.label) AS label, coalesce(l.package_type, r.package_type) AS package_type, CASE WHEN l.id IS NULL THEN 'only_right' WHEN r.id IS NULL THEN 'only_left' WHEN l.drv_hash = r.drv_hash THEN 'same' ELSE 'different' END AS diff_type,
+    l.id AS l_id, r.id AS r_id, l.drv_hash AS l_hash, r.drv_hash AS r_hash, coalesce(r.closure_size, 0) - coalesce(l.closure_size, 0) AS closure_impact, coalesce(l.is_top_level, r.is_top_level) AS is_top_level FROM l FULL JOIN r ON l.label = r.label)"""
+_CAT = S.case("lower(label)", L.CATEGORIES, "CASE package_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.CATEGORY_OF_TYPE.items()) + " ELSE 'Other' END")
+_LCAT = S.case("lower(label)", L.LABEL_CATEGORIES, "'Other'")
+_add("compare_imports", lambda c: c.diffs.select("label", "package_type", "diff_type", "l_id", "r_id", "closure_impact"), P + _DIFF + " SELECT label, package_type, diff_type, l_id, r_id, closure_impact FROM diff")
+_add("compare_counts", lambda c: compare.diff_counts(c.diffs), P + _DIFF + " SELECT diff_type, count(*) AS n FROM diff GROUP BY 1")
+_add("compare_imports_reversed", lambda c: compare.diff_counts(compare.diffs(c.g2, c.g1)), P + _DIFF + " SELECT CASE diff_type WHEN 'only_left' THEN 'only_right' WHEN 'only_right' THEN 'only_left' ELSE diff_type END AS diff_type, count(*) AS n FROM diff GROUP BY 1")
+_add("compare_with_duplicates", lambda c: compare.diffs_by_label(c.g1, c.g2), P + f""", l AS (SELECT label, list_sort(list(DISTINCT drv_hash)) AS h, sum({CL})::BIGINT AS s FROM n WHERE import_id = 1 GROUP BY 1), r AS (SELECT label, list_sort(list(DISTINCT drv_hash)) AS h, sum({CL})::BIGINT AS s FROM n WHERE import_id = 2 GROUP BY 1)
+SELECT coalesce(l.label, r.label) AS label, CASE WHEN l.label IS NULL THEN 'only_right' WHEN r.label IS NULL THEN 'only_left' WHEN l.h = r.h THEN 'same' ELSE 'different' END AS diff_type, coalesce(len(l.h), 0) AS l_variants, coalesce(len(r.h), 0) AS r_variants, coalesce(l.s, 0) AS l_closure, coalesce(r.s, 0) AS r_closure FROM l FULL JOIN r ON l.label = r.label""")
+_add("match_nodes", lambda c: compare.matched(c.g1, c.g2), P + """, l AS (SELECT * FROM nodes WHERE import_id = 1), r AS (SELECT * FROM nodes WHERE import_id = 2), sl AS (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY id) AS k FROM l WHERE drv_hash NOT IN (SELECT drv_hash FROM r)), sr AS (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY id) AS k FROM r WHERE drv_hash NOT IN (SELECT drv_hash FROM l))
+SELECT l.label, l.id AS l_id, r.id AS r_id, 'same' AS diff_type FROM l JOIN r USING (drv_hash) UNION ALL SELECT coalesce(sl.label, sr.label), sl.id, sr.id, CASE WHEN sl.id IS NULL THEN 'only_right' WHEN sr.id IS NULL THEN 'only_left' ELSE 'different' END FROM sl FULL JOIN sr ON sl.label = sr.label AND sl.k = sr.k""")
+_add("closure_comparison", lambda c: compare.closure_comparison(c.diffs)[0], P + _DIFF + " SELECT sum(greatest(closure_impact, 0))::BIGINT AS added, sum(greatest(-closure_impact, 0))::BIGINT AS removed FROM diff")
+_add("closure_changes", lambda c: compare.closure_comparison(c.diffs)[1], P + _DIFF + ", k AS (SELECT diff_type, label, abs(closure_impact) AS size, row_number() OVER (PARTITION BY diff_type ORDER BY abs(closure_impact) DESC, label, coalesce(l_id, r_id)) AS rank FROM diff WHERE diff_type LIKE 'only%') SELECT diff_type, rank, label, size FROM k WHERE rank <= 10")
+_add("diff_categories", lambda c: compare.category_counts(c.diffs), P + _DIFF + f" SELECT {_CAT} AS category, count(*) AS n FROM diff GROUP BY 1")
+_add("diff_label_categories", lambda c: compare.label_category_counts(c.diffs), P + _DIFF + f" SELECT {_LCAT} AS category, count(*) AS n FROM diff GROUP BY 1")
+_SUMM = f", summ AS (SELECT {_CAT} AS category, count(*) FILTER (diff_type = 'only_left') AS left_only, count(*) FILTER (diff_type = 'only_right') AS right_only, count(*) FILTER (diff_type = 'different') AS different, count(*) FILTER (diff_type = 'same') AS same, count(*) FILTER (diff_type = 'only_right') - count(*) FILTER (diff_type = 'only_left') AS net_change, sum(closure_impact)::BIGINT AS closure_impact FROM diff GROUP BY 1)"
+_add("category_summaries", lambda c: compare.category_summaries(c.diffs), P + _DIFF + _SUMM + " SELECT * FROM summ")
+_SCORE = "CASE package_type WHEN 'application' THEN 5 WHEN 'service' THEN 4 WHEN 'font' THEN 2 WHEN 'library' THEN -2 WHEN 'documentation' THEN -1 ELSE 0 END + least(abs(closure_impact) / 100.0::DOUBLE, 5)"
+_LSCORE = f"CASE WHEN is_top_level THEN 10 ELSE 0 END + CASE package_type WHEN 'application' THEN 5 WHEN 'service' THEN 4 WHEN 'development' THEN 3 WHEN 'library' THEN -2 WHEN 'documentation' THEN -3 WHEN 'font' THEN -1 ELSE 0 END + CASE {_LCAT} WHEN 'Desktop Environment' THEN 3 WHEN 'System Services' THEN 2 WHEN 'Development Tools' THEN 2 WHEN 'Core Libraries' THEN -1 WHEN 'Fonts' THEN -1 WHEN 'Documentation' THEN -2 ELSE 0 END + least(abs(closure_impact) / 100.0::DOUBLE, 5)"
+_TOP = " SELECT label, diff_type, round(({0})::DOUBLE, 6) AS score, closure_impact FROM diff WHERE diff_type <> 'same' ORDER BY round(({0})::DOUBLE, 6) DESC, label, coalesce(l_id, r_id), r_id NULLS FIRST LIMIT 10"
+_add("top_changes", lambda c: compare.top_changes(c.diffs), P + _DIFF + _TOP.format(_SCORE))
+_add("top_changes_by_label", lambda c: compare.top_changes(c.diffs, by_label=True), P + _DIFF + _TOP.format(_LSCORE))
+
+
+def _version_part(group: int, otherwise: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(label, '{p}') THEN regexp_extract(label, '{p}', {group})" for p in L.VERSION_FORMATS) + f" ELSE {otherwise} END"
+
+
+_add("extract_version", lambda c: c.g1.nodes.select("id", L.version_parts(F.col("label"))[0].alias("name"), L.version_parts(F.col("label"))[1].alias("version")), P + f"SELECT id, {_version_part(1, 'label')} AS name, {_version_part(2, 'NULL')} AS version FROM nodes WHERE import_id = 1")
+_add("version_components", lambda c: c.g1.nodes.select("id", F.array_join(L.version_components(F.col("label")), "|").alias("parts")), P + "SELECT id, array_to_string([lower(x) for x in regexp_extract_all(label, '[0-9]+|[a-zA-Z]+')], '|') AS parts FROM nodes WHERE import_id = 1")
+
+
+def _part_versions(c: Context) -> DataFrame:
+    version = L.version_parts(F.col("label"))[1]
+    parts = c.g1.nodes.where("package_type is not null").select("id", version.alias("v")).where("v is not null")
+    return parts.select("id", "v", F.concat(F.pmod("id", F.lit(4)).cast("string"), F.lit(".1")).alias("w"))
+
+
+_V2 = "split_part({0}, '.', 1)::INT * 1000 + split_part({0}, '.', 2)::INT"
+_PV = f", x AS (SELECT id, {_version_part(2, 'NULL')} AS v, (id % 4) || '.1' AS w FROM nodes WHERE import_id = 1 AND package_type IS NOT NULL), y AS (SELECT id, v, w, sign(({_V2.format('v')}) - ({_V2.format('w')}))::INT AS found FROM x WHERE v IS NOT NULL AND v LIKE '%.%')"
+_add("compare_versions", lambda c: _part_versions(c).where("v like '%.%'").select("id", L.compare_versions(F.col("v"), F.col("w")).alias("found")), P + _PV + " SELECT id, found FROM y")
+_add("classify_version_change", lambda c: _part_versions(c).where("v like '%.%'").select("id", L.version_change(F.lit(False), F.col("v"), F.col("w")).alias("change")), P + _PV + " SELECT id, CASE WHEN v = w THEN 'rebuild' WHEN found < 0 THEN 'upgrade' WHEN found > 0 THEN 'downgrade' ELSE 'rebuild' END AS change FROM y")
+_add("version_changes", lambda c: compare.version_changes(c.g1, c.g2, by_name=False).groupBy("change").agg(F.count("*").alias("n")), P + "SELECT 'rebuild' AS change, count(DISTINCT a.label) AS n FROM nodes a JOIN nodes b ON a.label = b.label WHERE a.import_id = 1 AND b.import_id = 2")
+_add("reverse_paths", lambda c: compare.reverse_paths(c.g1, SUPPLIER, 6), P + f", w(id, path) AS (SELECT {SUPPLIER}::BIGINT, [{SUPPLIER}::BIGINT] UNION ALL SELECT dependent, list_append(path, dependent) FROM w JOIN (SELECT DISTINCT dependent, dependency FROM deps) ON dependency = w.id WHERE len(path) < 6) SELECT len(path) AS n, array_to_string(path, '→') AS path FROM w WHERE len(path) > 1 AND id NOT IN (SELECT source_id FROM edges) ORDER BY n DESC, array_to_string(w.path, '→') LIMIT 10")
+_add("package_trace", lambda c: compare.package_trace(c.g1, c.g2, "Supplier#000000005"), P + "SELECT 'Supplier#000000005' AS label, l.h IS NOT NULL AND r.h IS NOT NULL AS in_both, coalesce(l.h = r.h, FALSE) AS same_hash FROM (SELECT min_by(drv_hash, id) AS h FROM nodes WHERE import_id = 1 AND label = 'Supplier#000000005') l, (SELECT min_by(drv_hash, id) AS h FROM nodes WHERE import_id = 2 AND label = 'Supplier#000000005') r")
+_add("diff_page", lambda c: compare.page(c.diffs, "Other", 20, 20), P + _DIFF + f", k AS (SELECT *, {_CAT} AS category FROM diff) SELECT label, diff_type FROM k WHERE category = 'Other' AND diff_type <> 'same' ORDER BY lower(label), label, coalesce(l_id, r_id), r_id NULLS FIRST LIMIT 20 OFFSET 20")
+_add("diff_csv", lambda c: compare.csv_rows(c.diffs), P + _DIFF + f" SELECT label, package_type, {_CAT} AS category, diff_type, l_hash, r_hash, closure_impact FROM diff WHERE diff_type <> 'same'")
+_add("diff_json", lambda c: compare.json_report(c.diffs), P + _DIFF + """ SELECT diff_type, '{"diff_type":"' || diff_type || '","count":' || count(*) || ',"impact":' || sum(closure_impact)::BIGINT || '}' AS json FROM diff GROUP BY 1""")
+_add("diff_summary_text", lambda c: text.diff_summary(compare.diff_counts(c.diffs), "base", "next", c.g1.nodes, c.g2.nodes), P + _DIFF + """, k AS (SELECT count(*) FILTER (diff_type = 'different') AS d, count(*) FILTER (diff_type = 'only_left') AS l, count(*) FILTER (diff_type = 'only_right') AS r FROM diff), z AS (SELECT (SELECT count(*) FROM nodes WHERE import_id = 2) - (SELECT count(*) FROM nodes WHERE import_id = 1) AS x)
+SELECT concat_ws(' ', 'next has ' || format('{:,}', abs(x)) || CASE WHEN x > 0 THEN ' more' ELSE ' fewer' END || ' packages than base.', CASE WHEN d > 0 THEN format('{:,}', d) || ' packages have different versions.' END, CASE WHEN l > 0 THEN format('{:,}', l) || ' packages only in base.' END, CASE WHEN r > 0 THEN format('{:,}', r) || ' packages only in next.' END) AS summary FROM k, z""")
+_add("category_text", lambda c: text.category_text(compare.category_summaries(c.diffs)), P + _DIFF + _SUMM + ", k AS (SELECT (SELECT string_agg(category || ' (+' || right_only || ')', ', ' ORDER BY right_only DESC, category) FROM (SELECT * FROM summ WHERE right_only > 0 ORDER BY right_only DESC, category LIMIT 3)) AS a, (SELECT string_agg(category || ' (-' || left_only || ')', ', ' ORDER BY left_only DESC, category) FROM (SELECT * FROM summ WHERE left_only > 0 ORDER BY left_only DESC, category LIMIT 3)) AS r) SELECT coalesce(nullif(concat_ws(' ', 'Main additions: ' || a || '.', 'Main removals: ' || r || '.'), ''), 'No significant category changes.') AS summary FROM k")
+_add("version_text", lambda c: text.version_text(compare.version_changes(c.g1, c.g2, by_name=False)), P + "SELECT 'Found ' || count(DISTINCT a.label) || ' version changes: ' || count(DISTINCT a.label) || ' rebuilds.' AS summary FROM nodes a JOIN nodes b ON a.label = b.label WHERE a.import_id = 1 AND b.import_id = 2")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import catalog_more  # noqa: F401
+
+    return {name: (lambda build: lambda spark, sf_dir: build(context(spark, sf_dir)))(build) for name, (build, _) in _QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    from . import catalog_more  # noqa: F401
+
+    return {name: sql for name, (_, sql) in _QUERIES.items() if sql is not None}
