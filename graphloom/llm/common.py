@@ -36,6 +36,12 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns named by place, so that nothing added can clash, and the new names of ``names``."""
+    new = [f"_{i}" for i in range(len(df.columns))]
+    return df.toDF(*new), [new[df.columns.index(n)] for n in names]
+
+
 def map_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict[str, list]]) -> DataFrame:
     """``mapInArrow`` where ``work`` turns a non-empty batch into columns named as in ``schema`` (DDL)."""
     fields = [field.split() for field in schema.split(", ")]

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, column, id_and_text, map_batches, texts
+from .common import ASCII_SPACE, column, id_and_text, map_batches, numbered, texts
 
 #: Bytes of keys that a task's own tries hold before they are emitted and emptied.
 LOCAL_BYTES = 64_000_000
@@ -212,4 +212,5 @@ def exact_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 def keep_one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with its columns; one text shuffle and no join."""
-    return distinct_texts(df, id_col, text_col).select(*[f"`{c}`" for c in df.columns])
+    plain, (doc_id, text) = numbered(df, id_col, text_col)
+    return distinct_texts(plain, doc_id, text).select(plain.columns).toDF(*df.columns)

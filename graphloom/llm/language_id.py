@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, texts
+from .common import column, numbered, texts
 
 BUCKETS = 1 << 14
 #: Steepness of the loss and of the score; gap of scores below which a text is ambiguous; words of random codes.
@@ -117,10 +117,10 @@ def fit_languages(df: DataFrame, *, text_col: str = "text", lang_col: str = "lan
     return LanguageModel.from_counts(languages, counts)
 
 
-def add_language(df: DataFrame, model: LanguageModel, *, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """``df`` with ``lang_pred``, ``score`` and ``ambiguous`` behind its columns, their names after ``prefix``."""
+def add_language(df: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
+    """``df`` with ``lang_pred``, ``score`` and ``ambiguous`` behind its columns."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*df.schema, T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}ambiguous", T.BooleanType())])
+    schema = T.StructType([*df.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,6 +147,7 @@ def identify_languages(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_identified(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.5) -> DataFrame:
     """The rows of ``df`` whose language is told: no `und`, none both ambiguous and below ``least_score``."""
     model = fit_languages(df.where(learns(id_col)), text_col=text_col, lang_col=lang_col)
-    found = add_language(df, model, text_col=text_col, prefix="_")
-    sure = (F.col("_lang_pred") != "und") & ~(F.col("_ambiguous") & (F.col("_score") < least_score))
-    return found.where(sure).select(*[f"`{c}`" for c in df.columns])
+    plain, (text,) = numbered(df, text_col)
+    found = add_language(plain, model, text_col=text)
+    sure = (F.col("lang_pred") != "und") & ~(F.col("ambiguous") & (F.col("score") < least_score))
+    return found.where(sure).select(plain.columns).toDF(*df.columns)

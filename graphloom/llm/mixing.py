@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, texts
+from .common import checkpointed, column, numbered, texts
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -151,6 +151,7 @@ def repeat_to_mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Ids are taken to be unique here: rows that repeat an id are all taken as often as the least of them.
     """
-    copies = mix(df, id_col=id_col, text_col=text_col, source_col=source_col).groupBy("doc_id").agg(F.min("copies").alias("_copies")).withColumnRenamed("doc_id", "_id").where("_copies > 0")
-    taken = df.join(copies, df[id_col].eqNullSafe(copies["_id"]))
-    return taken.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[f"`{c}`" for c in df.columns])
+    copies = mix(df, id_col=id_col, text_col=text_col, source_col=source_col).groupBy("doc_id").agg(F.min("copies").alias("copies")).where("copies > 0")
+    plain, (doc_id,) = numbered(df, id_col)
+    taken = plain.join(copies, F.col(doc_id).eqNullSafe(F.col("doc_id")))
+    return taken.select(*plain.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("turn")).select(plain.columns).toDF(*df.columns)

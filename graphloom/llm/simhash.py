@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, id_and_text, map_batches, texts
+from .common import checkpointed, column, id_and_text, map_batches, numbered, texts
 
 #: Shingles hashed at a time; members of a table entry from which it is searched by smaller segments.
 HASH_BLOCK, LARGE_ENTRY = 65_536, 512
@@ -192,5 +192,6 @@ def near_duplicates(df: DataFrame, *, distance: int = 3, width: int = 3, seed: i
 def keep_one_of_each_group(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` whose id names their near-duplicate component, with its columns."""
     found = near_duplicates(df, id_col=id_col, text_col=text_col)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    return df.join(stay, df[id_col].eqNullSafe(stay["_stays"]), "left_semi")
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    plain, (doc_id,) = numbered(df, id_col)
+    return plain.join(stay, F.col(doc_id).eqNullSafe(F.col("stays")), "left_semi").toDF(*df.columns)

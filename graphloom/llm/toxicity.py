@@ -27,6 +27,9 @@ MAX_LABELLED, MAX_FEATURES, MAX_EXAMPLES = 6_000, 1_024, 1_000
 #: A feature stands in so many labelled rows at least and depends on the label by so large a chi-square.
 MIN_ROWS, MIN_CHI_SQUARE = 5, 30.0
 NEIGHBOURS, BLOCK, SHRINK, THRESHOLD = 15, 32, 0.2, 0.3
+#: The term that stands in every text for all that is no feature, and the weights tried for it: with it, one chance
+#: feature does not outweigh a whole text.
+REST, REST_WEIGHTS = "", (2.0, 4.0, 6.0, 9.0)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -55,13 +58,20 @@ class BlockMaxIndex:
     largest: np.ndarray  # feature x block
     prior: float
     knots: tuple[np.ndarray, np.ndarray]
+    loss: float = 0.0
+
+    @classmethod
+    def best(cls, vectors: list[dict[str, int]], labels: list[int], ids: list[int], idf: dict[str, float], prior: float) -> BlockMaxIndex:
+        """The index whose weight of ``REST`` loses least on leave-one-out votes."""
+        whole = [v | {REST: 1} for v in vectors]
+        return min((cls.build(whole, labels, ids, idf | {REST: w}, prior) for w in (REST_WEIGHTS if idf else REST_WEIGHTS[:1])), key=lambda index: index.loss)
 
     @classmethod
     def build(cls, vectors: list[dict[str, int]], labels: list[int], ids: list[int], idf: dict[str, float], prior: float) -> BlockMaxIndex:
         feature = {f: i for i, f in enumerate(sorted(idf))}
         weights = np.array([idf[f] for f in sorted(idf)])
         # examples of one label stand together, so that blocks are alike and their bounds tight
-        order = sorted(range(len(labels)), key=lambda i: (labels[i], min(vectors[i], default="", key=lambda f: (-idf[f], f)), ids[i]))
+        order = sorted(range(len(labels)), key=lambda i: (labels[i], min((f for f in vectors[i] if f != REST), default=REST, key=lambda f: (-idf[f], f)), ids[i]))
         blocks = max(1, -(-len(order) // BLOCK))
         empty = cls(feature, weights, np.array([labels[i] for i in order], np.int64), np.array([ids[i] for i in order], np.int64), np.zeros((len(feature), blocks + 1), np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(feature), blocks)), prior, (np.array([0.0, 1.0]), np.array([prior, prior])))
         f, q, rows = empty.vectors([vectors[i] for i in order])
@@ -146,13 +156,15 @@ class BlockMaxIndex:
             while len(pools) > 1 and pools[-2][2] * pools[-1][1] >= pools[-1][2] * pools[-2][1]:
                 last = pools.pop()
                 pools[-1] = [a + b for a, b in zip(pools[-1], last)]
-        return np.array([p[0] / p[1] for p in pools]), np.array([p[2] / p[1] for p in pools])
+        at, height = np.array([p[0] / p[1] for p in pools]), np.array([p[2] / p[1] for p in pools])
+        chance = np.clip(np.interp(vote, at, height), 1e-3, 1 - 1e-3)
+        self.loss = float(-(weigh * np.log(np.where(self.labels == 1, chance, 1 - chance))).sum())
+        return at, height
 
     def score(self, counted: list[dict[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Calibrated scores, and similarities and positions of the neighbours. No feature, no evidence: the lowest score."""
-        best, who = self.nearest(counted)
-        score = np.interp(self.votes(best, who), *self.knots)
-        return np.where(best[:, 0] > 0, score, min(self.prior, self.knots[1][0])), best, who
+        """Calibrated scores, and similarities and positions of the neighbours."""
+        best, who = self.nearest([c | {REST: 1} for c in counted])
+        return np.interp(self.votes(best, who), *self.knots), best, who
 
 
 def _within(lengths: np.ndarray) -> np.ndarray:
@@ -212,7 +224,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         examples += described.where(F.col("toxic") == label).orderBy("draw", "doc_id").limit(MAX_EXAMPLES).collect()
     known = sum(counts.values())
     prior = counts.get(1, 0) / known if known else 0.0
-    return BlockMaxIndex.build([dict(zip(e["features"], e["counts"])) for e in examples], [e["toxic"] for e in examples], [e["doc_id"] for e in examples], idf, prior)
+    return BlockMaxIndex.best([dict(zip(e["features"], e["counts"])) for e in examples], [e["toxic"] for e in examples], [e["doc_id"] for e in examples], idf, prior)
 
 
 def df_broadcast(df: DataFrame, value):
@@ -222,8 +234,8 @@ def df_broadcast(df: DataFrame, value):
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """``(doc_id, held_out, score, predicted, evidence)`` of each whole text.
 
-    ``evidence`` lists up to three nearest examples as ``doc_id:label:similarity``. Null and empty texts, and texts
-    without a feature, get the lowest score of the model; so do all texts if nothing is labelled. Equal similarities
+    ``evidence`` lists up to three nearest examples as ``doc_id:label:similarity``. Null and empty texts score like
+    all texts without a feature, by the examples without one; with nothing labelled all score 0. Equal similarities
     go to the example that stands first in the index. Repeated rows get equal results; an empty table gives none.
     """
     index = df_broadcast(docs, fit_toxicity(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col))
@@ -237,7 +249,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THR
                 counted = []
                 for text in texts(batch):
                     found = feature_counts(text)
-                    counted.append({f: found[f] for f in found.keys() & known})
+                    counted.append({f: found[f] for f in found.keys() & known if f != REST})
                 score, best, who = model.score(counted)
                 evidence = [", ".join(f"{model.ids[w]}:{model.labels[w]}:{s:.3f}" for w, s in zip(ws[:3], ss[:3]) if w >= 0) for ws, ss in zip(who.tolist(), best.tolist())]
                 yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(score), pa.array(evidence)], names=["doc_id", "score", "evidence"])
