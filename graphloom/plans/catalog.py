@@ -16,7 +16,7 @@ from . import sql as S
 
 P = S.PRELUDE
 #: Nodes that the queries ask about: a part, its neighbours of other kinds, and a top-level order.
-REGION, NATION, SUPPLIER, PART, CUSTOMER, ORDER = 1_000_000_000, 2_000_000_001, 3_000_000_001, 4_000_000_001, 5_000_000_003, 6_000_000_050
+REGION, NATION, SUPPLIER, PART, CUSTOMER, ORDER = 1_000_000_000, 2_000_000_001, 3_000_000_001, 4_000_000_042, 5_000_000_006, 6_000_000_050
 AS_OF = "2024-06-02 00:00:00"
 
 
