@@ -36,6 +36,19 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def drawn(df: DataFrame, draw: str, k: int, n: int, low: int, high: int) -> DataFrame:
+    """The ``k`` rows of ``n`` whose ``draw``, a hash spread over ``low`` to ``high``, is smallest.
+
+    Only the hashes below a bound that half as many rows again should pass are ordered, so what tasks send is about
+    ``k`` rows in all, however many tasks there are. Should fewer than ``k`` pass, all rows are ordered.
+    """
+    share = min(1.0, (1.5 * k + 100) / max(1, n))
+    few = df.where(F.col(draw) <= low + int(share * (high - low)))
+    if share < 1 and few.count() < min(k, n):
+        few = df
+    return few.orderBy(draw, *[c for c in df.columns if c != draw]).limit(k)
+
+
 def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
     """``df`` with its columns named by place, so that nothing added can clash, and the new names of ``names``."""
     new = [f"_{i}" for i in range(len(df.columns))]

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, column, id_and_text, map_batches, numbered, texts
 
-#: Bytes of keys that a task's own tries hold before they are emitted and emptied.
-LOCAL_BYTES = 64_000_000
+#: Bytes of keys, and of rows read, that a task's own tries stand for before they are emitted and emptied.
+LOCAL_BYTES, LOCAL_ROW_BYTES = 64_000_000, 256_000_000
 #: Tries of a task, by length and content hash.
 LOCAL_TRIES = 1024
 
@@ -115,7 +115,7 @@ def distinct_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[int, PatriciaTrie] = {}
-        held, used, rows = [], 0, 0
+        held, used, read, rows = [], 0, 0, 0
         for batch in batches:
             points = pc.utf8_length(column(batch, text_col)).to_pylist()
             for i, (text, doc_id) in enumerate(zip(texts(batch, text_col), column(batch, id_col).to_pylist())):
@@ -125,9 +125,10 @@ def distinct_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     used += len(key)
             held.append(batch)
             rows += batch.num_rows
-            if used > LOCAL_BYTES:
+            read += batch.nbytes
+            if used > LOCAL_BYTES or read > LOCAL_ROW_BYTES:
                 yield from emit(tries, held)
-                tries, held, used, rows = {}, [], 0, 0
+                tries, held, used, read, rows = {}, [], 0, 0, 0
         if held:
             yield from emit(tries, held)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, id_and_text, texts
+from .common import checkpointed, column, drawn, id_and_text, texts
 from .language_id import learns
 
 #: Bounds of the fit: labelled rows of each label, features, and indexed examples of each label.
@@ -183,7 +183,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     counts = dict(once.groupBy("toxic").count().collect())
     sample = None
     for label in (0, 1):
-        part = once.where(F.col("toxic") == label).orderBy("draw", "doc_id").limit(MAX_LABELLED)
+        part = drawn(once.where(F.col("toxic") == label), "draw", MAX_LABELLED, counts.get(label, 0), -(2**63), 2**63 - 1)
         sample = part if sample is None else sample.unionByName(part)
     # at most two times MAX_LABELLED rows of three numbers, so this broadcast has a bound
     rows = checkpointed(id_and_text(docs, id_col, text_col).where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id"))

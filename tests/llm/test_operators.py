@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -230,6 +231,49 @@ def test_quality(spark, odd, small):
             assert not (r.base_failed and r.kept)
 
 
+def brute_distance(p, q):
+    total, bits = sum(p.values()), 0.0
+    for key in {*p, *q}:
+        a, b = p.get(key, 0) / total, q.get(key, 0.0)
+        m = (a + b) / 2
+        bits += (a * math.log2(a / m) if a else 0) / 2 + (b * math.log2(b / m) if b else 0) / 2
+    return math.sqrt(max(bits, 0))
+
+
+def test_quality_distances(spark, small):
+    """Both rounds of references and all verdicts in plain Python."""
+    found = {r.doc_id: r for r in quality.judge_quality(spark.read.parquet(f"{small}/documents.parquet")).collect()}
+    kinds, rows = quality._class_of(), {}
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        words = Counter(w if w in set(quality.WORDS) else None for w in (w.strip(".,;:'\"!?()-") for w in re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in r.text))))
+        classes = Counter(int(kinds[ord(c)]) for c in r.text if kinds[ord(c)] < quality.CLASSES)
+        rows[r.doc_id] = (r.lang, brute_base(r.text)[-1], classes, words)
+
+    def near(row, refs):
+        out = []
+        for place, least in ((2, quality.MIN_CHARS_FOR_CLASSES), (3, quality.MIN_WORDS_FOR_WORDS)):
+            out.append(min(brute_distance(row[place], ref[place - 2]) for ref in refs.values()) if sum(row[place].values()) >= least else None)
+        return out
+
+    def far(pair):
+        return (pair[0] or 0) > quality.MAX_CLASS_DISTANCE or (pair[1] or 0) > quality.MAX_WORD_DISTANCE
+
+    refs = None
+    for _ in range(2):
+        sums = {}
+        for row in rows.values():
+            if not row[1] and not (refs and far(near(row, refs))):
+                both = sums.setdefault(row[0], (Counter(), Counter()))
+                both[0].update(row[2])
+                both[1].update(row[3])
+        refs = {lang: tuple({k: v / sum(c.values()) for k, v in c.items()} for c in both) for lang, both in sums.items()}
+    for doc_id, row in rows.items():
+        pair, got = near(row, refs), found[doc_id]
+        for want, have in zip(pair, (got.class_distance, got.word_distance)):
+            assert (want is None) == (have is None) and (want is None or abs(want - have) < 1e-9)
+        assert got.kept == (not row[1] and not far(pair))
+
+
 def test_quality_tells_junk(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     found = quality.judge_quality(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(labels, "doc_id").where("not base_failed").collect()
