@@ -34,7 +34,7 @@ def parse_dot(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = edges.groupBy("source_hash", "target_hash").agg(F.min_by(F.struct("edge_color"), "line").alias("e")).select("source_hash", "target_hash", "e.edge_color")
     known = nodes.select("drv_hash")
     edges = edges.join(known.withColumnRenamed("drv_hash", "source_hash"), "source_hash", "left_semi").join(known.withColumnRenamed("drv_hash", "target_hash"), "target_hash", "left_semi")
-    return nodes, edges
+    return nodes, edges.select("source_hash", "target_hash", "edge_color")
 
 
 def read_dot(spark, path: str) -> tuple[DataFrame, DataFrame]:
