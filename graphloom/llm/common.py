@@ -43,7 +43,7 @@ def drawn(df: DataFrame, draw: str, k: int, n: int, low: int, high: int) -> Data
     ``k`` rows in all, however many tasks there are. Should fewer than ``k`` pass, all rows are ordered.
     """
     share = min(1.0, (1.5 * k + 100) / max(1, n))
-    few = df.where(F.col(draw) <= low + int(share * (high - low)))
+    few = df if share == 1 else df.where(F.col(draw) <= low + int(share * (high - low)))
     if share < 1 and few.count() < min(k, n):
         few = df
     return few.orderBy(draw, *[c for c in df.columns if c != draw]).limit(k)
