@@ -20,10 +20,10 @@ from .common import checkpointed, column, texts
 
 #: Common words of the languages, by which all texts are described.
 COMMON_WORDS = {
-    "en": "the of and to in a is was that for it on with as are by be at this from or an have not he his they which you we but were her she all their has been if more when will would who so no there what about can out up into than them only other some could time these two may then do first any my now such like our over even most me after also did many before must through where much your way well down should because each just those how too good very make own back".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont la avec ou son aux cette mais comme nous on sa fait été aussi leur bien peut ces y deux tout ses elle même si sans être après entre vous je faire ils sous".split(),
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei".split(),
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está mi porque qué sólo han yo hay vez puede todos así nos ni parte tiene él uno donde bien tiempo mismo ese ahora".split(),
+    "en": "the of and to in a is was that for it on with as are by be at this from or an have not he his they which you we but were her she all their has been if more when will would who so".split(),
+    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont la avec ou son aux cette mais comme nous on sa fait été aussi leur bien peut ces y".split(),
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben".split(),
+    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era".split(),
 }
 WORDS = sorted({w for words in COMMON_WORDS.values() for w in words})
 _PLACE = {w.encode("utf-8"): i for i, w in enumerate(WORDS)}
