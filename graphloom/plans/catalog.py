@@ -182,7 +182,8 @@ _add("package_impact", lambda c: browse.impact(c.g1, ORDER), P + f", w(id, d) AS
 _AROUND = "u AS (SELECT source_id AS a, target_id AS b FROM edges WHERE import_id = 1 UNION ALL SELECT target_id, source_id FROM edges WHERE import_id = 1), w(id, d) AS (SELECT {0}::BIGINT, 0::BIGINT UNION SELECT b, d + 1 FROM w JOIN u ON a = w.id WHERE d < 2), m AS (SELECT id, min(d) AS depth FROM w GROUP BY 1)"
 _add("graph_neighbours", lambda c: browse.around(c.g1, PART), P + ", " + _AROUND.format(PART) + " SELECT id, depth FROM m")
 _add("graph_neighbour_edges", lambda c: browse.induced_edges(c.g1, browse.around(c.g1, PART)), P + ", " + _AROUND.format(PART) + f" SELECT source_id, target_id, dependency_type FROM {E1} WHERE source_id IN (SELECT id FROM m) AND target_id IN (SELECT id FROM m)")
-_add("defined_packages", lambda c: browse.defined_packages(c.g3, c.spark.createDataFrame([("cyc-1",), ("cyc-7",), ("none-here",)], "name string")).where("name = 'none-here'"), "SELECT 'none-here' AS name, NULL::BIGINT AS id, NULL::VARCHAR AS label")
+_DEFINED = [("Supplier-7",), ("order-50",), ("region",), ("nothing-like-it",)]
+_add("defined_packages", lambda c: browse.defined_packages(c.g1, c.spark.createDataFrame(_DEFINED, "name string")), P + f", d(name) AS (VALUES {', '.join(f'({n[0]!r})' for n in _DEFINED)}), x AS (SELECT name, id, label, {_sim('label', "split_part(name, '-', 1)")} AS s FROM d CROSS JOIN {N1} k), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY s DESC, label, id) AS turn FROM x WHERE s >= 0.3), f AS (SELECT name, arg_min(id, turn) AS id, arg_min(label, turn) AS label FROM r WHERE turn <= 5 AND (label = name OR starts_with(label, name || '-') OR starts_with(name, label || '-')) GROUP BY 1) SELECT name, id, label FROM d LEFT JOIN f USING (name)")
 _add("module_packages", lambda c: browse.module_packages(c.g1, "order-50", c.spark.createDataFrame([("small",)], "name string")), P + f"SELECT DISTINCT d.id, d.label, split_part(d.label, '-', 1) AS base FROM {N1} s JOIN deps ON dependent = s.id JOIN nodes d ON d.id = dependency WHERE s.label = 'order-50' AND split_part(d.label, '-', 1) <> 'small' AND d.label <> 'small'")
 
 # structure

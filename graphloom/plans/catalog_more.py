@@ -23,6 +23,8 @@ _add("contribution_texts", lambda c: c.contributions.select("id", F.round(contri
 _C2 = f", t2 AS (SELECT c.node, c.dep FROM closure c JOIN nodes t ON t.id = c.node AND t.is_top_level WHERE c.import_id = 2), u2 AS (SELECT dep, count(*) AS users FROM t2 GROUP BY 1), contrib2 AS (SELECT label, count(*) FILTER (users = 1) AS {_U}, count(*) AS {_T} FROM t2 JOIN u2 USING (dep) JOIN nodes ON nodes.id = node GROUP BY node, label)"
 _add("contribution_diff", lambda c: contribution.contribution_diff(c.contributions, contribution.named(c.g2, contribution.contributions(c.g2))), P + _C2 + f" SELECT coalesce(l.label, r.label) AS label, coalesce(r.{_U}, 0) - coalesce(l.{_U}, 0) AS unique_diff, coalesce(r.{_T}, 0) - coalesce(l.{_T}, 0) AS total_diff FROM contrib l FULL JOIN contrib2 r ON l.label = r.label")
 
+_add("contributions_all_imports", lambda c: contribution.contributions(c.graph), P + _C2.replace("SELECT label, count(*) FILTER", "SELECT node AS id, label, count(*) FILTER (users > 1) AS shared, count(*) FILTER") + f" SELECT id, {_U}, {_S}, {_T} FROM contrib UNION ALL SELECT id, {_U}, shared, {_T} FROM contrib2")
+
 # staleness
 _COMP = f", comp AS (SELECT id, label, top_level_source, closure_size, CASE WHEN id % 3 <> 0 THEN CASE WHEN id % 2 = 0 THEN TIMESTAMP '2024-05-01 00:00:00' ELSE TIMESTAMP '2024-06-01 12:00:00' END END AS computed_at FROM {N1} WHERE is_top_level), lim AS (SELECT TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR AS edge)"
 _OLD = "(computed_at IS NULL OR computed_at < edge)"
