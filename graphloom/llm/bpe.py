@@ -20,8 +20,8 @@ from .common import column, id_and_text, map_batches, texts
 from .pairs import NO_RANK, PairTable, padded
 from .pretokenize import BYTE_LEVEL_PATTERN, splitter
 
-#: Pieces kept with their ids in a worker before the memory is emptied; characters taken at a time.
-CACHE_PIECES, CHUNK_CHARS = 500_000, 2_000_000
+#: Pieces kept with their ids in a task before the memory is emptied; characters taken at a time.
+CACHE_PIECES, CHUNK_CHARS = 300_000, 2_000_000
 #: Longer pieces are merged one by one; so many share arrays, to stay in the processor's cache.
 BATCH_BYTES = 64
 BATCH_ROWS = 4_000
@@ -210,7 +210,7 @@ def encode_documents(df: DataFrame, ranks_path: str, *, pattern: str = BYTE_LEVE
         ids = list(encoder.encode([t or "" for t in texts(batch)], pattern))
         return {"doc_id": column(batch, "doc_id"), "ids": ids, "n_tokens": [len(x) // 4 for x in ids], "decoded": [encoder.decode(x) for x in ids]}
 
-    return map_batches(id_and_text(df, id_col, text_col), "doc_id bigint, ids binary, n_tokens bigint, decoded binary", work)
+    return map_batches(id_and_text(df, id_col, text_col), "doc_id bigint, ids binary, n_tokens bigint, decoded binary", work, lambda: merger(shared.value).cache.clear())
 
 
 def encoding_digests(df: DataFrame, ranks_path: str, *, pattern: str = BYTE_LEVEL_PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,4 +226,4 @@ def encoding_digests(df: DataFrame, ranks_path: str, *, pattern: str = BYTE_LEVE
             out["decoded_sha256"].append(hashlib.sha256(encoder.decode(ids)).hexdigest())
         return {"doc_id": column(batch, "doc_id"), **out}
 
-    return map_batches(id_and_text(df, id_col, text_col), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", work)
+    return map_batches(id_and_text(df, id_col, text_col), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", work, lambda: merger(shared.value).cache.clear())

@@ -55,8 +55,11 @@ def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
     return df.toDF(*new), [new[df.columns.index(n)] for n in names]
 
 
-def map_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict[str, list]]) -> DataFrame:
-    """``mapInArrow`` where ``work`` turns a non-empty batch into columns named as in ``schema`` (DDL)."""
+def map_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict[str, list]], after: Callable[[], None] | None = None) -> DataFrame:
+    """``mapInArrow`` where ``work`` turns a non-empty batch into columns named as in ``schema`` (DDL).
+
+    ``after`` is called when a task has read all its batches, to free what it has kept.
+    """
     fields = [field.split() for field in schema.split(", ")]
     arrow = pa.schema([(name, _ARROW[kind]) for name, kind in fields])
 
@@ -67,6 +70,8 @@ def map_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dic
                 yield pa.RecordBatch.from_arrays(
                     [columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in arrow], schema=arrow
                 )
+        if after is not None:
+            after()
 
     return df.mapInArrow(run, schema)
 

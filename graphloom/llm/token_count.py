@@ -253,4 +253,4 @@ def count_tokens(df: DataFrame, tokenizer_path: str, *, limit: int = 512, id_col
         tokens = counter(shared.value).count(rows)
         return {"doc_id": column(batch, "doc_id"), "n_bytes": [len(t.encode("utf-8")) for t in rows], "n_tokens": tokens, "over_limit": [n > limit for n in tokens]}
 
-    return map_batches(id_and_text(df, id_col, text_col), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean", work)
+    return map_batches(id_and_text(df, id_col, text_col), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean", work, lambda: counter(shared.value).cache.clear())
