@@ -33,7 +33,8 @@ WINDOW, SURGE_SHARE, MAX_LINK_SHARE = 3, 0.1, 0.6
 _BLOCKS, _CHROME, _VOID = frozenset(BLOCKS), frozenset(CHROME), frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NAMES, _ROLES = frozenset(CHROME_NAMES), frozenset(CHROME_ROLES)
 _RAW = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(SILENT)})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
+# a tag with its quoted values whole; else, where quotes don't close, up to the next >
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|<[!?][^>]*>")
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
@@ -65,7 +66,7 @@ def _skip(tags: list[tuple], at: int, name: str) -> int:
 def lines_of(page: str) -> list[tuple[str, int, int]]:
     """Lines of the page without chrome: text, characters of it in links, and the number of its article or main element (0: none)."""
     page = _RAW.sub(" ", page)
-    tags = [(m.start(), m.end(), m.group(1) == "/", (m.group(2) or "").lower(), m.group(3) or "") for m in _TAG.finditer(page)]
+    tags = [(m.start(), m.end(), "/" in (m[1], m[4]), (m[2] or m[5] or "").lower(), m[3] or m[6] or "") for m in _TAG.finditer(page)]
     lines: list[tuple[str, int, int]] = []
     words: list[str] = []
     links, in_link, inside, articles = 0, False, [], 0
