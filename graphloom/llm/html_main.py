@@ -26,47 +26,65 @@ aside menu nav navbar navigation breadcrumb breadcrumbs pagination pager header
 masthead comment comments comment-list commentlist reader-comments disqus respond reply replies notice notices cookie cookies cookie-notice
 cookie-banner consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social social-share
 related related-posts related-articles recommended widget toolbar search searchbox""".split()
+#: Names that tell the same as a part of a longer one (`ad-slot`, `comments-area`), unless the longer one begins or goes on like these.
+CHROME_PARTS = """ad ads advert adverts advertisement sponsored promo sidebar nav navbar navigation menu breadcrumb breadcrumbs pagination
+footer masthead comment comments disqus cookie cookies consent newsletter popup modal related social""".split()
+NOT_CHROME_PARTS = "no has with without content layout".split()
+#: Elements of reader comments, even if each comment is an article of its own.
+COMMENT_NAMES = "comment comments comment-list commentlist reader-comments disqus".split()
 BLOCKS = """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split()
 
 WINDOW, SURGE_SHARE, MAX_LINK_SHARE = 3, 0.1, 0.6
 _BLOCKS, _CHROME, _VOID = frozenset(BLOCKS), frozenset(CHROME), frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NAMES, _ROLES = frozenset(CHROME_NAMES), frozenset(CHROME_ROLES)
+_NAMES, _ROLES, _COMMENTS = frozenset(CHROME_NAMES), frozenset(CHROME_ROLES), frozenset(COMMENT_NAMES)
+_PARTS, _NOT_PARTS = frozenset(CHROME_PARTS), frozenset(NOT_CHROME_PARTS)
 _RAW = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(SILENT)})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 # a tag with its quoted values whole; else, where quotes don't close, up to the next >
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|<[!?][^>]*>")
-_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# every attribute, so that no value is taken for a name
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+
+
+def _named_chrome(names: list[str]) -> bool:
+    if not _NAMES.isdisjoint(names):
+        return True
+    return any(not _PARTS.isdisjoint(parts) and _NOT_PARTS.isdisjoint(parts) for parts in (n.split("-") for n in names if "-" in n))
 
 
 def _is_chrome(name: str, attributes: str, in_article: bool) -> bool:
     if name in _CHROME:
         return not (name == "header" and in_article)  # an article's own header holds its heading
-    if not attributes or name in ("html", "body", "article", "main"):
+    if not attributes or name in ("html", "body", "main"):
         return False
     for key, *values in _ATTRIBUTE.findall(attributes):
         value, key = "".join(values).lower(), key.lower()
-        if key == "role" and value in _ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key in ("class", "id") and not _NAMES.isdisjoint(value.replace("_", "-").split()):
+        if key in ("class", "id"):
+            names = value.replace("_", "-").split()
+            if not _COMMENTS.isdisjoint(names) if name == "article" else _named_chrome(names):
+                return True
+        elif name != "article" and (key == "role" and value in _ROLES or key == "hidden" or key == "aria-hidden" and value == "true"):
             return True
     return False
 
 
-def _skip(tags: list[tuple], at: int, name: str) -> int:
-    """Position of the tag that closes the element opened at ``at``; ``at`` itself if nothing does."""
-    depth = 0
-    for i in range(at, len(tags)):
-        if tags[i][3] == name:
-            depth += -1 if tags[i][2] else 1
-            if depth == 0:
-                return i
-    return at
+def _closings(tags: list[tuple]) -> dict[int, int]:
+    """Positions of opening tags and of the tags that close them; what nothing closes is left out."""
+    found: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for i, (_, _, closing, name, _) in enumerate(tags):
+        if not closing:
+            opened.setdefault(name, []).append(i)
+        elif opened.get(name):
+            found[opened[name].pop()] = i
+    return found
 
 
 def lines_of(page: str) -> list[tuple[str, int, int]]:
     """Lines of the page without chrome: text, characters of it in links, and the number of its article or main element (0: none)."""
     page = _RAW.sub(" ", page)
     tags = [(m.start(), m.end(), "/" in (m[1], m[4]), (m[2] or m[5] or "").lower(), m[3] or m[6] or "") for m in _TAG.finditer(page)]
+    closings = _closings(tags)
     lines: list[tuple[str, int, int]] = []
     words: list[str] = []
     links, in_link, inside, articles = 0, False, [], 0
@@ -105,7 +123,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             if name in _BLOCKS:
                 close()
             if not closing and name not in _VOID and not attributes.endswith("/") and _is_chrome(name, attributes, bool(inside)):
-                i = _skip(tags, i, name)
+                i = closings.get(i, i)
                 at = tags[i][1]
             elif name in ("article", "main"):
                 if closing and inside:

@@ -378,6 +378,16 @@ def test_main_text():
     assert html_main.main_text("<p>unclosed <b>and <i>broken") == "unclosed and broken"
 
 
+def test_main_text_reads_names_not_values():
+    story = "<p>" + "Real words of the story here. " * 8 + "</p>"
+    kept = f'<div id="content" class="no-sidebar"><h1>Head</h1>{story}<div style="overflow:hidden"><p title="hidden gem" data-x="role=form">Kept.</p></div>{story}</div>'
+    page = f'<body><div class="top-menu">Home</div>{kept}<div class="comments-area"><p>{"what a reader says " * 40}</p></div><div class="ad-slot">Buy</div></body>'
+    assert html_main.main_text(page).split("\n")[2] == "Kept." and len(html_main.main_text(page).split("\n")) == 4
+    page = f'<main><h1>Head</h1><article>{story}</article><article class="comment"><p>{"what a reader says " * 40}</p></article></main>'
+    assert html_main.main_text(page).split("\n")[0] == "Head" and "reader" not in html_main.main_text(page)
+    assert html_main.main_text("<nav>" * 50_000 + "<p>text") == "text"
+
+
 def test_main_text_pages(spark, small):
     found = html_main.extract_main_text(spark.read.parquet(f"{small}/pages.parquet")).collect()
     assert found and all(r.n_chars == len(r.text) and r.text for r in found)
