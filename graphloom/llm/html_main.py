@@ -3,7 +3,8 @@
 Markup is stripped to lines, one for each block element, and the text lengths of a sliding window of lines are
 summed. The text surges where that sum first rises above a share of its peak with text to follow, and dives where
 it falls to nothing again; the lines between are the article. Elements that never hold article text, by their tag,
-role or class, are stripped with the markup, and an `article` or `main` element around the peak bounds the lines.
+role or class, are stripped with the markup. Where that range meets an `article` or `main` element, it is extended
+to the whole of it and to its siblings, and, if most text of the peak's window is in them, clipped to them.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def _closings(tags: list[tuple]) -> dict[int, int]:
 
 
 def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """Lines of the page without chrome: text, characters of it in links, and the number of its article or main element (0: none)."""
+    """Lines of the page without chrome: text, characters of it in links, and the number of its outermost article (main: negative) element (0: none)."""
     page = _RAW.sub(" ", page)
     tags = [(m.start(), m.end(), "/" in (m[1], m[4]), (m[2] or m[5] or "").lower(), m[3] or m[6] or "") for m in _TAG.finditer(page)]
     closings = _closings(tags)
@@ -130,7 +131,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                     inside.pop()
                 elif not closing:
                     articles += 1
-                    inside.append(inside[0] if inside else articles)
+                    inside.append(inside[0] if inside else articles if name == "article" else -articles)
         i += 1
     pending.append(page[at:])
     flush()
@@ -148,8 +149,6 @@ def main_text(page: str | None) -> str:
     peak = max(range(len(sums)), key=lambda i: (sums[i], own[i], -i))
     if not sums[peak]:
         return ""
-    if lines[peak][2]:
-        return "\n".join(text for text, _, article in lines if article == lines[peak][2])
     # surge: going back from the peak, the first line beyond which the window holds next to nothing; dive: onward
     least = SURGE_SHARE * sums[peak]
     surge = dive = peak
@@ -157,7 +156,12 @@ def main_text(page: str | None) -> str:
         surge -= 1
     while dive < len(own) - 1 and own[dive + 1] and sums[dive + 1] > least:
         dive += 1
-    return "\n".join(text for text, _, _ in lines[surge : dive + 1])
+    # elements that the range meets, and their siblings, as far as they have text outside of links
+    met = {article for _, _, article in lines[surge : dive + 1] if article}
+    whole = met | {article for (_, _, article), n in zip(lines, own) if n and any(article * m > 0 for m in (min(met, default=0), max(met, default=0)))}
+    near = range(max(0, peak - WINDOW + 1), min(len(own), peak + WINDOW))
+    clipped = 2 * sum(own[i] for i in near if lines[i][2]) > sums[peak]
+    return "\n".join(text for i, (text, _, article) in enumerate(lines) if article in whole or not clipped and surge <= i <= dive)
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -388,6 +388,16 @@ def test_main_text_reads_names_not_values():
     assert html_main.main_text("<nav>" * 50_000 + "<p>text") == "text"
 
 
+def test_main_text_keeps_sibling_articles():
+    story = "<p>" + "Real words of the story here. " * 8 + "</p>"
+    page = f'<article><h1>One</h1>{story}{story}</article><div><p>{"between " * 30}</p></div><article><h1>Two</h1>{story}</article><article><p>Three.</p></article><article><a href="/x">More</a></article>'
+    lines = html_main.main_text(page).split("\n")
+    assert lines[0] == "One" and lines[3] == "Two" and lines[5:] == ["Three."] and "between" not in html_main.main_text(page)
+    # the peak lies outside: an article that the range meets is taken whole, and nothing of the range is lost
+    page = f"<div>{story * 5}</div><article>{story}<p>a</p><p>b</p><p>c</p><p>d</p><p>e</p><p>f</p></article>"
+    assert html_main.main_text(page).split("\n")[6:] == list("abcdef") and len(html_main.main_text(page).split("\n")) == 12
+
+
 def test_main_text_pages(spark, small):
     found = html_main.extract_main_text(spark.read.parquet(f"{small}/pages.parquet")).collect()
     assert found and all(r.n_chars == len(r.text) and r.text for r in found)
