@@ -1,8 +1,10 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block element, and the text lengths of a sliding window of lines are
-summed. The text surges where that sum first rises above a share of its peak with text to follow, and dives where
-it falls to nothing again; the lines between are the article. Elements that never hold article text, by their tag,
+summed. The text surges where that sum first rises above a share of its level with text to follow, and dives where
+it falls to nothing for good; the lines between are the article. The level is that of full lines at most, so one huge
+paragraph hides no ordinary one. Short lines with dense text beyond them stay, and lines of links if the dense text
+beyond them is longer than they are; a list begun is taken whole. Elements that never hold article text, by their tag,
 role or class, are stripped with the markup. Where that range meets an `article` or `main` element, it is extended
 to the whole of it and to its siblings, and, if most text of the peak's window is in them, clipped to them.
 """
@@ -37,6 +39,9 @@ BLOCKS = """address article aside blockquote body caption center dd details dial
 h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split()
 
 WINDOW, SURGE_SHARE, MAX_LINK_SHARE = 3, 0.1, 0.6
+#: Characters of a full line: what a line has beyond them lifts the level no more.
+FULL_LINE = 300
+_LISTS = frozenset("ul ol dl".split())
 _BLOCKS, _CHROME, _VOID = frozenset(BLOCKS), frozenset(CHROME), frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NAMES, _ROLES, _COMMENTS = frozenset(CHROME_NAMES), frozenset(CHROME_ROLES), frozenset(COMMENT_NAMES)
 _PARTS, _NOT_PARTS = frozenset(CHROME_PARTS), frozenset(NOT_CHROME_PARTS)
@@ -81,20 +86,21 @@ def _closings(tags: list[tuple]) -> dict[int, int]:
     return found
 
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """Lines of the page without chrome: text, characters of it in links, and the number of its outermost article (main: negative) element (0: none)."""
+def lines_of(page: str) -> list[tuple[str, int, int, int]]:
+    """Lines of the page without chrome: text, characters of it in links, and the numbers of its outermost article (main: negative) and list (0: none)."""
     page = _RAW.sub(" ", page)
     tags = [(m.start(), m.end(), "/" in (m[1], m[4]), (m[2] or m[5] or "").lower(), m[3] or m[6] or "") for m in _TAG.finditer(page)]
     closings = _closings(tags)
-    lines: list[tuple[str, int, int]] = []
+    lines: list[tuple[str, int, int, int]] = []
     words: list[str] = []
     links, in_link, inside, articles = 0, False, [], 0
+    depth, lists = 0, 0
 
     def close() -> None:
         nonlocal links
         text = " ".join("".join(words).split())
         if text:
-            lines.append((text, min(links, len(text)), inside[0] if inside else 0))
+            lines.append((text, min(links, len(text)), inside[0] if inside else 0, lists if depth else 0))
         words.clear()
         links = 0
 
@@ -126,6 +132,9 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             if not closing and name not in _VOID and not attributes.endswith("/") and _is_chrome(name, attributes, bool(inside)):
                 i = closings.get(i, i)
                 at = tags[i][1]
+            elif name in _LISTS:
+                lists += not closing and not depth
+                depth = max(0, depth - 1) if closing else depth + 1
             elif name in ("article", "main"):
                 if closing and inside:
                     inside.pop()
@@ -139,29 +148,44 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     return lines
 
 
+def _end(lines: list[tuple[str, int, int, int]], own: list[int], dense: list[bool], peak: int, step: int) -> int:
+    """The last line of the text going one way from its peak."""
+    end, at, text, links = peak, peak + step, 0, 0
+    while 0 <= at < len(lines):
+        if not own[at]:
+            links += len(lines[at][0])
+        elif dense[at]:
+            text += own[at]
+            if text > links:
+                end, text, links = at, 0, 0
+        at += step
+    while lines[end][3] and 0 <= end + step < len(lines) and lines[end + step][3] == lines[end][3]:
+        end += step
+    return end
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks in order, white space within a block as one space, joined by line feeds."""
     lines = lines_of(page or "")
     if not lines:
         return ""
-    own = [0 if links > MAX_LINK_SHARE * len(text) else len(text) for text, links, _ in lines]
+    own = [0 if links > MAX_LINK_SHARE * len(text) else len(text) for text, links, *_ in lines]
     sums = [sum(own[max(0, i - WINDOW + 1) : i + WINDOW]) for i in range(len(own))]
     peak = max(range(len(sums)), key=lambda i: (sums[i], own[i], -i))
     if not sums[peak]:
         return ""
-    # surge: going back from the peak, the first line beyond which the window holds next to nothing; dive: onward
-    least = SURGE_SHARE * sums[peak]
-    surge = dive = peak
-    while surge > 0 and own[surge - 1] and sums[surge - 1] > least:
-        surge -= 1
-    while dive < len(own) - 1 and own[dive + 1] and sums[dive + 1] > least:
-        dive += 1
+    # surge: going back from the peak, the first line beyond which the windows hold next to nothing; dive: onward
+    least = SURGE_SHARE * min(sums[peak], (2 * WINDOW - 1) * FULL_LINE)
+    # a window that the page's ends cut short needs as much less
+    width = [min(i, WINDOW - 1) + min(len(own) - 1 - i, WINDOW - 1) + 1 for i in range(len(own))]
+    dense = [n > 0 and total * (2 * WINDOW - 1) > least * k for n, total, k in zip(own, sums, width)]
+    surge, dive = _end(lines, own, dense, peak, -1), _end(lines, own, dense, peak, 1)
     # elements that the range meets, and their siblings, as far as they have text outside of links
-    met = {article for _, _, article in lines[surge : dive + 1] if article}
-    whole = met | {article for (_, _, article), n in zip(lines, own) if n and any(article * m > 0 for m in (min(met, default=0), max(met, default=0)))}
+    met = {article for _, _, article, _ in lines[surge : dive + 1] if article}
+    whole = met | {article for (_, _, article, _), n in zip(lines, own) if n and any(article * m > 0 for m in (min(met, default=0), max(met, default=0)))}
     near = range(max(0, peak - WINDOW + 1), min(len(own), peak + WINDOW))
     clipped = 2 * sum(own[i] for i in near if lines[i][2]) > sums[peak]
-    return "\n".join(text for i, (text, _, article) in enumerate(lines) if article in whole or not clipped and surge <= i <= dive)
+    return "\n".join(text for i, (text, _, article, _) in enumerate(lines) if article in whole or not clipped and surge <= i <= dive)
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -398,6 +398,18 @@ def test_main_text_keeps_sibling_articles():
     assert html_main.main_text(page).split("\n")[6:] == list("abcdef") and len(html_main.main_text(page).split("\n")) == 12
 
 
+@pytest.mark.parametrize("middle,n", [("<p>" + "huge " * 4_000 + "</p>", 1), ("<ul>" + "<li>item</li>" * 30 + "</ul>", 30), ('<p><a href="/x">One line of a link that leads on</a></p>', 1), ("<p>Hm.</p>" * 9, 9)])
+def test_main_text_without_article_keeps_all(middle, n):
+    story = "<p>" + "Real words of the story here. " * 10 + "</p>"
+    menu = "".join(f'<p><a href="/{i}">Another page of this site to read</a></p>' for i in range(40))
+    page = f"<body>{menu}<div><h1>Head</h1>{story * 6}{middle}{story * 6}</div>{menu}<p>{'Legal words. ' * 20}</p></body>"
+    lines = html_main.main_text(page).split("\n")
+    assert lines[0] == "Head" and len(lines) == 13 + n and "Another" not in html_main.main_text(page)
+    # a list at the end belongs to the text
+    page = f"<body>{menu}<div>{story * 3}<ol>{'<li>step</li>' * 20}</ol></div>{menu}</body>"
+    assert html_main.main_text(page).split("\n")[3:] == ["step"] * 20
+
+
 def test_main_text_pages(spark, small):
     found = html_main.extract_main_text(spark.read.parquet(f"{small}/pages.parquet")).collect()
     assert found and all(r.n_chars == len(r.text) and r.text for r in found)
