@@ -1,10 +1,11 @@
 """Personal data: overlapping candidates, boosted trees over format and context, calibrated thresholds.
 
 Base spans are fixed by their patterns and checks and always stay. Beyond them, generators of high recall propose
-spans that loosen a kind's format. Boosted trees are trained on a bounded, seeded sample of the corpus: its base
-spans, written in looser formats, are positive, and candidates that overlap no base span, with base spans spoilt so
+spans that loosen a kind's format, overlapping ones of a kind too: from each group of digits, every end at a group's
+end that gives a number of digits the kind may have. Boosted trees are trained on a bounded, seeded sample of the corpus: its base
+spans, written in looser formats and beside other numbers, are positive, and candidates that overlap no base span, with base spans spoilt so
 that their checks fail, are negative. A kind's threshold is the least at which held-out candidates reach the
-precision asked for. Of the selected spans that overlap, the likeliest stays.
+precision asked for, of those that overlap only the likeliest counted. Of the selected spans that overlap, the likeliest stays.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +44,12 @@ _LOOSE = {
     "card": re.compile(r"[0-9](?:[\s./_-]{0,2}[0-9]){12,18}"),
     "phone": re.compile(r"(?:\+\s?|\b00)?\(?[0-9][0-9]{0,3}\)?(?:[\s./-]{0,2}\(?[0-9]{2,4}\)?){2,5}"),
 }
+#: Groups of digits, what may stand between those of a card or phone, and the least and most digits and groups of each.
+_GROUP, _BETWEEN = re.compile("[0-9]+"), {"card": re.compile(r"[\s./_-]{1,2}"), "phone": re.compile(r"\)?[\s./-]{0,2}\(?")}
+_BOUNDS = {"card": (13, 19, 19), "phone": (7, 15, 6)}
+_PLUS, _BESIDE = re.compile(r"(?:\+\s?)?\(?\Z"), (re.compile(r"[0-9][\s./_-]{1,2}\Z"), re.compile(r"[\s./_-]{1,2}[0-9]"))
+_FOUR, _MAIL = re.compile(rf"(?<![0-9])(?=({_LOOSE['ip'].pattern})(?![0-9]))"), re.compile(_LOOSE["email"].pattern.replace(")[A-Za-z0-9._%+-]++", ")(?=([A-Za-z0-9._%+-]++", 1) + "))", re.I)
+_LABEL, MAX_SPAN = re.compile(rf"(?<=[A-Za-z0-9-]){_DOT}[A-Za-z0-9-]+", re.I), 120
 _CUES = {
     "email": re.compile(r"mail|contact|write|address", re.I),
     "ip": re.compile(r"\bip\b|address|host|server", re.I),
@@ -73,6 +81,10 @@ def _valid(kind: str, text: str) -> bool:
     return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
 
+def _alone(kind: str, body: str) -> bool:
+    return kind != "email" and BASE[kind].fullmatch(body) is not None and _valid(kind, body)
+
+
 def _emails(text: str) -> Iterator[Span]:
     """Matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+`` from left to right."""
     done, at = 0, text.find("@")
@@ -95,14 +107,44 @@ def base_spans(text: str) -> list[Span]:
     return [*_emails(text), *rest]
 
 
+def _grouped(text: str) -> Iterator[Span]:
+    """Cards and phones from each group of digits to each end of a group within the bounds of the kind."""
+    groups = [m.span() for m in _GROUP.finditer(text)]
+    for kind, (least, most, most_groups) in _BOUNDS.items():
+        between = _BETWEEN[kind]
+        joined = [a < c <= a + 4 and between.fullmatch(text, a, c) is not None for (_, a), (c, _) in zip(groups, groups[1:])]
+        for i, (start, end) in enumerate(groups):
+            n = end - start
+            if n > most:
+                continue
+            if kind == "phone":
+                start = _PLUS.search(text, max(0, start - 3), start).start()
+            for k in range(i, min(i + most_groups, len(groups))):
+                if k > i:
+                    n += groups[k][1] - groups[k][0]
+                    if not joined[k - 1] or n > most:
+                        break
+                    end = groups[k][1]
+                if n >= least:
+                    closes = kind == "phone" and text[end : end + 1] == ")" and text.count("(", start, end) > text.count(")", start, end)
+                    yield kind, start, end + closes
+
+
 def candidates(text: str) -> list[Span]:
-    """Spans that the generators propose, whatever they overlap."""
-    found = []
+    """Spans that the generators propose, whatever they overlap: also one another within a kind."""
+    found: dict[Span, None] = {}
     if any(d in text for d in "0123456789"):
-        found = [(kind, m.start(), m.end()) for kind in KINDS[1:] for m in _LOOSE[kind].finditer(text)]
+        found.update(dict.fromkeys((kind, m.start(), m.end()) for kind in KINDS[1:] for m in _LOOSE[kind].finditer(text)))
+        found.update(dict.fromkeys(("ip", *m.span(1)) for m in _FOUR.finditer(text)))
+        found.update(dict.fromkeys(_grouped(text)))
     if "@" in text or _NEEDS.search(text):
-        found += [("email", m.start(), m.end()) for m in _LOOSE["email"].finditer(text)]
-    return found
+        for m in _MAIL.finditer(text):
+            start, end = m.span(1)
+            found["email", start, end] = None
+            for label in list(_LABEL.finditer(text, text.find("@", start, end) + 1 or start, min(end, start + MAX_SPAN)))[:-1]:
+                if _LOOSE["email"].fullmatch(text, start, label.end()):
+                    found["email", start, label.end()] = None
+    return list(found)
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -120,12 +162,41 @@ def features(text: str, span: Span) -> list[float]:
         float(len(groups) == 4 and all(len(g) < 4 and int(g) <= 255 for g in groups)), float("." in seps), float("\n" in body), glued,
         float(after[:1].isalnum()), float(bool(_CUES[kind].search(before))), float(bool(_OTHER.search(before))),
         float("@" in body), float(bool(re.search(r"[\[({]\s*(?:at|dot)|\sdot\s", body, re.I))), float(parts[-1].isalpha() and 2 <= len(parts[-1]) <= 6),
-        float(digits[:1] == "0"),
+        float(digits[:1] == "0"), float(bool(_BESIDE[0].search(before))), float(bool(_BESIDE[1].match(after))),
     ]
 
 
-def _overlaps(span: Span, others: list[Span]) -> bool:
-    return any(span[1] < end and start < span[2] for _, start, end in others)
+class _Taken:
+    """Stretches of a text, disjoint and in order."""
+
+    def __init__(self, spans: list[Span] = ()):
+        self.at: list[tuple[int, int]] = []
+        for start, end in sorted(s[1:] for s in spans):
+            if self.at and start < self.at[-1][1]:
+                self.at[-1] = (self.at[-1][0], max(end, self.at[-1][1]))
+            else:
+                self.at.append((start, end))
+
+    def overlaps(self, span: Span) -> bool:
+        i = bisect_left(self.at, (span[2], -1))
+        return i > 0 and self.at[i - 1][1] > span[1]
+
+    def add(self, span: Span) -> None:
+        insort(self.at, span[1:])
+
+
+def _free(text: str, base: list[Span]) -> list[Span]:
+    taken = _Taken(base)
+    return [c for c in candidates(text) if not taken.overlaps(c)]
+
+
+def _likeliest(chance: np.ndarray, spans: list[Span]) -> Iterator[int]:
+    """Places of the spans that overlap no likelier one; of equal chances the first and longer comes first."""
+    taken = _Taken()
+    for i in sorted(range(len(spans)), key=lambda i: (-chance[i], spans[i][1], -spans[i][2], spans[i][0])):
+        if not taken.overlaps(spans[i]):
+            taken.add(spans[i])
+            yield i
 
 
 def _looser(kind: str, body: str, draw: random.Random) -> str:
@@ -165,48 +236,59 @@ class SpanModel:
 
     def select(self, text: str, base: list[Span]) -> list[Span]:
         """Selected candidates that overlap neither a base span nor a likelier one."""
-        free = [c for c in candidates(text) if not _overlaps(c, base)] if self.thresholds else []
+        free = [c for c in _free(text, base) if c[0] in self.thresholds] if self.thresholds else []
         if not free:
             return []
         chance = self.trees.chance(np.array([features(text, c) for c in free]))
-        taken: list[Span] = []
-        for p, span in sorted(((-p, c) for p, c in zip(chance, free)), key=lambda x: (x[0], x[1][1], -x[1][2], x[1][0])):
-            if -p >= self.thresholds.get(span[0], 2.0) and not _overlaps(span, taken):
-                taken.append(span)
-        return taken
+        good = [i for i, c in enumerate(free) if chance[i] >= self.thresholds[c[0]]]
+        free = [free[i] for i in good]
+        return [free[i] for i in _likeliest(chance[good], free)]
 
 
 def train(sample: list[tuple[str, str, str, str, bool]], seed: int = 3) -> SpanModel:
     """A model from (kind, before, body, after, is base span) of sampled candidates."""
     draw = random.Random(seed)
-    rows: list[tuple[list[float], int, str]] = []
+    rows: list[list[tuple[list[float], int, Span]]] = []
 
     def add(kind: str, before: str, body: str, after: str, label: int) -> None:
         text = before + body + after
-        for span in candidates(text):
-            if span[1] < len(before) + len(body) and len(before) < span[2]:
-                exact = span == (kind, len(before), len(before) + len(body))
-                rows.append((features(text, span), int(label and exact), span[0]))
+        own = (kind, len(before), len(before) + len(body))
+        near = [span for span in candidates(text) if span[1] < own[2] and own[1] < span[2]]
+        # a span that would be a base span if it stood alone is no negative
+        found = [(features(text, span), int(label and span == own), span) for span in near if label and span == own or not _alone(span[0], text[span[1] : span[2]])]
+        if found:
+            rows.append(found)
 
     for kind, before, body, after, is_base in sorted(sample):
         if is_base:
             for _ in range(2):
                 add(kind, before, _looser(kind, body, draw), after, 1)
                 add(kind, before, _spoilt(kind, body, draw), after, 0)
+            if kind != "email":
+                for left in (True, False, True, False):
+                    crowded = body if kind == "card" or draw.random() < 0.5 else _looser(kind, body, draw)
+                    number = "".join(draw.choice("0123456789") for _ in range(draw.choice([16, 16, 4, 3]) if kind == "card" else draw.randrange(1, 6)))
+                    if kind == "phone" and draw.random() < 0.5:
+                        number = ".".join(str(draw.randrange(1, 256)) for _ in range(4))
+                    add(kind, *((before + number + " ", crowded, after) if left else (before, crowded, " " + number + after)), 1)
         else:
             add(kind, before, body, after, 0)
-    if len({label for _, label, _ in rows}) < 2:
+    if len({label for found in rows for _, label, _ in found}) < 2:
         return SpanModel(BoostedTrees(), {})
     draw.shuffle(rows)
     cut = len(rows) * 3 // 4
-    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
-    trees = BoostedTrees().fit(x[:cut], y[:cut])
-    chance, kinds, thresholds = trees.chance(x[cut:]), np.array([r[2] for r in rows[cut:]]), {}
-    for kind in KINDS:
-        p, label = chance[kinds == kind], y[cut:][kinds == kind]
+    fitted = [r for found in rows[:cut] for r in found]
+    trees, thresholds = BoostedTrees().fit(np.array([r[0] for r in fitted]), np.array([r[1] for r in fitted], float)), {}
+    held: dict[str, list[tuple[float, int]]] = {kind: [] for kind in KINDS}
+    for found in rows[cut:]:
+        chances = trees.chance(np.array([r[0] for r in found]))
+        for i in _likeliest(chances, [r[2] for r in found]):
+            held[found[i][2][0]].append((float(chances[i]), found[i][1]))
+    for kind, pairs in held.items():
+        p, label = np.array([c for c, _ in pairs]), np.array([y for _, y in pairs], float)
         order = np.argsort(-p, kind="stable")
         precision = np.cumsum(label[order]) / np.arange(1, len(order) + 1)
-        good = np.flatnonzero((precision >= PRECISION) & (np.r_[p[order][1:], -1.0] < p[order]))
+        good = np.flatnonzero((precision >= PRECISION) & (np.r_[p[order][1:], -1.0] < p[order])) if len(p) else []
         if len(good) and label.sum() >= 20:
             thresholds[kind] = max(0.5, float(p[order][good[-1]]))
     return SpanModel(trees, thresholds)
@@ -222,11 +304,11 @@ def fit_spans(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id"
                 if not text or not _NEEDS.search(text):
                     continue
                 base = base_spans(text)
-                spans = [(s, True) for s in base] + [(c, False) for c in candidates(text) if not _overlaps(c, base)]
+                spans = [(s, True) for s in base] + [(c, False) for c in _free(text, base)]
                 for (kind, start, end), is_base in spans:
-                    if end - start <= 120:
+                    if end - start <= MAX_SPAN:
                         body = text[start:end]
-                        key = f"{doc_id}:{start}:{kind}".encode()
+                        key = f"{doc_id}:{start}:{end}:{kind}".encode()
                         out.append((int.from_bytes(hashlib.blake2b(key, digest_size=7).digest(), "big"), kind, text[max(0, start - CONTEXT) : start], body, text[end : end + CONTEXT], is_base))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["draw", "kind", "before", "body", "after", "is_base"])

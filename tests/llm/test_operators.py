@@ -357,6 +357,26 @@ def test_personal_data_learns_loose_formats(spark):
         assert model.select(text, pii.base_spans(text)) == []
 
 
+def test_personal_data_overlapping_candidates():
+    for text, kind, wanted in (
+        ("see 7536784127813050 4845168114407329 there", "card", ("7536784127813050", "4845168114407329")),
+        ("order 12 4111 1111 1111 1111 7 of", "card", ("4111 1111 1111 1111",)),
+        ("at 12 (555) 123-4567 or 17 555.123.4567 8", "phone", ("(555) 123-4567", "555.123.4567")),
+        ("call +1 (843) 555-7672 170.106.47.9 now", "phone", ("+1 (843) 555-7672",)),
+        ("of 7, 10 . 0 . 0 . 25", "ip", ("10 . 0 . 0 . 25",)),
+        ("bob at site dot org dot Then", "email", ("bob at site dot org", "bob at site dot org dot Then")),
+    ):
+        assert set(wanted) <= {text[s:e] for k, s, e in pii.candidates(text) if k == kind}
+    assert len(pii.candidates("1 2 3 4 " * 5_000)) < 20 * 20_000 and len(pii.candidates("4" * 200_000)) < 200_000
+
+
+def test_personal_data_finds_adjacent_cards(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    text = docs.where("doc_id = 46").first().text
+    found = pii.fit_spans(docs).select(text, pii.base_spans(text))
+    assert sorted(found, key=lambda s: s[1]) == [("card", 672, 688), ("card", 689, 705)]
+
+
 def test_personal_data_edges(odd):
     for r in pii.find_personal_data(odd).collect():
         base = pii.base_spans({i: t for i, t in enumerate(ODD)}.get(r.doc_id) or "")
