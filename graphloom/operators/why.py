@@ -158,21 +158,16 @@ def primary_source(graph: Graph) -> DataFrame:
 
 
 def sankey(graph: Graph, label: str, max_depth: int = 10) -> DataFrame:
-    """Links of the variants of a label: direct packages to the variant, others to the node before it and on."""
-    variants = [r["id"] for r in graph.nodes.where(F.col("label") == label).orderBy(F.coalesce("closure_size", F.lit(0)).desc(), "id").limit(10).select("id").collect()]
-    links = None
-    for variant in variants:
-        paths = attribution_paths(graph, variant, max_depth)
-        via = F.when(F.col("length") <= 1, F.lit(None)).otherwise(F.element_at("path", -2))
-        each = paths.where("length > 0").withColumn("via", via).select("via", "top_id").distinct()
-        direct = each.where("via is null").select(F.col("top_id").alias("source"), F.lit(variant).alias("target"), F.lit(1).cast("bigint").alias("value"))
-        lower = each.where("via is not null").groupBy("via").agg(F.count("*").alias("value")).select(F.col("via").alias("source"), F.lit(variant).alias("target"), "value")
-        upper = each.where("via is not null").select(F.col("top_id").alias("source"), F.col("via").alias("target"), F.lit(1).cast("bigint").alias("value"))
-        now = direct.unionByName(lower).unionByName(upper)
-        links = now if links is None else links.unionByName(now)
-    if links is None:
-        return graph.edges.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), F.lit(0).cast("bigint").alias("value")).limit(0)
-    return links.groupBy("source", "target").agg(F.sum("value").alias("value"))
+    """Links of all variants of a label: direct packages to the variant, others to the node before it and on."""
+    # a path ends at the first top-level package, so a variant that is one has no links
+    variants = graph.nodes.where((F.col("label") == label) & ~F.coalesce("is_top_level", F.lit(False))).select(F.col("id").alias("seed"))
+    steps = upward(graph.deps).distinct().withColumn("kind", F.lit(""))
+    stops = graph.nodes.where("is_top_level").select(F.col("id").alias("stop"))
+    via = F.when(F.size("path") > 2, F.element_at("path", 2))
+    each = simple_paths(steps, variants, max_depth, stops).select(F.element_at("path", 1).alias("variant"), via.alias("via"), F.element_at("path", -1).alias("top_id")).distinct()
+    first = each.select(F.coalesce("via", "top_id").alias("source"), F.col("variant").alias("target"))
+    upper = each.where("via is not null").select(F.col("top_id").alias("source"), F.col("via").alias("target"))
+    return first.unionByName(upper).groupBy("source", "target").agg(F.count("*").alias("value"))
 
 
 def top_level_apps(graph: Graph, label: str, limit: int = 50) -> DataFrame:

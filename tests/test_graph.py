@@ -1,6 +1,7 @@
 """Graph operators on small known graphs and against plain Python on random ones."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,3 +106,13 @@ def test_dot_round_trip(spark):
     nodes, edges = importing.parse_dot(spark.createDataFrame(list(enumerate(lines)), "line bigint, value string"))
     assert {tuple(r) for r in nodes.collect()} == {(a, "foo-1.drv", "foo-2"), (b, "bar", "bar")}
     assert [tuple(r) for r in edges.collect()] == [(a, b, "red")]
+
+
+def test_sankey_has_all_variants_and_paths(spark):
+    # 12 variants; the first is needed by 150 top-level packages through one node, each other by one of its own
+    edges = [(1000 + i, 500) for i in range(150)] + [(500, 1)] + [(2000 + i, i) for i in range(2, 13)]
+    g = from_edges(spark, edges, convention="B")
+    name = F.when(F.col("id") <= 12, "lib").otherwise(F.col("id").cast("string"))
+    g = replace(g, nodes=g.nodes.withColumn("label", name).withColumn("is_top_level", F.col("id") >= 1000))
+    found = {(r.source, r.target): r.value for r in why.sankey(g, "lib").collect()}
+    assert found == {(500, 1): 150} | {(1000 + i, 500): 1 for i in range(150)} | {(2000 + i, i): 1 for i in range(2, 13)}
