@@ -35,3 +35,8 @@ def test_query(spark, small, duck, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+
+
+def test_redundant_links_of_parts(spark, small):
+    parts = QUERIES["redundant_links_all"](spark, small).where("dependent between 4000000000 and 4999999999")
+    assert parts.count() == spark.read.parquet(f"{small}/lineitem.parquet").where("l_partkey % 10 = 0").select("l_partkey").distinct().count() > 0
