@@ -1,12 +1,12 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block element, and the text lengths of a sliding window of lines are
-summed. The text surges where that sum first rises above a share of its level with text to follow, and dives where
-it falls to nothing for good; the lines between are the article. The level is that of full lines at most, so one huge
-paragraph hides no ordinary one. Short lines with dense text beyond them stay, and lines of links if the dense text
-beyond them is longer than they are; a list begun is taken whole. Elements that never hold article text, by their tag,
-role or class, are stripped with the markup. Where that range meets an `article` or `main` element, it is extended
-to the whole of it and to its siblings, and, if most text of the peak's window is in them, clipped to them.
+Markup is stripped to lines, one for each block element; an element that never holds article text, by its tag, role or
+class, leaves a window of empty lines. The text lengths of a sliding window of lines are summed. Text surges where that
+sum rises from nothing and dives where it falls back to nothing; a stretch between is dense if its sum reaches a share of
+the page's level, and the article is what lies from the first dense stretch's surge to the last one's dive: short lines
+between them stay, and lines of links, which count nothing, if the dense text beyond them is longer than they are. The level is that of full lines at most, so one huge paragraph
+hides no ordinary one. `article` and `main` break ties only: stretches too thin for windows to decide stay if they are in
+the same element as the text, and thin ends of a stretch and stretches apart from it go if they are in none.
 """
 
 from __future__ import annotations
@@ -20,30 +20,34 @@ from pyspark.sql import functions as F
 
 from .common import column, map_batches, texts
 
-#: Elements without text of their own, elements and names that hold no article text, block elements.
-SILENT = "script style noscript template svg math iframe object canvas audio video textarea select button title".split()
+#: Elements whose text is no text of the page, elements and names that hold no article text, block elements.
+SILENT = "script style noscript template iframe canvas audio video textarea select button title".split()
 CHROME = "nav header footer aside form menu dialog".split()
 CHROME_ROLES = "navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split()
-CHROME_NAMES = """ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side-bar
+CHROME_NAMES = """ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar side-bar
 aside menu nav navbar navigation breadcrumb breadcrumbs pagination pager header site-header page-header footer site-footer page-footer
 masthead comment comments comment-list commentlist reader-comments disqus respond reply replies notice notices cookie cookies cookie-notice
-cookie-banner consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social social-share
-related related-posts related-articles recommended widget toolbar search searchbox""".split()
+cookie-banner consent gdpr alert popup modal overlay newsletter toolbar search searchbox""".split()
+#: Names that tell the same outside of an article only: inside one they may hold its own text.
+CHROME_NAMES_OUTSIDE = """banner subscribe subscription signup login share sharing social social-share related related-posts related-articles
+recommended widget""".split()
 #: Names that tell the same as a part of a longer one (`ad-slot`, `comments-area`), unless the longer one begins or goes on like these.
 CHROME_PARTS = """ad ads advert adverts advertisement sponsored promo sidebar nav navbar navigation menu breadcrumb breadcrumbs pagination
-footer masthead comment comments disqus cookie cookies consent newsletter popup modal related social""".split()
+footer masthead comment comments disqus cookie cookies consent newsletter popup modal""".split()
 NOT_CHROME_PARTS = "no has with without content layout".split()
 #: Elements of reader comments, even if each comment is an article of its own.
 COMMENT_NAMES = "comment comments comment-list commentlist reader-comments disqus".split()
+#: Where an element that nothing closes ends at the latest.
+UNCLOSED_UNTIL = "article main section h1 h2 p".split()
 BLOCKS = """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split()
 
 WINDOW, SURGE_SHARE, MAX_LINK_SHARE = 3, 0.1, 0.6
 #: Characters of a full line: what a line has beyond them lifts the level no more.
 FULL_LINE = 300
-_LISTS = frozenset("ul ol dl".split())
+_UNTIL = frozenset(UNCLOSED_UNTIL)
 _BLOCKS, _CHROME, _VOID = frozenset(BLOCKS), frozenset(CHROME), frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NAMES, _ROLES, _COMMENTS = frozenset(CHROME_NAMES), frozenset(CHROME_ROLES), frozenset(COMMENT_NAMES)
+_NAMES, _OUTSIDE, _ROLES, _COMMENTS = frozenset(CHROME_NAMES), frozenset(CHROME_NAMES_OUTSIDE), frozenset(CHROME_ROLES), frozenset(COMMENT_NAMES)
 _PARTS, _NOT_PARTS = frozenset(CHROME_PARTS), frozenset(NOT_CHROME_PARTS)
 _RAW = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(SILENT)})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 # a tag with its quoted values whole; else, where quotes don't close, up to the next >
@@ -52,8 +56,8 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
-def _named_chrome(names: list[str]) -> bool:
-    if not _NAMES.isdisjoint(names):
+def _named_chrome(names: list[str], in_article: bool) -> bool:
+    if not _NAMES.isdisjoint(names) or not in_article and not _OUTSIDE.isdisjoint(names):
         return True
     return any(not _PARTS.isdisjoint(parts) and _NOT_PARTS.isdisjoint(parts) for parts in (n.split("-") for n in names if "-" in n))
 
@@ -67,7 +71,7 @@ def _is_chrome(name: str, attributes: str, in_article: bool) -> bool:
         value, key = "".join(values).lower(), key.lower()
         if key in ("class", "id"):
             names = value.replace("_", "-").split()
-            if not _COMMENTS.isdisjoint(names) if name == "article" else _named_chrome(names):
+            if not _COMMENTS.isdisjoint(names) if name == "article" else _named_chrome(names, in_article):
                 return True
         elif name != "article" and (key == "role" and value in _ROLES or key == "hidden" or key == "aria-hidden" and value == "true"):
             return True
@@ -86,26 +90,20 @@ def _closings(tags: list[tuple]) -> dict[int, int]:
     return found
 
 
-def lines_of(page: str) -> list[tuple[str, int, int, int]]:
-    """Lines of the page without chrome: text, characters of it in links, and the numbers of its outermost article (main: negative) and list (0: none)."""
+#: Text, characters of it in links, number of its outermost article (main: negative; neither: 0). Gaps have no text.
+Line = tuple[str, int, int]
+_GAP: list[Line] = [("", 0, 0)] * WINDOW
+
+
+def lines_of(page: str) -> list[Line]:
+    """Lines of the page; an element of chrome is a gap of as many empty lines as a window has."""
     page = _RAW.sub(" ", page)
     tags = [(m.start(), m.end(), "/" in (m[1], m[4]), (m[2] or m[5] or "").lower(), m[3] or m[6] or "") for m in _TAG.finditer(page)]
     closings = _closings(tags)
-    lines: list[tuple[str, int, int, int]] = []
+    lines: list[Line] = []
     words: list[str] = []
-    links, in_link, inside, articles = 0, False, [], 0
-    depth, lists = 0, 0
-
-    def close() -> None:
-        nonlocal links
-        text = " ".join("".join(words).split())
-        if text:
-            lines.append((text, min(links, len(text)), inside[0] if inside else 0, lists if depth else 0))
-        words.clear()
-        links = 0
-
-    at, i = 0, 0
     pending: list[str] = []
+    links, in_link, inside, articles = 0, False, [], 0
 
     def flush() -> None:
         nonlocal links
@@ -115,26 +113,41 @@ def lines_of(page: str) -> list[tuple[str, int, int, int]]:
         if in_link:
             links += len(text.strip())
 
+    def close() -> None:
+        nonlocal links
+        text = " ".join("".join(words).split())
+        if text:
+            lines.append((text, min(links, len(text)), inside[0] if inside else 0))
+        words.clear()
+        links = 0
+
+    at, i = 0, 0
     while i < len(tags):
         start, end, closing, name, attributes = tags[i]
         pending.append(page[at:start])
         at = end
+        block = name in _BLOCKS
         if name == "a":
             flush()
             in_link = not closing
         elif name == "br":
             flush()
             words.append(" ")
-        elif name in _BLOCKS or (name not in _VOID and attributes and not closing and _is_chrome(name, attributes, bool(inside))):
-            flush()
-            if name in _BLOCKS:
+        elif block or (attributes and not closing and name not in _VOID):
+            chrome = not closing and name not in _VOID and not attributes.endswith("/") and _is_chrome(name, attributes, bool(inside))
+            if block or chrome:
+                flush()
+            if block:
                 close()
-            if not closing and name not in _VOID and not attributes.endswith("/") and _is_chrome(name, attributes, bool(inside)):
-                i = closings.get(i, i)
-                at = tags[i][1]
-            elif name in _LISTS:
-                lists += not closing and not depth
-                depth = max(0, depth - 1) if closing else depth + 1
+            if chrome:
+                if i in closings:
+                    i = closings[i]
+                    at = tags[i][1]
+                else:  # nothing closes it
+                    i = next((k for k in range(i + 1, len(tags)) if tags[k][3] in _UNTIL), len(tags)) - 1
+                    at = tags[i + 1][0] if i + 1 < len(tags) else len(page)
+                if block:
+                    lines += _GAP
             elif name in ("article", "main"):
                 if closing and inside:
                     inside.pop()
@@ -148,44 +161,58 @@ def lines_of(page: str) -> list[tuple[str, int, int, int]]:
     return lines
 
 
-def _end(lines: list[tuple[str, int, int, int]], own: list[int], dense: list[bool], peak: int, step: int) -> int:
-    """The last line of the text going one way from its peak."""
-    end, at, text, links = peak, peak + step, 0, 0
-    while 0 <= at < len(lines):
-        if not own[at]:
-            links += len(lines[at][0])
-        elif dense[at]:
-            text += own[at]
-            if text > links:
-                end, text, links = at, 0, 0
+def stretches(own: list[int]) -> tuple[list[tuple[int, int]], list[int]]:
+    """From surge to dive, end exclusive: lines between which no window has a sum of nothing; and the sums of each line's window."""
+    sums = [sum(own[i : i + WINDOW]) for i in range(len(own))]
+    found: list[tuple[int, int]] = []
+    for i, n in enumerate(own):
+        if n and found and i - found[-1][1] < WINDOW:
+            found[-1] = (found[-1][0], i + 1)
+        elif n:
+            found.append((i, i + 1))
+    return found, sums
+
+
+def _reached(lines: list[Line], own: list[int], dense: list[tuple[int, int]], peak: int, step: int) -> int:
+    """Number of the last dense stretch going one way from the peak's: beyond links, while the text there is longer than they are."""
+    last, text, links, at = peak, 0, 0, peak
+    while 0 <= at + step < len(dense):
+        before, after = sorted((dense[at], dense[at + step]))
+        links += sum(len(lines[i][0]) for i in range(before[1], after[0]) if not own[i])
         at += step
-    while lines[end][3] and 0 <= end + step < len(lines) and lines[end + step][3] == lines[end][3]:
-        end += step
-    return end
+        text += sum(own[slice(*dense[at])])
+        if text > links:
+            last, text, links = at, 0, 0
+    return last
 
 
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks in order, white space within a block as one space, joined by line feeds."""
     lines = lines_of(page or "")
-    if not lines:
-        return ""
-    own = [0 if links > MAX_LINK_SHARE * len(text) else len(text) for text, links, *_ in lines]
-    sums = [sum(own[max(0, i - WINDOW + 1) : i + WINDOW]) for i in range(len(own))]
-    peak = max(range(len(sums)), key=lambda i: (sums[i], own[i], -i))
-    if not sums[peak]:
+    own = [0 if links > MAX_LINK_SHARE * len(text) else len(text) for text, links, _ in lines]
+    runs, sums = stretches(own)
+    if not runs:
         return ""
-    # surge: going back from the peak, the first line beyond which the windows hold next to nothing; dive: onward
-    least = SURGE_SHARE * min(sums[peak], (2 * WINDOW - 1) * FULL_LINE)
-    # a window that the page's ends cut short needs as much less
-    width = [min(i, WINDOW - 1) + min(len(own) - 1 - i, WINDOW - 1) + 1 for i in range(len(own))]
-    dense = [n > 0 and total * (2 * WINDOW - 1) > least * k for n, total, k in zip(own, sums, width)]
-    surge, dive = _end(lines, own, dense, peak, -1), _end(lines, own, dense, peak, 1)
-    # elements that the range meets, and their siblings, as far as they have text outside of links
-    met = {article for _, _, article, _ in lines[surge : dive + 1] if article}
-    whole = met | {article for (_, _, article, _), n in zip(lines, own) if n and any(article * m > 0 for m in (min(met, default=0), max(met, default=0)))}
-    near = range(max(0, peak - WINDOW + 1), min(len(own), peak + WINDOW))
-    clipped = 2 * sum(own[i] for i in near if lines[i][2]) > sums[peak]
-    return "\n".join(text for i, (text, _, article, _) in enumerate(lines) if article in whole or not clipped and surge <= i <= dive)
+    least = SURGE_SHARE * min(max(sums), WINDOW * FULL_LINE)
+    dense = [run for run in runs if max(sums[run[0] : run[1]]) >= least]
+    peak = max(range(len(dense)), key=lambda k: (sum(own[slice(*dense[k])]), -k))
+    dense = dense[_reached(lines, own, dense, peak, -1) : _reached(lines, own, dense, peak, 1) + 1]
+    element = [e for _, _, e in lines]
+    # ties: elements that the dense stretches meet and their siblings, if most of the text is in them
+    met = {element[i] for run in dense for i in range(*run) if own[i]} - {0}
+    if met and 2 * sum(own[i] for run in dense for i in range(*run) if element[i]) > sum(own[i] for run in dense for i in range(*run)):
+        dense = [run for run in dense if any(element[i] for i in range(*run))]
+        met |= {e for e, n in zip(element, own) if n and e * max(met) > 0 or n and e * min(met) > 0}
+        (surge, _), (_, dive) = dense[0], dense[-1]
+        while surge < dive and not element[surge] and own[surge] < least:
+            surge += 1
+        while surge < dive and not element[dive - 1] and own[dive - 1] < least:
+            dive -= 1
+    else:
+        (surge, _), (_, dive) = dense[0], dense[-1]
+    inside = [i for i, e in enumerate(element) if e in met]
+    surge, dive = min([surge, *inside[:1]]), max([dive, *[i + 1 for i in inside[-1:]]])
+    return "\n".join(text for text, _, _ in lines[surge:dive] if text)
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
