@@ -148,16 +148,25 @@ def test_links_lose_no_component(spark, large, monkeypatch):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, by_root.values()))
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.integers(1, 40), st.integers(1, 6), min_size=1, max_size=8), st.integers(0, 600), st.sampled_from([5, 64, 4096]))
-def test_counts_fit_the_budget(histogram, budget, exact):
-    lengths, counts = np.array(list(histogram), np.int64), np.array(list(histogram.values()), np.int64)
-    take = mixing.fit_counts(lengths, counts, budget, exact)
-    taken, total = int((take * lengths).sum()), int((counts * lengths).sum())
-    assert (take >= 0).all() and (take <= counts).all() and taken <= max(budget, 0)
-    if budget >= total:
-        assert taken == total
-    assert budget - taken <= 40 or taken == total
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.one_of(st.integers(1, 40), st.integers(30_000, 90_000)), st.integers(1, 3), min_size=1, max_size=6), st.floats(-0.1, 1.2))
+def test_fit_counts_is_exact(counted, part):
+    lengths, counts = np.array(list(counted), np.int64), np.array(list(counted.values()), np.int64)
+    budget = int(part * (lengths * counts).sum())
+    take = mixing.fit_counts(lengths, counts, budget)
+    sums = {0}
+    for n, c in counted.items():
+        sums = {s + k * n for s in sums for k in range(c + 1)}
+    assert (take >= 0).all() and (take <= counts).all()
+    assert int((take * lengths).sum()) == max((s for s in sums if s <= budget), default=0)
+
+
+def test_fit_counts_gives_back():
+    assert (mixing.fit_counts(np.array([40_000, 50_000, 70_000]), np.array([1, 1, 1]), 90_000) * [40_000, 50_000, 70_000]).sum() == 90_000
+    # ten million documents of two lengths, where most must be of one length, and many lengths
+    assert (mixing.fit_counts(np.array([2_048, 2_047]), np.array([10**7, 2_000]), 10**9 + 7) * [2_048, 2_047]).sum() == 10**9 + 7
+    lengths = np.arange(1, 20_001, 7)
+    assert (mixing.fit_counts(lengths, np.full(len(lengths), 5), 50_000_001) * lengths).sum() == 50_000_001
 
 
 def brute_targets(sizes, share=1.5, most=2.0):
@@ -197,6 +206,10 @@ def test_mixing(spark, small):
     assert sorted(map(tuple, found)) == sorted(map(tuple, mixing.mix(frame.repartition(3)).collect()))
     copies = Counter(r.doc_id for r in mixing.repeat_to_mix(frame).collect())
     assert copies == Counter({r.doc_id: r.copies for r in found if r.copies})
+    # rows that repeat an id are each taken by their own length
+    again = frame.withColumn("doc_id", frame.doc_id % 5)
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert sum(words(r.text) for r in mixing.repeat_to_mix(again).collect()) == sum(r.taken for r in mixing.mix(again).collect())
 
 
 def test_mixing_splits_a_large_group(spark):
