@@ -148,6 +148,42 @@ def test_links_lose_no_component(spark, large, monkeypatch):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, by_root.values()))
 
 
+def test_links_of_a_shared_segment(spark, monkeypatch):
+    """Entries with a third of all fingerprints, one bit beside them, dense and sparse: all links of brute force."""
+    monkeypatch.setattr(simhash, "LARGE_ENTRY", 200)
+    draw = np.random.default_rng(5)
+    shared = np.uint64(0x0F0F1234)
+    other = np.unique(np.concatenate([draw.integers(0, 2**32, 1_500), 0xABCD0000 + draw.choice(2**16, 900, replace=False)]).astype(np.uint64))
+    beside = shared ^ (np.uint64(1) << draw.integers(0, 32, 400).astype(np.uint64))
+    prints = np.unique(np.concatenate([other << np.uint64(32) | shared, other[:800] | shared << np.uint64(32), draw.choice(other, 400) << np.uint64(32) | beside, draw.integers(0, 2**63, 500).astype(np.uint64)]))
+    near, root = np.bitwise_count(prints[:, None] ^ prints) <= 3, brute_roots(prints)
+    frame = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fingerprint bigint")
+    for large in (200, 10**9):
+        monkeypatch.setattr(simhash, "LARGE_ENTRY", large)
+        links = simhash.near_links(frame).collect()
+        forest, at = simhash.Forest(), {int(p): i for i, p in enumerate(prints.view(np.int64))}
+        for r in links:
+            assert near[at[r.a], at[r.b]]
+            forest.join(at[r.a], at[r.b])
+        assert [forest.root(i) for i in range(len(prints))] == root.tolist()
+    for compared in (1, 1 << 22):
+        monkeypatch.setattr(simhash, "MAX_COMPARED", compared)
+        dense = (np.uint64(0xABCD0000) + draw.choice(2**16, 900, replace=False).astype(np.uint64)) << np.uint64(32) | shared
+        forest = simhash.Forest()
+        for a, b in simhash.entry_links(dense, dense[:0], 3, 32):
+            forest.join(a, b)
+        assert len({forest.root(int(p)) for p in dense}) == len(set(brute_roots(dense).tolist()))
+
+
+def brute_roots(prints):
+    near, root = np.bitwise_count(prints[:, None] ^ prints) <= 3, np.arange(len(prints))
+    while True:
+        now = np.array([root[row].min() for row in near])
+        if (now == root).all():
+            return root
+        root = now
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.dictionaries(st.one_of(st.integers(1, 40), st.integers(30_000, 90_000)), st.integers(1, 3), min_size=1, max_size=6), st.floats(-0.1, 1.2))
 def test_fit_counts_is_exact(counted, part):
