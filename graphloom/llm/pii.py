@@ -2,10 +2,12 @@
 
 Base spans are fixed by their patterns and checks and always stay. Beyond them, generators of high recall propose
 spans that loosen a kind's format, overlapping ones of a kind too: from each group of digits, every end at a group's
-end that gives a number of digits the kind may have. Boosted trees are trained on a bounded, seeded sample of the corpus: its base
-spans, written in looser formats and beside other numbers, are positive, and candidates that overlap no base span, with base spans spoilt so
-that their checks fail, are negative. A kind's threshold is the least at which held-out candidates reach the
-precision asked for, of those that overlap only the likeliest counted. Of the selected spans that overlap, the likeliest stays.
+end that gives a number of digits the kind may have. Boosted trees are trained on a bounded, seeded sample of the corpus,
+drawn by kind and by whether a candidate is a base span: base spans, written in looser formats and beside other numbers,
+are positive; candidates that overlap no base span, with base spans spoilt so that their checks fail, are negative, but
+those that look like personal data by their format are left out. Chances are calibrated by isotonic regression on folds
+that did not train, for each kind, and a candidate is selected from a calibrated chance of ``PRECISION`` on. Of the selected
+spans that overlap, the likeliest stays.
 """
 
 from __future__ import annotations
@@ -20,14 +22,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
 from .common import checkpointed, column, drawn, id_and_text, texts
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
-#: Bound of the sample that trains, in candidates; characters of context; precision that a threshold must reach.
-MAX_TRAINING, CONTEXT, PRECISION = 3_000, 24, 0.99
+#: Bound of the sample that trains, in base spans and in other candidates of each kind; characters of context; calibrated
+#: chance from which a span is selected; folds; positives below which a kind is calibrated with all others.
+MAX_TRAINING, CONTEXT, PRECISION, FOLDS, MIN_POSITIVES = 400, 24, 0.9, 4, 20
+#: Characters that an address may have (64, @ and 255); longer strings are no loose addresses and don't teach.
+MAX_SPAN = 320
 
 #: The base patterns. Those of ip and email are written so that long runs of digits or letters are read
 #: once: a match can only start where a run of digits does, and an email is what stands around its @ sign.
@@ -37,9 +43,8 @@ BASE = {
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 _LOCAL, _HOST = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"), re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_AT, _DOT = r"(?:\s*@\s*|\s*[\[({]\s*at\s*[\])}]\s*|\s+at\s+)", r"(?:\s*[\[({]\s*dot\s*[\])}]\s*|\s+dot\s+|\.)"
+_DOT = r"(?:\s{0,2}[\[({]\s{0,2}dot\s{0,2}[\])}]\s{0,2}|\s{1,2}dot\s{1,2}|\.)"
 _LOOSE = {
-    "email": re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I),
     "ip": re.compile(r"[0-9]{1,3}(?:\s?[.,_]\s?[0-9]{1,3}|\s?[\[(]\.[\])]\s?[0-9]{1,3}){3}"),
     "card": re.compile(r"[0-9](?:[\s./_-]{0,2}[0-9]){12,18}"),
     "phone": re.compile(r"(?:\+\s?|\b00)?\(?[0-9][0-9]{0,3}\)?(?:[\s./-]{0,2}\(?[0-9]{2,4}\)?){2,5}"),
@@ -48,8 +53,9 @@ _LOOSE = {
 _GROUP, _BETWEEN = re.compile("[0-9]+"), {"card": re.compile(r"[\s./_-]{1,2}"), "phone": re.compile(r"\)?[\s./-]{0,2}\(?")}
 _BOUNDS = {"card": (13, 19, 19), "phone": (7, 15, 6)}
 _PLUS, _BESIDE = re.compile(r"(?:\+\s?)?\(?\Z"), (re.compile(r"[0-9][\s./_-]{1,2}\Z"), re.compile(r"[\s./_-]{1,2}[0-9]"))
-_FOUR, _MAIL = re.compile(rf"(?<![0-9])(?=({_LOOSE['ip'].pattern})(?![0-9]))"), re.compile(_LOOSE["email"].pattern.replace(")[A-Za-z0-9._%+-]++", ")(?=([A-Za-z0-9._%+-]++", 1) + "))", re.I)
-_LABEL, MAX_SPAN = re.compile(rf"(?<=[A-Za-z0-9-]){_DOT}[A-Za-z0-9-]+", re.I), 120
+_FOUR = re.compile(rf"(?<![0-9])(?=({_LOOSE['ip'].pattern})(?![0-9]))")
+#: What stands for an @ sign, and a host's labels after it.
+_SIGN, _HOST_START, _LABEL = re.compile(r"@|[\[({]\s{0,2}at\s{0,2}[\])}]|(?<=\s)at(?=\s)", re.I), re.compile(r"\s{0,2}([A-Za-z0-9-]+)"), re.compile(rf"{_DOT}[A-Za-z0-9-]+", re.I)
 _CUES = {
     "email": re.compile(r"mail|contact|write|address", re.I),
     "ip": re.compile(r"\bip\b|address|host|server", re.I),
@@ -57,7 +63,6 @@ _CUES = {
     "phone": re.compile(r"phone|tel|call|mobile|fax|contact", re.I),
 }
 _OTHER = re.compile(r"token|version|password|key|id\s*[:=]|order|page|isbn|licen[cs]e|released|section", re.I)
-_NEEDS = re.compile(r"[0-9@]|[\[({]\s*at\s*[\])}]|\sat\s[^.\n]{1,80}\sdot\s", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -130,6 +135,22 @@ def _grouped(text: str) -> Iterator[Span]:
                     yield kind, start, end + closes
 
 
+def _addresses(text: str) -> Iterator[Span]:
+    """Around each sign for an @: the letters before, and a host of two labels or more to each of its ends."""
+    for sign in _SIGN.finditer(text):
+        end = sign.start()
+        while end > 0 and sign.start() - end < 2 and text[end - 1].isspace():
+            end -= 1
+        start = end
+        while start > 0 and end - start < 64 and text[start - 1] in _LOCAL:
+            start -= 1
+        host = _HOST_START.match(text, sign.end()) if start < end else None
+        at = host.end() if host else 0
+        while host and at - start <= MAX_SPAN and (label := _LABEL.match(text, at)):
+            at = label.end()
+            yield "email", start, at
+
+
 def candidates(text: str) -> list[Span]:
     """Spans that the generators propose, whatever they overlap: also one another within a kind."""
     found: dict[Span, None] = {}
@@ -137,16 +158,22 @@ def candidates(text: str) -> list[Span]:
         found.update(dict.fromkeys((kind, m.start(), m.end()) for kind in KINDS[1:] for m in _LOOSE[kind].finditer(text)))
         found.update(dict.fromkeys(("ip", *m.span(1)) for m in _FOUR.finditer(text)))
         found.update(dict.fromkeys(_grouped(text)))
-    if "@" in text or _NEEDS.search(text):
-        for m in _MAIL.finditer(text):
-            start, end = m.span(1)
-            found["email", start, end] = None
-            for label in list(_LABEL.finditer(text, text.find("@", start, end) + 1 or start, min(end, start + MAX_SPAN)))[:-1]:
-                if _LOOSE["email"].fullmatch(text, start, label.end()):
-                    found["email", start, label.end()] = None
+    found.update(dict.fromkeys(_addresses(text)))
     return list(found)
 
 
+def likely(kind: str, before: str, body: str) -> bool:
+    """Whether a candidate looks like personal data by its format alone, so that it can't teach what is none."""
+    digits = _digits(body)
+    if kind == "email":
+        return "@" in body or bool(re.search(r"[\[({]\s*(?:at|dot)", body, re.I))
+    if kind == "ip":
+        return "," not in body and all(int(g) <= 255 for g in re.findall("[0-9]+", body))
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    return 9 <= len(digits) <= 15 and (body[0] in "+(" or bool(_CUES[kind].search(before)))
+
+
 def features(text: str, span: Span) -> list[float]:
     """Format of the span and its context."""
     kind, start, end = span
@@ -219,7 +246,8 @@ def _spoilt(kind: str, body: str, draw: random.Random) -> str:
     """A string of nearly the format of a kind that fails its checks."""
     number = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
     if kind == "email":
-        return draw.choice(["{} at {}", "{} @ {}", "@{} {}"]).format(body.partition("@")[0][:6], "the")
+        name, _, host = body.partition("@")
+        return draw.choice(["{0} at the", "{0} @ the", "@{0} the", "{1} at {2}"]).format(name[:6], re.sub("[^a-z]", "", name) or "look", host)
     if kind == "ip":
         return draw.choice([f"{draw.randrange(1, 20)}.{draw.randrange(30)}.{draw.randrange(300, 999)}.{draw.randrange(300, 999)}", f"{number(3)}, {number(3)}, {number(3)}, {number(3)}", "1, 2, 3, 4"])
     if kind == "card":
@@ -231,20 +259,38 @@ def _spoilt(kind: str, body: str, draw: random.Random) -> str:
 
 @dataclass
 class SpanModel:
+    """Trees, and for each kind that could be learnt the knots that turn their output into calibrated chances."""
+
     trees: BoostedTrees
-    thresholds: dict[str, float]
+    knots: dict[str, tuple[np.ndarray, np.ndarray]]
+
+    def chances(self, text: str, spans: list[Span]) -> np.ndarray:
+        raw = self.trees.chance(np.array([features(text, c) for c in spans]))
+        return np.array([np.interp(p, *self.knots[c[0]]) for p, c in zip(raw.tolist(), spans)])
 
     def select(self, text: str, base: list[Span]) -> list[Span]:
         """Selected candidates that overlap neither a base span nor a likelier one."""
-        free = [c for c in _free(text, base) if c[0] in self.thresholds] if self.thresholds else []
+        free = [c for c in _free(text, base) if c[0] in self.knots] if self.knots else []
         if not free:
             return []
-        chance = self.trees.chance(np.array([features(text, c) for c in free]))
-        good = [i for i, c in enumerate(free) if chance[i] >= self.thresholds[c[0]]]
+        chance = self.chances(text, free)
+        good = np.flatnonzero(chance >= PRECISION).tolist()
         free = [free[i] for i in good]
         return [free[i] for i in _likeliest(chance[good], free)]
 
 
+def _isotonic(chance: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the rising step-wise fit of labels, with one negative more than there are."""
+    order = np.argsort(chance, kind="stable")
+    pools = [[0.0, 1.0, 0.0]]  # sum of chances, number, positives
+    for p, y in zip(chance[order].tolist(), label[order].tolist()):
+        pools.append([p, 1.0, y])
+        while len(pools) > 1 and pools[-2][2] * pools[-1][1] >= pools[-1][2] * pools[-2][1]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
+    return np.array([p[0] / p[1] for p in pools]), np.array([p[2] / p[1] for p in pools])
+
+
 def train(sample: list[tuple[str, str, str, str, bool]], seed: int = 3) -> SpanModel:
     """A model from (kind, before, body, after, is base span) of sampled candidates."""
     draw = random.Random(seed)
@@ -254,8 +300,10 @@ def train(sample: list[tuple[str, str, str, str, bool]], seed: int = 3) -> SpanM
         text = before + body + after
         own = (kind, len(before), len(before) + len(body))
         near = [span for span in candidates(text) if span[1] < own[2] and own[1] < span[2]]
-        # a span that would be a base span if it stood alone is no negative
-        found = [(features(text, span), int(label and span == own), span) for span in near if label and span == own or not _alone(span[0], text[span[1] : span[2]])]
+        # a span that would be a base span if it stood alone is no negative, nor one that looks like one beside none known
+        body_of = lambda span: text[span[1] : span[2]]
+        doubtful = lambda span: _alone(span[0], body_of(span)) or not label and span != own and likely(span[0], text[: span[1]], body_of(span))
+        found = [(features(text, span), int(label and span == own), span) for span in near if label and span == own or not doubtful(span)]
         if found:
             rows.append(found)
 
@@ -271,37 +319,40 @@ def train(sample: list[tuple[str, str, str, str, bool]], seed: int = 3) -> SpanM
                     if kind == "phone" and draw.random() < 0.5:
                         number = ".".join(str(draw.randrange(1, 256)) for _ in range(4))
                     add(kind, *((before + number + " ", crowded, after) if left else (before, crowded, " " + number + after)), 1)
-        else:
+        elif not likely(kind, before, body):
             add(kind, before, body, after, 0)
     if len({label for found in rows for _, label, _ in found}) < 2:
         return SpanModel(BoostedTrees(), {})
     draw.shuffle(rows)
-    cut = len(rows) * 3 // 4
-    fitted = [r for found in rows[:cut] for r in found]
-    trees, thresholds = BoostedTrees().fit(np.array([r[0] for r in fitted]), np.array([r[1] for r in fitted], float)), {}
+    fit = lambda some: BoostedTrees().fit(np.array([r[0] for found in some for r in found]), np.array([r[1] for found in some for r in found], float))
     held: dict[str, list[tuple[float, int]]] = {kind: [] for kind in KINDS}
-    for found in rows[cut:]:
-        chances = trees.chance(np.array([r[0] for r in found]))
-        for i in _likeliest(chances, [r[2] for r in found]):
-            held[found[i][2][0]].append((float(chances[i]), found[i][1]))
+    for fold in range(FOLDS):
+        trees = fit([found for i, found in enumerate(rows) if i % FOLDS != fold])
+        for found in rows[fold::FOLDS]:
+            chances = trees.chance(np.array([r[0] for r in found]))
+            for i in _likeliest(chances, [r[2] for r in found]):
+                held[found[i][2][0]].append((float(chances[i]), found[i][1]))
+    knots, everything = {}, [pair for pairs in held.values() for pair in pairs]
     for kind, pairs in held.items():
-        p, label = np.array([c for c, _ in pairs]), np.array([y for _, y in pairs], float)
-        order = np.argsort(-p, kind="stable")
-        precision = np.cumsum(label[order]) / np.arange(1, len(order) + 1)
-        good = np.flatnonzero((precision >= PRECISION) & (np.r_[p[order][1:], -1.0] < p[order])) if len(p) else []
-        if len(good) and label.sum() >= 20:
-            thresholds[kind] = max(0.5, float(p[order][good[-1]]))
-    return SpanModel(trees, thresholds)
+        positives = sum(y for _, y in pairs)
+        if positives:
+            some = pairs if positives >= MIN_POSITIVES else everything
+            knots[kind] = _isotonic(np.array([c for c, _ in some]), np.array([y for _, y in some], float))
+    return SpanModel(fit(rows), knots)
 
 
 def fit_spans(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> SpanModel:
-    """Train on the ``MAX_TRAINING`` candidates of the smallest seeded hash, over all documents; only they reach the driver."""
+    """Train on candidates of the smallest seeded hash, over all documents; only they reach the driver.
+
+    At most ``MAX_TRAINING`` base spans and as many other candidates of each kind are drawn. A kind without a base span
+    in the corpus can't be learnt, and none of its spans is added.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(column(batch, "doc_id").to_pylist(), texts(batch)):
-                if not text or not _NEEDS.search(text):
+                if not text:
                     continue
                 base = base_spans(text)
                 spans = [(s, True) for s in base] + [(c, False) for c in _free(text, base)]
@@ -314,7 +365,11 @@ def fit_spans(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["draw", "kind", "before", "body", "after", "is_base"])
 
     rows = checkpointed(id_and_text(docs, id_col, text_col).mapInArrow(work, "draw bigint, kind string, before string, body string, after string, is_base boolean"))
-    sample = drawn(rows, "draw", MAX_TRAINING, rows.count(), 0, 2**56 - 1).collect()
+    counts = {(r["kind"], r["is_base"]): r["count"] for r in rows.groupBy("kind", "is_base").count().collect()}
+    sample = []
+    for (kind, is_base), n in sorted(counts.items()):
+        some = rows.where((F.col("kind") == kind) & (F.col("is_base") == is_base))
+        sample += drawn(some, "draw", MAX_TRAINING, n, 0, 2**56 - 1).collect()
     return train([tuple(r)[1:] for r in sample])
 
 
@@ -339,7 +394,7 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             for text in texts(batch):
                 base: list[Span] = []
                 more: list[Span] = []
-                if text and _NEEDS.search(text):
+                if text:
                     base = base_spans(text)
                     more = model.select(text, base)
                 for i, kind in enumerate(KINDS):
