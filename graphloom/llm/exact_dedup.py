@@ -1,26 +1,32 @@
 """Exact duplicates by Patricia tries over length-and-content-hash partitions.
 
 A task first puts the texts it reads into tries of its own, so that of many local copies only one representative
-with its counts is shuffled. Representatives then meet by (length, content hash) and are read in that order, so
+with its counts is shuffled; where they outgrow memory, the largest subtrees are emitted and begun anew. Each row
+is told its terminal node. Representatives then meet by (length, content hash) and are read in that order, so
 the subtree of one (length, hash) prefix is complete as soon as the next prefix begins: it is emitted and dropped.
-Spark's sort keeps the rest on disk, so a task never holds more than one subtree.
+Spark's sort keeps the rest on disk, so a task never holds more than one subtree. A terminal of the merged tries holds
+the owner and the numbers of the tasks' terminals that meet there, by which the rows find their owner.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, column, id_and_text, map_batches, numbered, texts
+from .common import ASCII_SPACE, column, id_and_text, numbered, texts, written
 
 #: Bytes of keys, and of rows read, that a task's own tries stand for before they are emitted and emptied.
 LOCAL_BYTES, LOCAL_ROW_BYTES = 64_000_000, 256_000_000
+#: What a row of a subtree counts for beside its string.
+ROW_BYTES = 200
 #: Tries of a task, by length and content hash.
 LOCAL_TRIES = 1024
 
@@ -179,39 +185,119 @@ def distinct_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*schema.names, "_group_size", "_length", "_hash"])
 
     one_of_each = df.mapInArrow(local, extended)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = one_of_each.repartition(parts, "_length", "_hash").sortWithinPartitions("_length", "_hash")
+    met = one_of_each.repartition("_length", "_hash").sortWithinPartitions("_length", "_hash")
     return met.mapInArrow(merge, extended)
 
 
+class _Subtree:
+    """A trie of one task with the rows it has read: (id, value of the terminal, code points)."""
+
+    __slots__ = ("trie", "rows", "held")
+
+    def __init__(self) -> None:
+        self.trie, self.rows, self.held = PatriciaTrie(), [], 0
+
+    def add(self, key: bytes, points: int, doc_id: int | None, number: Iterator[int]) -> int:
+        """Put a row in; the bytes held more. A value is [points, id, rows, row that stays, key, number of the terminal, digest]."""
+        node, more = self.trie.terminal(key), ROW_BYTES
+        if node[2] is None:
+            node[2] = [points, doc_id, 0, len(self.rows), key, next(number), hashlib.sha256(key).hexdigest()]
+            more += 2 * len(key)
+        elif _better(points, doc_id, node[2]):
+            node[2][:2], node[2][3] = (points, doc_id), len(self.rows)
+        node[2][2] += 1
+        self.rows.append((doc_id, node[2], points))
+        self.held += more
+        return more
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """A row for each row read; that which stays of a terminal carries its string."""
+        for at in range(0, len(self.rows), 10_000):
+            rows = self.rows[at : at + 10_000]
+            stays = [value[3] == at + i for i, (_, value, _) in enumerate(rows)]
+            columns = [
+                pa.array([r[0] for r in rows], pa.int64()), pa.array([v[5] for _, v, _ in rows], pa.int64()), pa.array([v[6] for _, v, _ in rows]), pa.array(stays),
+                pa.array([r[2] for r in rows], pa.int64()), pa.array([v[2] for _, v, _ in rows], pa.int64()),
+                pa.array([v[4] if s else None for (_, v, _), s in zip(rows, stays)], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "terminal", "text_sha256", "stays", "points", "size", "key"])
+
+
+def _local_terminals(rows: DataFrame) -> DataFrame:
+    """Each row with its terminal in the tries of its task; terminals are numbered within the partition's range."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, subtrees, held = count(TaskContext.get().partitionId() << 40), {}, 0
+        for batch in batches:
+            points = pc.utf8_length(column(batch, "text")).to_pylist()
+            for n, text, doc_id in zip(points, texts(batch), column(batch, "doc_id").to_pylist()):
+                key = normalised(text)
+                at = (len(key) * 31 ^ xxhash.xxh64_intdigest(key)) % LOCAL_TRIES
+                held += subtrees.setdefault(at, _Subtree()).add(key, n or 0, doc_id, number)
+                if held > LOCAL_BYTES:
+                    # the largest subtrees make room; equal strings that come later meet theirs in the merge
+                    for large in sorted(subtrees, key=lambda k: -subtrees[k].held):
+                        if held <= LOCAL_BYTES // 2:
+                            break
+                        gone = subtrees.pop(large)
+                        held -= gone.held
+                        yield from gone.batches()
+        while subtrees:
+            yield from subtrees.popitem()[1].batches()
+
+    return rows.mapInArrow(work, "doc_id bigint, terminal bigint, text_sha256 string, stays boolean, points bigint, size bigint, key binary")
+
+
+def _owners(terminals: DataFrame) -> DataFrame:
+    """``(terminal, keep_id, owner, group_size)`` for each terminal of a task, from the merged tries."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, prefix = PatriciaTrie(), None
+        for batch in batches:
+            done: list[list] = []
+            rows = zip(*[column(batch, n).to_pylist() for n in ("hash", "key", "points", "doc_id", "size", "terminal")])
+            for content, key, points, doc_id, size, terminal in rows:
+                if (len(key), content) != prefix:
+                    done += trie.terminals()
+                    trie, prefix = PatriciaTrie(), (len(key), content)
+                node = trie.terminal(key)
+                if node[2] is None:
+                    node[2] = [points, doc_id, 0, terminal, []]
+                elif _better(points, doc_id, node[2]):
+                    node[2][:2], node[2][3] = (points, doc_id), terminal
+                node[2][2] += size
+                node[2][4].append(terminal)
+            yield told(done)
+        yield told(list(trie.terminals()))
+
+    def told(values: list[list]) -> pa.RecordBatch:
+        each = [(terminal, v[1], v[3], v[2]) for v in values for terminal in v[4]]
+        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in each], pa.int64()) for i in range(4)], names=["terminal", "keep_id", "owner", "group_size"])
+
+    met = terminals.repartition("length", "hash").sortWithinPartitions("length", "hash")
+    return met.mapInArrow(work, "terminal bigint, keep_id bigint, owner bigint, group_size bigint")
+
+
 def exact_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: ``(doc_id, keep_id, group_size, kept, text_sha256)``.
 
-    Groups and the row that stays are those of ``distinct_texts``. Rows that repeat an id within a group count
-    each; only one of them is kept. Null texts are empty texts and form one group. A null id is kept only if its
-    group has no other row of as many code points.
+    Texts are equal when identical after deleting ASCII white space; null counts as empty. Of equal texts the row with
+    the most code points stays, then the smallest id (null ids last), then any one of fully repeated rows: one row of
+    each group is kept. An empty table gives an empty result; other columns are ignored.
     """
-    rows = id_and_text(df, id_col, text_col)
-
-    def digests(batch: pa.RecordBatch) -> dict:
-        found = [hashlib.sha256(normalised(t)).hexdigest() for t in texts(batch)]
-        return {"doc_id": column(batch, "doc_id"), "text_sha256": found, "n_points": pc.fill_null(pc.cast(pc.utf8_length(column(batch, "text")), pa.int64()), 0)}
-
-    each = map_batches(rows, "doc_id bigint, text_sha256 string, n_points bigint", digests)
-    owners = map_batches(
-        distinct_texts(rows),
-        "keep_id bigint, group_size bigint, text_sha256 string, keep_points bigint",
-        lambda b: {"keep_id": column(b, "doc_id"), "group_size": column(b, "_group_size"), "text_sha256": [hashlib.sha256(normalised(t)).hexdigest() for t in texts(b)], "keep_points": pc.fill_null(pc.cast(pc.utf8_length(column(b, "text")), pa.int64()), 0)},
-    )
-    joined = each.join(owners, "text_sha256")
-    # rows that repeat the id of the row that stays: the first by length stays, the others go
-    turn = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy(F.col("n_points").desc()))
-    return joined.repartition("doc_id", "text_sha256").select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (turn == 1)).alias("kept"), "text_sha256"
+    placed = written(_local_terminals(id_and_text(df, id_col, text_col)))
+    found = placed.where("stays").select("terminal", "key", "points", "doc_id", "size", F.length("key").alias("length"), F.xxhash64("key").alias("hash"))
+    # terminals are as many as a task's distinct strings, so no number is shared by more rows than a task has read
+    return placed.select("doc_id", "terminal", "text_sha256", "stays").join(_owners(found), "terminal").select(
+        "doc_id", "keep_id", "group_size", (F.col("stays") & (F.col("terminal") == F.col("owner"))).alias("kept"), "text_sha256"
     )
 
 
 def keep_one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with its columns; one text shuffle and no join."""
+    """The rows of ``df`` that stay, with its columns; one text shuffle and no join.
+
+    One row of each group stays, as ``exact_duplicates`` keeps it: null and empty texts are one group, of fully repeated
+    rows one stays. An empty table gives an empty result; columns of any name pass through.
+    """
     plain, (doc_id, text) = numbered(df, id_col, text_col)
     return distinct_texts(plain, doc_id, text).select(plain.columns).toDF(*df.columns)
