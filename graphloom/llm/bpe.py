@@ -213,17 +213,26 @@ def encode_documents(df: DataFrame, ranks_path: str, *, pattern: str = BYTE_LEVE
     return map_batches(id_and_text(df, id_col, text_col), "doc_id bigint, ids binary, n_tokens bigint, decoded binary", work, lambda: merger(shared.value).cache.clear())
 
 
-def encoding_digests(df: DataFrame, ranks_path: str, *, pattern: str = BYTE_LEVEL_PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``encode_documents`` with digests in place of ids and bytes: ``(doc_id, n_tokens, ids_sha256, decoded_sha256)``."""
+def encoding_digests(
+    df: DataFrame, ranks_path: str, *, pattern: str = BYTE_LEVEL_PATTERN, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Digests of each whole text's ids and of the bytes they decode to: ``(doc_id, n_tokens, ids_sha256, decoded_sha256)``.
+
+    With ``keep_ids`` a column ``ids`` has the ids, little-endian unsigned 32-bit integers. Null and empty texts have no
+    ids and the digests of the empty string. Repeated rows give repeated results, other columns are ignored, and an empty
+    table gives an empty result. Very long texts and pieces are merged whole.
+    """
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def work(batch: pa.RecordBatch) -> dict:
         encoder = merger(shared.value)
-        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
         for ids in encoder.encode([t or "" for t in texts(batch)], pattern):
             out["n_tokens"].append(len(ids) // 4)
             out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(encoder.decode(ids)).hexdigest())
+            out["ids"].append(ids if keep_ids else b"")
         return {"doc_id": column(batch, "doc_id"), **out}
 
-    return map_batches(id_and_text(df, id_col, text_col), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", work, lambda: merger(shared.value).cache.clear())
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids binary" if keep_ids else "")
+    return map_batches(id_and_text(df, id_col, text_col), schema, work, lambda: merger(shared.value).cache.clear())

@@ -38,6 +38,10 @@ class Counter:
         model = spec["model"]
         if model["type"] != "BPE" or (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel" or spec["normalizer"]:
             raise ValueError("a byte-level BPE tokenizer without a normalizer is needed")
+        odd = [k for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix") if model.get(k)]
+        odd += [k for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip") if t.get(k)] + ["use_regex"] * (spec["pre_tokenizer"].get("use_regex") is False)
+        if odd:
+            raise ValueError(f"not supported: {', '.join(sorted(set(odd)))}")
         self.prefix = " " if spec["pre_tokenizer"]["add_prefix_space"] else ""
         vocab = model["vocab"]
         self.first = [vocab[c] for c in byte_characters()]
@@ -230,7 +234,7 @@ _counters: dict[bytes, Counter] = {}
 
 
 def counter(tokenizer_file: bytes) -> Counter:
-    """The counter of a tokenizer file, built once in each worker."""
+    """The counter of a tokenizer file, built once in each worker; a file with options it doesn't know is refused."""
     key = hashlib.sha256(tokenizer_file).digest()
     if key not in _counters:
         _counters.clear()

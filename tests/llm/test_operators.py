@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import html
+import json
 import math
 import random
 import re
@@ -59,6 +60,29 @@ def test_counts_match_library():
         assert counter.pieces([piece]) == [counter.piece(piece)]
 
 
+def test_counts_of_a_table_match_library(spark, small):
+    library, rows = Tokenizer.from_file(JSON), spark.read.parquet(f"{small}/documents.parquet")
+    text = {r.doc_id: r.text or "" for r in rows.collect()}
+    for r in token_count.count_tokens(rows, JSON).collect():
+        n = len(library.encode(text[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len(text[r.doc_id].encode()), n > 512)
+    for option, value in (("dropout", 0.1), ("ignore_merges", True)):
+        spec = json.load(open(JSON))
+        spec["model"][option] = value
+        with pytest.raises(ValueError):
+            token_count.Counter(json.dumps(spec).encode())
+
+
+def test_ids_of_a_table_match_library(spark, small):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = spark.read.parquet(f"{small}/documents.parquet")
+    text = {r.doc_id: r.text or "" for r in rows.collect()}
+    for r in bpe.encoding_digests(rows, RANKS, pattern=public_tokenizers.PATTERN, keep_ids=True).collect():
+        ids = np.array(library.encode_ordinary(text[r.doc_id]), "<u4").tobytes()
+        assert r.ids == ids and r.ids_sha256 == hashlib.sha256(ids).hexdigest() and r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.binary(max_size=12)))
 def test_trie_groups_equal_strings(keys):
