@@ -27,7 +27,7 @@ from .language_id import learns
 MAX_LABELLED, MAX_EXAMPLES = 6_000, 1_000
 NEIGHBOURS, BLOCK, SHRINK, THRESHOLD = 15, 32, 0.2, 0.3
 #: Documents that each term is given beforehand, so that rare terms weigh little; blocks scored first; postings read at a time.
-BEFOREHAND, FIRST_BLOCKS, MAX_POSTINGS = 20.0, 8, 3_000_000
+BEFOREHAND, FIRST_BLOCKS, MAX_POSTINGS = 20.0, 8, 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
