@@ -179,9 +179,12 @@ def _quotas(sizes: DataFrame, share: float, most: float, weights: tuple[int, ...
 
 def _with_copies(rows: DataFrame, quotas: DataFrame, doc_id: str, source: str, size: str, draw: Column) -> DataFrame:
     """``rows`` with ``q.*`` and ``_copies``: of each bucket the first by hash and id are taken once more."""
-    met = rows.withColumn("_draw", draw).withColumn("_bucket", _bucket(F.col("_draw"))).alias("r")
-    met = met.join(quotas.alias("q"), F.col(f"r.{source}").eqNullSafe(F.col("q.source")) & (F.col(f"r.{size}") == F.col("q.size")) & (F.col("r._bucket") == F.col("q.bucket")))
-    turn = F.row_number().over(Window.partitionBy("q.source", "q.size", "q.bucket").orderBy("r._draw", f"r.{doc_id}"))
+    # join and window share their keys, so rows are shuffled once; a null source has a name of its own
+    name = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c)), F.lit(""))
+    met = rows.withColumn("_draw", draw).withColumn("_bucket", _bucket(F.col("_draw"))).withColumn("_name", name(source)).alias("r")
+    named = quotas.withColumn("name", name("source")).alias("q")
+    met = met.join(named, (F.col("r._name") == F.col("q.name")) & (F.col(f"r.{size}") == F.col("q.size")) & (F.col("r._bucket") == F.col("q.bucket")))
+    turn = F.row_number().over(Window.partitionBy("r._name", f"r.{size}", "r._bucket").orderBy("r._draw", f"r.{doc_id}"))
     return met.withColumn("_copies", (F.col("whole") + (turn <= F.col("quota")).cast("int")).cast("bigint"))
 
 
