@@ -209,3 +209,8 @@ def label_importance(label: Column, kind: Column, top_level: Column, impact: Col
     group = label_category(label)
     by_group = F.when(group == "Desktop Environment", 3.0).when(group.isin("System Services", "Development Tools"), 2.0).when(group.isin("Core Libraries", "Fonts"), -1.0).when(group == "Documentation", -2.0).otherwise(0.0)
     return F.when(top_level, 10.0).otherwise(0.0) + by_type + by_group + F.least(F.abs(impact) / 100.0, F.lit(5.0))
+
+
+def truncated(label: Column, most: int) -> Column:
+    """The label, or its first characters and dots."""
+    return F.when(F.length(label) > most, F.concat(F.left(label, F.lit(most)), F.lit("..."))).otherwise(label)

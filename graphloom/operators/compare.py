@@ -18,7 +18,7 @@ def diffs(left: Graph, right: Graph) -> DataFrame:
     impact = F.coalesce("r_closure", F.lit(0)) - F.coalesce("l_closure", F.lit(0))
     return both.select(
         F.coalesce("l_label", "r_label").alias("label"), F.coalesce("l_type", "r_type").alias("package_type"), kind.alias("diff_type"), "l_id", "r_id", "l_hash", "r_hash",
-        impact.alias("closure_impact"), F.coalesce("l_top", "r_top").alias("is_top_level"),
+        impact.alias("closure_impact"), F.coalesce("l_top", "r_top").alias("is_top_level"), "l_closure", "r_closure", "l_top", "r_top",
     )
 
 
@@ -95,8 +95,11 @@ def version_changes(left: Graph, right: Graph, *, by_name: bool = True) -> DataF
 
 def reverse_paths(graph: Graph, node_id: int, max_depth: int = 10, limit: int = 10) -> DataFrame:
     """Paths from a node up to what nothing needs, the longest first; depth counts nodes."""
+    return _reverse_paths(graph, graph.nodes.where(F.col("id") == node_id).select(F.col("id").alias("seed")), max_depth, limit)
+
+
+def _reverse_paths(graph: Graph, seeds: DataFrame, max_depth: int, limit: int) -> DataFrame:
     steps = upward(graph.deps).withColumn("kind", F.lit(""))
-    seeds = graph.nodes.where(F.col("id") == node_id).select(F.col("id").alias("seed"))
     paths = simple_paths(steps.distinct(), seeds, max_depth - 1).withColumn("head", F.element_at("path", -1))
     heads = graph.edges.select(F.col("source_id").alias("head")).distinct()
     kept = paths.join(heads, "head", "left_anti").select(F.size("path").cast("bigint").alias("n"), F.array_join(F.col("path").cast("array<string>"), "→").alias("path"))
@@ -109,6 +112,15 @@ def package_trace(left: Graph, right: Graph, label: str) -> DataFrame:
     return first(left, "l").crossJoin(first(right, "r")).select(F.lit(label).alias("label"), (F.col("l").isNotNull() & F.col("r").isNotNull()).alias("in_both"), F.coalesce(F.col("l") == F.col("r"), F.lit(False)).alias("same_hash"))
 
 
+def package_trace_paths(left: Graph, right: Graph, label: str, max_depth: int = 10, limit: int = 10) -> DataFrame:
+    """The paths that lead to a package on either side, the longest first; of nodes with one label the smallest id is taken."""
+    sides = []
+    for name, graph in (("left", left), ("right", right)):
+        seeds = graph.nodes.where(F.col("label") == label).agg(F.min("id").alias("seed")).where("seed is not null")
+        sides.append(_reverse_paths(graph, seeds, max_depth, limit).select(F.lit(name).alias("side"), "n", "path"))
+    return sides[0].unionByName(sides[1])
+
+
 def page(found: DataFrame, category: str, offset: int, limit: int) -> DataFrame:
     """A page of a category's differences by label."""
     return categorised(found).where((F.col("category") == category) & (F.col("diff_type") != "same")).orderBy(F.lower("label"), "label", F.coalesce("l_id", "r_id"), "r_id").offset(offset).limit(limit).select("label", "diff_type")
@@ -119,6 +131,18 @@ def csv_rows(found: DataFrame) -> DataFrame:
     return categorised(found).where("diff_type <> 'same'").select("label", "package_type", "category", "diff_type", "l_hash", "r_hash", "closure_impact")
 
 
+def csv_export(found: DataFrame) -> DataFrame:
+    """The full rows of a CSV export, every difference but `same`: versions, hashes, closures and flags of both sides."""
+    version = lambda s: F.when(F.col(f"{s}_id").isNotNull(), F.coalesce(L.version_parts(F.col("label"))[1], F.lit(""))).otherwise("")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    flag = lambda s: F.when(F.col(f"{s}_top"), "true").otherwise("false")
+    return categorised(found).where("diff_type <> 'same'").select(
+        F.col("label").alias("package_label"), "diff_type", "category", text("package_type").alias("package_type"), version("l").alias("left_version"), version("r").alias("right_version"),
+        text("l_hash").alias("left_drv_hash"), text("r_hash").alias("right_drv_hash"), text("l_closure").alias("left_closure_size"), text("r_closure").alias("right_closure_size"),
+        "closure_impact", flag("l").alias("left_is_top_level"), flag("r").alias("right_is_top_level"),
+    )
+
+
 def json_report(found: DataFrame) -> DataFrame:
     """The report as one JSON object per kind of difference."""
     return found.groupBy("diff_type").agg(F.count("*").alias("count"), F.sum("closure_impact").alias("impact")).select("diff_type", F.to_json(F.struct("diff_type", "count", "impact")).alias("json"))

@@ -40,12 +40,9 @@ def unique_share(unique: Column, total: Column) -> Column:
 
 def removal_text(unique: Column, total: Column) -> Column:
     share = unique_share(unique, total)
-    return (
-        F.when(unique == 0, "No unique dependencies - removal has no impact")
-        .when(share > 75, F.format_string("High impact: %d unique packages", unique))
-        .when(share > 25, F.format_string("Moderate impact: %d unique packages", unique))
-        .otherwise(F.format_string("Low impact: %d unique packages", unique))
-    )
+    level = F.when(share > 75, "High").when(share > 25, "Medium").otherwise("Low")
+    text = F.format_string("%s impact - %d unique deps would be removed", level, unique)
+    return F.when(unique == 0, "No unique dependencies - safe to remove").otherwise(text)
 
 
 def summary(found: DataFrame) -> DataFrame:
@@ -130,6 +127,20 @@ def affected_by_change(graph: Graph, change: str, node_id: int | None = None) ->
     return affected_by_node(graph, node_id)
 
 
+def needs_recomputation(computed: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
+    """Whether any contribution was never computed or is older than the threshold."""
+    return stale_ids(computed, as_of, hours).agg((F.count("*") > 0).alias("needs_recomputation"))
+
+
+def recompute_stale(graph: Graph, computed: DataFrame, as_of: str, hours: int = 24, max_nodes: int | None = None) -> DataFrame:
+    """Fresh contributions where they are stale, with the strategy: all of them if over half are stale, else only those."""
+    stale = stale_ids(computed, as_of, hours, max_nodes).select("id", F.lit(True).alias("stale"))
+    counts = computed.agg(F.count("*").alias("n")).crossJoin(stale.agg(F.count("*").alias("n_stale")))
+    full = F.col("n_stale") > 0.5 * F.col("n")
+    rows = contributions(graph).join(stale, "id", "left").crossJoin(F.broadcast(counts))  # one row of counts
+    return rows.where(full | F.col("stale")).withColumn("strategy", F.when(full, "full").otherwise("selective")).drop("stale", "n", "n_stale")
+
+
 def recomputation_cost(top: DataFrame, stale: DataFrame) -> DataFrame:
     """Estimated milliseconds of a full and of an incremental recomputation, what is saved, and which to take."""
     both = top.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.coalesce("closure_size", F.lit(0))), F.lit(0.0)).alias("mean")).crossJoin(stale.agg(F.count("*").alias("stale")))

@@ -57,6 +57,26 @@ def listed(baselines: DataFrame, include_system: bool = True, tags: tuple[str, .
     return rows.orderBy(F.col("created_at").desc(), "baseline_id").limit(limit).select("baseline_id", "name", "node_count")
 
 
+def without_baseline(baselines: DataFrame, baseline_id: int) -> DataFrame:
+    return baselines.where(F.col("baseline_id") != baseline_id)
+
+
+def updated_baseline(baselines: DataFrame, baseline_id: int, updated_at: str, *, name: str | None = None, tags: tuple[str, ...] | None = None) -> DataFrame:
+    """The baselines with the name or tags of one changed, and ``updated_at`` set where anything is."""
+    hit = (F.col("baseline_id") == baseline_id) & F.lit(name is not None or tags is not None)
+    found = baselines.withColumn("updated_at", F.when(hit, F.to_timestamp_ntz(F.lit(updated_at))).otherwise(F.col("created_at")))
+    if name is not None:
+        found = found.withColumn("name", F.when(hit, name).otherwise(F.col("name")))
+    if tags is not None:
+        found = found.withColumn("tags", F.when(hit, F.array(*map(F.lit, tags)).cast("array<string>")).otherwise(F.col("tags")))
+    return found
+
+
+def live_entries(entries: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
+    """Stored results ``(…, computed_at)`` that have not expired; those without a time have."""
+    return entries.where(F.col("computed_at") >= F.to_timestamp_ntz(F.lit(as_of)) - F.make_dt_interval(F.lit(0), F.lit(hours)))
+
+
 def growth(percent: Column) -> Column:
     return F.when(percent < 5, "minimal").when(percent < 15, "moderate").when(percent < 30, "significant").otherwise("excessive")
 

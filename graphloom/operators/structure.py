@@ -87,14 +87,25 @@ def loops(graph: Graph) -> DataFrame:
 
 
 def loop_paths(graph: Graph) -> DataFrame:
-    """For each loop, its size and the length of the shortest cycle through its smallest node."""
+    """For each loop, its size and a shortest cycle through its smallest node, with its length; of equal ones by smallest nodes from its end."""
     found = checkpointed(strong_components(graph.deps))
     own = found.select(F.col("id").alias("src"), F.col("scc_id").alias("a"))
     other = found.select(F.col("id").alias("dst"), F.col("scc_id").alias("b"))
     within = checkpointed(downward(graph.deps).join(own, "src").join(other, "dst").where("a = b").select("src", "dst"))
     heads = found.select(F.col("scc_id").alias("seed")).distinct()
-    back = reach(within, heads).where("seed = id").select(F.col("seed").alias("scc_id"), F.col("depth").alias("cycle_length"))
-    return found.groupBy("scc_id").agg(F.count("*").alias("size")).join(back, "scc_id")
+    depths = checkpointed(reach(within, heads).select(F.col("seed").alias("scc_id"), "id", "depth"))
+    # one node before each, one level nearer to the start; a path for each loop then walks back from the start to itself
+    near = depths.select(F.col("scc_id"), F.col("id").alias("src"), F.col("depth").alias("nearer"))
+    steps = within.join(near, "src").join(depths.withColumnRenamed("id", "dst"), ["scc_id", "dst"]).where("depth = nearer + 1")
+    before = checkpointed(steps.groupBy("scc_id", F.col("dst").alias("head")).agg(F.min("src").alias("before")))
+    paths = depths.where("scc_id = id").select("scc_id", F.col("depth").alias("cycle_length"), F.array("scc_id").alias("path"))
+    longest = paths.agg(F.max("cycle_length")).first()[0] or 0
+    for _ in range(longest - 1):
+        walked = paths.withColumn("head", F.col("path")[0]).join(before, ["scc_id", "head"], "left")
+        more = F.when(F.col("before").isNotNull() & (F.size("path") < F.col("cycle_length")), F.concat(F.array("before"), F.col("path"))).otherwise(F.col("path"))
+        paths = checkpointed(walked.select("scc_id", "cycle_length", more.alias("path")))
+    cycle = F.array_join(F.concat(F.array("scc_id"), F.col("path")).cast("array<string>"), "→")
+    return found.groupBy("scc_id").agg(F.count("*").alias("size")).join(paths.select("scc_id", "cycle_length", cycle.alias("cycle")), "scc_id")
 
 
 def redundant_edges(graph: Graph, max_check: int | None = 1000, max_edges: int = 5) -> DataFrame:

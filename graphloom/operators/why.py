@@ -84,11 +84,19 @@ def removal_impact(graph: Graph, node_id: int, paths: DataFrame) -> DataFrame:
     """How many packages would break, by how much the closure would shrink, and whether removal is safe."""
     state = essentiality(paths)
     shrink = unique_dependencies(graph, node_id).agg((F.count("*") + 1).alias("closure_reduction"))
-    one = state.crossJoin(shrink)
+    # the package that alone is affected is named
+    tops = paths.where("is_runtime").select(F.col("top_id").alias("id")).distinct().join(graph.nodes.select("id", "label"), "id")
+    one = state.crossJoin(shrink).crossJoin(tops.agg(F.min("label").alias("only")))
     safe = F.col("status").isin("orphan", "build_only", "removable")
-    n = F.col("runtime_dependents")
+    n, less = F.col("runtime_dependents"), F.col("closure_reduction")
     level = F.when(safe, "safe").when(n == 0, "low").when(n == 1, "medium").otherwise("high")
-    text = F.when(safe, F.format_string("Safe to remove. Would reduce closure by %d packages.", F.col("closure_reduction"))).when(n == 1, "Would break 1 package.").otherwise(F.format_string("Would break %d packages.", n))
+    text = (
+        F.when(safe & (less > 0), F.format_string("Safe to remove. Would reduce closure by %d packages.", less))
+        .when(safe, "Safe to remove. No closure impact.")
+        .when(n == 1, F.concat(F.lit("Would break "), F.col("only"), F.lit(".")))
+        .when(n > 1, F.format_string("Would break %d packages.", n))
+        .otherwise("Cannot determine impact.")
+    )
     return one.select(n.alias("affected_count"), "closure_reduction", safe.alias("removal_safe"), level.alias("impact_level"), text.alias("summary"))
 
 
@@ -121,17 +129,43 @@ def first_hop_groups(paths: DataFrame) -> DataFrame:
     return paths.where("length > 0").groupBy(F.element_at("path", 2).alias("first_hop")).agg(F.count("*").alias("paths"), F.countDistinct("top_id").alias("top_level_packages"))
 
 
-def summary_text(groups: DataFrame, target: str) -> DataFrame:
-    """A sentence on why the target is needed: the direct group, then the three largest others."""
-    ordered = F.sort_array(F.collect_list(F.struct((-F.col("total_dependents")).alias("n"), F.col("via_label").alias("v"), F.col("shortest").alias("s"), F.col("total_dependents").alias("d"))))
-    one = groups.agg(ordered.alias("g"), F.sum("total_dependents").alias("total"))
+def summary_text(groups: DataFrame, paths: DataFrame, target: str) -> DataFrame:
+    """A sentence on why the target is needed: the direct group, then the three largest others.
+
+    A top-level package counts once, in however many groups it stands.
+    """
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("total_dependents")).alias("n"), F.col("via_label").alias("v"), F.col("shortest").alias("s"), F.col("total_dependents").alias("d"), F.col("top_level_packages").alias("t"))))
+    one = groups.agg(ordered.alias("g")).crossJoin(paths.agg(F.countDistinct("top_id").alias("total")))
     direct = F.filter("g", lambda x: x["s"] <= 1)
     other = F.filter("g", lambda x: x["s"] > 1)
-    first = F.when(F.size(direct) > 0, F.array(F.format_string("directly by %d packages", direct[0]["d"]))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    first = F.when(F.size(direct) == 0, none).when(direct[0]["d"] == 1, F.array(F.concat(F.lit("directly by "), direct[0]["t"]))).otherwise(F.array(F.format_string("directly by %d packages", direct[0]["d"])))
     then = F.transform(F.slice(other, 1, 3), lambda x: F.when(x["d"] == 1, F.concat(F.lit("via "), x["v"])).otherwise(F.format_string("via %s (%d)", x["v"], x["d"])))
-    more = F.when(F.size(other) > 3, F.array(F.format_string("and %d more paths", F.size(other) - 3))).otherwise(F.array().cast("array<string>"))
-    text = F.format_string(f"{target} is needed by %d top-level packages: %s", F.col("total"), F.array_join(F.concat(first, then, more), ", "))
-    return one.select(F.when(F.size("g") == 0, f"{target} is not required by any top-level package").otherwise(text).alias("summary"))
+    more = F.when(F.size(other) > 3, F.array(F.format_string("and %d more paths", F.size(other) - 3))).otherwise(none)
+    needed = F.lit(f"{target} is needed by ")
+    text = F.concat(needed, F.format_string("%d top-level packages: %s", F.col("total"), F.array_join(F.concat(first, then, more), ", ")))
+    missing = f"{target} is not required by any top-level package"
+    return one.select(F.when(F.size("g") == 0, missing).when(F.col("total") == 1, F.concat(needed, F.col("g")[0]["t"])).otherwise(text).alias("summary"))
+
+
+def path_text(labels: Column) -> Column:
+    """Labels of a path with arrows between."""
+    return F.array_join(labels, " -> ")
+
+
+def path_texts(graph: Graph, paths: DataFrame) -> DataFrame:
+    """Each path in labels, from the top-level package down to the target."""
+    each = paths.withColumn("key", F.array_join(F.col("path").cast("array<string>"), "→")).select("key", "top_id", F.posexplode(F.col("path")).alias("place", "id"))
+    named = each.join(graph.nodes.select("id", "label"), "id")
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("place", "label"))), lambda x: x["label"])
+    return named.groupBy("key", "top_id").agg(in_order.alias("labels")).select("top_id", F.col("key").alias("path"), path_text(F.col("labels")).alias("text"))
+
+
+def group_texts(groups: DataFrame, shown: int = 5) -> DataFrame:
+    """The packages of each group in one line, with how many more there are than ``path_groups`` shows."""
+    rest = F.col("total_dependents") - shown
+    more = F.when(rest > 0, F.format_string(" (+%d more)", rest)).otherwise("")
+    return groups.select("via_label", F.concat(F.col("top_level_packages"), more).alias("text"))
 
 
 def attribution_summary(graph: Graph) -> DataFrame:

@@ -201,7 +201,8 @@ SELECT id, drv_hash, build_deps, runtime_deps, coalesce((SELECT string_agg(label
 _add("root_causes", lambda c: structure.root_causes(c.g1, c.label), P + f", v AS (SELECT id FROM {N1} WHERE label = {LABEL}), w(seed, id, d) AS (SELECT id, id, 0 FROM v UNION SELECT seed, dependent, d + 1 FROM w JOIN deps ON dependency = w.id WHERE d < 5), k AS (SELECT DISTINCT seed, label FROM w JOIN nodes USING (id) WHERE d > 0 AND package_type IN ('application', 'service') AND label NOT LIKE '%-unwrapped' AND label NOT LIKE '%-wrapped'), r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY label) AS turn FROM k) SELECT seed AS id, label AS cause FROM r WHERE turn <= 10")
 _add("sankey_direct", lambda c: structure.variant_links(c.g1, c.label), P + f", k AS (SELECT v.id, v.label || ' (' || left(v.drv_hash, 8) || ')' AS source, t.label AS target, count(*) AS links FROM {N1} v JOIN deps ON dependency = v.id JOIN nodes t ON t.id = dependent WHERE v.label = {LABEL} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY links DESC, target) AS turn FROM k) SELECT source, target, sum(links)::BIGINT AS value FROM r WHERE turn <= 10 GROUP BY 1, 2")
 _add("loops", lambda c: structure.loops(c.g3), P + ", c3 AS (SELECT node, dep FROM closure WHERE import_id = 3), m AS (SELECT a.node AS id, a.dep AS other FROM c3 a JOIN c3 b ON a.node = b.dep AND a.dep = b.node) SELECT min(other) AS scc_id, id FROM m GROUP BY id HAVING count(*) > 1")
-_add("loop_paths", lambda c: structure.loop_paths(c.g3), P + ", c3 AS (SELECT node, dep FROM closure WHERE import_id = 3), m AS (SELECT a.node AS id, min(a.dep) AS scc_id, count(*) AS k FROM c3 a JOIN c3 b ON a.node = b.dep AND a.dep = b.node GROUP BY 1 HAVING k > 1) SELECT scc_id, count(*) AS size, 5::BIGINT AS cycle_length FROM m GROUP BY 1")
+_add("loop_paths", lambda c: structure.loop_paths(c.g3), P + """, c3 AS (SELECT node, dep FROM closure WHERE import_id = 3), m AS (SELECT a.node AS id, min(a.dep) AS scc_id, count(*) AS k FROM c3 a JOIN c3 b ON a.node = b.dep AND a.dep = b.node GROUP BY 1 HAVING k > 1), hop AS (SELECT dependent, dependency, x.scc_id FROM deps JOIN m x ON x.id = dependent JOIN m y ON y.id = dependency AND y.scc_id = x.scc_id WHERE deps.import_id = 3), w(scc_id, id, path) AS (SELECT DISTINCT scc_id, scc_id, [scc_id] FROM m UNION ALL SELECT w.scc_id, dependency, list_append(path, dependency) FROM w JOIN hop ON dependent = w.id WHERE NOT list_contains(path, dependency)),
+cyc AS (SELECT w.scc_id, path, row_number() OVER (PARTITION BY w.scc_id ORDER BY len(path), path) AS turn FROM w JOIN hop ON dependent = w.id AND dependency = w.scc_id) SELECT scc_id, size, len(path)::BIGINT AS cycle_length, array_to_string(list_append(path, scc_id), '→') AS cycle FROM cyc JOIN (SELECT scc_id, count(*) AS size FROM m GROUP BY 1) USING (scc_id) WHERE turn = 1""")
 _RED = """, lim AS (SELECT dependent AS a, dependency AS c FROM deps WHERE import_id = 1 ORDER BY 1, 2 {0}), w(a, id, path) AS (SELECT DISTINCT a, a, [a] FROM lim UNION ALL SELECT a, dependency, list_append(path, dependency) FROM w JOIN deps ON dependent = w.id WHERE len(path) <= 5 AND NOT list_contains(path, dependency)),
 b AS (SELECT w.a, w.id AS c, path, row_number() OVER (PARTITION BY w.a, w.id ORDER BY len(path), path) AS turn FROM w JOIN lim ON lim.a = w.a AND lim.c = w.id WHERE len(path) > 2)"""
 _add("redundant_links", lambda c: structure.redundant_edges(c.g1), P + _RED.format("LIMIT 1000") + " SELECT a AS dependent, c AS dependency, len(path) - 1 AS bypass_length, array_to_string(path, '→') AS bypass FROM b WHERE turn = 1")
@@ -211,7 +212,8 @@ _add("mark_redundant", lambda c: structure.marked_redundant(c.g1).where("is_redu
 # comparison
 _DIFF = """, l AS (SELECT * FROM n WHERE import_id = 1), r AS (SELECT * FROM n WHERE import_id = 2), diff AS (
   SELECT coalesce(l.label, r.label) AS label, coalesce(l.package_type, r.package_type) AS package_type, CASE WHEN l.id IS NULL THEN 'only_right' WHEN r.id IS NULL THEN 'only_left' WHEN l.drv_hash = r.drv_hash THEN 'same' ELSE 'different' END AS diff_type,
-    l.id AS l_id, r.id AS r_id, l.drv_hash AS l_hash, r.drv_hash AS r_hash, coalesce(r.closure_size, 0) - coalesce(l.closure_size, 0) AS closure_impact, coalesce(l.is_top_level, r.is_top_level) AS is_top_level FROM l FULL JOIN r ON l.label = r.label)"""
+    l.id AS l_id, r.id AS r_id, l.drv_hash AS l_hash, r.drv_hash AS r_hash, coalesce(r.closure_size, 0) - coalesce(l.closure_size, 0) AS closure_impact, coalesce(l.is_top_level, r.is_top_level) AS is_top_level,
+    l.closure_size AS l_closure, r.closure_size AS r_closure, l.is_top_level AS l_top, r.is_top_level AS r_top FROM l FULL JOIN r ON l.label = r.label)"""
 _CAT = S.case("lower(label)", L.CATEGORIES, "CASE package_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.CATEGORY_OF_TYPE.items()) + " ELSE 'Other' END")
 _LCAT = S.case("lower(label)", L.LABEL_CATEGORIES, "'Other'")
 _add("compare_imports", lambda c: c.diffs.select("label", "package_type", "diff_type", "l_id", "r_id", "closure_impact"), P + _DIFF + " SELECT label, package_type, diff_type, l_id, r_id, closure_impact FROM diff")
@@ -265,12 +267,12 @@ _add("version_text", lambda c: text.version_text(compare.version_changes(c.g1, c
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalog_more  # noqa: F401
+    from . import catalog_exports, catalog_more  # noqa: F401
 
     return {name: (lambda build: lambda spark, sf_dir: build(context(spark, sf_dir)))(build) for name, (build, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_more  # noqa: F401
+    from . import catalog_exports, catalog_more  # noqa: F401
 
     return {name: sql for name, (_, sql) in _QUERIES.items() if sql is not None}

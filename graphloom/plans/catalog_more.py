@@ -19,7 +19,7 @@ _add("contribution_summary", lambda c: contribution.summary(c.contributions), P
 _add("contribution_of_node", lambda c: c.contributions.where(F.col("id") == ORDER).select("id", _U, _S, _T), P + f"SELECT id, {_U}, {_S}, {_T} FROM contrib WHERE id = {ORDER}")
 _add("removal_candidates", lambda c: contribution.removal_candidates(c.contributions, 1).select("id", "label", _U, _S), P + f"SELECT id, label, {_U}, {_S} FROM contrib WHERE {_U} <= 1 ORDER BY {_U}, {_S} DESC, label, id LIMIT 20")
 _add("contribution_by_type", lambda c: contribution.by_type(c.contributions), P + f"SELECT package_type, count(*) AS packages, sum({_U})::BIGINT AS unique_sum, sum({_S})::BIGINT AS shared_sum, sum({_T})::BIGINT AS total_sum FROM contrib GROUP BY 1")
-_add("contribution_texts", lambda c: c.contributions.select("id", F.round(contribution.unique_share(F.col(_U), F.col(_T)), 6).alias("percent"), contribution.removal_text(F.col(_U), F.col(_T)).alias("text")), P + f", x AS (SELECT id, {_U} AS u, 100.0::DOUBLE * {_U} / {_T} AS s FROM contrib) SELECT id, round(s, 6) AS percent, CASE WHEN u = 0 THEN 'No unique dependencies - removal has no impact' WHEN s > 75 THEN 'High impact: ' || u || ' unique packages' WHEN s > 25 THEN 'Moderate impact: ' || u || ' unique packages' ELSE 'Low impact: ' || u || ' unique packages' END AS text FROM x")
+_add("contribution_texts", lambda c: c.contributions.select("id", F.round(contribution.unique_share(F.col(_U), F.col(_T)), 6).alias("percent"), contribution.removal_text(F.col(_U), F.col(_T)).alias("text")), P + f", x AS (SELECT id, {_U} AS u, 100.0::DOUBLE * {_U} / {_T} AS s FROM contrib) SELECT id, round(s, 6) AS percent, CASE WHEN u = 0 THEN 'No unique dependencies - safe to remove' ELSE CASE WHEN s > 75 THEN 'High' WHEN s > 25 THEN 'Medium' ELSE 'Low' END || ' impact - ' || u || ' unique deps would be removed' END AS text FROM x")
 _C2 = f", t2 AS (SELECT c.node, c.dep FROM closure c JOIN nodes t ON t.id = c.node AND t.is_top_level WHERE c.import_id = 2), u2 AS (SELECT dep, count(*) AS users FROM t2 GROUP BY 1), contrib2 AS (SELECT label, count(*) FILTER (users = 1) AS {_U}, count(*) AS {_T} FROM t2 JOIN u2 USING (dep) JOIN nodes ON nodes.id = node GROUP BY node, label)"
 _add("contribution_diff", lambda c: contribution.contribution_diff(c.contributions, contribution.named(c.g2, contribution.contributions(c.g2))), P + _C2 + f" SELECT coalesce(l.label, r.label) AS label, coalesce(r.{_U}, 0) - coalesce(l.{_U}, 0) AS unique_diff, coalesce(r.{_T}, 0) - coalesce(l.{_T}, 0) AS total_diff FROM contrib l FULL JOIN contrib2 r ON l.label = r.label")
 
@@ -59,7 +59,7 @@ _add("essentiality_of_part", lambda c: why.essentiality(why.attribution_paths(c.
 _UNIQ = """, own(id, d) AS (SELECT {0}::BIGINT, 0 UNION SELECT dependency, d + 1 FROM own JOIN deps ON dependent = own.id WHERE d < 20), others AS (SELECT id FROM nodes WHERE is_top_level AND import_id = 1 AND id NOT IN (SELECT dependent FROM deps WHERE dependency = {0})),
 taken AS (SELECT id FROM others UNION SELECT dep FROM closure WHERE node IN (SELECT id FROM others)), uniq AS (SELECT DISTINCT id FROM own WHERE d > 0 AND id NOT IN (SELECT id FROM taken))"""
 _add("unique_dependencies", lambda c: why.unique_dependencies(c.g1, PART), P + _UNIQ.format(PART) + " SELECT id, label FROM uniq JOIN nodes USING (id) ORDER BY label, id LIMIT 50")
-_add("removal_impact", lambda c: why.removal_impact(c.g1, SUPPLIER, c.paths), _PS + _ESS + _UNIQ.format(SUPPLIER) + ", z AS (SELECT *, status IN ('orphan', 'build_only', 'removable') AS safe, (SELECT least(count(*), 50) + 1 FROM uniq) AS r FROM ess) SELECT runtime_dependents AS affected_count, r AS closure_reduction, safe AS removal_safe, CASE WHEN safe THEN 'safe' WHEN runtime_dependents = 0 THEN 'low' WHEN runtime_dependents = 1 THEN 'medium' ELSE 'high' END AS impact_level, CASE WHEN safe THEN 'Safe to remove. Would reduce closure by ' || r || ' packages.' WHEN runtime_dependents = 1 THEN 'Would break 1 package.' ELSE 'Would break ' || runtime_dependents || ' packages.' END AS summary FROM z")
+_add("removal_impact", lambda c: why.removal_impact(c.g1, SUPPLIER, c.paths), _PS + _ESS + _UNIQ.format(SUPPLIER) + ", z AS (SELECT *, status IN ('orphan', 'build_only', 'removable') AS safe, (SELECT least(count(*), 50) + 1 FROM uniq) AS r FROM ess) SELECT runtime_dependents AS affected_count, r AS closure_reduction, safe AS removal_safe, CASE WHEN safe THEN 'safe' WHEN runtime_dependents = 0 THEN 'low' WHEN runtime_dependents = 1 THEN 'medium' ELSE 'high' END AS impact_level, CASE WHEN safe THEN 'Safe to remove. Would reduce closure by ' || r || ' packages.' WHEN runtime_dependents = 1 THEN 'Would break ' || (SELECT min(label) FROM paths JOIN nodes ON nodes.id = top_id WHERE is_runtime) || '.' WHEN runtime_dependents = 0 THEN 'Cannot determine impact.' ELSE 'Would break ' || runtime_dependents || ' packages.' END AS summary FROM z")
 _add("top_level_dependents", lambda c: why.top_level_count(c.g1, SUPPLIER), P + ", " + _UP.format(SUPPLIER) + " SELECT count(*) AS top_level_dependents FROM w JOIN nodes USING (id) WHERE is_top_level")
 _GROUPS = """, v AS (SELECT CASE WHEN length <= 1 THEN path[-1] ELSE path[-2] END AS via, top_id, min(length) AS length, bool_or(is_runtime) AS r FROM paths GROUP BY 1, 2),
 rk AS (SELECT v.*, label AS tl, row_number() OVER (PARTITION BY via ORDER BY lower(label), label, top_id) AS turn FROM v JOIN nodes ON nodes.id = top_id),
@@ -67,7 +67,22 @@ grp AS (SELECT via, count(*) AS total_dependents, min(length) AS shortest, bool_
 _GTOP = "SELECT * FROM gl ORDER BY total_dependents DESC, shortest <= 1 DESC, via_label, via LIMIT 10"
 _add("path_groups", lambda c: why.path_groups(c.g1, c.paths), _PS + _GROUPS + " " + _GTOP)
 _add("first_hop_groups", lambda c: why.first_hop_groups(c.paths), _PS + " SELECT path[2] AS first_hop, count(*) AS paths, count(DISTINCT top_id) AS top_level_packages FROM paths WHERE length > 0 GROUP BY 1")
-_add("attribution_text", lambda c: why.summary_text(why.path_groups(c.g1, c.paths, None), "Supplier-1"), _PS + _GROUPS + ", other AS (SELECT via_label, total_dependents AS d, row_number() OVER (ORDER BY total_dependents DESC, via_label, shortest) AS turn FROM gl WHERE shortest > 1) SELECT CASE WHEN (SELECT count(*) FROM gl) = 0 THEN 'Supplier-1 is not required by any top-level package' ELSE 'Supplier-1 is needed by ' || (SELECT sum(total_dependents)::BIGINT FROM gl) || ' top-level packages: ' || concat_ws(', ', (SELECT 'directly by ' || total_dependents || ' packages' FROM gl WHERE shortest <= 1), (SELECT string_agg(CASE WHEN d = 1 THEN 'via ' || via_label ELSE 'via ' || via_label || ' (' || d || ')' END, ', ' ORDER BY turn) FROM other WHERE turn <= 3), (SELECT CASE WHEN count(*) > 3 THEN 'and ' || (count(*) - 3) || ' more paths' END FROM other)) END AS summary")
+def _text_sql(target: str) -> str:
+    return f""", other AS (SELECT via_label, total_dependents AS d, row_number() OVER (ORDER BY total_dependents DESC, via_label, shortest) AS turn FROM gl WHERE shortest > 1), total AS (SELECT count(DISTINCT top_id) AS n FROM paths)
+SELECT CASE WHEN (SELECT n FROM total) = 0 THEN '{target} is not required by any top-level package' WHEN (SELECT n FROM total) = 1 THEN '{target} is needed by ' || (SELECT min(label) FROM paths JOIN nodes ON nodes.id = top_id)
+ELSE '{target} is needed by ' || (SELECT n FROM total) || ' top-level packages: ' || concat_ws(', ', (SELECT CASE WHEN total_dependents = 1 THEN 'directly by ' || top_level_packages ELSE 'directly by ' || total_dependents || ' packages' END FROM gl WHERE shortest <= 1),
+(SELECT string_agg(CASE WHEN d = 1 THEN 'via ' || via_label ELSE 'via ' || via_label || ' (' || d || ')' END, ', ' ORDER BY turn) FROM other WHERE turn <= 3), (SELECT CASE WHEN count(*) > 3 THEN 'and ' || (count(*) - 3) || ' more paths' END FROM other)) END AS summary"""
+
+
+_add("attribution_text", lambda c: why.summary_text(why.path_groups(c.g1, c.paths, None), c.paths, "Supplier-1"), _PS + _GROUPS + _text_sql("Supplier-1"))
+
+
+def _text_of_part(c: Context):
+    paths = why.attribution_paths(c.g1, PART, max_paths=None)
+    return why.summary_text(why.path_groups(c.g1, paths, None), paths, "the-part")
+
+
+_add("attribution_text_of_part", _text_of_part, P + _PATHS.format(PART) + _GROUPS + _text_sql("the-part"))
 _add("attribution_summary", lambda c: why.attribution_summary(c.g1), P + f"SELECT (SELECT count(*) FROM {N1}) AS nodes, (SELECT count(*) FROM {N1} WHERE is_top_level) AS top_level, count(*) AS edges, count(*) FILTER (dependency_type = 'runtime') AS runtime_edges, count(*) FILTER (dependency_type = 'build') AS build_edges, count(*) FILTER (dependency_type = 'unknown') AS unknown_edges FROM {E1}")
 _add("module_breakdown", lambda c: why.module_breakdown(c.g1, c.paths), _PS + ", k AS (SELECT DISTINCT module_type AS kind, top_level_source, id FROM nodes JOIN paths ON top_id = id) SELECT kind, count(*) AS packages, count(DISTINCT top_level_source) AS sources, list_position(['systemPackages', 'programs', 'services', 'other'], kind)::BIGINT AS place FROM k GROUP BY 1")
 _add("module_attribution", lambda c: c.g1.nodes.where("is_top_level").select("id", "module_type", F.substring_index("top_level_source", ".", 1).alias("short_source")), P + f"SELECT id, module_type, split_part(top_level_source, '.', 1) AS short_source FROM {N1} WHERE is_top_level")

@@ -35,6 +35,9 @@ class Graph:
     def of_import(self, import_id: int) -> Graph:
         return Graph(self.nodes.where(F.col("import_id") == import_id), self.edges.where(F.col("import_id") == import_id))
 
+    def without_import(self, import_id: int) -> Graph:
+        return Graph(self.nodes.where(F.col("import_id") != import_id), self.edges.where(F.col("import_id") != import_id))
+
 
 def from_edges(spark: SparkSession, edges: list[tuple[int, int]], top: tuple[int, ...] = (), convention: str = "A", kinds: dict[tuple[int, int], str] | None = None) -> Graph:
     """A small graph for tests; convention "B" has edges from the dependent to the dependency."""

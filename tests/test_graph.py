@@ -116,3 +116,22 @@ def test_sankey_has_all_variants_and_paths(spark):
     g = replace(g, nodes=g.nodes.withColumn("label", name).withColumn("is_top_level", F.col("id") >= 1000))
     found = {(r.source, r.target): r.value for r in why.sankey(g, "lib").collect()}
     assert found == {(500, 1): 150} | {(1000 + i, 500): 1 for i in range(150)} | {(2000 + i, i): 1 for i in range(2, 13)}
+
+
+def test_sentences_count_each_package_once(spark):
+    """Two top-level packages over two middle nodes; one alone; one that needs the target directly."""
+
+    def said(edges, top, target, label):
+        graph = from_edges(spark, edges, top, "B")
+        paths = why.attribution_paths(graph, target)
+        return why.summary_text(why.path_groups(graph, paths, None), paths, label).first().summary, why.removal_impact(graph, target, paths).first().summary
+
+    assert said([(1, 3), (1, 4), (2, 3), (2, 4), (3, 5), (4, 5)], (1, 2), 5, "n5") == ("n5 is needed by 2 top-level packages: via n3 (2), via n4 (2)", "Would break 2 packages.")
+    assert said([(1, 3), (3, 5)], (1,), 5, "n5") == ("n5 is needed by n1", "Would break n1.")
+    assert said([(1, 5), (2, 3), (3, 5)], (1, 2), 5, "n5")[0] == "n5 is needed by 2 top-level packages: directly by n1, via n3"
+    assert said([(1, 3)], (1,), 9, "n9")[0] == "n9 is not required by any top-level package"
+
+
+def test_a_loop_has_its_cycle(spark):
+    rows = structure.loop_paths(from_edges(spark, [(1, 2), (2, 3), (3, 1), (2, 1), (4, 5), (5, 6), (6, 4), (3, 4)], (), "B")).orderBy("scc_id").collect()
+    assert [(r.scc_id, r["size"], r.cycle_length, r.cycle) for r in rows] == [(1, 3, 2, "1→2→1"), (4, 3, 3, "4→5→6→4")]
