@@ -38,10 +38,19 @@ class Context:
 
     @cached_property
     def g1(self) -> source.Graph:
-        return self.graph.of_import(1)
+        return self.raw.of_import(1)
 
     @cached_property
     def g2(self) -> source.Graph:
+        return self.raw.of_import(2)
+
+    @cached_property
+    def s1(self) -> source.Graph:
+        """Import 1 with depths and closure sizes, which only the queries that read them wait for."""
+        return self.graph.of_import(1)
+
+    @cached_property
+    def s2(self) -> source.Graph:
         return self.graph.of_import(2)
 
     @cached_property
@@ -60,7 +69,7 @@ class Context:
     def computed(self) -> DataFrame:
         """Top-level nodes with times of computation by their id: none for every third, an older one for every second."""
         day = F.when(F.col("id") % 2 == 0, "2024-05-01 00:00:00").otherwise("2024-06-01 12:00:00")
-        return self.g1.nodes.where("is_top_level").select("id", "label", "top_level_source", "closure_size", F.to_timestamp_ntz(F.when(F.col("id") % 3 != 0, day)).alias("computed_at"))
+        return self.s1.nodes.where("is_top_level").select("id", "label", "top_level_source", "closure_size", F.to_timestamp_ntz(F.when(F.col("id") % 3 != 0, day)).alias("computed_at"))
 
     @cached_property
     def label(self) -> str:
@@ -68,7 +77,7 @@ class Context:
 
     @cached_property
     def diffs(self) -> DataFrame:
-        return checkpointed(compare.diffs(self.g1, self.g2))
+        return checkpointed(compare.diffs(self.s1, self.s2))
 
     @cached_property
     def paths(self) -> DataFrame:
@@ -76,9 +85,9 @@ class Context:
 
     @cached_property
     def baselines(self) -> DataFrame:
-        rows = dashboard.baseline(self.g1, 1, "first", system=True, tags=("release", "host"), created_at="2024-01-02 00:00:00")
-        rows = rows.unionByName(dashboard.baseline(self.g2, 2, "second", tags=("host",), created_at="2024-02-02 00:00:00"))
-        return checkpointed(rows.unionByName(dashboard.baseline(self.g2, 3, "third", tags=("test",), created_at="2024-03-02 00:00:00")))
+        rows = dashboard.baseline(self.s1, 1, "first", system=True, tags=("release", "host"), created_at="2024-01-02 00:00:00")
+        rows = rows.unionByName(dashboard.baseline(self.s2, 2, "second", tags=("host",), created_at="2024-02-02 00:00:00"))
+        return checkpointed(rows.unionByName(dashboard.baseline(self.s2, 3, "third", tags=("test",), created_at="2024-03-02 00:00:00")))
 
 
 _contexts: dict[tuple[str, str], Context] = {}
@@ -150,19 +159,19 @@ def _mark(c: Context) -> DataFrame:
 
 
 _add("module_summary", lambda c: importing.module_summary(c.raw), P + "SELECT import_id, count(*) FILTER (module_type = 'systemPackages') AS system_packages, count(*) FILTER (module_type = 'programs') AS programs, count(*) FILTER (module_type = 'services') AS services, count(*) FILTER (module_type = 'other') AS other, count(DISTINCT top_level_source) AS sources FROM nodes WHERE is_top_level GROUP BY 1")
-_add("module_top_sources", lambda c: importing.module_top_sources(c.g1), P + f", r AS (SELECT top_level_source, label, {CL} AS size, row_number() OVER (PARTITION BY top_level_source ORDER BY {BY}) AS place FROM n WHERE import_id = 1 AND is_top_level) SELECT top_level_source, count(*) AS packages, sum(size)::BIGINT AS closure, string_agg(label, ', ' ORDER BY place) FILTER (place <= 5) AS largest FROM r GROUP BY 1 ORDER BY closure DESC, top_level_source LIMIT 10")
+_add("module_top_sources", lambda c: importing.module_top_sources(c.s1), P + f", r AS (SELECT top_level_source, label, {CL} AS size, row_number() OVER (PARTITION BY top_level_source ORDER BY {BY}) AS place FROM n WHERE import_id = 1 AND is_top_level) SELECT top_level_source, count(*) AS packages, sum(size)::BIGINT AS closure, string_agg(label, ', ' ORDER BY place) FILTER (place <= 5) AS largest FROM r GROUP BY 1 ORDER BY closure DESC, top_level_source LIMIT 10")
 _add("top_level_source_map", lambda c: importing.top_level_sources(["a", "b"], {"b": "programs.b", "c": "programs.c"}, {"c": "services.c", "d": "services.d"}, c.spark), "SELECT * FROM (VALUES ('a', 'systemPackages'), ('b', 'programs.b'), ('c', 'services.c'), ('d', 'services.d')) t(package, source)")
 _add("service_packages", lambda c: importing.service_packages(c.spark.createDataFrame([("nginx",), ("mysql",), ("displayManager",), ("libvirtd",)], "service string")), "SELECT * FROM (VALUES ('nginx', 'nginx'), ('mysql', 'mysql'), ('mysql', 'mariadb'), ('libvirtd', 'libvirt'), ('libvirtd', 'qemu')) t(service, package)")
 _add("metadata_summary", lambda c: importing.metadata_summary(c.raw.nodes.where("import_id = 1").select("id", F.concat(F.lit('{"system": "x86", "builder": "'), "label", F.lit('", "outputs": {"out": "o", "dev": "d"}, "inputSrcs": ["a", "b"], "env": {"k": "v"}}')).alias("metadata"))), P + "SELECT id, 'x86' AS system, label AS builder, 'dev,out' AS outputs, 0::BIGINT AS input_drvs, 2::BIGINT AS input_srcs, 1::BIGINT AS env_keys FROM nodes WHERE import_id = 1")
 
 # browsing
-_add("clusters", lambda c: browse.clusters(c.g1), P + f"SELECT package_type, count(*) AS node_count, sum({CL})::BIGINT AS total_closure FROM {N1} GROUP BY 1")
-_add("nodes_by_type", lambda c: browse.nodes_by_type(c.g1, "application"), P + f"SELECT id, label, closure_size FROM {N1} WHERE package_type = 'application' ORDER BY {BY} LIMIT 100")
-_add("node", lambda c: browse.node(c.g1, PART).select("id", "label", "drv_hash", "closure_size"), P + f"SELECT id, label, drv_hash, closure_size FROM n WHERE id = {PART}")
+_add("clusters", lambda c: browse.clusters(c.s1), P + f"SELECT package_type, count(*) AS node_count, sum({CL})::BIGINT AS total_closure FROM {N1} GROUP BY 1")
+_add("nodes_by_type", lambda c: browse.nodes_by_type(c.s1, "application"), P + f"SELECT id, label, closure_size FROM {N1} WHERE package_type = 'application' ORDER BY {BY} LIMIT 100")
+_add("node", lambda c: browse.node(c.s1, PART).select("id", "label", "drv_hash", "closure_size"), P + f"SELECT id, label, drv_hash, closure_size FROM n WHERE id = {PART}")
 _add("node_by_hash", lambda c: c.g1.nodes.join(browse.node(c.g1, PART).select("drv_hash"), "drv_hash", "left_semi").select("id", "label"), P + f"SELECT id, label FROM {N1} WHERE drv_hash = (SELECT drv_hash FROM nodes WHERE id = {PART})")
 _add("neighbours", lambda c: browse.neighbours(c.g1, PART), P + f"SELECT 'dependency' AS direction, dependency AS id, label, dep_type FROM deps JOIN nodes ON nodes.id = dependency WHERE dependent = {PART} UNION ALL SELECT 'dependent', dependent, label, dep_type FROM deps JOIN nodes ON nodes.id = dependent WHERE dependency = {PART}")
-_add("subgraph", lambda c: browse.subgraph(c.g1)[1], P + f", s AS (SELECT id FROM {N1} ORDER BY {BY} LIMIT 200) SELECT source_id, target_id, dependency_type FROM {E1} WHERE source_id IN (FROM s) AND target_id IN (FROM s)")
-_add("subgraph_of_type", lambda c: browse.subgraph(c.g1, package_type="library", limit=100)[0].select("id", "label"), P + f"SELECT id, label FROM {N1} WHERE package_type = 'library' ORDER BY {BY} LIMIT 100")
+_add("subgraph", lambda c: browse.subgraph(c.s1)[1], P + f", s AS (SELECT id FROM {N1} ORDER BY {BY} LIMIT 200) SELECT source_id, target_id, dependency_type FROM {E1} WHERE source_id IN (FROM s) AND target_id IN (FROM s)")
+_add("subgraph_of_type", lambda c: browse.subgraph(c.s1, package_type="library", limit=100)[0].select("id", "label"), P + f"SELECT id, label FROM {N1} WHERE package_type = 'library' ORDER BY {BY} LIMIT 100")
 _TRI = "list_distinct(flatten([[substr('  ' || w || ' ', i, 3) for i in range(1, length(w) + 2)] for w in string_split_regex(lower({}), '[^a-z0-9]+') if w <> '']))"
 _SIM = f"coalesce(len(list_intersect({_TRI}, {_TRI}))::DOUBLE / nullif(len(list_distinct(list_concat({_TRI}, {_TRI}))), 0), 0)"
 
@@ -173,11 +182,11 @@ def _sim(a: str, b: str) -> str:
 
 _add("search", lambda c: browse.search(c.g1, "red widget"), P + f", x AS (SELECT id, label, {_sim('label', repr('red widget'))} AS s FROM {N1}) SELECT id, label, round(s, 6) AS sim FROM x WHERE s >= 0.3 ORDER BY s DESC, label, id LIMIT 20")
 _add("similarity", lambda c: c.g1.nodes.where("package_type = 'library'").select("id", F.round(L.similarity(F.col("label"), F.lit("small ring")), 6).alias("sim")), P + f"SELECT id, round({_sim('label', repr('small ring'))}, 6) AS sim FROM {N1} WHERE package_type = 'library'")
-_add("top_level_nodes", lambda c: browse.top_level_nodes(c.g1), P + f"SELECT id, label, top_level_source, closure_size FROM {N1} WHERE is_top_level ORDER BY {BY} LIMIT 50")
-_add("top_level_of_source", lambda c: browse.top_level_nodes(c.g1, "systemPackages"), P + f"SELECT id, label, top_level_source, closure_size FROM {N1} WHERE is_top_level AND top_level_source = 'systemPackages' ORDER BY {BY} LIMIT 50")
+_add("top_level_nodes", lambda c: browse.top_level_nodes(c.s1), P + f"SELECT id, label, top_level_source, closure_size FROM {N1} WHERE is_top_level ORDER BY {BY} LIMIT 50")
+_add("top_level_of_source", lambda c: browse.top_level_nodes(c.s1, "systemPackages"), P + f"SELECT id, label, top_level_source, closure_size FROM {N1} WHERE is_top_level AND top_level_source = 'systemPackages' ORDER BY {BY} LIMIT 50")
 _add("top_level_sources", lambda c: browse.top_level_sources(c.g1), P + f"SELECT top_level_source, count(*) AS packages FROM {N1} WHERE is_top_level GROUP BY 1")
 _add("top_level_count", lambda c: c.g1.nodes.where("is_top_level").agg(F.count("*").alias("n")), P + f"SELECT count(*) AS n FROM {N1} WHERE is_top_level")
-_add("graph_roots", lambda c: browse.graph_roots(c.g1), P + f"SELECT id, label, closure_size FROM {N1} WHERE id NOT IN (SELECT source_id FROM edges) ORDER BY {BY} LIMIT 50")
+_add("graph_roots", lambda c: browse.graph_roots(c.s1), P + f"SELECT id, label, closure_size FROM {N1} WHERE id NOT IN (SELECT source_id FROM edges) ORDER BY {BY} LIMIT 50")
 _add("package_impact", lambda c: browse.impact(c.g1, ORDER), P + f", w(id, d) AS (SELECT {ORDER}, 0::BIGINT UNION SELECT dependency, d + 1 FROM w JOIN deps ON dependent = w.id WHERE d < 20), m AS (SELECT id, min(d) AS d FROM w WHERE d > 0 GROUP BY 1) SELECT package_type, count(*) AS packages, count(*) FILTER (d = 1) AS direct, min(d) AS nearest, max(d) AS farthest FROM m JOIN nodes USING (id) GROUP BY 1")
 _AROUND = "u AS (SELECT source_id AS a, target_id AS b FROM edges WHERE import_id = 1 UNION ALL SELECT target_id, source_id FROM edges WHERE import_id = 1), w(id, d) AS (SELECT {0}::BIGINT, 0::BIGINT UNION SELECT b, d + 1 FROM w JOIN u ON a = w.id WHERE d < 2), m AS (SELECT id, min(d) AS depth FROM w GROUP BY 1)"
 _add("graph_neighbours", lambda c: browse.around(c.g1, PART), P + ", " + _AROUND.format(PART) + " SELECT id, depth FROM m")
@@ -218,8 +227,8 @@ _CAT = S.case("lower(label)", L.CATEGORIES, "CASE package_type " + " ".join(f"WH
 _LCAT = S.case("lower(label)", L.LABEL_CATEGORIES, "'Other'")
 _add("compare_imports", lambda c: c.diffs.select("label", "package_type", "diff_type", "l_id", "r_id", "closure_impact"), P + _DIFF + " SELECT label, package_type, diff_type, l_id, r_id, closure_impact FROM diff")
 _add("compare_counts", lambda c: compare.diff_counts(c.diffs), P + _DIFF + " SELECT diff_type, count(*) AS n FROM diff GROUP BY 1")
-_add("compare_imports_reversed", lambda c: compare.diff_counts(compare.diffs(c.g2, c.g1)), P + _DIFF + " SELECT CASE diff_type WHEN 'only_left' THEN 'only_right' WHEN 'only_right' THEN 'only_left' ELSE diff_type END AS diff_type, count(*) AS n FROM diff GROUP BY 1")
-_add("compare_with_duplicates", lambda c: compare.diffs_by_label(c.g1, c.g2), P + f""", l AS (SELECT label, list_sort(list(DISTINCT drv_hash)) AS h, sum({CL})::BIGINT AS s FROM n WHERE import_id = 1 GROUP BY 1), r AS (SELECT label, list_sort(list(DISTINCT drv_hash)) AS h, sum({CL})::BIGINT AS s FROM n WHERE import_id = 2 GROUP BY 1)
+_add("compare_imports_reversed", lambda c: compare.diff_counts(compare.diffs(c.s2, c.s1)), P + _DIFF + " SELECT CASE diff_type WHEN 'only_left' THEN 'only_right' WHEN 'only_right' THEN 'only_left' ELSE diff_type END AS diff_type, count(*) AS n FROM diff GROUP BY 1")
+_add("compare_with_duplicates", lambda c: compare.diffs_by_label(c.s1, c.s2), P + f""", l AS (SELECT label, list_sort(list(DISTINCT drv_hash)) AS h, sum({CL})::BIGINT AS s FROM n WHERE import_id = 1 GROUP BY 1), r AS (SELECT label, list_sort(list(DISTINCT drv_hash)) AS h, sum({CL})::BIGINT AS s FROM n WHERE import_id = 2 GROUP BY 1)
 SELECT coalesce(l.label, r.label) AS label, CASE WHEN l.label IS NULL THEN 'only_right' WHEN r.label IS NULL THEN 'only_left' WHEN l.h = r.h THEN 'same' ELSE 'different' END AS diff_type, coalesce(len(l.h), 0) AS l_variants, coalesce(len(r.h), 0) AS r_variants, coalesce(l.s, 0) AS l_closure, coalesce(r.s, 0) AS r_closure FROM l FULL JOIN r ON l.label = r.label""")
 _add("match_nodes", lambda c: compare.matched(c.g1, c.g2), P + """, l AS (SELECT * FROM nodes WHERE import_id = 1), r AS (SELECT * FROM nodes WHERE import_id = 2), sl AS (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY id) AS k FROM l WHERE drv_hash NOT IN (SELECT drv_hash FROM r)), sr AS (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY id) AS k FROM r WHERE drv_hash NOT IN (SELECT drv_hash FROM l))
 SELECT l.label, l.id AS l_id, r.id AS r_id, 'same' AS diff_type FROM l JOIN r USING (drv_hash) UNION ALL SELECT coalesce(sl.label, sr.label), sl.id, sr.id, CASE WHEN sl.id IS NULL THEN 'only_right' WHEN sr.id IS NULL THEN 'only_left' ELSE 'different' END FROM sl FULL JOIN sr ON sl.label = sr.label AND sl.k = sr.k""")

@@ -90,7 +90,7 @@ _add("primary_source", lambda c: why.primary_source(c.g1), P + f", k AS (SELECT
 _ALL = f""", tops AS (SELECT id FROM nodes WHERE is_top_level AND import_id = 1), up(v, id, path) AS (SELECT id, id, [id] FROM {N1} WHERE label = {LABEL} UNION ALL SELECT v, dependent, list_prepend(dependent, path) FROM up JOIN (SELECT DISTINCT dependent, dependency FROM deps) ON dependency = up.id WHERE len(path) <= 10 AND up.id NOT IN (FROM tops) AND NOT list_contains(path, dependent)),
 each AS (SELECT DISTINCT v, id AS top_id, CASE WHEN len(path) > 2 THEN path[-2] END AS via FROM up WHERE id IN (FROM tops) AND len(path) > 1)"""
 _add("sankey", lambda c: why.sankey(c.g1, c.label), P + _ALL + ", links AS (SELECT top_id AS source, v AS target, 1 AS value FROM each WHERE via IS NULL UNION ALL SELECT via, v, count(*) FROM each WHERE via IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT top_id, via, 1 FROM each WHERE via IS NOT NULL) SELECT source, target, sum(value)::BIGINT AS value FROM links GROUP BY 1, 2")
-_add("top_level_apps", lambda c: why.top_level_apps(c.g1, c.label), P + f", w(id) AS (SELECT id FROM {N1} WHERE label = {LABEL} UNION SELECT dependent FROM w JOIN deps ON dependency = w.id) SELECT label, min(id) AS id, arg_min({CL}, id) AS closure_size FROM n JOIN w USING (id) WHERE is_top_level GROUP BY label ORDER BY closure_size DESC, label LIMIT 50")
+_add("top_level_apps", lambda c: why.top_level_apps(c.s1, c.label), P + f", w(id) AS (SELECT id FROM {N1} WHERE label = {LABEL} UNION SELECT dependent FROM w JOIN deps ON dependency = w.id) SELECT label, min(id) AS id, arg_min({CL}, id) AS closure_size FROM n JOIN w USING (id) WHERE is_top_level GROUP BY label ORDER BY closure_size DESC, label LIMIT 50")
 _add("attribution_csv", lambda c: why.csv_rows(why.path_groups(c.g1, c.paths), "Supplier-1"), _PS + _GROUPS + f" SELECT 'Supplier-1' AS target, via_label, total_dependents, shortest, any_runtime, top_level_packages FROM ({_GTOP})")
 _add("attribution_json", lambda c: why.json_rows(why.path_groups(c.g1, c.paths)), _PS + _GROUPS + """ SELECT via_label, '{"via_label":"' || via_label || '","total_dependents":' || total_dependents || ',"shortest":' || shortest || '}' AS json FROM (""" + _GTOP + ")")
 
@@ -99,46 +99,46 @@ _VAR = f", v AS (SELECT id AS vid, drv_hash FROM {N1} WHERE label = {LABEL} ORDE
 _add("variant_matrix", lambda c: variants.variant_matrix(c.g1, c.label), P + _VAR + " SELECT apps.app, v.drv_hash, cells.vid IS NOT NULL AS has_dep, cells.dep_type FROM apps CROSS JOIN v LEFT JOIN cells ON cells.dependent = apps.dependent AND cells.vid = v.vid")
 _add("variant_types", lambda c: variants.variant_types(c.g1, c.label), P + f"SELECT v.drv_hash, count(dep_type) AS dependents, CASE WHEN count(DISTINCT dep_type) = 1 THEN min(dep_type) WHEN count(DISTINCT dep_type) > 1 THEN 'mixed' END AS dep_type FROM {N1} v LEFT JOIN deps ON dependency = v.id WHERE v.label = {LABEL} GROUP BY 1")
 _add("variant_labels", lambda c: variants.variant_labels(c.g1), P + f", o AS (SELECT label, count(DISTINCT drv_hash) AS variants FROM {N1} GROUP BY 1 HAVING variants >= 2), d AS (SELECT label, count(DISTINCT dependent) AS dependents FROM {N1} v JOIN deps ON dependency = v.id GROUP BY 1) SELECT label, variants, coalesce(dependents, 0) AS dependents FROM o LEFT JOIN d USING (label) ORDER BY variants DESC, dependents DESC, label LIMIT 50")
-_add("variant_summary", lambda c: variants.variant_summary(c.g1, c.label), P + f"SELECT count(*) AS nodes, count(DISTINCT drv_hash) AS variants, sum({CL})::BIGINT AS total_closure, (SELECT count(DISTINCT dependent) FROM {N1} v JOIN deps ON dependency = v.id WHERE v.label = {LABEL}) AS dependents FROM {N1} WHERE label = {LABEL}")
+_add("variant_summary", lambda c: variants.variant_summary(c.s1, c.label), P + f"SELECT count(*) AS nodes, count(DISTINCT drv_hash) AS variants, sum({CL})::BIGINT AS total_closure, (SELECT count(DISTINCT dependent) FROM {N1} v JOIN deps ON dependency = v.id WHERE v.label = {LABEL}) AS dependents FROM {N1} WHERE label = {LABEL}")
 
 # treemaps
 _TM = ", src AS (SELECT {0} AS grp, label, greatest({1}, 1) AS value, row_number() OVER (PARTITION BY {0} ORDER BY {2}) AS rank, count(*) OVER (PARTITION BY {0}) AS total FROM {3}) SELECT grp, rank, label, value FROM src WHERE rank <= 20 UNION ALL SELECT grp, 21, (max(total) - 20) || ' others', sum(value)::BIGINT FROM src WHERE rank > 20 GROUP BY grp"
-_add("treemap_by_type", lambda c: treemap.by_type(c.g1), P + _TM.format("coalesce(package_type, 'unknown')", CL, BY, N1))
-_add("treemap_by_depth", lambda c: treemap.by_depth(c.g1), P + _TM.format("coalesce(depth, 0)::VARCHAR", CL, BY, f"(SELECT * FROM {N1} WHERE coalesce(depth, 0) < 3)"))
-_add("treemap_flat", lambda c: treemap.flat(c.g1), P + _TM.format("'all'", CL, BY, N1))
+_add("treemap_by_type", lambda c: treemap.by_type(c.s1), P + _TM.format("coalesce(package_type, 'unknown')", CL, BY, N1))
+_add("treemap_by_depth", lambda c: treemap.by_depth(c.s1), P + _TM.format("coalesce(depth, 0)::VARCHAR", CL, BY, f"(SELECT * FROM {N1} WHERE coalesce(depth, 0) < 3)"))
+_add("treemap_flat", lambda c: treemap.flat(c.s1), P + _TM.format("'all'", CL, BY, N1))
 _LEV = """, lev1 AS (SELECT 1::BIGINT AS level, dependent AS parent, row_number() OVER (PARTITION BY dependent ORDER BY {2}) AS rank, id, label, greatest({1}, 1) AS value FROM (SELECT DISTINCT id AS dependent FROM {0}) JOIN (SELECT dependent, dependency FROM deps) USING (dependent) JOIN n ON n.id = dependency QUALIFY rank <= 20),
 lev2 AS (SELECT 2::BIGINT AS level, dependent AS parent, row_number() OVER (PARTITION BY dependent ORDER BY {2}) AS rank, id, label, greatest({1}, 1) AS value FROM (SELECT DISTINCT id AS dependent FROM lev1) JOIN (SELECT dependent, dependency FROM deps) USING (dependent) JOIN n ON n.id = dependency QUALIFY rank <= 10)"""
-_add("treemap_by_application", lambda c: treemap.by_application(c.g1), P + f", apps AS (SELECT 0::BIGINT AS level, 0::BIGINT AS parent, row_number() OVER (ORDER BY {BY}) AS rank, id, label, greatest({CL}, 1) AS value FROM {N1} WHERE is_top_level QUALIFY rank <= 20)" + _LEV.format("apps", CL, BY) + " SELECT * FROM apps UNION ALL SELECT * FROM lev1 UNION ALL SELECT * FROM lev2")
-_add("treemap_remainder", lambda c: treemap.application_remainder(c.g1), P + f"SELECT count(*) AS others, coalesce(sum({CL}), 0)::BIGINT AS closure FROM (SELECT closure_size, row_number() OVER (ORDER BY {BY}) AS turn FROM {N1} WHERE is_top_level) WHERE turn > 20")
-_add("treemap_from_node", lambda c: treemap.from_node(c.g1, ORDER), P + f", one AS (SELECT {ORDER}::BIGINT AS id)" + _LEV.format("one", CL, BY) + " SELECT * FROM lev1 UNION ALL SELECT * FROM lev2")
-_add("treemap_node_info", lambda c: treemap.node_info(c.g1, PART), P + f"SELECT id, label, package_type, closure_size, (SELECT count(*) FROM deps WHERE dependent = {PART}) AS dependencies, (SELECT count(*) FROM deps WHERE dependency = {PART}) AS dependents FROM n WHERE id = {PART}")
+_add("treemap_by_application", lambda c: treemap.by_application(c.s1), P + f", apps AS (SELECT 0::BIGINT AS level, 0::BIGINT AS parent, row_number() OVER (ORDER BY {BY}) AS rank, id, label, greatest({CL}, 1) AS value FROM {N1} WHERE is_top_level QUALIFY rank <= 20)" + _LEV.format("apps", CL, BY) + " SELECT * FROM apps UNION ALL SELECT * FROM lev1 UNION ALL SELECT * FROM lev2")
+_add("treemap_remainder", lambda c: treemap.application_remainder(c.s1), P + f"SELECT count(*) AS others, coalesce(sum({CL}), 0)::BIGINT AS closure FROM (SELECT closure_size, row_number() OVER (ORDER BY {BY}) AS turn FROM {N1} WHERE is_top_level) WHERE turn > 20")
+_add("treemap_from_node", lambda c: treemap.from_node(c.s1, ORDER), P + f", one AS (SELECT {ORDER}::BIGINT AS id)" + _LEV.format("one", CL, BY) + " SELECT * FROM lev1 UNION ALL SELECT * FROM lev2")
+_add("treemap_node_info", lambda c: treemap.node_info(c.s1, PART), P + f"SELECT id, label, package_type, closure_size, (SELECT count(*) FROM deps WHERE dependent = {PART}) AS dependencies, (SELECT count(*) FROM deps WHERE dependency = {PART}) AS dependents FROM n WHERE id = {PART}")
 _add("treemap_package_types", lambda c: treemap.package_types(c.g1), P + f"SELECT package_type, count(*) AS n FROM {N1} WHERE package_type IS NOT NULL GROUP BY 1")
 
 # semantic zoom
 _KIND = "coalesce(package_type, 'unknown')"
 _add("zoom_level", lambda c: c.spark.createDataFrame([(s, zoom.level_of_scale(s)) for s in (0.1, 0.3, 0.5, 0.7, 1.0)], "scale double, level string"), "SELECT scale::DOUBLE AS scale, CASE WHEN scale < 0.3 THEN 'cluster' WHEN scale < 0.7 THEN 'overview' ELSE 'detailed' END AS level FROM (VALUES (0.1), (0.3), (0.5), (0.7), (1.0)) t(scale)")
-_add("zoom_clusters", lambda c: zoom.cluster_nodes(c.g1), P + f", k AS (SELECT {_KIND} AS kind, label, {CL} AS s, row_number() OVER (PARTITION BY {_KIND} ORDER BY {BY}) AS turn FROM {N1}) SELECT kind, count(*) AS node_count, sum(s)::BIGINT AS total_closure, string_agg(label, ', ' ORDER BY turn) FILTER (turn <= 3) AS representatives FROM k GROUP BY 1")
+_add("zoom_clusters", lambda c: zoom.cluster_nodes(c.s1), P + f", k AS (SELECT {_KIND} AS kind, label, {CL} AS s, row_number() OVER (PARTITION BY {_KIND} ORDER BY {BY}) AS turn FROM {N1}) SELECT kind, count(*) AS node_count, sum(s)::BIGINT AS total_closure, string_agg(label, ', ' ORDER BY turn) FILTER (turn <= 3) AS representatives FROM k GROUP BY 1")
 _add("zoom_cluster_edges", lambda c: zoom.cluster_edges(c.g1), P + f"SELECT coalesce(s.package_type, 'unknown') AS source_kind, coalesce(t.package_type, 'unknown') AS target_kind, count(*) AS edges FROM {E1} JOIN nodes s ON s.id = source_id JOIN nodes t ON t.id = target_id WHERE source_kind <> target_kind GROUP BY 1, 2")
 _OV = f", ov AS (SELECT {_KIND} AS kind, row_number() OVER (PARTITION BY {_KIND} ORDER BY {BY}) AS rank, id, label FROM {N1} QUALIFY rank <= greatest(100 // (SELECT count(DISTINCT {_KIND}) FROM {N1}), 5))"
-_add("zoom_overview", lambda c: zoom.overview_nodes(c.g1), P + _OV + " SELECT * FROM ov")
-_add("zoom_overview_edges", lambda c: zoom.overview_edges(c.g1), P + _OV + f" SELECT source_id, target_id, dependency_type FROM {E1} WHERE source_id IN (SELECT id FROM ov) AND target_id IN (SELECT id FROM ov)")
+_add("zoom_overview", lambda c: zoom.overview_nodes(c.s1), P + _OV + " SELECT * FROM ov")
+_add("zoom_overview_edges", lambda c: zoom.overview_edges(c.s1), P + _OV + f" SELECT source_id, target_id, dependency_type FROM {E1} WHERE source_id IN (SELECT id FROM ov) AND target_id IN (SELECT id FROM ov)")
 _add("zoom_detailed", lambda c: zoom.detailed_nodes(c.g1, PART).select("id", "hops", "label"), P + f", u AS (SELECT source_id AS a, target_id AS b FROM {E1} UNION ALL SELECT target_id, source_id FROM {E1}), w(id, d) AS (SELECT {PART}::BIGINT, 0::BIGINT UNION SELECT b, d + 1 FROM w JOIN u ON a = w.id WHERE d < 2) SELECT id, min(d) AS hops, label FROM w JOIN nodes USING (id) GROUP BY id, label")
 _PREFIX = "CASE " + " ".join(f"WHEN regexp_matches(label, '{p}') THEN regexp_extract(label, '{p}', 1)" for p in L.LABEL_PREFIXES) + " WHEN regexp_matches(label, '^.{3}.*[0-9]') THEN regexp_replace(regexp_extract(label, '^(.{3}[^0-9]*)[0-9]', 1), '[-_]+$', '') ELSE left(label, 15) END"
 _DEPTH = "'depth-' || (coalesce(depth, 0) // 2 * 2)"
 for _name, _expr in (("prefix", _PREFIX), ("depth", _DEPTH)):
     _AGG = f", g AS (SELECT *, {_expr} AS grp FROM {N1}), k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY {BY}) AS turn FROM g), big AS (SELECT grp FROM g GROUP BY 1 HAVING count(*) >= 5)"
-    _add(f"aggregate_by_{_name}", lambda c, n=_name: zoom.aggregates(c.g1, n), P + _AGG + f" SELECT grp, count(*) AS node_count, CASE WHEN count(DISTINCT {_KIND}) = 1 THEN min({_KIND}) ELSE 'mixed' END AS package_type, sum({CL})::BIGINT AS total_closure, round(avg(coalesce(depth, 0)), 6) AS avg_depth, string_agg(label, ', ' ORDER BY turn) FILTER (turn <= 3) AS largest FROM k WHERE grp IN (FROM big) GROUP BY 1")
-    _add(f"aggregate_edges_by_{_name}", lambda c, n=_name: zoom.aggregate_edges(c.g1, n), P + _AGG + f", pl AS (SELECT id, CASE WHEN grp IN (FROM big) THEN 'group:' || grp ELSE 'node:' || id END AS place FROM g) SELECT s.place AS source, t.place AS target, count(*) AS edges FROM {E1} JOIN pl s ON s.id = source_id JOIN pl t ON t.id = target_id WHERE s.place <> t.place GROUP BY 1, 2")
+    _add(f"aggregate_by_{_name}", lambda c, n=_name: zoom.aggregates(c.s1, n), P + _AGG + f" SELECT grp, count(*) AS node_count, CASE WHEN count(DISTINCT {_KIND}) = 1 THEN min({_KIND}) ELSE 'mixed' END AS package_type, sum({CL})::BIGINT AS total_closure, round(avg(coalesce(depth, 0)), 6) AS avg_depth, string_agg(label, ', ' ORDER BY turn) FILTER (turn <= 3) AS largest FROM k WHERE grp IN (FROM big) GROUP BY 1")
+    _add(f"aggregate_edges_by_{_name}", lambda c, n=_name: zoom.aggregate_edges(c.s1, n), P + _AGG + f", pl AS (SELECT id, CASE WHEN grp IN (FROM big) THEN 'group:' || grp ELSE 'node:' || id END AS place FROM g) SELECT s.place AS source, t.place AS target, count(*) AS edges FROM {E1} JOIN pl s ON s.id = source_id JOIN pl t ON t.id = target_id WHERE s.place <> t.place GROUP BY 1, 2")
 _add("label_prefix", lambda c: zoom._group_of(c.g1, "prefix").select("id", "grp"), P + f"SELECT id, {_PREFIX} AS grp FROM {N1}")
 _add("expand_aggregate", lambda c: zoom.expanded(c.g1, "red-widget"), P + f"SELECT id, label FROM {N1} WHERE {_PREFIX} = 'red-widget'")
 
 # dashboards and baselines
 _DASH = f"SELECT (SELECT count(*) FROM {N1}) AS nodes, (SELECT count(*) FROM {N1} WHERE is_top_level) AS top_level, (SELECT max(depth) FROM {N1}) AS max_depth, (SELECT round(avg(depth), 6) FROM {N1}) AS avg_depth, (SELECT quantile_cont(depth, 0.5)::DOUBLE FROM {N1}) AS median_depth, count(*) AS edges, 0.0::DOUBLE AS redundancy, round(count(*) FILTER (dependency_type = 'runtime')::DOUBLE / count(dependency_type), 6) AS runtime_ratio FROM {E1}"
-_add("dashboard_summary", lambda c: dashboard.summary(c.g1), P + _DASH)
-_add("health_indicators", lambda c: dashboard.health(dashboard.summary(c.g1)), P + f", d AS ({_DASH}) SELECT redundancy, 'good' AS redundancy_health, avg_depth, CASE WHEN coalesce(avg_depth, 0) < 5 THEN 'good' WHEN avg_depth < 8 THEN 'warning' ELSE 'critical' END AS depth_health FROM d")
-_add("top_contributors", lambda c: dashboard.top_contributors(c.g1), P + f"SELECT id, label, {CL} AS closure_size FROM {N1} ORDER BY {BY} LIMIT 10")
-_add("top_level_contributors", lambda c: dashboard.top_contributors(c.g1, top_level_only=True), P + f"SELECT id, label, {CL} AS closure_size FROM {N1} WHERE is_top_level ORDER BY {BY} LIMIT 10")
-_add("type_distribution", lambda c: dashboard.type_distribution(c.g1), P + f"SELECT {_KIND} AS kind, count(*) AS n, sum({CL})::BIGINT AS closure, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM {N1}), 6) AS percent FROM {N1} GROUP BY 1")
+_add("dashboard_summary", lambda c: dashboard.summary(c.s1), P + _DASH)
+_add("health_indicators", lambda c: dashboard.health(dashboard.summary(c.s1)), P + f", d AS ({_DASH}) SELECT redundancy, 'good' AS redundancy_health, avg_depth, CASE WHEN coalesce(avg_depth, 0) < 5 THEN 'good' WHEN avg_depth < 8 THEN 'warning' ELSE 'critical' END AS depth_health FROM d")
+_add("top_contributors", lambda c: dashboard.top_contributors(c.s1), P + f"SELECT id, label, {CL} AS closure_size FROM {N1} ORDER BY {BY} LIMIT 10")
+_add("top_level_contributors", lambda c: dashboard.top_contributors(c.s1, top_level_only=True), P + f"SELECT id, label, {CL} AS closure_size FROM {N1} WHERE is_top_level ORDER BY {BY} LIMIT 10")
+_add("type_distribution", lambda c: dashboard.type_distribution(c.s1), P + f"SELECT {_KIND} AS kind, count(*) AS n, sum({CL})::BIGINT AS closure, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM {N1}), 6) AS percent FROM {N1} GROUP BY 1")
 _BASE = ", bl AS (SELECT b AS baseline_id, name, sys AS is_system, made AS created_at, tags, (SELECT count(*) FROM nodes WHERE import_id = imp) AS node_count, (SELECT count(*) FROM edges WHERE import_id = imp) AS edge_count, (SELECT count(*) FROM nodes WHERE import_id = imp AND is_top_level) AS top_level_count, imp FROM (VALUES (1::BIGINT, 'first', TRUE, TIMESTAMP '2024-01-02', ['release', 'host'], 1), (2, 'second', FALSE, TIMESTAMP '2024-02-02', ['host'], 2), (3, 'third', FALSE, TIMESTAMP '2024-03-02', ['test'], 2)) t(b, name, sys, made, tags, imp))"
 _add("create_baseline", lambda c: c.baselines.select("baseline_id", "name", "node_count", "edge_count", "top_level_count", "max_depth", F.size("top_contributors").cast("bigint").alias("contributors"), F.element_at("top_contributors", 1)["label"].alias("largest")), P + _BASE + f" SELECT baseline_id, name, node_count, edge_count, top_level_count, (SELECT max(depth) FROM n WHERE import_id = imp) AS max_depth, 10::BIGINT AS contributors, (SELECT label FROM n WHERE import_id = imp ORDER BY {BY} LIMIT 1) AS largest FROM bl")
 _add("baseline_types", lambda c: c.baselines.select("baseline_id", F.explode("by_type").alias("kind", "n")), P + _BASE + f" SELECT baseline_id, {_KIND} AS kind, count(*) AS n FROM bl JOIN nodes ON import_id = imp GROUP BY 1, 2")
@@ -147,14 +147,14 @@ _add("list_baselines", lambda c: dashboard.listed(c.baselines, tags=("host",)),
 _add("list_user_baselines", lambda c: dashboard.listed(c.baselines, include_system=False), P + _BASE + " SELECT baseline_id, name, node_count FROM bl WHERE NOT is_system")
 _CMP = ", z AS (SELECT 'first' AS base_name, b.node_count - a.node_count AS nd, b.edge_count - a.edge_count AS ed, b.top_level_count - a.top_level_count AS td, 100.0::DOUBLE * (b.node_count - a.node_count) / a.node_count AS p FROM bl a, bl b WHERE a.baseline_id = 1 AND b.baseline_id = 2) SELECT base_name, nd AS node_difference, ed AS edge_difference, td AS top_level_difference, round(p, 6) AS percent, CASE WHEN p < 5 THEN 'minimal' WHEN p < 15 THEN 'moderate' WHEN p < 30 THEN 'significant' ELSE 'excessive' END AS growth, CASE WHEN nd = 0 THEN 'Same size as ' || base_name ELSE format('{:,}', abs(nd)) || CASE WHEN nd > 0 THEN ' more' ELSE ' fewer' END || ' packages than ' || base_name || ' (' || printf('%+.1f', p) || '%)' END AS summary FROM z"
 _add("compare_to_baseline", lambda c: dashboard.compared(c.baselines.where("baseline_id = 2"), c.baselines.where("baseline_id = 1")), P + _BASE + _CMP)
-_add("compare_to_previous", lambda c: dashboard.compared(dashboard.baseline(c.g2, 9, "now"), dashboard.baseline(c.g1, 8, "first")), P + _BASE + _CMP)
+_add("compare_to_previous", lambda c: dashboard.compared(dashboard.baseline(c.s2, 9, "now"), dashboard.baseline(c.s1, 8, "first")), P + _BASE + _CMP)
 _add("compare_baseline_types", lambda c: dashboard.compared_types(c.baselines.where("baseline_id = 2"), c.baselines.where("baseline_id = 1")), P + f"SELECT {_KIND} AS kind, count(*) FILTER (import_id = 2) - count(*) FILTER (import_id = 1) AS difference FROM nodes WHERE import_id < 3 GROUP BY 1")
 _add("dashboard_baseline", lambda c: dashboard.for_dashboard(c.baselines), "SELECT 1::BIGINT AS baseline_id, 'first' AS name")
 _add("previous_imports", lambda c: dashboard.previous_imports(c.imports), P + "SELECT id, lag(id) OVER (PARTITION BY name ORDER BY imported_at, id) AS previous_id FROM imports")
 _add("comparison_presets", lambda c: dashboard.presets(c.imports, c.baselines, 2), "SELECT * FROM (VALUES (1, 'previous', 1::BIGINT), (2, 'system', 1), (3, 'user', 2), (3, 'user', 3)) t(place, kind, ref)")
 _add("imports_of_host", lambda c: dashboard.imports_of(c.imports, "host"), P + "SELECT id, name, config_path FROM imports WHERE name = 'host'")
 _add("baseline_auto_name", lambda c: dashboard.auto_name(c.imports, "auto"), P + "SELECT id, name || ' - ' || strftime(imported_at, '%Y-%m-%d') || ' (auto)' AS baseline_name FROM imports")
-_add("cache_candidates", lambda c: dashboard.cache_candidates(c.g1, "supplier|widget"), P + f", a AS (SELECT id, 1 AS pass FROM {N1} WHERE regexp_matches(label, '(?i)supplier|widget') ORDER BY {BY} LIMIT 10), b AS (SELECT id, 2 AS pass FROM {N1} ORDER BY {BY} LIMIT 20), u AS (SELECT id, min(pass) AS pass FROM (FROM a UNION ALL FROM b) GROUP BY 1) SELECT id, label, pass FROM u JOIN n USING (id) ORDER BY pass, {BY} LIMIT 20")
+_add("cache_candidates", lambda c: dashboard.cache_candidates(c.s1, "supplier|widget"), P + f", a AS (SELECT id, 1 AS pass FROM {N1} WHERE regexp_matches(label, '(?i)supplier|widget') ORDER BY {BY} LIMIT 10), b AS (SELECT id, 2 AS pass FROM {N1} ORDER BY {BY} LIMIT 20), u AS (SELECT id, min(pass) AS pass FROM (FROM a UNION ALL FROM b) GROUP BY 1) SELECT id, label, pass FROM u JOIN n USING (id) ORDER BY pass, {BY} LIMIT 20")
 _add("cache_stats", lambda c: c.computed.groupBy("top_level_source").agg(F.count("*").alias("entries"), F.date_format(F.min("computed_at"), "yyyy-MM-dd").alias("oldest"), F.date_format(F.max("computed_at"), "yyyy-MM-dd").alias("newest")), P + _COMP + " SELECT top_level_source, count(*) AS entries, strftime(min(computed_at), '%Y-%m-%d') AS oldest, strftime(max(computed_at), '%Y-%m-%d') AS newest FROM comp GROUP BY 1")
 
 # validation
@@ -167,8 +167,8 @@ _add("validate_edges", lambda c: validate.edge_classification(c.g1), P + _ANY.fo
 _add("validate_top_level", lambda c: validate.top_level_identification(c.g1), P + _ANY.format(_VT))
 _add("validate_contributions", lambda c: validate.closure_contribution(c.contributions), P + _ANY.format(_VC))
 _add("validate_references", lambda c: validate.referential_integrity(c.g1, c.graph.nodes), P + f"SELECT 'orphan_source' AS check_name, 'error' AS severity, count(*) AS affected FROM {E1} WHERE source_id NOT IN (SELECT id FROM nodes) HAVING affected > 0")
-_add("validate_consistency", lambda c: validate.data_consistency(c.g1), P + _ANY.format(_VD))
+_add("validate_consistency", lambda c: validate.data_consistency(c.s1), P + _ANY.format(_VD))
 _EVERY = " UNION ALL ".join([_VE, _VT, _VC, _VD])
-_add("validate_import", lambda c: validate.everything(c.g1, c.graph.nodes, c.contributions), P + _ANY.format(_EVERY))
-_add("validation_summary", lambda c: validate.verdict(validate.everything(c.g1, c.graph.nodes, c.contributions)), P + f", v AS ({_ANY.format(_EVERY)}) SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos, count(*) FILTER (severity = 'error') = 0 AS passed FROM v")
+_add("validate_import", lambda c: validate.everything(c.s1, c.graph.nodes, c.contributions), P + _ANY.format(_EVERY))
+_add("validation_summary", lambda c: validate.verdict(validate.everything(c.s1, c.graph.nodes, c.contributions)), P + f", v AS ({_ANY.format(_EVERY)}) SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos, count(*) FILTER (severity = 'error') = 0 AS passed FROM v")
 _add("validate_phase", lambda c: validate.phase_report(c.g1, c.contributions), "SELECT check_name, 'PASS' AS status, 0::BIGINT AS affected FROM (VALUES ('edge_classification'), ('self_edges'), ('top_level_source'), ('orphan_source'), ('contribution_sum'), ('contribution_sign')) t(check_name)")
