@@ -25,9 +25,9 @@ from .language_id import learns
 
 #: Bounds of the fit: labelled rows of each label whose terms are counted, and indexed examples of each label.
 MAX_LABELLED, MAX_EXAMPLES = 6_000, 500
-NEIGHBOURS, BLOCK, SHRINK, THRESHOLD = 15, 32, 0.2, 0.3
+NEIGHBOURS, BLOCK, SHRINK, THRESHOLD = 15, 64, 0.2, 0.3
 #: Documents that each term is given beforehand, so that rare terms weigh little; blocks scored first; postings read at a time.
-BEFOREHAND, FIRST_BLOCKS, MAX_POSTINGS = 20.0, 8, 150_000
+BEFOREHAND, FIRST_BLOCKS, MAX_POSTINGS = 20.0, 4, 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
