@@ -648,7 +648,7 @@ RUNS = {
     "pii": pii.find_personal_data,
     "bpe": lambda d: bpe.encoding_digests(d, RANKS),
     "encode": lambda d: bpe.encode_documents(d, RANKS),
-    "html": lambda d: html_main.extract_main_text(d, id_col="doc_id", url_col="source", html_col="text"),
+    "html": lambda d: html_main.extract_main_text(d, id_col="doc_id", url_col="source", html_col="text").withColumnRenamed("page_id", "doc_id"),
 }
 
 
