@@ -35,6 +35,15 @@ def variant_matrix(graph: Graph, label: str, *, max_variants: int = MAX_VARIANTS
     return grid.join(marked, ["dependent", "variant_id"], "left").select("app", "drv_hash", F.col("dep_type").isNotNull().alias("has_dep"), "dep_type")
 
 
+def variant_order(graph: Graph, label: str, sort_by: str = "dependent_count", *, max_variants: int = MAX_VARIANTS, kind: str | None = None) -> DataFrame:
+    """``(id, drv_hash, dependents, rank)`` of a label's variants by `dependent_count`, `hash` or `closure_size`, with all dependents counted."""
+    own = graph.nodes.where(F.col("label") == label).select("id", "drv_hash", F.coalesce("closure_size", F.lit(0)).alias("size"))
+    deps = graph.deps if kind is None else graph.deps.where(F.col("dep_type") == kind)
+    found = own.join(deps, F.col("id") == F.col("dependency"), "left").groupBy("id", "drv_hash", "size").agg(F.countDistinct("dependent").alias("dependents"))
+    first = {"hash": [], "closure_size": [F.col("size").desc()], "dependent_count": [F.col("dependents").desc()]}[sort_by]
+    return top_by(found.withColumn("one", F.lit(1)), ["one"], [*first, F.col("drv_hash"), F.col("id")], max_variants).select("id", "drv_hash", "dependents", "rank")
+
+
 def variant_types(graph: Graph, label: str) -> DataFrame:
     """One dependency type per variant: its own, `mixed`, or none."""
     variants = graph.nodes.where(F.col("label") == label).select(F.col("id").alias("variant_id"), "drv_hash")

@@ -191,17 +191,32 @@ def primary_source(graph: Graph) -> DataFrame:
     return one.select(F.when(F.col("n") > 0.5 * F.col("total"), F.col("kind")).otherwise("mixed").alias("primary_source"), "total")
 
 
-def sankey(graph: Graph, label: str, max_depth: int = 10) -> DataFrame:
-    """Links of all variants of a label: direct packages to the variant, others to the node before it and on."""
+def sankey(graph: Graph, label: str, max_depth: int = 10, max_top_level: int | None = None, max_intermediate: int | None = None, app: str | None = None) -> DataFrame:
+    """Links of all variants of a label: direct packages to the variant, others to the node before it and on.
+
+    ``max_intermediate`` keeps the groups of most packages of each variant, ``max_top_level`` the first packages of each
+    group by label, ``app`` those so labelled; a link into a variant counts all packages of its group unless ``app`` is given.
+    """
     # a path ends at the first top-level package, so a variant that is one has no links
     variants = graph.nodes.where((F.col("label") == label) & ~F.coalesce("is_top_level", F.lit(False))).select(F.col("id").alias("seed"))
     steps = upward(graph.deps).distinct().withColumn("kind", F.lit(""))
     stops = graph.nodes.where("is_top_level").select(F.col("id").alias("stop"))
     via = F.when(F.size("path") > 2, F.element_at("path", 2))
     each = simple_paths(steps, variants, max_depth, stops).select(F.element_at("path", 1).alias("variant"), via.alias("via"), F.element_at("path", -1).alias("top_id")).distinct()
-    first = each.select(F.coalesce("via", "top_id").alias("source"), F.col("variant").alias("target"))
-    upper = each.where("via is not null").select(F.col("top_id").alias("source"), F.col("via").alias("target"))
-    return first.unionByName(upper).groupBy("source", "target").agg(F.count("*").alias("value"))
+    each = each.withColumn("grp", F.coalesce("via", "variant"))
+    groups = each.groupBy("variant", "grp", F.isnull("via").alias("direct")).agg(F.count("*").alias("total"))
+    groups = groups.join(graph.nodes.select(F.col("id").alias("grp"), F.col("label").alias("grp_label")), "grp")
+    if max_intermediate is not None:
+        groups = top_by(groups, ["variant"], [F.col("total").desc(), F.col("direct").desc(), F.col("grp_label"), F.col("grp")], max_intermediate)
+    tops = graph.nodes.select(F.col("id").alias("top_id"), F.col("label").alias("top_label"))
+    shown = each.join(groups.select("variant", "grp", "total"), ["variant", "grp"]).join(tops, "top_id")
+    if max_top_level is not None:
+        shown = top_by(shown, ["variant", "grp"], [F.lower("top_label"), F.col("top_label"), F.col("top_id")], max_top_level)
+    if app is not None:
+        shown = shown.where(F.col("top_label") == app)
+    upper = shown.select(F.col("top_id").alias("source"), F.col("grp").alias("target"), F.lit(1).cast("bigint").alias("value"))
+    first = shown.where("via is not null").groupBy(F.col("via").alias("source"), F.col("variant").alias("target")).agg((F.max("total") if app is None else F.count("*")).alias("value"))
+    return first.unionByName(upper).groupBy("source", "target").agg(F.sum("value").alias("value"))
 
 
 def top_level_apps(graph: Graph, label: str, limit: int = 50) -> DataFrame:
@@ -219,3 +234,47 @@ def csv_rows(groups: DataFrame, target: str) -> DataFrame:
 
 def json_rows(groups: DataFrame) -> DataFrame:
     return groups.select("via_label", F.to_json(F.struct("via_label", "total_dependents", "shortest")).alias("json"))
+
+
+def shortest_paths(graph: Graph, paths: DataFrame) -> DataFrame:
+    """``(via, shortest_path, shortest_path_length, is_runtime_path)``: the shortest path of each group in labels, the first by its ids of equals."""
+    via = F.when(F.col("length") <= 1, F.element_at("path", -1)).otherwise(F.element_at("path", -2))
+    best = paths.groupBy(via.alias("via")).agg(F.min_by("path", F.struct("length", "path")).alias("path"))
+    each = best.select("via", F.posexplode("path").alias("place", "id")).join(graph.nodes.select("id", "label", "package_type"), "id")
+    labels = F.transform(F.sort_array(F.collect_list(F.struct("place", "label"))), lambda x: x["label"])
+    built = F.bool_or(F.coalesce(F.col("package_type") == "build", F.lit(False)))
+    return each.groupBy("via").agg(labels.alias("labels"), built.alias("built")).select("via", path_text(F.col("labels")).alias("shortest_path"), (F.size("labels") - 1).cast("bigint").alias("shortest_path_length"), F.when(F.col("built"), "no").otherwise("yes").alias("is_runtime_path"))
+
+
+def why_chain(graph: Graph, node_id: int, paths: DataFrame, max_groups: int = 10) -> DataFrame:
+    """Why a node is there, in one row: itself, how many packages, paths and direct dependents it has, its status and its groups."""
+    own = graph.nodes.where(F.col("id") == node_id).select("id", "label", "drv_hash", "package_type")
+    direct = graph.deps.where(F.col("dependency") == node_id).agg(F.countDistinct("dependent").alias("direct_dependents"))
+    counts = paths.agg(F.countDistinct("top_id").alias("total_top_level_dependents"), F.count("*").alias("total_paths_found"))
+    place = F.struct((-F.col("total_dependents")).alias("n"), (F.col("shortest") > 1).alias("far"), F.col("via_label").alias("v"), F.col("via").alias("i"))
+    groups = path_groups(graph, paths, max_groups).agg(F.array_join(F.transform(F.sort_array(F.collect_list(place)), lambda x: x["v"]), ", ").alias("via"))
+    return own.crossJoin(counts).crossJoin(direct).crossJoin(essentiality(paths).select(F.col("status").alias("essentiality"))).crossJoin(groups)
+
+
+def attribution_export(graph: Graph, node_id: int, paths: DataFrame, max_groups: int = 10, shown: int = 10) -> DataFrame:
+    """One row per group with the target's own columns and the group's shortest path; a node without paths has one row that says so."""
+    chain = why_chain(graph, node_id, paths, max_groups)
+    groups = path_groups(graph, paths, max_groups, shown).join(shortest_paths(graph, paths), "via", "left").withColumn("target", F.lit(node_id))
+    rest = F.col("total_dependents") - shown
+    packages = F.concat("top_level_packages", F.when(rest > 0, F.format_string(" (+%d more)", rest)).otherwise(""))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    number = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return chain.join(groups.withColumn("packages", packages), chain["id"] == groups["target"], "left").select(
+        F.col("label").alias("target_package"), text(F.substring("drv_hash", 1, 12)).alias("target_hash"), F.col("essentiality").alias("essentiality_status"), "total_top_level_dependents",
+        F.coalesce("via_label", F.lit("(no attribution paths)")).alias("via_package"), text(groups["via"].cast("string")).alias("via_node_id"), number("total_dependents").alias("group_dependent_count"),
+        text(F.col("packages")).alias("top_level_packages"), text(F.col("shortest_path")).alias("shortest_path"), number("shortest_path_length").alias("shortest_path_length"), text(F.col("is_runtime_path")).alias("is_runtime_path"),
+    )
+
+
+def attribution_markdown(rows: DataFrame) -> DataFrame:
+    """``(place, line)`` of a report on ``attribution_export``: the target and its status, then a line per group, the largest first."""
+    head = F.concat(F.lit("# Why "), "target_package", F.lit("? ("), "essentiality_status", F.format_string(", %d top-level packages)", "total_top_level_dependents"))
+    line = F.concat(F.lit("- **"), "via_package", F.lit("**: "), F.col("group_dependent_count").cast("string"), F.when(F.col("shortest_path") != "", F.concat(F.lit(", `"), "shortest_path", F.lit("`"))).otherwise(""))
+    place = lambda n, name: F.struct(n.cast("bigint").alias("n"), name.alias("name"))
+    heads = rows.select(head.alias("line"), place(F.lit(-(10**15)), F.lit("")).alias("place")).distinct()
+    return heads.select("place", "line").unionByName(rows.select(place(-F.col("group_dependent_count"), F.concat("via_package", F.lit(" "), "via_node_id")).alias("place"), line.alias("line")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,3 +73,30 @@ def aggregate_edges(graph: Graph, by: str = "prefix", threshold: int = 5) -> Dat
 def expanded(graph: Graph, group: str, by: str = "prefix") -> DataFrame:
     """The nodes of a group."""
     return _group_of(graph, by).where(F.col("grp") == group).select("id", "label")
+
+
+def semantic_graph(graph: Graph, scale: float, centre: int | None = None, max_nodes: int = 100) -> DataFrame:
+    """``(part, source, target, count)`` of the level that a scale shows: clusters, an overview, or the surroundings of a node.
+
+    A row of `node` has no target; it counts the members of a cluster, 1 otherwise. Without a centre details are the overview's.
+    """
+    level = level_of_scale(scale)
+    part = lambda name, source, target, n: [F.lit(name).alias("part"), source.cast("string").alias("source"), target.cast("string").alias("target"), n.cast("bigint").alias("count")]
+    none, one = F.lit(None), F.lit(1)
+    if level == "cluster":
+        nodes = cluster_nodes(graph).select(part("node", F.col("kind"), none, F.col("node_count")))
+        return nodes.unionByName(cluster_edges(graph).select(part("edge", F.col("source_kind"), F.col("target_kind"), F.col("edges"))))
+    if level == "overview" or centre is None:
+        shown = overview_nodes(graph, max_nodes).select("id")
+    else:
+        shown = detailed_nodes(graph, centre, 2, max_nodes).select("id")
+    ends = lambda c: shown.select(F.col("id").alias(c))
+    edges = graph.edges.join(ends("source_id"), "source_id", "left_semi").join(ends("target_id"), "target_id", "left_semi")
+    return shown.select(part("node", F.col("id"), none, one)).unionByName(edges.select(part("edge", F.col("source_id"), F.col("target_id"), one)))
+
+
+def zoom_info(graph: Graph, threshold: int = 5) -> DataFrame:
+    """``(level, shown)``: how many clusters, overview nodes, nodes and groups by prefix an import has."""
+    count = lambda level, df: df.agg(F.count("*").alias("shown")).select(F.lit(level).alias("level"), "shown")
+    levels = [count("cluster", cluster_nodes(graph)), count("overview", overview_nodes(graph)), count("detailed", graph.nodes), count("aggregate", aggregates(graph, "prefix", threshold))]
+    return reduce(DataFrame.unionByName, levels)

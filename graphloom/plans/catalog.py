@@ -181,7 +181,7 @@ def _sim(a: str, b: str) -> str:
 
 
 _add("search", lambda c: browse.search(c.g1, "red widget"), P + f", x AS (SELECT id, label, {_sim('label', repr('red widget'))} AS s FROM {N1}) SELECT id, label, round(s, 6) AS sim FROM x WHERE s >= 0.3 ORDER BY s DESC, label, id LIMIT 20")
-_add("similarity", lambda c: c.g1.nodes.where("package_type = 'library'").select("id", F.round(L.similarity(F.col("label"), F.lit("small ring")), 6).alias("sim")), P + f"SELECT id, round({_sim('label', repr('small ring'))}, 6) AS sim FROM {N1} WHERE package_type = 'library'")
+_add("similarity", lambda c: c.g1.nodes.select("id", F.round(L.similarity(F.col("label"), F.lit("small ring")), 6).alias("sim")), P + f"SELECT id, round({_sim('label', repr('small ring'))}, 6) AS sim FROM {N1}")
 _add("top_level_nodes", lambda c: browse.top_level_nodes(c.s1), P + f"SELECT id, label, top_level_source, closure_size FROM {N1} WHERE is_top_level ORDER BY {BY} LIMIT 50")
 _add("top_level_of_source", lambda c: browse.top_level_nodes(c.s1, "systemPackages"), P + f"SELECT id, label, top_level_source, closure_size FROM {N1} WHERE is_top_level AND top_level_source = 'systemPackages' ORDER BY {BY} LIMIT 50")
 _add("top_level_sources", lambda c: browse.top_level_sources(c.g1), P + f"SELECT top_level_source, count(*) AS packages FROM {N1} WHERE is_top_level GROUP BY 1")
@@ -276,12 +276,12 @@ _add("version_text", lambda c: text.version_text(compare.version_changes(c.g1, c
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalog_exports, catalog_more  # noqa: F401
+    from . import catalog_exports, catalog_more, catalog_views  # noqa: F401
 
     return {name: (lambda build: lambda spark, sf_dir: build(context(spark, sf_dir)))(build) for name, (build, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_exports, catalog_more  # noqa: F401
+    from . import catalog_exports, catalog_more, catalog_views  # noqa: F401
 
     return {name: sql for name, (_, sql) in _QUERIES.items() if sql is not None}

@@ -125,8 +125,10 @@ _add("zoom_overview_edges", lambda c: zoom.overview_edges(c.s1), P + _OV + f" SE
 _add("zoom_detailed", lambda c: zoom.detailed_nodes(c.g1, PART).select("id", "hops", "label"), P + f", u AS (SELECT source_id AS a, target_id AS b FROM {E1} UNION ALL SELECT target_id, source_id FROM {E1}), w(id, d) AS (SELECT {PART}::BIGINT, 0::BIGINT UNION SELECT b, d + 1 FROM w JOIN u ON a = w.id WHERE d < 2) SELECT id, min(d) AS hops, label FROM w JOIN nodes USING (id) GROUP BY id, label")
 _PREFIX = "CASE " + " ".join(f"WHEN regexp_matches(label, '{p}') THEN regexp_extract(label, '{p}', 1)" for p in L.LABEL_PREFIXES) + " WHEN regexp_matches(label, '^.{3}.*[0-9]') THEN regexp_replace(regexp_extract(label, '^(.{3}[^0-9]*)[0-9]', 1), '[-_]+$', '') ELSE left(label, 15) END"
 _DEPTH = "'depth-' || (coalesce(depth, 0) // 2 * 2)"
+_GROUPED = ", g AS (SELECT *, {0} AS grp FROM " + N1 + "), k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY " + BY + ") AS turn FROM g), big AS (SELECT grp FROM g GROUP BY 1 HAVING count(*) >= 5)"
+_AGG_PREFIX = _GROUPED.format(_PREFIX)
 for _name, _expr in (("prefix", _PREFIX), ("depth", _DEPTH)):
-    _AGG = f", g AS (SELECT *, {_expr} AS grp FROM {N1}), k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY {BY}) AS turn FROM g), big AS (SELECT grp FROM g GROUP BY 1 HAVING count(*) >= 5)"
+    _AGG = _GROUPED.format(_expr)
     _add(f"aggregate_by_{_name}", lambda c, n=_name: zoom.aggregates(c.s1, n), P + _AGG + f" SELECT grp, count(*) AS node_count, CASE WHEN count(DISTINCT {_KIND}) = 1 THEN min({_KIND}) ELSE 'mixed' END AS package_type, sum({CL})::BIGINT AS total_closure, round(avg(coalesce(depth, 0)), 6) AS avg_depth, string_agg(label, ', ' ORDER BY turn) FILTER (turn <= 3) AS largest FROM k WHERE grp IN (FROM big) GROUP BY 1")
     _add(f"aggregate_edges_by_{_name}", lambda c, n=_name: zoom.aggregate_edges(c.s1, n), P + _AGG + f", pl AS (SELECT id, CASE WHEN grp IN (FROM big) THEN 'group:' || grp ELSE 'node:' || id END AS place FROM g) SELECT s.place AS source, t.place AS target, count(*) AS edges FROM {E1} JOIN pl s ON s.id = source_id JOIN pl t ON t.id = target_id WHERE s.place <> t.place GROUP BY 1, 2")
 _add("label_prefix", lambda c: zoom._group_of(c.g1, "prefix").select("id", "grp"), P + f"SELECT id, {_PREFIX} AS grp FROM {N1}")
