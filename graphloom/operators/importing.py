@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import SERVICE_PACKAGES, edge_type, module_type
+from ..functions.labels import SERVICE_PACKAGES, edge_type, module_type, package_type
 from ..sources.graph import Graph
 from .fixpoint import closure_pairs, downward, reach, top_by
 
+#: The grammar of node and edge lines.
 _NODE = r'^"([^"]+)"\s*\[label\s*=\s*"([^"]+)".*?\]'
 _EDGE = r'^"([^"]+)"\s*->\s*"([^"]+)"(?:\s*\[color\s*=\s*"([^"]+)"\])?'
 
@@ -39,8 +40,29 @@ def parse_dot(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_dot(spark, path: str) -> tuple[DataFrame, DataFrame]:
     """``parse_dot`` of files; the line order within a file is that of its bytes."""
+    return parse_dot(spark.read.text(path).withColumn("line", F.monotonically_increasing_id()))
+
+
+def import_dot(spark, path: str, import_id: int, name: str = "") -> tuple[DataFrame, Graph]:
+    """A record ``(id, name, node_count, edge_count)`` and the graph of a DOT file; the record counts edge lines, repeated and dangling ones too.
+
+    Ids hash the import and the node's hash, so that tasks need not agree on numbers and a rerun gives the same ones; the
+    types are those of the names, and nothing is marked top-level yet.
+    """
     lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
-    return parse_dot(lines)
+    nodes, edges = parse_dot(lines)
+    number = lambda drv_hash: F.xxhash64(F.lit(import_id).cast("bigint"), drv_hash)
+    this, no = F.lit(import_id).cast("bigint").alias("import_id"), F.lit(None)
+    own = nodes.select(
+        number(F.col("drv_hash")).alias("id"), this, "drv_hash", "drv_name", "label", package_type(F.col("drv_name")).alias("package_type"), F.lit(False).alias("is_top_level"),
+        no.cast("string").alias("top_level_source"), no.cast("string").alias("module_type"),
+    )
+    names = nodes.select(F.col("drv_hash").alias("source_hash"), F.col("drv_name").alias("source_name"))
+    links = edges.join(names, "source_hash").select(
+        this, number(F.col("source_hash")).alias("source_id"), number(F.col("target_hash")).alias("target_id"), edge_type(F.col("source_name")).alias("dependency_type"), "edge_color", F.lit(False).alias("is_redundant")
+    )
+    count = lines.agg(F.count_if(F.col("value").rlike(_EDGE)).alias("edge_count")).crossJoin(own.agg(F.count("*").alias("node_count")))
+    return count.select(this.alias("id"), F.lit(name).alias("name"), "node_count", "edge_count"), Graph(own, links)
 
 
 def dot_lines(graph: Graph) -> DataFrame:

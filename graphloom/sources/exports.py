@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.importing import service_packages
+
 
 def file_name(name: Column, stamp: Column, suffix: str, longest: int = 30) -> Column:
     """A name without characters that file systems mind, cut to length, with a time stamp."""
@@ -57,3 +59,18 @@ def backfill(nodes: DataFrame, metadata: DataFrame, limit: int | None = None) ->
 def package_modules(sources: DataFrame) -> DataFrame:
     """``(package, modules)`` from ``(package, source)``, in order."""
     return sources.groupBy("package").agg(F.array_sort(F.collect_set("source")).alias("modules"))
+
+
+def enabled_modules(spark: SparkSession, path: str) -> DataFrame:
+    """``(name)`` of the programs or services that files list as JSON arrays, one array a line; lines of another form give none."""
+    names = spark.read.text(path).select(F.explode(F.from_json("value", "array<string>")).alias("name"))
+    return names.where("name is not null").distinct().orderBy("name")
+
+
+def module_sources(programs: DataFrame, services: DataFrame) -> DataFrame:
+    """``(place, package, source)`` for ``marked_top_level``: services' packages come before programs of the same name."""
+    named = lambda kind, name: F.concat(F.lit(f"{kind}."), F.col(name), F.lit(".enable")).alias("source")
+    of_services = service_packages(services.select(F.col("name").alias("service"))).select("package", named("services", "service"), F.lit(1).alias("turn"))
+    both = of_services.unionByName(programs.select(F.col("name").alias("package"), named("programs", "name"), F.lit(2).alias("turn")))
+    best = both.groupBy("package").agg(F.min_by("source", F.struct("turn", "source")).alias("source"))
+    return best.select(F.col("package").alias("place"), "package", "source")

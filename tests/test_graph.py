@@ -6,7 +6,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import browse, compare, contribution, importing, structure, why
+from graphloom.operators import browse, compare, contribution, drawing, importing, structure, treemap, variants, why
 from graphloom.operators.fixpoint import closure_pairs, strong_components
 from graphloom.sources.graph import from_edges
 
@@ -135,3 +135,53 @@ def test_sentences_count_each_package_once(spark):
 def test_a_loop_has_its_cycle(spark):
     rows = structure.loop_paths(from_edges(spark, [(1, 2), (2, 3), (3, 1), (2, 1), (4, 5), (5, 6), (6, 4), (3, 4)], (), "B")).orderBy("scc_id").collect()
     assert [(r.scc_id, r["size"], r.cycle_length, r.cycle) for r in rows] == [(1, 3, 2, "1→2→1"), (4, 3, 3, "4→5→6→4")]
+
+
+#: Two variants of one label below three packages: 1 directly, 2 and 3 over 10.
+FLOW = [(1, 20), (2, 10), (3, 10), (10, 20), (3, 21)]
+
+
+def flow(spark):
+    g = from_edges(spark, FLOW, (1, 2, 3), convention="B")
+    return replace(g, nodes=g.nodes.withColumn("label", F.when(F.col("id") >= 20, "lib").otherwise(F.col("label"))))
+
+
+@pytest.mark.parametrize("limits,want", [
+    ({}, {(1, 20, 1), (10, 20, 2), (2, 10, 1), (3, 10, 1), (3, 21, 1)}), ({"max_intermediate": 1}, {(10, 20, 2), (2, 10, 1), (3, 10, 1), (3, 21, 1)}),
+    ({"max_top_level": 1}, {(1, 20, 1), (10, 20, 2), (2, 10, 1), (3, 21, 1)}), ({"app": "n3"}, {(10, 20, 1), (3, 10, 1), (3, 21, 1)}), ({"app": "none"}, set()),
+])
+def test_sankey_limits(spark, limits, want):
+    assert {tuple(r) for r in why.sankey(flow(spark), "lib", **limits).collect()} == want
+
+
+def test_variant_order(spark):
+    g = flow(spark)
+    order = lambda by, **more: [(r.id, r.dependents) for r in variants.variant_order(g, "lib", by, **more).orderBy("rank").collect()]
+    assert order("hash") == order("dependent_count") == [(20, 2), (21, 1)]
+    assert order("dependent_count", kind="build") == [(20, 0), (21, 0)]
+    assert order("closure_size", max_variants=1) == [(20, 2)]
+
+
+def test_treemap_filters(spark):
+    g = from_edges(spark, [(1, 2), (1, 3)], (1,), convention="B", kinds={(1, 3): "build"})
+    below = lambda kind: {r.id for r in treemap.treemap(g, filter_type=kind, root=1, levels=1).where("level = 1").collect()}
+    assert below("all") == {2, 3} and below("runtime") == {2} and below("build") == {3} and below("type:font") == set()
+    assert [(r.label, r.value) for r in treemap.treemap(g, root=99).collect()] == [("Not Found", 0)]
+
+
+def test_drawings(spark):
+    g = from_edges(spark, [(1, 2), (2, 3)], convention="B")
+    g = replace(g, nodes=g.nodes.withColumn("label", F.when(F.col("id") == 1, 'a"b\\').otherwise(F.col("label"))))
+    lines = {tuple(r) for r in drawing.node_drawing(g, 2).collect()}
+    assert ("dependents", 'n1 [label="a\\"b\\\\", fillcolor="#22d3ee"];') in lines
+    assert {s for p, s in lines if p == "edges"} == {"n1 -> n2;", "n2 -> n3;"}
+    assert drawing.cluster_drawing(g).count() == 1
+
+
+def test_why_chain_without_paths(spark):
+    g = from_edges(spark, [(1, 2)], convention="B")
+    paths = why.attribution_paths(g, 2, max_paths=None)
+    row = why.why_chain(g, 2, paths).first()
+    assert (row.total_paths_found, row.direct_dependents, row.essentiality, row.via) == (0, 1, "orphan", "")
+    only = why.attribution_export(g, 2, paths).collect()
+    assert [(r.via_package, r.group_dependent_count, r.is_runtime_path) for r in only] == [("(no attribution paths)", 0, "")]

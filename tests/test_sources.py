@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import compare
+from graphloom.operators import compare, importing
 from graphloom.sources import exports
 from graphloom.sources.graph import from_edges
 from graphloom.streaming.changes import recompute_on_changes
@@ -38,3 +38,24 @@ def test_changes(spark, tmp_path):
     stream = spark.readStream.schema("node_id bigint").parquet(str(tmp_path / "in"))
     recompute_on_changes(stream, graph, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert [(r.id, r.total_contribution) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(2, 2)]
+
+
+def test_import_of_a_file(spark, tmp_path):
+    a, b, c = "a" * 32, "b" * 32, "c" * 32
+    text = [f'"{a}-zlib-1.3.drv" [label = "zlib-1.3.drv"];', f'"{b}-curl-8.0.drv" [label = "curl-8.0.drv"];', f'"{a}-zlib-1.3.drv" -> "{b}-curl-8.0.drv" [color = "red"];']
+    (tmp_path / "g.dot").write_text("\n".join(["digraph G {", *text, text[2], f'"{c}-gone.drv" -> "{b}-curl-8.0.drv"', "}"]))
+    record, graph = importing.import_dot(spark, str(tmp_path / "g.dot"), 7, "host")
+    assert [tuple(r) for r in record.collect()] == [(7, "host", 2, 3)]
+    ids = {r.label: r.id for r in graph.nodes.collect()}
+    assert set(ids) == {"zlib-1.3", "curl-8.0"}
+    assert [(r.source_id, r.target_id, r.edge_color) for r in graph.edges.collect()] == [(ids["zlib-1.3"], ids["curl-8.0"], "red")]
+    assert {r.id: r.closure_size for r in importing.with_stages(graph).nodes.collect()} == {ids["curl-8.0"]: 1, ids["zlib-1.3"]: None}
+
+
+def test_enabled_modules(spark, tmp_path):
+    (tmp_path / "p").write_text('["zsh", "git"]\n["git", null]\nno list\n')
+    (tmp_path / "s").write_text('["git"]\n')
+    programs, services = (exports.enabled_modules(spark, str(tmp_path / x)) for x in "ps")
+    assert [r.name for r in programs.collect()] == ["git", "zsh"]
+    found = {r.package: r.source for r in exports.module_sources(programs, services).collect()}
+    assert found == {"git": "services.git.enable", "zsh": "programs.zsh.enable"}
