@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_main, language_id, mixing, pii, quality, simhash, token_count, toxicity
+from . import bpe, exact_dedup, html_main, language_id, mixing, periodic_runs, pii, quality, simhash, token_count, toxicity
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op10_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
 
 
+def op11_partition_refinement_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(periodic_runs.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +78,8 @@ SELECT doc_id, keep_id, group_size, turn = 1 AS kept, sha256(n) AS text_sha256 F
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [
         op1_distribution_divergence, op2_patricia_exact_dedup, op3_heap_token_counts, op4_output_code_languages, op5_subset_sum_mixing,
-        op6_multi_index_simhash, op7_block_max_toxicity, op8_boosted_personal_data, op9_line_block_main_text, op10_segment_tree_bpe, pipeline,
+        op6_multi_index_simhash, op7_block_max_toxicity, op8_boosted_personal_data, op9_line_block_main_text, op10_segment_tree_bpe,
+        op11_partition_refinement_runs, pipeline,
     ]
     return {op.__name__: op for op in ops}
 
