@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,3 +106,36 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+class Bitmap:
+    """A set of 64-bit numbers as hashed bits of fixed size: what was put in is held, other numbers may be."""
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.bits = words, bits
+
+    @staticmethod
+    def _bit(values: np.ndarray, bits: int) -> np.ndarray:
+        return (values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+
+    @classmethod
+    def of(cls, df: DataFrame, values: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> Bitmap:
+        """The map of ``values``, unsigned, of all batches; words of 64 bits are OR-ed by Spark, and 2**(bits - 6) at most reach the driver."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bit = np.unique(cls._bit(values(batch), bits))
+                if len(bit):
+                    word = (bit >> np.uint64(6)).astype(np.int64)
+                    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+                    ored = np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), first)
+                    yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(ored.view(np.int64))], names=["word", "ored"])
+
+        found = df.mapInArrow(run, "word bigint, ored bigint").groupBy("word").agg(F.bit_or("ored").alias("ored")).toArrow()
+        words = np.zeros(1 << (bits - 6), np.uint64)
+        words[found["word"].to_numpy()] = found["ored"].to_numpy().view(np.uint64)
+        return cls(words, bits)
+
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        bit = self._bit(values, self.bits)
+        return (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)

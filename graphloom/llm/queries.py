@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_main, language_id, mixing, periodic_runs, pii, quality, simhash, token_count, toxicity
+from . import bpe, collocations, exact_dedup, html_main, language_id, mixing, periodic_runs, pii, quality, simhash, token_count, toxicity
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op11_partition_refinement_runs(spark: SparkSession, sf_dir: str) -> DataFram
     return periodic_runs.run_digests(periodic_runs.periodic_runs(periodic_runs.with_planted_runs(table(spark, sf_dir, "documents"))))
 
 
+def op12_radix_sorted_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,15 +78,45 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, turn = 1 AS kept, sha256(n) AS text_sha256 FROM g
 """
 
+OP12_SQL = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), pieces AS (
+  SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM t
+), totals AS (
+  SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang
+), grams AS (
+  SELECT lang, k, list_slice(w, i, i + k - 1) AS g
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS k))
+), f AS (
+  SELECT lang, k, g, count(*) AS f FROM grams GROUP BY lang, k, g HAVING count(*) >= 100
+), cuts AS (
+  SELECT f.lang, f.g, f.f AS a, t.n, c.c, l.f AS l, r.f AS r, CAST(1000 AS HUGEINT) * f.f * t.n // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM f JOIN totals t USING (lang), (SELECT unnest(range(1, 5)) AS c) c, f l, f r
+  WHERE f.k > c.c AND l.lang = f.lang AND l.g = list_slice(f.g, 1, c.c) AND r.lang = f.lang AND r.g = list_slice(f.g, c.c + 1, f.k)
+), best AS (
+  SELECT lang, g, a, n, arg_min({'l': l, 'r': r, 'score': score}, score * 10 + c) AS m FROM cuts GROUP BY lang, g, a, n
+), inner_parts AS (
+  SELECT lang, list_slice(g, i, i + k2 - 1) AS g, max(f) AS longer
+  FROM (SELECT lang, g, f, k2, unnest(range(1, k - k2 + 2)) AS i FROM f, (SELECT unnest(range(2, 5)) AS k2) WHERE k2 < k) GROUP BY 1, 2
+), kept AS (
+  SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, m.l AS l, m.r AS r, n, m.score AS score
+  FROM best b LEFT JOIN inner_parts p ON p.lang = b.lang AND p.g = b.g WHERE p.longer IS NULL OR 100 * p.longer < 100 * b.a
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "binary") AS rank, phrase, a, l, r, n, score FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [
         op1_distribution_divergence, op2_patricia_exact_dedup, op3_heap_token_counts, op4_output_code_languages, op5_subset_sum_mixing,
         op6_multi_index_simhash, op7_block_max_toxicity, op8_boosted_personal_data, op9_line_block_main_text, op10_segment_tree_bpe,
-        op11_partition_refinement_runs, pipeline,
+        op11_partition_refinement_runs, op12_radix_sorted_collocations, pipeline,
     ]
     return {op.__name__: op for op in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_patricia_exact_dedup": OP2_SQL}
+    return {"op2_patricia_exact_dedup": OP2_SQL, "op12_radix_sorted_collocations": OP12_SQL}
