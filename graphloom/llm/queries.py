@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, exact_dedup, html_main, language_id, mixing, periodic_runs, pii, quality, simhash, token_count, toxicity
+from . import bpe, collocations, exact_dedup, html_main, jaccard_join, language_id, mixing, periodic_runs, pii, quality, simhash, token_count, toxicity
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op12_radix_sorted_collocations(spark: SparkSession, sf_dir: str) -> DataFram
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -108,15 +112,35 @@ WITH t AS (
 SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
 """
 
+OP13_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT d, doc_id, CASE WHEN len(w) < 4 THEN w ELSE list_slice(w, i, i + 3) END AS g FROM (SELECT d, doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT d, doc_id, count(*) AS n FROM s GROUP BY d, doc_id
+), pairs AS (
+  SELECT a.d AS a, b.d AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.d <> b.d GROUP BY a.d, b.d
+), links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.d = a JOIN n y ON y.d = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), reach AS (
+  SELECT d AS a, d AS b FROM n UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), named AS (
+  SELECT r.a AS d, min(n.doc_id) AS component_id FROM reach r JOIN n ON n.d = r.b GROUP BY r.a
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN n.n IS NULL THEN w.doc_id ELSE component_id END AS component_id
+FROM w LEFT JOIN n ON n.d = w.d LEFT JOIN named ON named.d = w.d
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [
         op1_distribution_divergence, op2_patricia_exact_dedup, op3_heap_token_counts, op4_output_code_languages, op5_subset_sum_mixing,
         op6_multi_index_simhash, op7_block_max_toxicity, op8_boosted_personal_data, op9_line_block_main_text, op10_segment_tree_bpe,
-        op11_partition_refinement_runs, op12_radix_sorted_collocations, pipeline,
+        op11_partition_refinement_runs, op12_radix_sorted_collocations, op13_signature_tree_join, pipeline,
     ]
     return {op.__name__: op for op in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_patricia_exact_dedup": OP2_SQL, "op12_radix_sorted_collocations": OP12_SQL}
+    return {"op2_patricia_exact_dedup": OP2_SQL, "op12_radix_sorted_collocations": OP12_SQL, "op13_signature_tree_join": OP13_SQL}
