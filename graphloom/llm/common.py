@@ -47,14 +47,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, which is smaller than a checkpoint of long texts."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.option("compression", codec).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def removed(table: DataFrame) -> None:
+    """Delete the folder of a table that ``written`` gave and nothing reads any more."""
+    for file in table.inputFiles()[:1]:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, so that other columns cannot clash with its results."""
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

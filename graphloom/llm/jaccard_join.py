@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bitmap, checkpointed, column, id_and_text, written
+from .common import Bitmap, checkpointed, column, id_and_text, removed, written
 from .simhash import components
 
 #: Sets and n-grams of a block; one set may have more n-grams.
@@ -210,7 +210,9 @@ def repeated_grams(lowest: DataFrame, n_grams: int) -> Bitmap:
         if total > 1 << (REPEAT_BITS - 2):
             least = n + 1
             break
-    return Bitmap.of(often.where(F.col("n") >= least).select("gram"), lambda batch: column(batch, "gram").to_numpy(zero_copy_only=False).view(np.uint64), REPEAT_BITS)
+    found = Bitmap.of(often.where(F.col("n") >= least).select("gram"), lambda batch: column(batch, "gram").to_numpy(zero_copy_only=False).view(np.uint64), REPEAT_BITS)
+    removed(often)
+    return found
 
 
 def shared_prefixes(sets: DataFrame, repeated: Bitmap, percent: int) -> DataFrame:
@@ -327,7 +329,9 @@ def set_links(sets: DataFrame, lowest: DataFrame, n_grams: int, percent: int = 8
             yield batch.filter(pa.array(shared.value.holds(column(batch, "owner").to_numpy(zero_copy_only=False).view(np.uint64))))
 
     rows = sets.where("n > 0").select("digest", "owner", "n", "hashes").mapInArrow(in_units, "digest binary, owner bigint, n bigint, hashes binary")
-    members = written(in_blocks(written(rows).join(units, "owner")))
+    asked_for = written(rows)
+    members = written(in_blocks(asked_for.join(units, "owner")))
+    removed(asked_for)
     blocks = checkpointed(members.groupBy("unit", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")))
     by_block = Window.partitionBy("unit").orderBy("block")
     around = blocks.select("block", F.lag("block").over(by_block).alias("before"), F.lead("block").over(by_block).alias("after"))

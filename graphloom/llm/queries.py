@@ -94,10 +94,11 @@ WITH t AS (
   FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS k))
 ), f AS (
   SELECT lang, k, g, count(*) AS f FROM grams GROUP BY lang, k, g HAVING count(*) >= 100
+), cut AS (
+  SELECT lang, g, f AS a, c, list_slice(g, 1, c) AS lg, list_slice(g, c + 1, k) AS rg FROM (SELECT *, unnest(range(1, k)) AS c FROM f WHERE k > 1)
 ), cuts AS (
-  SELECT f.lang, f.g, f.f AS a, t.n, c.c, l.f AS l, r.f AS r, CAST(1000 AS HUGEINT) * f.f * t.n // (CAST(l.f AS HUGEINT) * r.f) AS score
-  FROM f JOIN totals t USING (lang), (SELECT unnest(range(1, 5)) AS c) c, f l, f r
-  WHERE f.k > c.c AND l.lang = f.lang AND l.g = list_slice(f.g, 1, c.c) AND r.lang = f.lang AND r.g = list_slice(f.g, c.c + 1, f.k)
+  SELECT cut.lang, cut.g, cut.a, t.n, c, l.f AS l, r.f AS r, CAST(1000 AS HUGEINT) * cut.a * t.n // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM cut JOIN totals t ON t.lang = cut.lang JOIN f l ON l.lang = cut.lang AND l.g = cut.lg JOIN f r ON r.lang = cut.lang AND r.g = cut.rg
 ), best AS (
   SELECT lang, g, a, n, arg_min({'l': l, 'r': r, 'score': score}, score * 10 + c) AS m FROM cuts GROUP BY lang, g, a, n
 ), inner_parts AS (
