@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bitmap, checkpointed, column, numbered, written
+from .common import Bitmap, checkpointed, column, numbered, removed, written
 from .periodic_runs import slices
 
 #: Words of the dictionary that are broadcast (some 100 bytes each); rarer ones are joined.
@@ -28,7 +28,7 @@ MAX_BROADCAST_WORDS = 300_000
 #: Distinct words that a task counts before it passes them on.
 HELD_WORDS = 400_000
 #: Bytes of numbers that are sorted at a time.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 8_000_000
 #: Bits of the map of frequent pairs.
 PAIR_BITS = 26
 
@@ -105,7 +105,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def numbers_by_task(texts: DataFrame, dictionary: list[tuple[str, str, int]], keep_unknown: bool) -> DataFrame:
-    """``(ids binary, unknown array<struct<at, word>>, lang)``: each text's words as 4-byte numbers, 0 between pieces and for words not known.
+    """``(ids binary, unknown array<struct<at, word>>, lang, words)``: each text's words as 4-byte numbers, 0 between pieces and for words not known.
 
     With ``keep_unknown`` the words that are not in the dictionary are listed with their places.
     """
@@ -118,24 +118,26 @@ def numbers_by_task(texts: DataFrame, dictionary: list[tuple[str, str, int]], ke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                coded, unknown = [], []
+                coded, unknown, total = [], [], []
                 for lang, text in zip(column(part, "lang").to_pylist(), column(part, "text").to_pylist()):
-                    number, ids, words = shared.value.get(lang, {}).get, [], []
+                    number, ids, words, n = shared.value.get(lang, {}).get, [], [], 0
                     for piece in text.encode("utf-8").lower().translate(_BREAKS).split(b"\n"):
                         found = piece.split()
                         ids += [number(w, 0) for w in found]
-                        words += found
                         ids.append(0)
-                        words.append(b"")
+                        n += len(found)
+                        if keep_unknown:
+                            words += [*found, b""]
+                    total.append(n)
                     coded.append(np.array(ids, "<u4").tobytes())
                     unknown.append([{"at": k, "word": words[k].decode("utf-8")} for k in range(len(ids)) if not ids[k] and words[k]] if keep_unknown else [])
-                yield pa.RecordBatch.from_arrays([pa.array(coded, pa.binary()), pa.array(unknown, listed), column(part, "lang")], names=["ids", "unknown", "lang"])
+                yield pa.RecordBatch.from_arrays([pa.array(coded, pa.binary()), pa.array(unknown, listed), column(part, "lang"), pa.array(total, pa.int64())], names=["ids", "unknown", "lang", "words"])
 
-    return texts.mapInArrow(run, "ids binary, unknown array<struct<at: int, word: string>>, lang string")
+    return texts.mapInArrow(run, "ids binary, unknown array<struct<at: int, word: string>>, lang string, words bigint")
 
 
 def with_joined_numbers(coded: DataFrame, rest: DataFrame) -> DataFrame:
-    """``(ids)`` where words that the broadcast dictionary lacks have their numbers from ``rest(lang, word, number)``.
+    """``(ids, lang, words)`` where words that the broadcast dictionary lacks have their numbers from ``rest(lang, word, number)``.
 
     Rows are written first, so that their numbers stay as they are when a task runs again.
     """
@@ -151,9 +153,10 @@ def with_joined_numbers(coded: DataFrame, rest: DataFrame) -> DataFrame:
                 for f in found or []:
                     numbers[f["at"]] = f["number"]
                 out.append(numbers.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), column(batch, "lang"), column(batch, "words")], names=["ids", "lang", "words"])
 
-    return rows.select("row", "ids").join(told, "row", "left").select("ids", "found").mapInArrow(run, "ids binary")
+    found = rows.select("row", "ids", "lang", "words").join(told, "row", "left").select("ids", "found", "lang", "words")
+    return found.mapInArrow(run, "ids binary, lang string, words bigint")
 
 
 def slice_counts(coded: DataFrame, lengths: range, width: int, pairs: Bitmap | None = None) -> DataFrame:
@@ -213,9 +216,11 @@ def total_counts(counts: DataFrame, width: int, least: int) -> DataFrame:
         if len(held_key):
             yield told(held_key, held_n)
 
-    table = written(counts)
+    table = written(counts, "zstd")
     parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return table.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInArrow(run, "key binary, n bigint")
+    found = checkpointed(table.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInArrow(run, "key binary, n bigint"))
+    removed(table)
+    return found
 
 
 def phrase_counts(df: DataFrame, *, least: int = 100, longest: int = 5, lang_col: str = "lang", text_col: str = "text", max_broadcast_words: int = MAX_BROADCAST_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -225,9 +230,7 @@ def phrase_counts(df: DataFrame, *, least: int = 100, longest: int = 5, lang_col
     """
     plain, (lang, text) = numbered(df, lang_col, text_col)
     texts = plain.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    words = written(word_counts(texts))
-    totals = words.groupBy("lang").agg(F.sum("n").cast("bigint").alias("total"))
-    often = checkpointed(words.where(F.col("n") >= least))
+    often = checkpointed(word_counts(texts).where(F.col("n") >= least))
     # the most frequent are broadcast, up to the bound, and numbered here; the others get numbers by ranges of words
     top = often.orderBy(F.col("n").desc(), "lang", "word").limit(max_broadcast_words).select("lang", "word").toPandas()
     listed = [(lang, word, k + 1) for k, (lang, word) in enumerate(zip(top["lang"], top["word"]))]
@@ -242,17 +245,19 @@ def phrase_counts(df: DataFrame, *, least: int = 100, longest: int = 5, lang_col
         rest = rest.join(F.broadcast(sizes.withColumn("before", before)), "part").select("lang", "word", (F.col("before") + F.col("turn") + 1 + len(listed)).alias("number"))
         if len(listed) + more >= 1 << 32:
             raise ValueError("more frequent words than four bytes can number")
-        ids = written(with_joined_numbers(numbers_by_task(texts, listed, True), rest))
+        ids = written(with_joined_numbers(numbers_by_task(texts, listed, True), rest), "zstd")
         known = known.unionByName(rest)
     else:
-        ids = written(numbers_by_task(texts, listed, False).select("ids"))
+        ids = written(numbers_by_task(texts, listed, False).select("ids", "lang", "words"), "zstd")
+    totals = checkpointed(ids.groupBy("lang").agg(F.sum("words").alias("total")).where("total > 0"))
     vocabulary = checkpointed(often.join(known, ["lang", "word"]).select("number", "lang", "word", "n"))
-    pairs = checkpointed(total_counts(slice_counts(ids, range(2, 3), 8), 8, least))
+    pairs = total_counts(slice_counts(ids, range(2, 3), 8), 8, least)
     if longest == 2:
         return totals, vocabulary, pairs
     found = Bitmap.of(pairs.select("key"), lambda batch: _rows(column(batch, "key"), 8).view(">u8")[:, 0].astype(np.uint64), PAIR_BITS)
     width = 4 * longest
-    longer = checkpointed(total_counts(slice_counts(ids, range(3, longest + 1), width, found), width, least))
+    longer = total_counts(slice_counts(ids, range(3, longest + 1), width, found), width, least)
+    removed(ids)
     return totals, vocabulary, pairs.unionByName(longer)
 
 
