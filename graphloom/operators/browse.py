@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.labels import similarity
 from ..sources.graph import Graph
 from .fixpoint import downward, reach, top_by
+from .reachability import reached_counts
+from .usage import below
 
 
 def closure():
@@ -31,6 +33,12 @@ def node(graph: Graph, node_id: int) -> DataFrame:
     return graph.nodes.where(F.col("id") == node_id)
 
 
+def node_with_closure(graph: Graph, node_id: int) -> DataFrame:
+    """A node with its closure size, counted over what lies below it alone; null for a leaf."""
+    found = node(graph, node_id)
+    return found.drop("closure_size").join(reached_counts(below(graph, found)).where(F.col("id") == node_id), "id", "left")
+
+
 def node_by_hash(graph: Graph, drv_hash: str) -> DataFrame:
     return graph.nodes.where(F.col("drv_hash") == drv_hash)
 

@@ -6,22 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.graph import Graph
-from .fixpoint import closure_pairs, reach, upward
+from . import usage
+from .fixpoint import checkpointed, reach, upward
 
 
 def contributions(graph: Graph) -> DataFrame:
     """``(id, unique_contribution, shared_contribution, total_contribution)`` of top-level nodes with dependencies.
 
-    A dependency is unique to a package if no other top-level package of the import has it in its closure. One
-    count by dependency tells; closures are never compared in pairs.
+    A dependency is unique to a package if no other top-level package of the import has it in its closure. States of one
+    user or many tell, and closures are counted as sets; no table of packages and dependencies is made.
     """
-    tops = graph.nodes.where("is_top_level").select(F.col("id").alias("seed"))
-    pairs = closure_pairs(graph.deps, tops)
-    # nodes are global, so a dependency belongs to one import; users are counted before pairs are joined again
-    users = pairs.groupBy("dep").agg(F.count("*").alias("users"))
-    return pairs.join(users, "dep").groupBy(F.col("node").alias("id")).agg(
-        F.count_if(F.col("users") == 1).alias("unique_contribution"), F.count_if(F.col("users") > 1).alias("shared_contribution"), F.count("*").alias("total_contribution")
-    )
+    return usage.Kept.of(graph).contributions
 
 
 def named(graph: Graph, found: DataFrame) -> DataFrame:
@@ -100,9 +95,9 @@ def stale_ids(computed: DataFrame, as_of: str, hours: int = 24, limit: int | Non
     return rows if limit is None else rows.orderBy(F.col("computed_at").asc_nulls_first(), "id").limit(limit)
 
 
-def recomputed(graph: Graph, ids: DataFrame) -> DataFrame:
-    """Fresh contributions of ``ids(id)``; uniqueness needs the closures of all top-level packages."""
-    return contributions(graph).join(ids.select("id").distinct(), "id", "left_semi")
+def recomputed(graph: Graph, ids: DataFrame, kept: usage.Kept | None = None) -> DataFrame:
+    """Fresh contributions of ``ids(id)``: only what they depend on is counted; who else uses it is in the states kept, or found first."""
+    return usage.contributions_of(graph, usage.states(graph) if kept is None else kept.states, ids)
 
 
 def affected_by_edge(graph: Graph, target_id: int) -> DataFrame:
@@ -132,13 +127,12 @@ def needs_recomputation(computed: DataFrame, as_of: str, hours: int = 24) -> Dat
     return stale_ids(computed, as_of, hours).agg((F.count("*") > 0).alias("needs_recomputation"))
 
 
-def recompute_stale(graph: Graph, computed: DataFrame, as_of: str, hours: int = 24, max_nodes: int | None = None) -> DataFrame:
+def recompute_stale(graph: Graph, computed: DataFrame, as_of: str, hours: int = 24, max_nodes: int | None = None, kept: usage.Kept | None = None) -> DataFrame:
     """Fresh contributions where they are stale, with the strategy: all of them if over half are stale, else only those."""
-    stale = stale_ids(computed, as_of, hours, max_nodes).select("id", F.lit(True).alias("stale"))
-    counts = computed.agg(F.count("*").alias("n")).crossJoin(stale.agg(F.count("*").alias("n_stale")))
-    full = F.col("n_stale") > 0.5 * F.col("n")
-    rows = contributions(graph).join(stale, "id", "left").crossJoin(F.broadcast(counts))  # one row of counts
-    return rows.where(full | F.col("stale")).withColumn("strategy", F.when(full, "full").otherwise("selective")).drop("stale", "n", "n_stale")
+    stale = checkpointed(stale_ids(computed, as_of, hours, max_nodes).select("id"))
+    full = stale.count() > 0.5 * computed.count()
+    rows = contributions(graph) if full else recomputed(graph, stale, kept)
+    return rows.withColumn("strategy", F.lit("full" if full else "selective"))
 
 
 def recomputation_cost(top: DataFrame, stale: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import SERVICE_PACKAGES, edge_type, module_type, package_type
 from ..sources.graph import Graph
-from .fixpoint import closure_pairs, downward, reach, top_by
+from .fixpoint import downward, reach, top_by
+from .reachability import reached_counts
 
 #: The grammar of node and edge lines.
 _NODE = r'^"([^"]+)"\s*\[label\s*=\s*"([^"]+)".*?\]'
@@ -96,7 +97,7 @@ def depths(graph: Graph) -> DataFrame:
 
 def closure_sizes(graph: Graph) -> DataFrame:
     """``(id, closure_size)`` of nodes with dependencies; leaves have none."""
-    return closure_pairs(graph.deps).groupBy(F.col("node").alias("id")).agg(F.count("*").alias("closure_size"))
+    return reached_counts(graph.deps)
 
 
 def with_stages(graph: Graph) -> Graph:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators import browse, compare, contribution, dashboard, importing, structure, text, why
+from ..operators import browse, compare, contribution, dashboard, importing, structure, text, usage, why
 from ..operators.fixpoint import checkpointed
 from ..sources import graph as source
+from ..sources.folders import shared_folder
+from ..sources.label_index import LabelIndex
 from . import sql as S
 
 P = S.PRELUDE
@@ -63,7 +66,17 @@ class Context:
 
     @cached_property
     def contributions(self) -> DataFrame:
-        return checkpointed(contribution.named(self.g1, contribution.contributions(self.g1)))
+        return checkpointed(contribution.named(self.g1, self.kept.contributions))
+
+    @cached_property
+    def label_index(self) -> LabelIndex:
+        """Trigram lists of import 1 in the shared folder."""
+        return LabelIndex(self.spark, f"{shared_folder(self.spark)}/labels-{uuid.uuid4().hex}").write(self.g1.nodes)
+
+    @cached_property
+    def kept(self) -> usage.Kept:
+        """States and contributions of import 1, as a store keeps them."""
+        return usage.Kept.of(self.g1)
 
     @cached_property
     def computed(self) -> DataFrame:
@@ -167,7 +180,7 @@ _add("metadata_summary", lambda c: importing.metadata_summary(c.raw.nodes.where(
 # browsing
 _add("clusters", lambda c: browse.clusters(c.s1), P + f"SELECT package_type, count(*) AS node_count, sum({CL})::BIGINT AS total_closure FROM {N1} GROUP BY 1")
 _add("nodes_by_type", lambda c: browse.nodes_by_type(c.s1, "application"), P + f"SELECT id, label, closure_size FROM {N1} WHERE package_type = 'application' ORDER BY {BY} LIMIT 100")
-_add("node", lambda c: browse.node(c.s1, PART).select("id", "label", "drv_hash", "closure_size"), P + f"SELECT id, label, drv_hash, closure_size FROM n WHERE id = {PART}")
+_add("node", lambda c: browse.node_with_closure(c.g1, PART).select("id", "label", "drv_hash", "closure_size"), P + f"SELECT id, label, drv_hash, closure_size FROM n WHERE id = {PART}")
 _add("node_by_hash", lambda c: c.g1.nodes.join(browse.node(c.g1, PART).select("drv_hash"), "drv_hash", "left_semi").select("id", "label"), P + f"SELECT id, label FROM {N1} WHERE drv_hash = (SELECT drv_hash FROM nodes WHERE id = {PART})")
 _add("neighbours", lambda c: browse.neighbours(c.g1, PART), P + f"SELECT 'dependency' AS direction, dependency AS id, label, dep_type FROM deps JOIN nodes ON nodes.id = dependency WHERE dependent = {PART} UNION ALL SELECT 'dependent', dependent, label, dep_type FROM deps JOIN nodes ON nodes.id = dependent WHERE dependency = {PART}")
 _add("subgraph", lambda c: browse.subgraph(c.s1)[1], P + f", s AS (SELECT id FROM {N1} ORDER BY {BY} LIMIT 200) SELECT source_id, target_id, dependency_type FROM {E1} WHERE source_id IN (FROM s) AND target_id IN (FROM s)")
@@ -176,11 +189,15 @@ _TRI = "list_distinct(flatten([[substr('  ' || w || ' ', i, 3) for i in range(1,
 _SIM = f"coalesce(len(list_intersect({_TRI}, {_TRI}))::DOUBLE / nullif(len(list_distinct(list_concat({_TRI}, {_TRI}))), 0), 0)"
 
 
+def _found(c: Context, text: str, least: float = 0.3) -> DataFrame:
+    return c.label_index.search(c.g1.nodes, text, least=least).select("id", "label", F.round("sim", 6).alias("sim"))
+
+
 def _sim(a: str, b: str) -> str:
     return _SIM.format(a, b, a, b)
 
 
-_add("search", lambda c: browse.search(c.g1, "red widget"), P + f", x AS (SELECT id, label, {_sim('label', repr('red widget'))} AS s FROM {N1}) SELECT id, label, round(s, 6) AS sim FROM x WHERE s >= 0.3 ORDER BY s DESC, label, id LIMIT 20")
+_add("search", lambda c: _found(c, "red widget"), P + f", x AS (SELECT id, label, {_sim('label', repr('red widget'))} AS s FROM {N1}) SELECT id, label, round(s, 6) AS sim FROM x WHERE s >= 0.3 ORDER BY s DESC, label, id LIMIT 20")
 _add("similarity", lambda c: c.g1.nodes.select("id", F.round(L.similarity(F.col("label"), F.lit("small ring")), 6).alias("sim")), P + f"SELECT id, round({_sim('label', repr('small ring'))}, 6) AS sim FROM {N1}")
 _add("top_level_nodes", lambda c: browse.top_level_nodes(c.s1), P + f"SELECT id, label, top_level_source, closure_size FROM {N1} WHERE is_top_level ORDER BY {BY} LIMIT 50")
 _add("top_level_of_source", lambda c: browse.top_level_nodes(c.s1, "systemPackages"), P + f"SELECT id, label, top_level_source, closure_size FROM {N1} WHERE is_top_level AND top_level_source = 'systemPackages' ORDER BY {BY} LIMIT 50")
@@ -276,12 +293,12 @@ _add("version_text", lambda c: text.version_text(compare.version_changes(c.g1, c
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalog_exports, catalog_more, catalog_views  # noqa: F401
+    from . import catalog_exports, catalog_more, catalog_stored, catalog_views  # noqa: F401
 
     return {name: (lambda build: lambda spark, sf_dir: build(context(spark, sf_dir)))(build) for name, (build, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_exports, catalog_more, catalog_views  # noqa: F401
+    from . import catalog_exports, catalog_more, catalog_stored, catalog_views  # noqa: F401
 
     return {name: sql for name, (_, sql) in _QUERIES.items() if sql is not None}

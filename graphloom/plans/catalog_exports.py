@@ -57,7 +57,7 @@ _NEW = "id, unique_contribution, shared_contribution, total_contribution"
 
 
 def _fresh(c: Context, most: int | None) -> DataFrame:
-    return contribution.recompute_stale(c.g1, c.computed, AS_OF, max_nodes=most).select(*_NEW.split(", "), "strategy")
+    return contribution.recompute_stale(c.g1, c.computed, AS_OF, max_nodes=most, kept=c.kept).select(*_NEW.split(", "), "strategy")
 
 
 def _fresh_sql(most: str) -> str:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators import contribution, dashboard, importing, treemap, validate, variants, why, zoom
+from ..operators import contribution, dashboard, fixpoint, importing, treemap, validate, variants, why, zoom
 from .catalog import AS_OF, BY, CL, CUSTOMER, D1, E1, LABEL, N1, ORDER, PART, SUPPLIER, P, _add
 
 # contributions
 _U, _S, _T = "unique_contribution", "shared_contribution", "total_contribution"
 _add("contributions", lambda c: c.contributions.select("id", "label", _U, _S, _T).orderBy(F.col(_U).desc(), "label"), P + f"SELECT id, label, {_U}, {_S}, {_T} FROM contrib")
-_add("compute_closure", lambda c: importing.closure_pairs(c.g1.deps, c.g1.nodes.where(F.col("id") == ORDER).select(F.col("id").alias("seed"))), P + f"SELECT node, dep FROM closure WHERE node = {ORDER}")
-_add("contributions_of_some", lambda c: contribution.recomputed(c.g1, c.computed.where("computed_at is null")), P + f"SELECT id, {_U}, {_S}, {_T} FROM contrib WHERE id % 3 = 0")
+_add("compute_closure", lambda c: fixpoint.closure_pairs(c.g1.deps, c.g1.nodes.where(F.col("id") == ORDER).select(F.col("id").alias("seed"))), P + f"SELECT node, dep FROM closure WHERE node = {ORDER}")
+_add("contributions_of_some", lambda c: contribution.recomputed(c.g1, c.computed.where("computed_at is null"), c.kept), P + f"SELECT id, {_U}, {_S}, {_T} FROM contrib WHERE id % 3 = 0")
 for _by, _order in (("unique", f"{_U} DESC, label, id"), ("total", f"{_T} DESC, label, id"), ("label", "label, id")):
     _add(f"contributions_by_{_by}", lambda c, b=_by: contribution.ranked(c.contributions, b).select("id", "label", _U, _T), P + f"SELECT id, label, {_U}, {_T} FROM contrib ORDER BY {_order} LIMIT 20")
 _add("contribution_summary", lambda c: contribution.summary(c.contributions), P + f"SELECT count(*) AS top_level_count, sum({_U})::BIGINT AS unique_sum, sum({_S})::BIGINT AS shared_sum, sum({_T})::BIGINT AS total_sum, round(avg({_U}), 6) AS average_unique, round(sum({_S})::DOUBLE / sum({_T}), 6) AS sharing_ratio FROM contrib")
@@ -32,13 +32,13 @@ _add("staleness_report", lambda c: contribution.staleness(c.computed, AS_OF), P
 _add("staleness_by_source", lambda c: contribution.staleness_by_source(c.computed, AS_OF), P + _COMP + f" SELECT top_level_source, count(*) AS packages, count(*) FILTER ({_OLD}) AS stale FROM comp, lim GROUP BY 1")
 _add("mark_stale", lambda c: contribution.marked_stale(c.computed, c.g1.nodes.where("id % 4 = 0").select("id")).select("id", F.col("computed_at").isNull().alias("is_null")), P + _COMP + " SELECT id, computed_at IS NULL OR id % 4 = 0 AS is_null FROM comp")
 _add("stale_contributions", lambda c: contribution.stale_ids(c.computed, AS_OF, limit=40).select("id"), P + _COMP + f" SELECT id FROM comp, lim WHERE {_OLD} ORDER BY computed_at NULLS FIRST, id LIMIT 40")
-_add("recompute_selective", lambda c: contribution.recomputed(c.g1, contribution.stale_ids(c.computed, AS_OF)), P + _COMP + f" SELECT id, {_U}, {_S}, {_T} FROM contrib JOIN comp USING (id), lim WHERE {_OLD}")
+_add("recompute_selective", lambda c: contribution.recomputed(c.g1, contribution.stale_ids(c.computed, AS_OF), c.kept), P + _COMP + f" SELECT id, {_U}, {_S}, {_T} FROM contrib JOIN comp USING (id), lim WHERE {_OLD}")
 _UP = "w(id) AS (SELECT {0}::BIGINT UNION SELECT dependent FROM w JOIN deps ON dependency = w.id)"
 _AFF = " SELECT id, label FROM nodes JOIN w USING (id) WHERE is_top_level"
 _add("affected_by_edge", lambda c: contribution.affected_by_edge(c.g1, PART), P + ", " + _UP.format(PART) + _AFF)
 _add("affected_by_node", lambda c: contribution.affected_by_node(c.g1, CUSTOMER), P + ", " + _UP.format(CUSTOMER) + _AFF)
 _add("affected_by_top_level", lambda c: contribution.affected_by_top_level(c.g1), P + f"SELECT id, label FROM {N1} WHERE is_top_level")
-_add("affected_by_change", lambda c: contribution.recomputed(c.g1, contribution.affected_by_change(c.g1, "node", CUSTOMER)), P + ", " + _UP.format(CUSTOMER) + f" SELECT id, {_U}, {_S}, {_T} FROM contrib JOIN w USING (id)")
+_add("affected_by_change", lambda c: contribution.recomputed(c.g1, contribution.affected_by_change(c.g1, "node", CUSTOMER), c.kept), P + ", " + _UP.format(CUSTOMER) + f" SELECT id, {_U}, {_S}, {_T} FROM contrib JOIN w USING (id)")
 _add("recomputation_cost", lambda c: contribution.recomputation_cost(c.computed, contribution.stale_ids(c.computed, AS_OF)), P + _COMP + f", k AS (SELECT count(*) AS n, count(*) FILTER ({_OLD}) AS s, avg({CL}) AS m FROM comp, lim) SELECT n AS top_level_count, s AS stale_count, round(n * 10 * (1 + m / 1000), 6) AS full_ms, round(s * 10 * (1 + m / 1000), 6) AS incremental_ms, round(100 * (n - s)::DOUBLE / n, 6) AS savings_percent, CASE WHEN s = 0 THEN 'none' WHEN s > 0.5 * n THEN 'full' ELSE 'incremental' END AS recommendation FROM k")
 _add("last_computation", lambda c: contribution.last_computation(c.computed), P + _COMP + " SELECT strftime(max(computed_at), '%Y-%m-%d %H:%M:%S') AS last_computed FROM comp")
 

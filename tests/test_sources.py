@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from graphloom.operators import compare, importing
 from graphloom.sources import exports
 from graphloom.sources.graph import from_edges
-from graphloom.streaming.changes import recompute_on_changes
 
 
 def test_sinks(spark, tmp_path):
@@ -32,14 +31,6 @@ def test_json_readers(spark, tmp_path):
     assert {r.package: r.modules for r in exports.package_modules(packages).collect()} == {"a": ["w", "x"], "b": ["x"]}
 
 
-def test_changes(spark, tmp_path):
-    graph = from_edges(spark, [(1, 10), (2, 11), (11, 12)], (1, 2), convention="B")
-    spark.createDataFrame([(12,)], "node_id bigint").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("node_id bigint").parquet(str(tmp_path / "in"))
-    recompute_on_changes(stream, graph, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
-    assert [(r.id, r.total_contribution) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(2, 2)]
-
-
 def test_import_of_a_file(spark, tmp_path):
     a, b, c = "a" * 32, "b" * 32, "c" * 32
     text = [f'"{a}-zlib-1.3.drv" [label = "zlib-1.3.drv"];', f'"{b}-curl-8.0.drv" [label = "curl-8.0.drv"];', f'"{a}-zlib-1.3.drv" -> "{b}-curl-8.0.drv" [color = "red"];']
