@@ -55,8 +55,11 @@ def induced_edges(graph: Graph, ids: DataFrame) -> DataFrame:
     return graph.edges.join(ids.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(ids.select(F.col("id").alias("target_id")), "target_id", "left_semi").select("source_id", "target_id", "dependency_type")
 
 
-def subgraph(graph: Graph, *, package_type: str | None = None, limit: int = 200) -> tuple[DataFrame, DataFrame]:
+def subgraph(graph: Graph, *, ids: DataFrame | None = None, package_type: str | None = None, limit: int = 200) -> tuple[DataFrame, DataFrame]:
     """The nodes of most closure, of a type if one is given, and the edges among them."""
+    if ids is not None:
+        nodes = graph.nodes.join(ids.select("id").distinct(), "id", "left_semi")
+        return nodes, induced_edges(graph, nodes)
     nodes = graph.nodes if package_type is None else graph.nodes.where(F.col("package_type") == package_type)
     nodes = nodes.orderBy(*by_closure()).limit(limit)
     return nodes, induced_edges(graph, nodes)

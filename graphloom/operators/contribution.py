@@ -135,6 +135,14 @@ def recompute_stale(graph: Graph, computed: DataFrame, as_of: str, hours: int =
     return rows.withColumn("strategy", F.lit("full" if full else "selective"))
 
 
+def recompute_all_stale(graph: Graph, computed: DataFrame, as_of: str, hours: int = 24, max_nodes: int | None = None) -> DataFrame:
+    """Fresh contributions with their import, wherever they are stale in any import; imports without stale ones are not looked at."""
+    stale = checkpointed(stale_ids(computed, as_of, hours, max_nodes).select("id"))
+    which = graph.nodes.join(stale, "id", "left_semi").select("import_id").distinct()
+    these = Graph(graph.nodes.join(which, "import_id", "left_semi"), graph.edges.join(which, "import_id", "left_semi"))
+    return recomputed(these, stale).join(these.nodes.select("id", "import_id"), "id")
+
+
 def recomputation_cost(top: DataFrame, stale: DataFrame) -> DataFrame:
     """Estimated milliseconds of a full and of an incremental recomputation, what is saved, and which to take."""
     both = top.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.coalesce("closure_size", F.lit(0))), F.lit(0.0)).alias("mean")).crossJoin(stale.agg(F.count("*").alias("stale")))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.graph import Graph
-from .fixpoint import checkpointed, downward, reach, simple_paths, strong_components, top_by, upward
+from .fixpoint import checkpointed, downward, reach, strong_components, top_by, upward
 
 #: Dependencies that speak for a build-time variant.
 BUILD_WORDS = ["cargo", "rustc", "gcc", "clang", "hook", "wrapper", "stdenv"]
@@ -108,18 +110,42 @@ def loop_paths(graph: Graph) -> DataFrame:
     return found.groupBy("scc_id").agg(F.count("*").alias("size")).join(paths.select("scc_id", "cycle_length", cycle.alias("cycle")), "scc_id")
 
 
-def redundant_edges(graph: Graph, max_check: int | None = 1000, max_edges: int = 5) -> DataFrame:
+def redundant_edges(graph: Graph, max_check: int | None = None, max_edges: int = 5) -> DataFrame:
     """Edges with another simple path of 2 to ``max_edges`` edges around them: its length, and the path through the smallest ids.
 
-    The first ``max_check`` edges by (dependent, dependency) are checked, all if it is None.
+    The first ``max_check`` edges by (dependent, dependency) are checked, all if it is None. Lengths are tried from 2 on, and
+    only edges without a shorter bypass go on: first whether some node in the middle is reached from the dependent and reaches
+    the dependency, by tables of pairs that so many steps join, then, for the few edges that have one, the path itself. A
+    shortest bypass that avoids both ends repeats no node, so one path for each edge and node reached is enough.
     """
-    edges = graph.deps.select(F.col("dependent").alias("a"), F.col("dependency").alias("c"), F.lit("").alias("kind")).where("a <> c").distinct()
-    checked = edges if max_check is None else edges.orderBy("a", "c").limit(max_check)
-    seeds = checked.select(F.col("a").alias("seed")).distinct()
-    paths = simple_paths(edges.select(F.col("a").alias("src"), F.col("c").alias("dst"), "kind"), seeds, max_edges)
-    longer = paths.where(F.size("path") > 2).select(F.element_at("path", 1).alias("a"), F.element_at("path", -1).alias("c"), F.size("path").cast("bigint").alias("n"), "path")
-    best = longer.join(checked.select("a", "c"), ["a", "c"], "left_semi").groupBy("a", "c").agg(F.min(F.struct("n", "path")).alias("best"))
-    return best.select(F.col("a").alias("dependent"), F.col("c").alias("dependency"), (F.col("best.n") - 1).alias("bypass_length"), F.array_join(F.col("best.path").cast("array<string>"), "→").alias("bypass"))
+    edges = checkpointed(graph.deps.select(F.col("dependent").alias("a"), F.col("dependency").alias("c")).where("a <> c").distinct())
+    left = edges if max_check is None else edges.orderBy("a", "c").limit(max_check)
+    left = checkpointed(left)
+    joined = {1: edges.select(F.col("a").alias("x"), F.col("c").alias("y"))}  # (x, y): a walk of so many edges leads from x to y
+    found = []
+    for n in range(2, max_edges + 1):
+        ahead, behind = n - n // 2, n // 2
+        for k in (ahead, behind):
+            if k not in joined:  # one step more, for what an edge's dependent needs
+                step = joined[1].select(F.col("x").alias("z"), F.col("y").alias("end"))
+                joined[k] = checkpointed(joined[k - 1].join(step, F.col("y") == F.col("z")).where("x <> end").select("x", F.col("end").alias("y")).distinct())
+        middle = left.join(joined[ahead].select(F.col("x").alias("a"), F.col("y").alias("m")), "a").where("m <> c")
+        asked = checkpointed(middle.join(joined[behind].select(F.col("x").alias("m"), F.col("y").alias("c")), ["m", "c"], "left_semi").select("a", "c").distinct())
+        if asked.isEmpty():
+            continue
+        paths = asked.select("a", "c", F.col("a").alias("x"), F.array("a").alias("path"))
+        for k in range(1, n):
+            paths = paths.join(edges.select(F.col("a").alias("x"), F.col("c").alias("y")), "x").where((F.col("y") != F.col("c")) & ~F.array_contains("path", F.col("y")))
+            if n - k in joined:
+                paths = paths.join(joined[n - k].select(F.col("x").alias("y"), F.col("y").alias("c")), ["y", "c"], "left_semi")
+            paths = checkpointed(paths.groupBy("a", "c", F.col("y").alias("x")).agg(F.min(F.array_append("path", F.col("y"))).alias("path")))
+        best = checkpointed(paths.groupBy("a", "c").agg(F.min(F.array_append("path", F.col("c"))).alias("path")))
+        found.append(best.withColumn("n", F.lit(n).cast("bigint")))
+        left = checkpointed(left.join(best, ["a", "c"], "left_anti"))
+    if not found:
+        found = [left.select("a", "c", F.array("a").alias("path"), F.lit(0).cast("bigint").alias("n")).limit(0)]
+    rows = reduce(DataFrame.unionByName, found)
+    return rows.select(F.col("a").alias("dependent"), F.col("c").alias("dependency"), F.col("n").alias("bypass_length"), F.array_join(F.col("path").cast("array<string>"), "→").alias("bypass"))
 
 
 def marked_redundant(graph: Graph, max_check: int | None = None) -> DataFrame:

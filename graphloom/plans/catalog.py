@@ -231,7 +231,7 @@ _add("loop_paths", lambda c: structure.loop_paths(c.g3), P + """, c3 AS (SELECT
 cyc AS (SELECT w.scc_id, path, row_number() OVER (PARTITION BY w.scc_id ORDER BY len(path), path) AS turn FROM w JOIN hop ON dependent = w.id AND dependency = w.scc_id) SELECT scc_id, size, len(path)::BIGINT AS cycle_length, array_to_string(list_append(path, scc_id), '→') AS cycle FROM cyc JOIN (SELECT scc_id, count(*) AS size FROM m GROUP BY 1) USING (scc_id) WHERE turn = 1""")
 _RED = """, lim AS (SELECT dependent AS a, dependency AS c FROM deps WHERE import_id = 1 ORDER BY 1, 2 {0}), w(a, id, path) AS (SELECT DISTINCT a, a, [a] FROM lim UNION ALL SELECT a, dependency, list_append(path, dependency) FROM w JOIN deps ON dependent = w.id WHERE len(path) <= 5 AND NOT list_contains(path, dependency)),
 b AS (SELECT w.a, w.id AS c, path, row_number() OVER (PARTITION BY w.a, w.id ORDER BY len(path), path) AS turn FROM w JOIN lim ON lim.a = w.a AND lim.c = w.id WHERE len(path) > 2)"""
-_add("redundant_links", lambda c: structure.redundant_edges(c.g1), P + _RED.format("LIMIT 1000") + " SELECT a AS dependent, c AS dependency, len(path) - 1 AS bypass_length, array_to_string(path, '→') AS bypass FROM b WHERE turn = 1")
+_add("redundant_links", lambda c: structure.redundant_edges(c.g1), P + _RED.format("") + " SELECT a AS dependent, c AS dependency, len(path) - 1 AS bypass_length, array_to_string(path, '→') AS bypass FROM b WHERE turn = 1")
 _add("redundant_links_all", lambda c: structure.redundant_edges(c.g1, None), P + _RED.format("") + " SELECT a AS dependent, c AS dependency, len(path) - 1 AS bypass_length, array_to_string(path, '→') AS bypass FROM b WHERE turn = 1")
 _add("mark_redundant", lambda c: structure.marked_redundant(c.g1).where("is_redundant"), P + _RED.format("") + " SELECT c AS source_id, a AS target_id, TRUE AS is_redundant FROM b WHERE turn = 1")
 

@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import contribution, why
+from ..operators import browse, contribution, why
 from ..sources.folders import Folder, shared_folder
 from ..sources.graph import Graph
 from ..sources.results import ResultStore
 from ..streaming.changes import StoredGraph
-from .catalog import _TRI, N1, SUPPLIER, Context, P, _add, _found, _sim, checkpointed
+from .catalog import _TRI, AS_OF, E1, N1, PART, SUPPLIER, Context, P, _add, _found, _sim, checkpointed
 
 _NOW, _HALF_AN_HOUR, _TWO_HOURS = "2024-06-01 12:00:00", "2024-06-01 12:30:00", "2024-06-01 14:00:00"
 _CONTRIB = "id bigint, label string, package_type string, unique_contribution bigint, shared_contribution bigint, total_contribution bigint"
@@ -124,6 +124,23 @@ _add("contributions_after_batches", _stream_batches, _AFTER.format("TRUE"))
 _add("usage_states", lambda c: c.kept.states, P + "SELECT dep AS id, CASE WHEN users = 1 THEN user END AS user, users > 1 AS many FROM (SELECT dep, count(*) AS users, min(top_id) AS user FROM top_closure GROUP BY 1)")
 _add("contributions_computed", lambda c: contribution.contributions(c.g2), P + f", c2 AS (SELECT c.node AS top_id, c.dep FROM closure c JOIN nodes t ON t.id = c.node AND t.is_top_level WHERE c.import_id = 2), u2 AS (SELECT dep, count(*) AS users FROM c2 GROUP BY 1) SELECT top_id AS id, count(*) FILTER (users = 1) AS {_U}, count(*) FILTER (users > 1) AS {_S}, count(*) AS {_T} FROM c2 JOIN u2 USING (dep) GROUP BY 1")
 
+
+def _all_stale(c: Context) -> DataFrame:
+    """Every second package of two imports was computed a month ago, every third never."""
+    at = F.when(F.col("id") % 3 != 0, F.when(F.col("id") % 2 == 0, "2024-05-01 00:00:00").otherwise("2024-06-01 12:00:00"))
+    computed = c.raw.nodes.where("is_top_level").select("id", F.to_timestamp_ntz(at).alias("computed_at"))
+    return contribution.recompute_all_stale(c.raw, computed, AS_OF).select("import_id", "id", _U, _S, _T)
+
+
+_add("recompute_all_imports_stale", _all_stale, P + f""", c2 AS (SELECT c.import_id, c.node AS id, c.dep FROM closure c JOIN nodes t ON t.id = c.node AND t.is_top_level), u2 AS (SELECT dep, count(*) AS users FROM c2 GROUP BY 1)
+SELECT import_id, id, count(*) FILTER (users = 1) AS {_U}, count(*) FILTER (users > 1) AS {_S}, count(*) AS {_T} FROM c2 JOIN u2 USING (dep) WHERE id % 3 = 0 OR id % 2 = 0 GROUP BY 1, 2""")
+# a part with what is around it: the nodes are given, the edges are those between them
+_add(
+    "subgraph_of_ids",
+    lambda c: browse.subgraph(c.g1, ids=browse.around(c.g1, PART, 1).select("id"))[1],
+    P + f", s AS (SELECT {PART}::BIGINT AS id UNION SELECT dependency FROM deps WHERE dependent = {PART} UNION SELECT dependent FROM deps WHERE dependency = {PART}) SELECT source_id, target_id, dependency_type FROM {E1} WHERE source_id IN (FROM s) AND target_id IN (FROM s)",
+)
+
 # searches read the stored lists of trigrams
 _add("label_trigram_counts", lambda c: c.label_index.lists.groupBy("gram").agg(F.count("*").alias("labels"), F.sum("size").alias("sizes")), P + f", x AS (SELECT id, {_TRI.format('label')} AS t FROM {N1}) SELECT gram, count(*) AS labels, sum(size)::BIGINT AS sizes FROM (SELECT unnest(t) AS gram, len(t) AS size FROM x) GROUP BY 1")
 for _name, _text, _least in (("search_number", "order-50", 0.5), ("search_prefix", "Supplier#0000000", 0.4), ("search_nothing", "zzz qqq", 0.3), ("search_exact", "EUROPE", 1.0)):

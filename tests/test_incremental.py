@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import reachability
+from graphloom.operators import reachability, structure
 from graphloom.operators.usage import Kept, contributions_of, states
 from graphloom.sources.graph import from_edges
 from graphloom.sources.results import ResultStore
@@ -133,6 +133,36 @@ def test_one_changed_edge_walks_its_cone_only(spark):
     assert rows(kept) == plain_contributions(edges - {(1_000, 9_000)}, range(300))
 
 
+def plain_bypasses(edges, most):
+    """By all simple paths: the shortest other path of each edge, of equals the one of smallest nodes."""
+    below, found = {}, {}
+    for a, b in edges:
+        if a != b:
+            below.setdefault(a, set()).add(b)
+
+    def walk(path):
+        for x in sorted(below.get(path[-1], ())):
+            if x not in path and len(path) <= most:
+                longer = [*path, x]
+                if len(longer) > 2 and x in below[path[0]]:
+                    best = found.get((path[0], x))
+                    if best is None or (len(longer), longer) < (len(best), best):
+                        found[path[0], x] = longer
+                walk(longer)
+
+    for a in below:
+        walk([a])
+    return sorted((a, c, len(p) - 1, "→".join(map(str, p))) for (a, c), p in found.items())
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_redundant_edges(spark, seed):
+    rng = random.Random(seed)
+    edges = {(rng.randrange(11), rng.randrange(11)) for _ in range(rng.choice([14, 22, 30]))}
+    got = structure.redundant_edges(graph(spark, edges, []), None).select("dependent", "dependency", "bypass_length", "bypass").collect()
+    assert sorted(map(tuple, got)) == plain_bypasses(edges, 5)
+
+
 NOW, LATER, LATE = "2024-01-01 00:00:00", "2024-01-01 00:15:00", "2024-01-01 01:30:00"
 
 
