@@ -27,13 +27,24 @@ def diff_counts(found: DataFrame) -> DataFrame:
 
 
 def diffs_by_label(left: Graph, right: Graph) -> DataFrame:
-    """One row per label: the hashes of each side as sets; equal sets are `same`, two other sides `different`."""
-    side = lambda g, s: g.nodes.groupBy(F.col("label").alias(f"{s}_label")).agg(F.collect_set("drv_hash").alias(f"{s}_hashes"), F.min("package_type").alias(f"{s}_type"), F.sum(F.coalesce("closure_size", F.lit(0))).alias(f"{s}_closure"))
-    both = side(left, "l").join(side(right, "r"), F.col("l_label") == F.col("r_label"), "full_outer")
-    same = (F.size(F.array_except("l_hashes", "r_hashes")) == 0) & (F.size(F.array_except("r_hashes", "l_hashes")) == 0)
-    kind = F.when(F.col("l_label").isNull(), "only_right").when(F.col("r_label").isNull(), "only_left").when(same, "same").otherwise("different")
-    count = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("bigint")
-    return both.select(F.coalesce("l_label", "r_label").alias("label"), kind.alias("diff_type"), count("l_hashes").alias("l_variants"), count("r_hashes").alias("r_variants"), F.coalesce("l_closure", F.lit(0)).alias("l_closure"), F.coalesce("r_closure", F.lit(0)).alias("r_closure"))
+    """One row per label: the hashes of each side as sets; equal sets are `same`, two other sides `different`.
+
+    Hashes are counted by label and hash, then by label, in the tasks first, so a label that many nodes have is never gathered.
+    """
+
+    def side(g: Graph, l: int, r: int) -> DataFrame:
+        size = F.coalesce("closure_size", F.lit(0))
+        return g.nodes.select("label", "drv_hash", F.lit(l).alias("l"), F.lit(r).alias("r"), (size * l).alias("l_closure"), (size * r).alias("r_closure"))
+
+    each = side(left, 1, 0).unionByName(side(right, 0, 1))
+    by_hash = each.groupBy("label", "drv_hash").agg(F.max("l").alias("l"), F.max("r").alias("r"), F.sum("l_closure").alias("l_closure"), F.sum("r_closure").alias("r_closure"))
+    counts = by_hash.groupBy("label").agg(
+        F.max("l").alias("in_l"), F.max("r").alias("in_r"), F.count_if(F.col("drv_hash").isNotNull() & (F.col("l") != F.col("r"))).alias("apart"),
+        F.count_if(F.col("drv_hash").isNotNull() & (F.col("l") == 1)).alias("l_variants"), F.count_if(F.col("drv_hash").isNotNull() & (F.col("r") == 1)).alias("r_variants"),
+        F.sum("l_closure").alias("l_closure"), F.sum("r_closure").alias("r_closure"),
+    )
+    kind = F.when(F.col("in_l") == 0, "only_right").when(F.col("in_r") == 0, "only_left").when(F.col("apart") == 0, "same").otherwise("different")
+    return counts.select("label", kind.alias("diff_type"), "l_variants", "r_variants", "l_closure", "r_closure")
 
 
 def matched(left: Graph, right: Graph) -> DataFrame:

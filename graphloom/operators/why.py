@@ -115,11 +115,9 @@ def path_groups(graph: Graph, paths: DataFrame, max_groups: int | None = 10, max
     each = paths.withColumn("via", via).groupBy("via", "top_id").agg(F.min("length").alias("length"), F.bool_or("is_runtime").alias("is_runtime"))
     tops = graph.nodes.select(F.col("id").alias("top_id"), F.col("label").alias("top_label"))
     each = each.join(tops, "top_id").withColumn("lower", F.lower("top_label"))
-    shown = top_by(each, ["via"], [F.col("lower"), F.col("top_label"), F.col("top_id")], 2**31 - 1)
-    grouped = shown.groupBy("via").agg(
-        F.count("*").alias("total_dependents"), F.min("length").alias("shortest"), F.bool_or("is_runtime").alias("any_runtime"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("rank") <= max_packages, F.struct("rank", "top_label")))), lambda x: x["top_label"]), ", ").alias("top_level_packages"),
-    )
+    names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "top_label"))), lambda x: x["top_label"]), ", ")
+    shown = top_by(each, ["via"], [F.col("lower"), F.col("top_label"), F.col("top_id")], max_packages).groupBy("via").agg(names.alias("top_level_packages"))
+    grouped = each.groupBy("via").agg(F.count("*").alias("total_dependents"), F.min("length").alias("shortest"), F.bool_or("is_runtime").alias("any_runtime")).join(shown, "via")
     grouped = grouped.join(graph.nodes.select(F.col("id").alias("via"), F.col("label").alias("via_label")), "via")
     return grouped if max_groups is None else grouped.orderBy(F.col("total_dependents").desc(), (F.col("shortest") <= 1).desc(), "via_label", "via").limit(max_groups)
 
