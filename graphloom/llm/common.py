@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -62,6 +63,12 @@ def removed(table: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles and checkpoints of rounds that are over: its cleaner acts when the JVM has collected what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, so that other columns cannot clash with its results."""
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -1,32 +1,35 @@
 """Jaccard join of documents' sets of word n-grams by signature trees.
 
-1. A set is kept once for each batch of texts, with the ids of the documents that have it, as sorted 64-bit hashes of its
+1. A set is kept once for each slice of texts, with the ids of the documents that have it, as sorted 64-bit hashes of its
    n-grams; equal sets have one digest. Copies thus meet before anything is shuffled, and never as pairs.
 2. Two sets that link share one of the first ``s - ceil(0.85 s) + 1`` n-grams of either in any order that holds for all. The
    order is: n-grams not known to repeat, then those that do, by hash; a bitmap of fixed size, filled from the lowest
    hashes of all documents, says which repeat. A passage that many documents share thus comes last and brings none of
-   them together. Sets joined by such n-grams, directly or over others, are a unit; sets of two units don't link.
+   them together. Among the sets that meet, all repeats are counted, and those of like size are brought together once
+   more. Sets joined by such n-grams, directly or over others, are a unit; sets of two units don't link.
 3. Each unit is cut by size into blocks of bounded size, and a signature tree is built over two neighbouring blocks: a
    leaf holds a few sets, a node the OR of its sets' bitmaps and the range of their sizes. Pairs of nodes are
    traversed from the leaves up; a pair goes when its sizes differ too much, when the bits it has in common are too few
    for any two of its sets, or when all its sets are in one component already. What is left is intersected exactly.
-4. Where a unit has three blocks or more, only sets outside of its largest component so far are taken to the other blocks. A
-   group of near copies, however large, is in one component by then.
+4. Where a unit has three blocks or more, sets outside of its largest component so far meet the blocks further off whose
+   sizes fit. A group of near copies, however large, is in one component by then.
 
 Links are emitted as a spanning forest of each tree's sets, so a component loses no link and no group gives all its pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Bitmap, checkpointed, column, id_and_text, removed, written
+from .common import Bitmap, checkpointed, column, freed, id_and_text, removed, written
+from .periodic_runs import slices
 from .simhash import components
 
 #: Sets and n-grams of a block; one set may have more n-grams.
@@ -149,24 +152,45 @@ def _hashes(value: bytes) -> np.ndarray:
     return np.frombuffer(value, np.uint64)
 
 
-def distinct_sets(df: DataFrame, *, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(digest, owner, n, doc_ids, hashes)``: each batch's distinct sets with the documents that have them.
+#: Characters of texts whose sets a task holds at a time.
+SLICE_CHARS = 4_000_000
+
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """``(digest, owner, n, doc_ids, hashes)``: each slice's distinct sets with the documents that have them.
 
     ``owner`` is half of the digest as a number; an empty set has no digest.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    for batch in batches:
+        for part in slices(batch, SLICE_CHARS):
             found: dict[bytes, list] = {}
-            for doc_id, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist()):
+            for doc_id, text in zip(column(part, "doc_id").to_pylist(), column(part, "text").to_pylist()):
                 found.setdefault(grams(text, width).tobytes(), []).append(doc_id)
             digests = [xxhash.xxh3_128_digest(s) if s else None for s in found]
             owners = [int.from_bytes(d[:8], "big", signed=True) if d else None for d in digests]
             columns = digests, owners, [len(s) // 8 for s in found], list(found.values()), list(found)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SETS)], schema=_SETS)
 
-    plain = id_and_text(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return plain.mapInArrow(run, "digest binary, owner bigint, n bigint, doc_ids array<bigint>, hashes binary")
+
+class Sets:
+    """The sets of a table's texts; each reading makes them anew, in the task that uses them, so that they are never stored whole."""
+
+    def __init__(self, df: DataFrame, width: int, id_col: str, text_col: str):
+        self.texts, self.width = id_and_text(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint")), width
+
+    def map(self, work: Work, schema: str) -> DataFrame:
+        """``work`` on batches of ``(digest, owner, n, doc_ids, hashes)``."""
+        width = self.width
+        return self.texts.mapInArrow(lambda batches: work(_sets(batches, width)), schema)
+
+
+def with_lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(digest, n, doc_ids, lowest)``: sets with the part of their hashes that is counted."""
+    for batch in batches:
+        lowest = [h[: 8 * max(int(PROBED * len(h) / 8), 1)] for h in column(batch, "hashes").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in ("digest", "n", "doc_ids")), pa.array(lowest, pa.binary())], names=["digest", "n", "doc_ids", "lowest"])
 
 
 def repeated_grams(lowest: DataFrame, n_grams: int) -> Bitmap:
@@ -215,12 +239,19 @@ def repeated_grams(lowest: DataFrame, n_grams: int) -> Bitmap:
     return found
 
 
-def shared_prefixes(sets: DataFrame, repeated: Bitmap, percent: int) -> DataFrame:
-    """``(a, b)``: owners of sets that share an n-gram of their prefixes, each with the least owner that a task has seen with it.
+def size_class(n: int, percent: int) -> int:
+    """Sets that link are in one class or in two that follow each other; the base is a trifle more than it need be, for rounding."""
+    return int(math.log(n) / math.log(100.01 / percent))
+
 
-    An n-gram leaves a batch with one owner, so one that a third of the sets have is shuffled once for each batch.
+def shared_prefixes(run: Callable[[Work, str], DataFrame], spark: SparkSession, repeated: Bitmap, percent: int, by_size: bool = False) -> DataFrame:
+    """``(a, b)``: owners of sets that share an n-gram of their prefixes, each with an owner that was seen with it.
+
+    ``run`` applies a function to batches with the columns ``owner`` and ``hashes``. With ``by_size`` sets meet only if their size
+    classes are the same or follow each other. An n-gram leaves a batch with one owner, so one that a third of the sets
+    have is shuffled once for each batch.
     """
-    shared = sets.sparkSession.sparkContext.broadcast(repeated)
+    shared = spark.sparkContext.broadcast(repeated)
 
     def first_of(gram: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.lexsort((owner, gram))
@@ -234,8 +265,12 @@ def shared_prefixes(sets: DataFrame, repeated: Bitmap, percent: int) -> DataFram
             for s, owner in zip(map(_hashes, column(batch, "hashes").to_pylist()), column(batch, "owner").to_pylist()):
                 if len(s):
                     often = shared.value.holds(s)
-                    parts.append(np.concatenate([s[~often], s[often]])[: prefix_length(len(s), percent)])
-                    owners.append(np.full(len(parts[-1]), owner, np.int64))
+                    prefix = np.concatenate([s[~often], s[often]])[: prefix_length(len(s), percent)]
+                    if by_size:
+                        own = size_class(len(s), percent)
+                        prefix = np.concatenate([(prefix ^ np.uint64(c + 1)) * _MIX for c in (own, own + 1)])
+                    parts.append(prefix)
+                    owners.append(np.full(len(prefix), owner, np.int64))
             if parts:
                 gram, owner, met = first_of(np.concatenate(parts).view(np.int64), np.concatenate(owners))
                 a, b = met[:, met[0] != met[1]]
@@ -259,7 +294,7 @@ def shared_prefixes(sets: DataFrame, repeated: Bitmap, percent: int) -> DataFram
             out = np.unique(out[:, out[0] != out[1]], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["a", "b"])
 
-    rows = sets.where("n > 0").select("owner", "hashes").mapInArrow(prefixes, "gram bigint, a bigint, b bigint")
+    rows = run(prefixes, "gram bigint, a bigint, b bigint")
     return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(met, "a bigint, b bigint").distinct()
 
 
@@ -314,50 +349,64 @@ def in_blocks(members: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "unit bigint, n bigint, digest binary, hashes binary, block bigint")
 
 
-def set_links(sets: DataFrame, lowest: DataFrame, n_grams: int, percent: int = 85) -> DataFrame:
-    """``(a, b)``: digests of sets whose intersection is ``percent`` of their union or more; no component lacks a link.
+def roots_of(links: DataFrame) -> DataFrame:
+    """``(node, root)`` of checkpointed links, in partitions of some fifty thousand."""
+    found = components(links, max(1, links.count() // 50_000))
+    freed(links.sparkSession)
+    return found
+
+
+def set_components(sets: Sets, lowest: DataFrame, n_grams: int, percent: int = 85) -> DataFrame:
+    """``(digest, root)`` of sets that link with others, when their intersection is ``percent`` of their union or more.
 
-    ``sets`` is read twice, so that nothing but the sets of units is written whole.
+    ``sets`` are made twice, so that none but those that share an n-gram of their prefixes are written whole. Among
+    these all repeats are known, so that a second round with size classes leaves small units.
     """
-    units = components(shared_prefixes(sets, repeated_grams(lowest, n_grams), percent)).select(F.col("node").alias("owner"), F.col("root").alias("unit"))
-    units = checkpointed(units)
-    asked = Bitmap.of(units.select("owner"), lambda batch: column(batch, "owner").to_numpy(zero_copy_only=False).view(np.uint64), UNIT_BITS)
-    shared = sets.sparkSession.sparkContext.broadcast(asked)
+    spark = lowest.sparkSession
+    met = shared_prefixes(sets.map, spark, repeated_grams(lowest, n_grams), percent)
+    met = checkpointed(met.select(F.explode(F.array("a", "b")).alias("owner")).distinct())
+    shared = spark.sparkContext.broadcast(Bitmap.of(met, lambda batch: column(batch, "owner").to_numpy(zero_copy_only=False).view(np.uint64), UNIT_BITS))
 
-    def in_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def that_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(column(batch, "owner").is_valid()).select(["digest", "owner", "n", "hashes"])
             yield batch.filter(pa.array(shared.value.holds(column(batch, "owner").to_numpy(zero_copy_only=False).view(np.uint64))))
 
-    rows = sets.where("n > 0").select("digest", "owner", "n", "hashes").mapInArrow(in_units, "digest binary, owner bigint, n bigint, hashes binary")
-    asked_for = written(rows)
-    members = written(in_blocks(asked_for.join(units, "owner")))
-    removed(asked_for)
-    blocks = checkpointed(members.groupBy("unit", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    freed(spark)
+    some = written(sets.map(that_met, "digest binary, owner bigint, n bigint, hashes binary"))
+    n_grams = some.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    repeated = repeated_grams(some.select(F.col("hashes").alias("lowest")), n_grams)
+    met = shared_prefixes(some.select("owner", "hashes").mapInArrow, spark, repeated, percent, by_size=True)
+    met = checkpointed(met)
+    units = roots_of(met).select(F.col("node").alias("owner"), F.col("root").alias("unit"))
+    members = written(in_blocks(some.join(units, "owner")))
+    removed(some)
+    blocks = members.groupBy("unit", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     by_block = Window.partitionBy("unit").orderBy("block")
-    around = blocks.select("block", F.lag("block").over(by_block).alias("before"), F.lead("block").over(by_block).alias("after"))
+    blocks = checkpointed(blocks.withColumns({"place": F.row_number().over(by_block), "before": F.lag("block").over(by_block), "after": F.lead("block").over(by_block)}))
     # a tree over each block and the next one; over the block alone where its unit has no other
     group = F.expr("filter(array(before, if(after is not null or before is null, block, null)), x -> x is not null)")
-    rows = members.join(around, "block").select(F.explode(group).alias("group"), "digest", "hashes", F.lit(None).cast("binary").alias("component"))
+    rows = members.join(blocks.select("block", "before", "after"), "block").select(F.explode(group).alias("group"), "digest", "hashes", F.lit(None).cast("binary").alias("component"))
     links = checkpointed(tree_links(rows, percent))
-    wide = checkpointed(blocks.groupBy("unit").agg(F.count("*").alias("n_blocks")).where("n_blocks > 2").select("unit"))
+    found = checkpointed(roots_of(links).select(F.col("node").alias("digest"), "root"))
+    wide = blocks.where("place > 2").select("unit").distinct()
     if wide.isEmpty():
-        return links
-    # what is outside of its unit's largest component meets all blocks of the unit whose sizes fit
-    found = components(links).select(F.col("node").alias("digest"), F.col("root").alias("component"))
-    there = members.select("unit", "block", "n", "digest").join(wide, "unit", "left_semi").join(found, "digest", "left")
-    there = checkpointed(there.withColumn("component", F.coalesce("component", "digest")))
+        return found
+    # blocks that don't follow each other: what is outside of the unit's largest component meets all sets whose sizes fit
+    there = members.select("unit", "block", "digest").join(wide, "unit", "left_semi").join(found, "digest", "left")
+    there = checkpointed(there.withColumn("component", F.coalesce("root", "digest")).drop("root"))
     largest = there.groupBy("unit", "component").agg(F.count("*").alias("size")).groupBy("unit").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
-    loose = there.join(largest, "unit").where("component <> largest").select("unit", "digest", "component", "n")
-    chunks = loose.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("chunks"))
-    loose = checkpointed(loose.join(chunks, "unit").withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks"))).dropDuplicates(["digest"]))
-    fits = (100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high"))
-    asks = checkpointed(loose.join(blocks, "unit").where(fits).select("block", "chunk", "digest", "component"))
-    group = F.struct("block", "chunk").alias("group")
-    hashes = members.select("digest", "hashes").dropDuplicates(["digest"])
-    seekers = asks.join(hashes, "digest").select(group, "digest", "hashes", "component")
-    met = members.join(there.select("digest", "component").dropDuplicates(["digest"]), "digest").join(asks.select("block", "chunk").distinct(), "block").select(group, "digest", "hashes", "component")
-    more = tree_links(seekers.unionByName(met).withColumn("group", F.xxhash64("group")), percent)
-    return links.unionByName(checkpointed(more))
+    freed(spark)
+    there = checkpointed(there.join(largest, "unit").select("unit", "block", "digest", "component", (F.col("component") != F.col("largest")).alias("loose")))
+    ends = blocks.join(there.groupBy("block").agg(F.bool_or("loose").alias("has_loose")), "block").select("unit", "block", "place", "low", "high", "has_loose")
+    other = ends.select("unit", *[F.col(c).alias(f"other_{c}") for c in ends.columns[1:]])
+    fits = (F.col("place") + 1 < F.col("other_place")) & (100 * F.col("high") >= percent * F.col("other_low")) & (F.col("has_loose") | F.col("other_has_loose"))
+    pairs = checkpointed(ends.join(other, "unit").where(fits).withColumn("group", F.xxhash64("block", "other_block")))
+    sides = pairs.select("group", "block", F.col("other_has_loose").alias("whole")).unionByName(pairs.select("group", F.col("other_block").alias("block"), F.col("has_loose").alias("whole")))
+    asked = there.join(sides, "block").where("whole or loose").select("group", "digest", "component")
+    more = checkpointed(tree_links(asked.join(members.select("digest", "hashes").dropDuplicates(["digest"]), "digest"), percent))
+    freed(spark)
+    return found if more.isEmpty() else roots_of(links.unionByName(more)).select(F.col("node").alias("digest"), "root")
 
 
 def ngram_components(df: DataFrame, *, percent: int = 85, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,12 +420,11 @@ def ngram_components(df: DataFrame, *, percent: int = 85, width: int = 4, id_col
     """
     if not 1 <= percent <= 100:
         raise ValueError("percent must be from 1 to 100")
-    whole = distinct_sets(df, width=width, id_col=id_col, text_col=text_col)
-    part = F.substring("hashes", F.lit(1), (8 * F.greatest(F.floor(PROBED * F.col("n")), F.lit(1))).cast("int"))
-    sets = written(whole.select("digest", "n", "doc_ids", part.alias("lowest")))
+    whole = Sets(df, width, id_col, text_col)
+    sets = written(whole.map(with_lowest, "digest binary, n bigint, doc_ids array<bigint>, lowest binary"))
     n_grams = sets.agg(F.coalesce(F.sum(F.length("lowest")), F.lit(0)) / 8).first()[0]
     least = sets.where("n > 0").groupBy("digest").agg(F.min(F.array_min("doc_ids")).alias("least"))
-    roots = components(set_links(whole, sets.where("n > 0").select("lowest"), n_grams, percent)).select(F.col("node").alias("digest"), "root")
+    roots = set_components(whole, sets.where("n > 0").select("lowest"), n_grams, percent)
     placed = least.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_set = placed.join(names, "root").select("digest", "component_id")

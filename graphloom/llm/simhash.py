@@ -234,22 +234,27 @@ def near_links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     return met.mapInArrow(entries, "a bigint, b bigint").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, parts: int | None = None) -> DataFrame:
     """``(node, root)`` for each node of the links ``(a, b)``: the smallest node reachable; alternating large and small stars.
 
-    The links shrink to stars around the roots. Each round is checkpointed, so a lost executor costs one round.
+    The links shrink to stars around the roots. Each round is checkpointed, so a lost executor costs one round. With
+    ``parts``, rounds keep the links in so many partitions at most, which saves files where the links are few.
     """
-    edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+
+    def kept(df: DataFrame) -> DataFrame:
+        return df if parts is None else df.coalesce(parts)
+
+    edges = checkpointed(kept(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()))
     before = None
     while True:
         # large star: the larger neighbours of a node point to its smallest neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = kept(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: the smaller neighbours of a node and the node itself point to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        edges = checkpointed(small.select("e.*").where("u <> v").distinct())
+        edges = checkpointed(kept(small.select("e.*").where("u <> v").distinct()))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
