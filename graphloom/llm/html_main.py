@@ -1,7 +1,9 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block element; an element that never holds article text, by its tag, role or
-class, leaves a window of empty lines. The text lengths of a sliding window of lines are summed. Text surges where that
+class, leaves a window of empty lines. Within an article names tell so much of containers only, not of headings,
+paragraphs, tables, figures or what runs in a line, and an id, which may be an anchor, less than a class. Buttons and
+lists to choose from are text of a line that has more of its own than of theirs. The text lengths of a sliding window of lines are summed. Text surges where that
 sum rises from nothing and dives where it falls back to nothing; a stretch between is dense if its sum reaches a share of
 the page's level, and the article is what lies from the first dense stretch's surge to the last one's dive: short lines
 between them stay, and lines of links, which count nothing, if the dense text beyond them is longer than they are. The level is that of full lines at most, so one huge paragraph
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import column, map_batches, texts
 
 #: Elements whose text is no text of the page, elements and names that hold no article text, block elements.
-SILENT = "script style noscript template iframe canvas audio video textarea select button title".split()
+SILENT = "script style noscript template iframe canvas audio video textarea title".split()
+CONTROLS = "button select".split()
 CHROME = "nav header footer aside form menu dialog".split()
 CHROME_ROLES = "navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split()
 CHROME_NAMES = """ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar side-bar
@@ -37,6 +40,9 @@ footer masthead comment comments disqus cookie cookies consent newsletter popup
 NOT_CHROME_PARTS = "no has with without content layout".split()
 #: Elements of reader comments, even if each comment is an article of its own.
 COMMENT_NAMES = "comment comments comment-list commentlist reader-comments disqus".split()
+#: Within an article: elements whose class tells, those whose id tells as well, and names of adverts that tell of any but a heading.
+CONTAINERS, CONTAINERS_BY_ID = "div section ul ol aside details ins".split(), "div ul ol aside".split()
+ADVERT_NAMES, HEADINGS = "ad ads adv advert adverts advertisement advertising sponsored".split(), "h1 h2 h3 h4 h5 h6 hgroup".split()
 #: Where an element that nothing closes ends at the latest.
 UNCLOSED_UNTIL = "article main section h1 h2 p".split()
 BLOCKS = """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
@@ -48,6 +54,7 @@ FULL_LINE = 300
 _UNTIL = frozenset(UNCLOSED_UNTIL)
 _BLOCKS, _CHROME, _VOID = frozenset(BLOCKS), frozenset(CHROME), frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NAMES, _OUTSIDE, _ROLES, _COMMENTS = frozenset(CHROME_NAMES), frozenset(CHROME_NAMES_OUTSIDE), frozenset(CHROME_ROLES), frozenset(COMMENT_NAMES)
+_CONTROLS, _CONTAINERS, _BY_ID, _ADVERTS, _HEADINGS = map(frozenset, (CONTROLS, CONTAINERS, CONTAINERS_BY_ID, ADVERT_NAMES, HEADINGS))
 _PARTS, _NOT_PARTS = frozenset(CHROME_PARTS), frozenset(NOT_CHROME_PARTS)
 _RAW = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(SILENT)})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 # a tag with its quoted values whole; else, where quotes don't close, up to the next >
@@ -62,6 +69,19 @@ def _named_chrome(names: list[str], in_article: bool) -> bool:
     return any(not _PARTS.isdisjoint(parts) and _NOT_PARTS.isdisjoint(parts) for parts in (n.split("-") for n in names if "-" in n))
 
 
+def _named(element: str, key: str, names: list[str], in_article: bool) -> bool:
+    """Whether the names in an element's class or id tell that it is chrome."""
+    if element == "article":
+        return not _COMMENTS.isdisjoint(names)
+    if element in _HEADINGS:
+        return key == "class" and not in_article and _named_chrome(names, in_article)
+    if not in_article:
+        return _named_chrome(names, in_article)
+    if element not in (_CONTAINERS if key == "class" else _BY_ID):
+        return not _ADVERTS.isdisjoint(names) if key == "class" else element == "section" and not _COMMENTS.isdisjoint(names)
+    return _named_chrome(names, in_article)
+
+
 def _is_chrome(name: str, attributes: str, in_article: bool) -> bool:
     if name in _CHROME:
         return not (name == "header" and in_article)  # an article's own header holds its heading
@@ -71,7 +91,7 @@ def _is_chrome(name: str, attributes: str, in_article: bool) -> bool:
         value, key = "".join(values).lower(), key.lower()
         if key in ("class", "id"):
             names = value.replace("_", "-").split()
-            if not _COMMENTS.isdisjoint(names) if name == "article" else _named_chrome(names, in_article):
+            if _named(name, key, names, in_article):
                 return True
         elif name != "article" and (key == "role" and value in _ROLES or key == "hidden" or key == "aria-hidden" and value == "true"):
             return True
@@ -101,21 +121,25 @@ def lines_of(page: str) -> list[Line]:
     tags = [(m.start(), m.end(), "/" in (m[1], m[4]), (m[2] or m[5] or "").lower(), m[3] or m[6] or "") for m in _TAG.finditer(page)]
     closings = _closings(tags)
     lines: list[Line] = []
-    words: list[str] = []
+    words: list[tuple[str, bool]] = []  # and whether they are a control's
     pending: list[str] = []
     links, in_link, inside, articles = 0, False, [], 0
+    controls_until = -1  # number of the tag that ends the control
 
     def flush() -> None:
         nonlocal links
         text = html.unescape("".join(pending))
         pending.clear()
-        words.append(text)
+        words.append((text, i <= controls_until))
         if in_link:
             links += len(text.strip())
 
     def close() -> None:
         nonlocal links
-        text = " ".join("".join(words).split())
+        own = "".join(w for w, of_control in words if not of_control)
+        if len(own.strip()) > sum(len(w.strip()) for w, of_control in words if of_control):
+            own = "".join(w for w, _ in words)
+        text = " ".join(own.split())
         if text:
             lines.append((text, min(links, len(text)), inside[0] if inside else 0))
         words.clear()
@@ -132,13 +156,19 @@ def lines_of(page: str) -> list[Line]:
             in_link = not closing
         elif name == "br":
             flush()
-            words.append(" ")
-        elif block or (attributes and not closing and name not in _VOID):
+            words.append((" ", False))
+        elif name == "option":
+            flush()
+            words.append((" ", True))
+        elif block or name in _CONTROLS or (attributes and not closing and name not in _VOID):
             chrome = not closing and name not in _VOID and not attributes.endswith("/") and _is_chrome(name, attributes, bool(inside))
-            if block or chrome:
+            if block or chrome or name in _CONTROLS:
                 flush()
             if block:
                 close()
+            if name in _CONTROLS and not closing and not chrome and i > controls_until:
+                # one that nothing closes ends where the next block does
+                controls_until = closings.get(i) or next((k for k in range(i + 1, len(tags)) if tags[k][3] in _BLOCKS), len(tags))
             if chrome:
                 if i in closings:
                     i = closings[i]

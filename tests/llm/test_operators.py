@@ -630,6 +630,26 @@ def test_main_text_drops_nothing_else():
     assert html_main.main_text("<p>some words" * 100_000).count("\n") == 99_999
 
 
+def test_main_text_names_in_an_article():
+    """Names of containers tell within an article; those of headings, paragraphs, tables and figures don't, nor do anchors."""
+    story = "<p>" + "Real words of the story here. " * 8 + "</p>"
+    kept = """<h2 id="search">Search</h2><h2 id="comments">Comments</h2><h2 class="notice" id="cookies">Cookies</h2><table id="menu"><tr><td>Soup</td></tr></table>
+        <p class="reply">She said no.</p><figure class="promo-photo"><figcaption>A photo</figcaption></figure><section id="search"><p>How to search.</p></section>
+        <p>The <span id="menu">File</span> menu<a id="footer"></a>.</p>"""
+    gone = """<div id="comments"><p>First!</p></div><section class="comments"><p>Second!</p></section><section id="comments"><p>Third!</p></section>
+        <p class="ad">Buy now.</p><ul class="breadcrumbs"><li>Home</li></ul><div class="newsletter">Join us</div>"""
+    page = f"<body><nav>Home</nav><article>{story}{kept}{gone}{story}</article></body>"
+    assert html_main.main_text(page).split("\n")[1:-1] == ["Search", "Comments", "Cookies", "Soup", "She said no.", "A photo", "How to search.", "The File menu."]
+
+
+def test_main_text_controls():
+    """Buttons and lists to choose from within running text stay, those that stand for themselves go."""
+    story = "<p>" + "Real words of the story here. " * 8 + "</p>"
+    page = f"""<article>{story}<p>Press <button type="button">OK</button> now or pick <select><option>A<option>B</select> later.</p><div><button>Like</button> 5</div>
+        <div><button class="x"><div>Share</div></button> <select><option>One</option></select></div><p>It ends <button>here.</p>{story}</article>"""
+    assert html_main.main_text(page).split("\n")[1:-1] == ["Press OK now or pick A B later.", "5", "It ends here."]
+
+
 def test_main_text_pages(spark, small):
     found = html_main.extract_main_text(spark.read.parquet(f"{small}/pages.parquet")).collect()
     assert found and all(r.n_chars == len(r.text) and r.text for r in found)
