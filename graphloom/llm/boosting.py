@@ -20,41 +20,54 @@ class BoostedTrees:
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.start, self.trees = float(np.log(share / (1 - share))), []
+        # between all values where they are few, else between sixteenths of the rows
+        values = [np.unique(column) for column in x.T]
+        cuts = [some[:-1] if len(some) <= 17 else np.unique(np.quantile(column, np.linspace(0, 1, 17)[:-1])) for some, column in zip(values, x.T)]
+        points = np.full((x.shape[1], max(1, *map(len, cuts))), np.inf)
+        for row, some in zip(points, cuts):
+            row[: len(some)] = some
+        bins = np.stack([np.searchsorted(some, column) for some, column in zip(cuts, x.T)] + [y.astype(np.int64)], axis=1)  # cuts below the value
+        rows, times = np.unique(bins, axis=0, return_counts=True)  # equal rows once
+        bins, y, times = rows[:, :-1], rows[:, -1].astype(float), times.astype(float)
         margin = np.full(len(y), self.start)
-        cuts = [np.unique(np.quantile(column, np.linspace(0, 1, 17)[:-1])) for column in x.T]
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-margin))
-            tree = self._tree(x, y - p, p * (1 - p), cuts)
+            tree, leaf = self._tree(bins, (y - p) * times, p * (1 - p) * times, times, points)
             self.trees.append(tree)
-            margin += self.rate * self._leaf(tree, x)
+            margin += self.rate * tree[2][leaf]
         return self
 
-    def _tree(self, x: np.ndarray, slope: np.ndarray, bend: np.ndarray, cuts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Feature and cut of each inner node, and the values of the leaves, in heap order; feature -1 goes left."""
+    def _tree(self, bins: np.ndarray, slope: np.ndarray, bend: np.ndarray, times: np.ndarray, points: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """Feature and cut of each inner node, and the values of the leaves, in heap order; feature -1 goes left; and the leaf of each row.
+
+        The nodes of a level share one histogram of rows, slopes and bends by node, feature and bin.
+        """
         inner = (1 << self.depth) - 1
         feature, cut, value = np.full(inner, -1), np.zeros(inner), np.zeros(1 << self.depth)
-        node = np.zeros(len(x), np.int64)
-        for at in range(inner):
-            rows = np.flatnonzero(node == at)
-            best = 1e-6
-            whole = slope[rows].sum() ** 2 / (bend[rows].sum() + self.damping)
-            for j, points in enumerate(cuts):
-                for point in points:
-                    right = x[rows, j] > point
-                    n = int(right.sum())
-                    if min(n, len(rows) - n) < self.least_rows:
-                        continue
-                    g, h = slope[rows][right].sum(), bend[rows][right].sum()
-                    rest_g, rest_h = slope[rows].sum() - g, bend[rows].sum() - h
-                    gain = g * g / (h + self.damping) + rest_g * rest_g / (rest_h + self.damping) - whole
-                    if gain > best:
-                        best, feature[at], cut[at] = gain, j, point
-            go_right = x[rows, feature[at]] > cut[at] if feature[at] >= 0 else np.zeros(len(rows), bool)
-            node[rows] = 2 * at + 1 + go_right
-        for leaf in range(len(value)):
-            rows = np.flatnonzero(node == inner + leaf)
-            value[leaf] = slope[rows].sum() / (bend[rows].sum() + self.damping)
-        return feature, cut, value
+        n_features, n_points = points.shape
+        node = np.zeros(len(bins), np.int64)
+        cell = np.arange(n_features) * (n_points + 1) + bins
+        for level in range(self.depth):
+            nodes, first = 1 << level, (1 << level) - 1
+            at = (node[:, None] * (n_features * (n_points + 1)) + cell).ravel()
+
+            def right_of_cuts(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                sums = np.bincount(at, np.repeat(weight, n_features), nodes * n_features * (n_points + 1)).reshape(nodes, n_features, n_points + 1)
+                return sums[:, :, ::-1].cumsum(axis=2)[:, :, -2::-1], sums.sum(axis=2)[:, :, None]
+
+            (n, all_n), (g, all_g), (h, all_h) = (right_of_cuts(w) for w in (times, slope, bend))
+            gain = g * g / (h + self.damping) + (all_g - g) ** 2 / (all_h - h + self.damping) - all_g**2 / (all_h + self.damping)
+            gain[np.minimum(n, all_n - n) < self.least_rows] = 0
+            flat = gain.reshape(nodes, -1)
+            best = flat.argmax(axis=1)
+            split = np.flatnonzero(flat[np.arange(nodes), best] > 1e-6)
+            feature[first + split], cut[first + split] = best[split] // n_points, points.ravel()[best[split]]
+            place = np.full(nodes, -1)
+            place[split] = best[split] % n_points
+            f = np.maximum(feature[first + node], 0)
+            node = 2 * node + ((place[node] >= 0) & (bins[np.arange(len(bins)), f] > place[node]))
+        value = np.bincount(node, slope, len(value)) / (np.bincount(node, bend, len(value)) + self.damping)
+        return (feature, cut, value), node
 
     def _leaf(self, tree: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
         feature, cut, value = tree

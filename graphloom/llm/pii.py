@@ -6,8 +6,8 @@ end that gives a number of digits the kind may have. Boosted trees are trained o
 drawn by kind and by whether a candidate is a base span: base spans, written in looser formats and beside other numbers,
 are positive; candidates that overlap no base span, with base spans spoilt so that their checks fail, are negative, but
 those that look like personal data by their format are left out. Chances are calibrated by isotonic regression on folds
-that did not train, for each kind, and a candidate is selected from a calibrated chance of ``PRECISION`` on. Of the selected
-spans that overlap, the likeliest stays.
+that did not train, and a candidate is selected from a calibrated chance of ``PRECISION`` on. Of the selected
+spans that overlap, the likeliest stays. Four numbers with commas between them are a list, not an address.
 """
 
 from __future__ import annotations
@@ -30,8 +30,11 @@ from .common import checkpointed, column, drawn, id_and_text, texts
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 #: Bound of the sample that trains, in base spans and in other candidates of each kind; characters of context; calibrated
-#: chance from which a span is selected; folds; positives below which a kind is calibrated with all others.
-MAX_TRAINING, CONTEXT, PRECISION, FOLDS, MIN_POSITIVES = 400, 24, 0.9, 4, 20
+#: chance from which a span is selected; folds; loose spans of each kind that teach, however few base spans they are made of.
+MAX_TRAINING, CONTEXT, PRECISION, FOLDS, TAUGHT = 400, 24, 0.9, 4, 800
+#: Common last labels of hosts.
+TOP_LABELS = frozenset("""com org net edu gov mil int info biz io ai co me tv app dev uk us eu de fr it es nl be ch at pl se no dk fi cz ru ua
+cn jp kr in br mx ar au nz ca za ie pt gr tr il sg hk""".split())
 #: Characters that an address may have (64, @ and 255); longer strings are no loose addresses and don't teach.
 MAX_SPAN = 320
 
@@ -166,30 +169,39 @@ def likely(kind: str, before: str, body: str) -> bool:
     """Whether a candidate looks like personal data by its format alone, so that it can't teach what is none."""
     digits = _digits(body)
     if kind == "email":
-        return "@" in body or bool(re.search(r"[\[({]\s*(?:at|dot)", body, re.I))
+        return "@" in body or bool(re.search(r"[\[({]\s*(?:at|dot)", body, re.I)) or re.split(r"\sdot\s+", body.lower())[-1] in TOP_LABELS
     if kind == "ip":
         return "," not in body and all(int(g) <= 255 for g in re.findall("[0-9]+", body))
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
-    return 9 <= len(digits) <= 15 and (body[0] in "+(" or bool(_CUES[kind].search(before)))
+    shaped = body[0] in "+(" or digits[:2] == "00" or [len(g) for g in re.findall("[0-9]+", body)] == [3, 3, 4]
+    return 9 <= len(digits) <= 15 and (shaped or bool(_CUES[kind].search(before)))
 
 
 def features(text: str, span: Span) -> list[float]:
     """Format of the span and its context."""
     kind, start, end = span
     body, before, after = text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
-    digits = _digits(body)
-    groups = [g for g in re.split(r"[^0-9]+", body) if g]
-    parts = re.split(r"[^A-Za-z0-9-]+", body)
-    seps = {c for c in body if not c.isalnum()}
     glued = (before[-1:].isalnum() or before[-1:] in ("-", "_", "=", "/")) + 0.0
-    return [
-        float(KINDS.index(kind)), float(len(digits)), float(len(body)), float(len(groups)), float(max(map(len, groups), default=0)),
-        float(body[:1] == "+"), float("(" in body and ")" in body), float(len(seps)), float(luhn(digits) and 13 <= len(digits) <= 19),
-        float(len(groups) == 4 and all(len(g) < 4 and int(g) <= 255 for g in groups)), float("." in seps), float("\n" in body), glued,
-        float(after[:1].isalnum()), float(bool(_CUES[kind].search(before))), float(bool(_OTHER.search(before))),
-        float("@" in body), float(bool(re.search(r"[\[({]\s*(?:at|dot)|\sdot\s", body, re.I))), float(parts[-1].isalpha() and 2 <= len(parts[-1]) <= 6),
-        float(digits[:1] == "0"), float(bool(_BESIDE[0].search(before))), float(bool(_BESIDE[1].match(after))),
+    context = [
+        float(KINDS.index(kind)), glued, float(after[:1].isalnum()), float(bool(_CUES[kind].search(before))), float(bool(_OTHER.search(before))),
+        float(bool(_BESIDE[0].search(before))), float(bool(_BESIDE[1].match(after))),
+    ]
+    if kind == "email":
+        sign = _SIGN.search(body)
+        host = body[sign.end() :]
+        dots = len(re.findall(r"\S\.\S", host)), len(re.findall(r"[\[({]\s*dot", host, re.I)), len(re.findall(r"\sdot\s", host, re.I))
+        written = 0.0 if "@" in sign.group() else 1.0 if sign.group()[0] in "[({" else 2.0
+        last, more = re.split(r"[^A-Za-z0-9-]+", body)[-1].lower(), re.match(rf"{_DOT}[A-Za-z]", text[end : end + CONTEXT], re.I)
+        return context + [written, float(body[sign.start() - 1].isspace()), *map(float, dots), float(last in TOP_LABELS), float(last.isalpha() and 2 <= len(last) <= 6), float(more is not None)] + [0.0] * 13
+    groups = [g for g in re.split(r"[^0-9]+", body) if g]
+    between = re.findall(r"[^0-9]+", body.lstrip("+(").rstrip(")"))
+    digits, seps = "".join(groups), {c for c in body if not c.isalnum()}
+    return context + [0.0] * 8 + [
+        float(len(digits)), float(len(groups)), float(max(map(len, groups))), float(len(groups[0])), float(len(groups[-1])),
+        float(body[:1] == "+") + 2.0 * (digits[:2] == "00" and digits[:3] != "000"), float("(" in body and ")" in body), float(len(seps)),
+        float(13 <= len(digits) <= 19 and luhn(digits)), float(len(groups) == 4 and all(len(g) < 4 and int(g) <= 255 for g in groups)),
+        float("." in seps) + 2.0 * ("," in seps), float("\n" in body), float(len(set(between))),
     ]
 
 
@@ -228,18 +240,25 @@ def _likeliest(chance: np.ndarray, spans: list[Span]) -> Iterator[int]:
 
 def _looser(kind: str, body: str, draw: random.Random) -> str:
     """A base span in a looser format of its kind."""
+    number = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
     if kind == "email":
         at, dot = draw.choice([(" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" @ ", "."), (" (at) ", "."), (" [at] ", " [dot] ")])
-        name, _, host = (re.sub("[0-9]", "", body) if draw.random() < 0.5 else body).partition("@")
-        return name.strip(".-_") + at + host.replace(".", dot)
+        name, _, host = body.partition("@")
+        name = draw.choice([name, re.sub("[0-9]", "", name), re.split("[^A-Za-z]", name)[0] + draw.choice(["", number(2)])])
+        labels = draw.choice([host, ".".join(host.split(".")[-2:])]).split(".")
+        host = ".".join([*labels[:-1], draw.choice([labels[-1], draw.choice(sorted(TOP_LABELS))])])
+        return (name.strip(".-_") or "info") + at + host.replace(".", dot)
     if kind == "ip":
-        return body.replace(".", draw.choice([" . ", "[.]", "(.)", ", "]))
+        private = draw.choice([body, body, f"10.0.{draw.randrange(3)}.{draw.randrange(256)}", f"192.168.{draw.randrange(2)}.{draw.randrange(256)}"])
+        return private.replace(".", draw.choice([" . ", "[.]", "(.)"]))
     digits = _digits(body)
     if kind == "card":
         sep = draw.choice([".", "/", "_", "  ", "-"])
         return sep.join(digits[i : i + 4] for i in range(0, len(digits), 4))
     last = digits[-10:]
-    return draw.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}", "00" + digits[:-10] + " {} {} {}"]).format(last[:3], last[3:6], last[6:])
+    abroad = "00" + draw.choice([digits[:-10] or "1", str(draw.randrange(20, 99))])
+    form = draw.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}", abroad + " {} {} {}", abroad + " {} {}{}", abroad + "{} {}{}"])
+    return form.format(last[:3] if draw.random() < 0.5 or not form.startswith("00") else last[:2], last[3:6], last[6:])
 
 
 def _spoilt(kind: str, body: str, draw: random.Random) -> str:
@@ -247,30 +266,33 @@ def _spoilt(kind: str, body: str, draw: random.Random) -> str:
     number = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
     if kind == "email":
         name, _, host = body.partition("@")
-        return draw.choice(["{0} at the", "{0} @ the", "@{0} the", "{1} at {2}"]).format(name[:6], re.sub("[^a-z]", "", name) or "look", host)
+        word = re.sub("[^a-z]", "", name) or "look"
+        return draw.choice(["{0} at the", "{0} @ the", "@{0} the", "{1} at {2}", "{1} at the dot on", "{1} at noon. Then", "{1} at one dot of"]).format(name[:6], word, draw.choice([host, ".".join(host.split(".")[-2:])]))
     if kind == "ip":
-        return draw.choice([f"{draw.randrange(1, 20)}.{draw.randrange(30)}.{draw.randrange(300, 999)}.{draw.randrange(300, 999)}", f"{number(3)}, {number(3)}, {number(3)}, {number(3)}", "1, 2, 3, 4"])
+        return draw.choice([f"{draw.randrange(1, 20)}.{draw.randrange(30)}.{draw.randrange(300, 999)}.{draw.randrange(300, 999)}", f"{number(3)}, {number(3)}, {number(3)}, {number(3)}", ", ".join(str(draw.randrange(256)) for _ in range(4))])
     if kind == "card":
         digits = list(_digits(body) or number(16))
         digits[-1] = str((int(digits[-1]) + draw.randrange(1, 9)) % 10)
         return draw.choice(["", ".", "/", "-"]).join("".join(digits[i : i + 4]) for i in range(0, len(digits), 4))
-    return draw.choice([f"{draw.randrange(1900, 2030)}-{number(2)}-{number(2)}", number(8), number(12), f"{number(4)}/{number(2)}/{number(2)}", f"{number(2)}.{number(3)}.{number(3)}", f"{number(3)} {number(3)} {number(3)} {number(3)}", f"{draw.randrange(1900, 2030)}-{draw.randrange(1900, 2030)}"])
+    year = draw.randrange(1900, 2030)
+    return draw.choice([f"{year}-{number(2)}-{number(2)}", f"{number(1)}-{number(4)}-{number(4)}-{number(1)}", f"978-{number(1)}-{number(4)}-{number(4)}-{number(1)}", f"{year}-{number(2)}-{number(2)} {number(2)}", f"{number(2)}.{number(4)} {number(2)}.{number(4)}", number(8), number(10), number(12), f"{number(4)}/{number(2)}/{number(2)}", f"{number(2)}.{number(3)}.{number(3)}", f"{number(3)} {number(3)} {number(3)} {number(3)}", f"{year}-{draw.randrange(1900, 2030)}"])
 
 
 @dataclass
 class SpanModel:
-    """Trees, and for each kind that could be learnt the knots that turn their output into calibrated chances."""
+    """Trees, the kinds that could be learnt, and the knots that turn the trees' output into calibrated chances."""
 
     trees: BoostedTrees
-    knots: dict[str, tuple[np.ndarray, np.ndarray]]
+    kinds: frozenset[str]
+    knots: tuple[np.ndarray, np.ndarray] | None
 
     def chances(self, text: str, spans: list[Span]) -> np.ndarray:
         raw = self.trees.chance(np.array([features(text, c) for c in spans]))
-        return np.array([np.interp(p, *self.knots[c[0]]) for p, c in zip(raw.tolist(), spans)])
+        return np.interp(raw, *self.knots)
 
     def select(self, text: str, base: list[Span]) -> list[Span]:
         """Selected candidates that overlap neither a base span nor a likelier one."""
-        free = [c for c in _free(text, base) if c[0] in self.knots] if self.knots else []
+        free = [c for c in _free(text, base) if c[0] in self.kinds] if self.kinds else []
         if not free:
             return []
         chance = self.chances(text, free)
@@ -294,9 +316,9 @@ def _isotonic(chance: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.nda
 def train(sample: list[tuple[str, str, str, str, bool]], seed: int = 3) -> SpanModel:
     """A model from (kind, before, body, after, is base span) of sampled candidates."""
     draw = random.Random(seed)
-    rows: list[list[tuple[list[float], int, Span]]] = []
+    folds: list[list[list[tuple[list[float], int, Span]]]] = [[] for _ in range(FOLDS)]
 
-    def add(kind: str, before: str, body: str, after: str, label: int) -> None:
+    def add(fold: int, kind: str, before: str, body: str, after: str, label: int) -> None:
         text = before + body + after
         own = (kind, len(before), len(before) + len(body))
         near = [span for span in candidates(text) if span[1] < own[2] and own[1] < span[2]]
@@ -305,46 +327,45 @@ def train(sample: list[tuple[str, str, str, str, bool]], seed: int = 3) -> SpanM
         doubtful = lambda span: _alone(span[0], body_of(span)) or not label and span != own and likely(span[0], text[: span[1]], body_of(span))
         found = [(features(text, span), int(label and span == own), span) for span in near if label and span == own or not doubtful(span)]
         if found:
-            rows.append(found)
-
-    for kind, before, body, after, is_base in sorted(sample):
-        if is_base:
-            for _ in range(2):
-                add(kind, before, _looser(kind, body, draw), after, 1)
-                add(kind, before, _spoilt(kind, body, draw), after, 0)
-            if kind != "email":
-                for left in (True, False, True, False):
-                    crowded = body if kind == "card" or draw.random() < 0.5 else _looser(kind, body, draw)
-                    number = "".join(draw.choice("0123456789") for _ in range(draw.choice([16, 16, 4, 3]) if kind == "card" else draw.randrange(1, 6)))
-                    if kind == "phone" and draw.random() < 0.5:
-                        number = ".".join(str(draw.randrange(1, 256)) for _ in range(4))
-                    add(kind, *((before + number + " ", crowded, after) if left else (before, crowded, " " + number + after)), 1)
-        elif not likely(kind, before, body):
-            add(kind, before, body, after, 0)
+            folds[fold].append(found)
+
+    sample = sorted(sample)
+    for kind in KINDS:
+        base = [row[1:4] for row in sample if row[0] == kind and row[4]]
+        for i in range(TAUGHT if base else 0):
+            fold, (before, body, after) = i % len(base) % FOLDS, base[i % len(base)]  # a base span is in one fold only
+            add(fold, kind, before, _looser(kind, body, draw), after, 1)
+            add(fold, kind, before, _spoilt(kind, body, draw), after, 0)
+            for left in (True, False) if kind != "email" else ():
+                crowded = body if kind == "card" or draw.random() < 0.5 else _looser(kind, body, draw)
+                number = "".join(draw.choice("0123456789") for _ in range(draw.choice([16, 16, 4, 3]) if kind == "card" else draw.randrange(1, 6)))
+                if kind == "phone" and draw.random() < 0.5:
+                    number = ".".join(str(draw.randrange(1, 256)) for _ in range(4))
+                add(fold, kind, *((before + number + " ", crowded, after) if left else (before, crowded, " " + number + after)), 1)
+    for i, (kind, before, body, after, is_base) in enumerate(sample):
+        if not is_base and not likely(kind, before, body):
+            add(i % FOLDS, kind, before, body, after, 0)
+    rows = [found for fold in folds for found in fold]
     if len({label for found in rows for _, label, _ in found}) < 2:
-        return SpanModel(BoostedTrees(), {})
-    draw.shuffle(rows)
+        return SpanModel(BoostedTrees(), frozenset(), None)
     fit = lambda some: BoostedTrees().fit(np.array([r[0] for found in some for r in found]), np.array([r[1] for found in some for r in found], float))
-    held: dict[str, list[tuple[float, int]]] = {kind: [] for kind in KINDS}
-    for fold in range(FOLDS):
-        trees = fit([found for i, found in enumerate(rows) if i % FOLDS != fold])
-        for found in rows[fold::FOLDS]:
-            chances = trees.chance(np.array([r[0] for r in found]))
-            for i in _likeliest(chances, [r[2] for r in found]):
-                held[found[i][2][0]].append((float(chances[i]), found[i][1]))
-    knots, everything = {}, [pair for pairs in held.values() for pair in pairs]
-    for kind, pairs in held.items():
-        positives = sum(y for _, y in pairs)
-        if positives:
-            some = pairs if positives >= MIN_POSITIVES else everything
-            knots[kind] = _isotonic(np.array([c for c, _ in some]), np.array([y for _, y in some], float))
-    return SpanModel(fit(rows), knots)
-
-
-def fit_spans(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> SpanModel:
+    held: list[tuple[float, int]] = []
+    for rest in folds:
+        others = [found for fold in folds if fold is not rest for found in fold]
+        if not rest or not others:
+            continue
+        chances = fit(others).chance(np.array([r[0] for found in rest for r in found]))
+        for found in rest:
+            own, chances = chances[: len(found)], chances[len(found) :]
+            held += [(float(own[i]), found[i][1]) for i in _likeliest(own, [r[2] for r in found])]
+    kinds = frozenset(span[0] for found in rows for _, label, span in found if label)
+    return SpanModel(fit(rows), kinds, _isotonic(np.array([c for c, _ in held]), np.array([y for _, y in held], float)))
+
+
+def fit_spans(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", max_training: int = MAX_TRAINING) -> SpanModel:
     """Train on candidates of the smallest seeded hash, over all documents; only they reach the driver.
 
-    At most ``MAX_TRAINING`` base spans and as many other candidates of each kind are drawn. A kind without a base span
+    At most ``max_training`` base spans and as many other candidates of each kind are drawn. A kind without a base span
     in the corpus can't be learnt, and none of its spans is added.
     """
 
@@ -369,7 +390,7 @@ def fit_spans(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id"
     sample = []
     for (kind, is_base), n in sorted(counts.items()):
         some = rows.where((F.col("kind") == kind) & (F.col("is_base") == is_base))
-        sample += drawn(some, "draw", MAX_TRAINING, n, 0, 2**56 - 1).collect()
+        sample += drawn(some, "draw", max_training, n, 0, 2**56 - 1).collect()
     return train([tuple(r)[1:] for r in sample])
 
 
@@ -377,14 +398,14 @@ def _written(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
 
 
-def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_training: int = MAX_TRAINING) -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)`` of each whole text.
 
     Counts and digest are of the base spans; ``spans`` has all, as kind:start:end in code points. Null and empty
     texts have none (the digest is that of the empty string). Equal chances go to the span that starts first, then
     the longer. Repeated rows get equal results; an empty table gives an empty result, with no model needed.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit_spans(docs, text_col=text_col, id_col=id_col))
+    shared = docs.sparkSession.sparkContext.broadcast(fit_spans(docs, text_col=text_col, id_col=id_col, max_training=max_training))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
