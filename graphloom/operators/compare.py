@@ -12,13 +12,14 @@ from .fixpoint import simple_paths, top_by, upward
 
 def diffs(left: Graph, right: Graph) -> DataFrame:
     """Full outer join by label; equal labels on a side multiply. The package type is that of the left if it has one."""
-    side = lambda g, s: g.nodes.select(F.col("label").alias(f"{s}_label"), F.col("id").alias(f"{s}_id"), F.col("drv_hash").alias(f"{s}_hash"), F.col("package_type").alias(f"{s}_type"), F.col("closure_size").alias(f"{s}_closure"), F.col("is_top_level").alias(f"{s}_top"))
+    depth = lambda g: F.col("depth") if "depth" in g.nodes.columns else F.lit(None).cast("bigint")
+    side = lambda g, s: g.nodes.select(depth(g).alias(f"{s}_depth"), F.col("label").alias(f"{s}_label"), F.col("id").alias(f"{s}_id"), F.col("drv_hash").alias(f"{s}_hash"), F.col("package_type").alias(f"{s}_type"), F.col("closure_size").alias(f"{s}_closure"), F.col("is_top_level").alias(f"{s}_top"))
     both = side(left, "l").join(side(right, "r"), F.col("l_label") == F.col("r_label"), "full_outer")
     kind = F.when(F.col("l_id").isNull(), "only_right").when(F.col("r_id").isNull(), "only_left").when(F.col("l_hash") == F.col("r_hash"), "same").otherwise("different")
     impact = F.coalesce("r_closure", F.lit(0)) - F.coalesce("l_closure", F.lit(0))
     return both.select(
         F.coalesce("l_label", "r_label").alias("label"), F.coalesce("l_type", "r_type").alias("package_type"), kind.alias("diff_type"), "l_id", "r_id", "l_hash", "r_hash",
-        impact.alias("closure_impact"), F.coalesce("l_top", "r_top").alias("is_top_level"), "l_closure", "r_closure", "l_top", "r_top",
+        impact.alias("closure_impact"), F.coalesce("l_top", "r_top").alias("is_top_level"), "l_closure", "r_closure", "l_top", "r_top", "l_depth", "r_depth",
     )
 
 

@@ -239,7 +239,7 @@ _add("mark_redundant", lambda c: structure.marked_redundant(c.g1).where("is_redu
 _DIFF = """, l AS (SELECT * FROM n WHERE import_id = 1), r AS (SELECT * FROM n WHERE import_id = 2), diff AS (
   SELECT coalesce(l.label, r.label) AS label, coalesce(l.package_type, r.package_type) AS package_type, CASE WHEN l.id IS NULL THEN 'only_right' WHEN r.id IS NULL THEN 'only_left' WHEN l.drv_hash = r.drv_hash THEN 'same' ELSE 'different' END AS diff_type,
     l.id AS l_id, r.id AS r_id, l.drv_hash AS l_hash, r.drv_hash AS r_hash, coalesce(r.closure_size, 0) - coalesce(l.closure_size, 0) AS closure_impact, coalesce(l.is_top_level, r.is_top_level) AS is_top_level,
-    l.closure_size AS l_closure, r.closure_size AS r_closure, l.is_top_level AS l_top, r.is_top_level AS r_top FROM l FULL JOIN r ON l.label = r.label)"""
+    l.closure_size AS l_closure, r.closure_size AS r_closure, l.is_top_level AS l_top, r.is_top_level AS r_top, l.depth AS l_depth, r.depth AS r_depth FROM l FULL JOIN r ON l.label = r.label)"""
 _CAT = S.case("lower(label)", L.CATEGORIES, "CASE package_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.CATEGORY_OF_TYPE.items()) + " ELSE 'Other' END")
 _LCAT = S.case("lower(label)", L.LABEL_CATEGORIES, "'Other'")
 _add("compare_imports", lambda c: c.diffs.select("label", "package_type", "diff_type", "l_id", "r_id", "closure_impact"), P + _DIFF + " SELECT label, package_type, diff_type, l_id, r_id, closure_impact FROM diff")
@@ -293,12 +293,12 @@ _add("version_text", lambda c: text.version_text(compare.version_changes(c.g1, c
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalog_exports, catalog_more, catalog_stored, catalog_views  # noqa: F401
+    from . import catalog_exports, catalog_more, catalog_reports, catalog_stored, catalog_views  # noqa: F401
 
     return {name: (lambda build: lambda spark, sf_dir: build(context(spark, sf_dir)))(build) for name, (build, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_exports, catalog_more, catalog_stored, catalog_views  # noqa: F401
+    from . import catalog_exports, catalog_more, catalog_reports, catalog_stored, catalog_views  # noqa: F401
 
     return {name: sql for name, (_, sql) in _QUERIES.items() if sql is not None}
