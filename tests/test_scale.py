@@ -4,8 +4,9 @@ import random
 
 import pytest
 
-from graphloom.operators import reachability
+from graphloom.operators import compare, fixpoint, reachability, structure
 from graphloom.plans import catalog
+from graphloom.sources import graph as source
 
 
 def reached(edges):
@@ -43,3 +44,13 @@ def test_stages_are_computed_for_those_who_ask(spark, small):
     c = catalog.Context(spark, small)
     assert c.s1.nodes.count() == c.g1.nodes.count()
     assert {i for _, i in c._stages} == {1}
+
+
+def test_redundant_edges_leave_out_what_no_path_goes_through(spark, monkeypatch):
+    """Of many packages over two nodes none can be bypassed, so no walk starts there; the one edge below that can be is found."""
+    rows = [(1_000 + i, j) for i in range(200) for j in (1, 2)] + [(1, 3), (1, 4), (4, 3), (2, 4)]
+    sizes = []
+    monkeypatch.setattr(structure, "checkpointed", lambda df: sizes.append(out := fixpoint.checkpointed(df)) or out)
+    found = structure.redundant_edges(source.from_edges(spark, rows, convention="B")).collect()
+    assert [(r.dependent, r.dependency, r.bypass) for r in found] == [(1, 3, "1→4→3")]
+    assert all(df.count() < 20 for df in sizes[4:])  # after the edges, what is inside, and the edges into and out of it
