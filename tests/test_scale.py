@@ -54,3 +54,25 @@ def test_redundant_edges_leave_out_what_no_path_goes_through(spark, monkeypatch)
     found = structure.redundant_edges(source.from_edges(spark, rows, convention="B")).collect()
     assert [(r.dependent, r.dependency, r.bypass) for r in found] == [(1, 3, "1→4→3")]
     assert all(df.count() < 20 for df in sizes[4:])  # after the edges, what is inside, and the edges into and out of it
+
+
+def test_differences_are_counted_without_pairs(spark):
+    """Groups, pages and lone rows are those of the pairs, with null labels, types and hashes, and copies on both sides."""
+    columns = "id bigint, label string, drv_hash string, package_type string, closure_size bigint, is_top_level boolean"
+    draw = random.Random(3)
+    pick = lambda *values: draw.choice(values)
+    side = lambda at: source.Graph(spark.createDataFrame([(at + i, pick("a", "B", "b", "c", None, f"x{at}"), pick("h1", "h2", None), pick("library", "font", None), pick(1, 5, None), False) for i in range(60)], columns), None)
+    left, right = side(0), side(1_000)
+    pairs, groups = compare.diffs(left, right), compare.diff_groups(left, right)
+    plain = lambda df: sorted(map(str, (tuple(r) for r in df.collect())))
+    for count in (compare.diff_counts, compare.category_counts, compare.label_category_counts, compare.category_summaries, compare.json_report):
+        assert plain(count(groups)) == plain(count(pairs))
+    assert plain(compare.lone_diffs(left, right)) == plain(pairs.where("diff_type like 'only%'"))
+    for offset in (0, 3, 50, 400):
+        assert compare.page_of(left, right, groups, "Other", offset, 20).collect() == compare.page(pairs, "Other", offset, 20).collect()
+
+
+def test_many_copies_of_a_label_on_both_sides(spark):
+    """Four million pairs of one label are one group."""
+    nodes = lambda at: source.Graph(spark.range(at, at + 2_000).selectExpr("id", "'same' as label", "cast(id as string) as drv_hash", "'font' as package_type", "3L as closure_size", "false as is_top_level"), None)
+    assert [tuple(r) for r in compare.diff_groups(nodes(0), nodes(1_000)).orderBy("diff_type").collect()] == [("same", "font", "different", 3_999_000, 0), ("same", "font", "same", 1_000, 0)]
