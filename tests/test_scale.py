@@ -76,3 +76,9 @@ def test_many_copies_of_a_label_on_both_sides(spark):
     """Four million pairs of one label are one group."""
     nodes = lambda at: source.Graph(spark.range(at, at + 2_000).selectExpr("id", "'same' as label", "cast(id as string) as drv_hash", "'font' as package_type", "3L as closure_size", "false as is_top_level"), None)
     assert [tuple(r) for r in compare.diff_groups(nodes(0), nodes(1_000)).orderBy("diff_type").collect()] == [("same", "font", "different", 3_999_000, 0), ("same", "font", "same", 1_000, 0)]
+
+
+def test_variants_by_hash_wait_for_no_stage(spark, small, monkeypatch):
+    monkeypatch.setattr(catalog, "_contexts", {})
+    assert catalog.queries()["variants_by_hash"](spark, small).count() > 0
+    assert not catalog.context(spark, small)._stages
