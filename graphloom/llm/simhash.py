@@ -24,12 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, id_and_text, map_batches, numbered, texts
+from .common import checkpointed, column, freed, id_and_text, map_batches, numbered, texts
 
 #: Shingles hashed at a time; members from which a table entry is dealt to the other segment's halves.
 HASH_BLOCK, LARGE_ENTRY = 65_536, 512
 #: Comparisons of an entry up to which entries are compared together, and from which values near by are looked up instead.
 FEW_COMPARED, MAX_COMPARED = 1 << 12, 1 << 22
+#: Comparisons made at a time, some 50 bytes each; links from which a round of stars has another partition.
+BLOCK_COMPARED, ROUND_LINKS = 1 << 18, 50_000
 #: All differences of at most 3 bits in 16.
 _NEAR_16 = np.array(sorted({sum(1 << b for b in bits) for n in range(4) for bits in combinations(range(16), n)}), np.uint64)
 
@@ -99,7 +101,7 @@ def entry_links(members: np.ndarray, seekers: np.ndarray, distance: int, shift:
                 yield int(all_of[i]), int(all_of[j])
 
     if shift is None or len(members) * len(all_of) <= MAX_COMPARED:
-        step = max(1, MAX_COMPARED // len(all_of))
+        step = max(1, BLOCK_COMPARED // len(all_of))
         for at in range(0, len(members), step):
             x, y = np.nonzero(np.bitwise_count(members[at : at + step, None] ^ all_of) <= distance)
             apart = x + at < y
@@ -196,7 +198,7 @@ def near_links(distinct: DataFrame, distance: int = 3) -> DataFrame:
         at = np.flatnonzero(np.repeat(few, size) & ~seeks)
         after = (np.repeat(first + size, size)[at] - at - 1) if len(at) else at
         ends = np.cumsum(after)
-        cuts = np.searchsorted(ends, np.arange(0, int(ends[-1]) if len(ends) else 0, MAX_COMPARED), "left").tolist()
+        cuts = np.searchsorted(ends, np.arange(0, int(ends[-1]) if len(ends) else 0, BLOCK_COMPARED), "left").tolist()
         for low, high in zip(cuts, [*cuts[1:], len(at)]):
             n = after[low:high]
             x = np.repeat(at[low:high], n)
@@ -271,7 +273,9 @@ def near_duplicates(df: DataFrame, *, distance: int = 3, width: int = 3, seed: i
     """
     prints = checkpointed(fingerprints(df, width=width, seed=seed, id_col=id_col, text_col=text_col))
     distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    roots = components(near_links(distinct, distance)).withColumnRenamed("node", "fingerprint")
+    links = checkpointed(near_links(distinct, distance))
+    roots = components(links, max(1, links.count() // ROUND_LINKS)).withColumnRenamed("node", "fingerprint")
+    freed(df.sparkSession)
     placed = distinct.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = placed.join(names, "root").select("fingerprint", "component_id")
