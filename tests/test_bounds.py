@@ -1,7 +1,9 @@
 """Bounds on what queries over one import store and read."""
 
+from graphloom.operators import browse
 from graphloom.plans import catalog
 from graphloom.sources import graph as source
+from graphloom.sources import label_index
 
 
 def test_a_query_over_one_import_stores_no_other(spark, small):
@@ -13,3 +15,29 @@ def test_a_query_over_one_import_stores_no_other(spark, small):
     whole = source.from_tables(spark, small)
     assert c.raw.nodes.exceptAll(whole.nodes).isEmpty() and whole.nodes.exceptAll(c.raw.nodes).isEmpty()
     assert c.raw.edges.exceptAll(whole.edges).isEmpty() and whole.edges.exceptAll(c.raw.edges).isEmpty()
+
+
+def test_lists_are_dealt_by_how_many_labels_there_are(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(label_index, "DEALT_LABELS", 5)
+    nodes = spark.range(200).selectExpr("1L as import_id", "id", "case when id = 7 then null when id = 8 then '--' else concat('Order-', id) end as label")
+    plain = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        index = label_index.LabelIndex(spark, str(tmp_path)).write(nodes)
+    finally:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+    of_one_bucket = index.lists.where("gram = 'ord'")
+    assert of_one_bucket.count() == 198 and len(of_one_bucket.select("_metadata.file_path").distinct().collect()) > 4
+
+
+def test_similarity_of_defined_packages_is_counted_from_shared_trigrams(spark, monkeypatch):
+    """None is computed for a pair: a fallback that made trigrams of each candidate anew is gone, and the results are its results."""
+    assert not hasattr(browse, "trigrams")
+    labels = ["git", "git-lfs", "gitolite", "vim", "Vim-full", None, "--", "firefox-esr"]
+    nodes = spark.createDataFrame([(i, label) for i, label in enumerate(labels)], "id bigint, label string")
+    names = spark.createDataFrame([("git",), ("git-lfs",), ("firefox-esr",), ("nothing",), ("git",), (None,)], "name string")
+    monkeypatch.setattr(browse, "similarity", None)
+    found = {r.name: r.id for r in browse.defined_packages(source.Graph(nodes, None), names).collect()}
+    assert found == {"git": 0, "git-lfs": 0, "firefox-esr": 7, "nothing": None, None: None}
