@@ -1,6 +1,6 @@
 """Bounds on what queries over one import store and read."""
 
-from graphloom.operators import browse
+from graphloom.operators import browse, usage
 from graphloom.plans import catalog
 from graphloom.sources import graph as source
 from graphloom.sources import label_index
@@ -41,3 +41,13 @@ def test_similarity_of_defined_packages_is_counted_from_shared_trigrams(spark, m
     monkeypatch.setattr(browse, "similarity", None)
     found = {r.name: r.id for r in browse.defined_packages(source.Graph(nodes, None), names).collect()}
     assert found == {"git": 0, "git-lfs": 0, "firefox-esr": 7, "nothing": None, None: None}
+
+
+def test_changed_edges_are_found_in_one_pass(spark, monkeypatch):
+    """Edges of both graphs meet once, doubles and types aside; the difference takes no EXCEPT ALL, which repeats rows."""
+    before = source.from_edges(spark, [(2, 1), (3, 2), (3, 2), (4, 3)], top=(4, 5), convention="B")
+    after = source.from_edges(spark, [(2, 1), (3, 2), (5, 3), (5, 1)], top=(4, 5), convention="B")
+    kept = usage.Kept.of(before)
+    monkeypatch.setattr(type(before.nodes), "exceptAll", lambda a, b, plain=type(before.nodes).exceptAll: plain(a, b) if a.columns == ["id"] else 1 / 0)
+    found = {r.id: r.total_contribution for r in kept.changed(before, after)[0].contributions.collect()}
+    assert found == {5: 3}
