@@ -51,3 +51,14 @@ def test_changed_edges_are_found_in_one_pass(spark, monkeypatch):
     monkeypatch.setattr(type(before.nodes), "exceptAll", lambda a, b, plain=type(before.nodes).exceptAll: plain(a, b) if a.columns == ["id"] else 1 / 0)
     found = {r.id: r.total_contribution for r in kept.changed(before, after)[0].contributions.collect()}
     assert found == {5: 3}
+
+
+def test_rounds_go_over_the_edges_below_packages(spark, monkeypatch):
+    """Of 200 nodes that nothing depends on one is a package: states and closures are made from its edges and those below, stored once."""
+    rows = [(1_000 + i, j) for i in range(200) for j in (1, 2)] + [(1, 3), (3, 4), (1, 3), (1_000, 3)]
+    given = []
+    monkeypatch.setattr(usage, "spread", lambda edges, *more, plain=usage.spread: given.append(edges) or plain(edges, *more))
+    monkeypatch.setattr(usage, "reached_counts", lambda edges, plain=usage.reached_counts: given.append(edges) or plain(edges))
+    kept = usage.Kept.of(source.from_edges(spark, rows, top=(1_000,), convention="B"))
+    assert [tuple(r) for r in kept.contributions.collect()] == [(1_000, 4, 0, 4)]
+    assert [edges.count() for edges in given] == [5, 5] and all(f.endswith(".parquet") for f in given[0].inputFiles()) and given[0].inputFiles()
