@@ -62,3 +62,13 @@ def test_rounds_go_over_the_edges_below_packages(spark, monkeypatch):
     kept = usage.Kept.of(source.from_edges(spark, rows, top=(1_000,), convention="B"))
     assert [tuple(r) for r in kept.contributions.collect()] == [(1_000, 4, 0, 4)]
     assert [edges.count() for edges in given] == [5, 5] and all(f.endswith(".parquet") for f in given[0].inputFiles()) and given[0].inputFiles()
+
+
+def test_import_after_another_is_made_from_its_edges(spark, small, monkeypatch):
+    """Where import 1 is there, import 2 is its edges without some, moved; the tables are not grouped again."""
+    whole = source.from_tables(spark, small)
+    c = catalog.Context(spark, small)
+    assert c.g1.nodes.count() > 0
+    monkeypatch.setattr(source, "from_tables", lambda *a, plain=source.from_tables: source.Graph(plain(*a).nodes, None))
+    for got, wanted in ((c.g2.edges, whole.of_import(2).edges), (c.g2.nodes, whole.of_import(2).nodes)):
+        assert got.columns == wanted.columns and got.exceptAll(wanted).isEmpty() and wanted.exceptAll(got).isEmpty() and not got.isEmpty()
