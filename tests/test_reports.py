@@ -8,7 +8,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import reports
+from graphloom.operators import compare, reports
+from graphloom.sources.graph import Graph
 from graphloom.sources.documents import manifest, read_document, write_document
 
 DIFFS = "label string, package_type string, diff_type string, l_id bigint, r_id bigint, l_hash string, r_hash string, closure_impact bigint, l_closure bigint, r_closure bigint, l_depth bigint, r_depth bigint, l_top boolean, r_top boolean"
@@ -82,3 +83,18 @@ def test_comparison_markdown(spark, tmp_path):
     assert lines[at + 4 :] == ["| Package | Left Version | Right Version |", "|---------|-------------|---------------|"] + ["| `gcc-12.1` | 12.1 | 12.1 |"] * 2 + ["", "---", "", "*Report generated by graphloom*"]
     write_document(reports.comparison_markdown(spark.createDataFrame([], DIFFS), *sides(spark), "now"), reports.PLACE, f"{tmp_path}/e")
     assert not any(line.startswith("## ") and line != "## Summary" for line in joined(spark, f"{tmp_path}/e")[0].split("\n"))
+
+
+@pytest.mark.parametrize("copies", [1_024, 4])
+def test_entries_without_stored_pairs(spark, monkeypatch, copies):
+    """The same entries as from the pairs, with null labels, types, hashes and ids of both sides, and a label dealt to many units."""
+    monkeypatch.setattr(compare, "UNIT_COPIES", copies)
+    columns = "id bigint, label string, drv_hash string, package_type string, closure_size bigint, is_top_level boolean, depth bigint"
+    draw = random.Random(5)
+    pick = lambda *values: draw.choice(values)
+    side = lambda at: Graph(spark.createDataFrame([(at + i, pick("gcc-12.1", 'q"\\u', "b", None, f"x{at}"), pick("h1", 'h"2', None), pick("library", "font", None), pick(1, 5, None), pick(True, None), pick(2, None)) for i in range(60)], columns), None)
+    left, right = side(0), side(1_000)
+    wanted = reports.entries(compare.diffs(left, right))
+    got = reports.all_entries(left, right)
+    assert got.columns == wanted.columns and got.count() > 300
+    assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
