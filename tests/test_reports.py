@@ -5,10 +5,12 @@ import random
 from collections import Counter
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import compare, reports
+from graphloom.plans import catalog
 from graphloom.sources.graph import Graph
 from graphloom.sources.documents import manifest, read_document, write_document
 
@@ -98,3 +100,58 @@ def test_entries_without_stored_pairs(spark, monkeypatch, copies):
     got = reports.all_entries(left, right)
     assert got.columns == wanted.columns and got.count() > 300
     assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
+
+
+def two_sides(spark):
+    """Nodes with copies of labels and hashes on both sides, nulls everywhere, a label of one side and a node without an id on each."""
+    columns = "id bigint, label string, drv_hash string, package_type string, closure_size bigint, is_top_level boolean, depth bigint"
+    draw = random.Random(11)
+    pick = lambda *values: draw.choice(values)
+    row = lambda i, at: (i, pick("gcc-12.1", 'q"\\u', "b", "zz\nz", None, f"x{at}", f"y{at}"), pick("h1", "h1", 'h"2', None), pick("library", "font", None), pick(1, 5, None), pick(True, None), pick(2, None))
+    side = lambda at: Graph(spark.createDataFrame([row(at + i, at) for i in range(70)] + [(None, "b", "h1", None, 7, True, None)], columns), None)
+    return side(0), side(1_000)
+
+
+@pytest.mark.parametrize("copies", [1_024, 4])
+@pytest.mark.parametrize("kind", ["json", "markdown"])
+def test_numbered_reports_without_pairs(spark, tmp_path, monkeypatch, kind, copies):
+    """The lines in order are those made from all pairs, where blocks and runs are whole or short; written by number they are the document."""
+    monkeypatch.setattr(compare, "UNIT_COPIES", copies)
+    monkeypatch.setattr(reports, "RUN_LINES", copies)
+    left, right = two_sides(spark)
+    from_pairs, direct = {"json": (reports.comparison_json, reports.numbered_json), "markdown": (reports.comparison_markdown, reports.numbered_markdown)}[kind]
+    place = lambda r: [(r[c] is not None, r[c]) for c in reports.PLACE]
+    wanted = [r.line for r in sorted(from_pairs(compare.diffs(left, right), *sides(spark), "now").collect(), key=place)]
+    lines = direct(left, right, *sides(spark), "now")
+    assert lines.dtypes == [("number", "bigint"), ("line", "string")]
+    got = sorted(map(tuple, lines.collect()))
+    assert len(wanted) > 300 and got == list(enumerate(wanted))
+    write_document(lines, ["number"], f"{tmp_path}/d")
+    assert joined(spark, f"{tmp_path}/d")[0].split("\n")[:-1] == [(line or "").replace("\n", " ") for line in wanted]
+
+
+@pytest.mark.parametrize("kind", ["json", "markdown"])
+def test_numbered_reports_of_one_node_or_none(spark, kind):
+    left, right = two_sides(spark)
+    from_pairs, direct = {"json": (reports.comparison_json, reports.numbered_json), "markdown": (reports.comparison_markdown, reports.numbered_markdown)}[kind]
+    some = lambda g, rows: Graph(g.nodes.where(rows), None)
+    place = lambda r: [(r[c] is not None, r[c]) for c in reports.PLACE]
+    for rows in ("id = 5", "false"):
+        l, r = some(left, rows), some(right, "false")
+        wanted = [x.line for x in sorted(from_pairs(compare.diffs(l, r), *sides(spark), "now").collect(), key=place)]
+        assert sorted(map(tuple, direct(l, r, *sides(spark), "now").collect())) == list(enumerate(wanted))
+
+
+def test_report_queries_make_no_pairs_and_agree_on_copies(spark, small, tmp_path, monkeypatch):
+    """Tables three times over with other keys and some names missing: the lines of the SQL, and ``diffs`` isn't made."""
+    monkeypatch.setattr(catalog, "_contexts", {})
+    con = duckdb.connect()
+    keys = {"region": {}, "nation": {}, "customer": {"c_custkey": 200}, "supplier": {"s_suppkey": 50}, "part": {"p_partkey": 300}, "orders": {"o_orderkey": 2_000, "o_custkey": 200}, "lineitem": {"l_orderkey": 2_000, "l_partkey": 300, "l_suppkey": 50}}
+    for table, spans in keys.items():
+        shifted = [f"({c} + i * {span})::BIGINT AS {c}" for c, span in spans.items()] + ["nullif(c_name, 'Customer#000000007') AS c_name"] * (table == "customer")
+        con.sql(f"copy (select * {'exclude (i) replace (' + ', '.join(shifted) + ')' if shifted else 'exclude (i)'} from '{small}/{table}.parquet', range({3 if spans else 1}) t(i)) to '{tmp_path}/{table}.parquet'")
+        con.sql(f"create view {table} as select * from '{tmp_path}/{table}.parquet'")
+    for name in ("comparison_json",):
+        got = sorted(map(tuple, catalog.queries()[name](spark, str(tmp_path)).collect()))
+        assert got == con.sql(f"select number, line from ({catalog.oracle_sql()[name]}) order by 1").fetchall()
+    assert "diffs" not in vars(catalog.context(spark, str(tmp_path)))
