@@ -151,7 +151,7 @@ def test_report_queries_make_no_pairs_and_agree_on_copies(spark, small, tmp_path
         shifted = [f"({c} + i * {span})::BIGINT AS {c}" for c, span in spans.items()] + ["nullif(c_name, 'Customer#000000007') AS c_name"] * (table == "customer")
         con.sql(f"copy (select * {'exclude (i) replace (' + ', '.join(shifted) + ')' if shifted else 'exclude (i)'} from '{small}/{table}.parquet', range({3 if spans else 1}) t(i)) to '{tmp_path}/{table}.parquet'")
         con.sql(f"create view {table} as select * from '{tmp_path}/{table}.parquet'")
-    for name in ("comparison_json",):
+    for name in ("comparison_json", "comparison_markdown"):
         got = sorted(map(tuple, catalog.queries()[name](spark, str(tmp_path)).collect()))
         assert got == con.sql(f"select number, line from ({catalog.oracle_sql()[name]}) order by 1").fetchall()
     assert "diffs" not in vars(catalog.context(spark, str(tmp_path)))
