@@ -15,6 +15,8 @@ from .folders import Folder
 #: Most lines of a part.
 PART_LINES = 100_000
 _MANIFEST = "_manifest"
+#: Numbers of the task and of its file in a part's name; what stands between them may have ``-c`` and digits too.
+_PART_NAME = "^part-([0-9]+)-.*-c([0-9]+)[^-]*$"
 
 
 def _parts(spark: SparkSession, path: str) -> DataFrame:
@@ -29,8 +31,8 @@ def write_document(lines: DataFrame, place: list[str], path: str, part_lines: in
     ordered.write.option("maxRecordsPerFile", part_lines).text(path)
     sizes = _parts(spark, path).select("part", (F.length("text") - F.length(F.translate("text", "\n", ""))).cast("bigint").alias("lines"))
     # parts are named by task, then by file of the task; one row a part
-    number = lambda pattern: F.regexp_extract("part", pattern, 1).cast("bigint")
-    before = Window.orderBy(number("part-([0-9]+)"), number("-c([0-9]+)")).rowsBetween(Window.unboundedPreceding, -1)
+    number = lambda group: F.regexp_extract("part", _PART_NAME, group).cast("bigint")
+    before = Window.orderBy(number(1), number(2)).rowsBetween(Window.unboundedPreceding, -1)
     numbered = sizes.select("part", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("first"), "lines")
     numbered.coalesce(1).write.json(f"{path}/{_MANIFEST}")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import compare, reports
 from graphloom.plans import catalog
 from graphloom.sources.graph import Graph
+from graphloom.sources import documents
 from graphloom.sources.documents import manifest, read_document, write_document
 
 DIFFS = "label string, package_type string, diff_type string, l_id bigint, r_id bigint, l_hash string, r_hash string, closure_impact bigint, l_closure bigint, r_closure bigint, l_depth bigint, r_depth bigint, l_top boolean, r_top boolean"
@@ -155,3 +156,9 @@ def test_report_queries_make_no_pairs_and_agree_on_copies(spark, small, tmp_path
         got = sorted(map(tuple, catalog.queries()[name](spark, str(tmp_path)).collect()))
         assert got == con.sql(f"select number, line from ({catalog.oracle_sql()[name]}) order by 1").fetchall()
     assert "diffs" not in vars(catalog.context(spark, str(tmp_path)))
+
+
+def test_part_numbers_are_not_taken_from_the_job(spark):
+    """A job's id may begin with c and a digit, which gave all files of a task one number and the document another order."""
+    names = spark.createDataFrame([("part-00003-c6a031d7-f1d2-433f-8616-9dcb6dac8438-c012.txt",)], "part string")
+    assert tuple(names.select(*[F.regexp_extract("part", documents._PART_NAME, group) for group in (1, 2)]).first()) == ("00003", "012")
