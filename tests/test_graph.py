@@ -132,6 +132,14 @@ def test_sentences_count_each_package_once(spark):
     assert said([(1, 3)], (1,), 9, "n9")[0] == "n9 is not required by any top-level package"
 
 
+def test_removal_counts_all_that_goes(spark):
+    """A chain of 30 and 60 other dependencies below a node that nothing else needs: more than a list shows, deeper than a listing walks."""
+    edges = [(10, 11 + i) for i in range(60)] + [(10 if i == 0 else 99 + i, 100 + i) for i in range(30)] + [(1, 10)]
+    graph = from_edges(spark, edges, (1,), "B")
+    assert why.removal_impact(graph, 10, why.attribution_paths(graph, 10)).first().closure_reduction == 91
+    assert why.unique_dependencies(graph, 10).count() == 50
+
+
 def test_a_loop_has_its_cycle(spark):
     rows = structure.loop_paths(from_edges(spark, [(1, 2), (2, 3), (3, 1), (2, 1), (4, 5), (5, 6), (6, 4), (3, 4)], (), "B")).orderBy("scc_id").collect()
     assert [(r.scc_id, r["size"], r.cycle_length, r.cycle) for r in rows] == [(1, 3, 2, "1→2→1"), (4, 3, 3, "4→5→6→4")]
