@@ -43,6 +43,14 @@ def test_similarity_of_defined_packages_is_counted_from_shared_trigrams(spark, m
     assert found == {"git": 0, "git-lfs": 0, "firefox-esr": 7, "nothing": None, None: None}
 
 
+def test_candidates_of_defined_packages_are_in_no_join_of_their_own(spark):
+    """Most nodes may be candidates, which a join by their ids would bring to the driver: they meet the names alone. Repeated ids are nodes apart."""
+    nodes = spark.createDataFrame([(i % 40, f"order-{i}") for i in range(60)], "id bigint, label string")
+    found = browse.defined_packages(source.Graph(nodes, None), spark.createDataFrame([("order-7",)], "name string"))
+    assert [tuple(r) for r in found.collect()] == [("order-7", None, None)]  # `order-0` to `order-4` come before it
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
 def test_changed_edges_are_found_in_one_pass(spark, monkeypatch):
     """Edges of both graphs meet once, doubles and types aside; the difference takes no EXCEPT ALL, which repeats rows."""
     before = source.from_edges(spark, [(2, 1), (3, 2), (3, 2), (4, 3)], top=(4, 5), convention="B")
