@@ -3,7 +3,7 @@
 import random
 
 import pytest
-
+from pyspark.sql import functions as F
 from graphloom.operators import compare
 from graphloom.plans import catalog
 from graphloom.sources.graph import Graph
@@ -34,6 +34,16 @@ def test_rows_of_all_pairs(spark, monkeypatch, copies):
         assert plain(found.drop("category", "version")) == plain(wanted)
 
 
+def test_closures_are_compared_without_pairs(spark):
+    left, right = two_sides(spark)
+    none = Graph(right.nodes.where("false"), None)
+    below = Graph(right.nodes.withColumn("closure_size", F.col("closure_size") - 600), None)
+    for l, r in ((left, right), (right, left), (left, none), (none, left), (none, none), (below, left)):
+        assert plain(compare.closure_totals(l, r)) == plain(compare.closure_comparison(compare.diffs(l, r))[0])
+    many = lambda size: Graph(spark.range(200_000).selectExpr("id", "'same' as label", "cast(id as string) as drv_hash", "'font' as package_type", f"{size} as closure_size", "false as is_top_level"), None)
+    assert [tuple(r) for r in compare.closure_totals(many("3L"), many("5L")).collect()] == [(80_000_000_000, 0)]
+
+
 def test_queries_on_pairs_store_none(spark, small, monkeypatch):
     """What is stored of a comparison are labels of many copies."""
     made = []
