@@ -4,6 +4,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+
 from graphloom.operators import compare
 from graphloom.plans import catalog
 from graphloom.sources.graph import Graph
@@ -32,6 +33,7 @@ def test_rows_of_all_pairs(spark, monkeypatch, copies):
     for l, r in ((left, right), (left, Graph(right.nodes.where("false"), None))):
         found, wanted = compare.dealt_diffs(l, r), compare.diffs(l, r)
         assert plain(found.drop("category", "version")) == plain(wanted)
+        assert plain(compare.csv_rows(found)) == plain(compare.csv_rows(wanted))
 
 
 def test_closures_are_compared_without_pairs(spark):
