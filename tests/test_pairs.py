@@ -34,6 +34,7 @@ def test_rows_of_all_pairs(spark, monkeypatch, copies):
         found, wanted = compare.dealt_diffs(l, r), compare.diffs(l, r)
         assert plain(found.drop("category", "version")) == plain(wanted)
         assert plain(compare.csv_rows(found)) == plain(compare.csv_rows(wanted))
+        assert plain(compare.csv_export(found)) == plain(compare.csv_export(wanted))
 
 
 def test_closures_are_compared_without_pairs(spark):
