@@ -47,6 +47,24 @@ def test_closures_are_compared_without_pairs(spark):
     assert [tuple(r) for r in compare.closure_totals(many("3L"), many("5L")).collect()] == [(80_000_000_000, 0)]
 
 
+@pytest.mark.parametrize("limit", [1, 2, 10])
+def test_top_changes_come_from_few_nodes(spark, monkeypatch, limit):
+    """The first of all pairs in order, null labels last; of copies only so many are paired."""
+    left, right = two_sides(spark, 150)
+    for by_label in (False, True):
+        wanted = compare.top_changes(compare.diffs(left, right), limit, by_label=by_label).collect()
+        assert compare.top_changes_of(left, right, limit, by_label=by_label).collect() == wanted
+    same = lambda at: Graph(spark.range(at, at + 3_000).selectExpr("id", "'same' as label", "cast(id % 2000 as string) as drv_hash", "'font' as package_type", "3L as closure_size", "false as is_top_level"), None)
+    pairs = []
+    monkeypatch.setattr(compare, "top_changes", lambda found, *a, plain=compare.top_changes, **k: pairs.append(found.count()) or plain(found, *a, **k))
+    assert {tuple(r) for r in compare.top_changes_of(same(0), same(1_000), limit).collect()} == {("same", "different", 2.0, 0)} and pairs[0] <= 4 * limit**2
+
+
+def test_null_labels_come_last(spark):
+    one = Graph(spark.createDataFrame([(1, None, "h", "font", 5, False, None), (2, "b", "h", "font", 5, False, None)], COLUMNS), None)
+    assert [r.label for r in compare.top_changes(compare.diffs(one, Graph(one.nodes.where("false"), None))).collect()] == ["b", None]
+
+
 def test_queries_on_pairs_store_none(spark, small, monkeypatch):
     """What is stored of a comparison are labels of many copies."""
     made = []
