@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import compare
+from graphloom.operators import compare, reports
 from graphloom.plans import catalog
 from graphloom.sources.graph import Graph
 
@@ -65,6 +65,17 @@ def test_null_labels_come_last(spark):
     assert [r.label for r in compare.top_changes(compare.diffs(one, Graph(one.nodes.where("false"), None))).collect()] == ["b", None]
 
 
+@pytest.mark.parametrize("copies", [1_024, 4])
+def test_entries_of_nodes_without_ids(spark, monkeypatch, copies):
+    """A pair with a node that has no id is of one side, as in the SQL; nodes are shuffled by their columns, not by texts."""
+    monkeypatch.setattr(compare, "UNIT_COPIES", copies)
+    left, right = two_sides(spark)
+    found = reports.all_entries(left, right)
+    assert plain(found) == plain(reports.entries(compare.diffs(left, right)))
+    shuffles = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "RepartitionByExpression" in line]
+    assert shuffles and not any("head" in line for line in shuffles)
+
+
 def test_queries_on_pairs_store_none(spark, small, monkeypatch):
     """What is stored of a comparison are labels of many copies."""
     made = []
