@@ -1,5 +1,6 @@
 """Comparisons of all pairs of a label that store none of them."""
 
+import json
 import random
 
 import pytest
@@ -76,6 +77,16 @@ def test_entries_of_nodes_without_ids(spark, monkeypatch, copies):
     assert shuffles and not any("head" in line for line in shuffles)
 
 
+def test_numbered_json_puts_nodes_of_different_pairs_alone_in_order(spark, monkeypatch):
+    """Of a thousand labels one has different hashes."""
+    nodes = lambda at, other: Graph(spark.range(at, at + 1_000).selectExpr("id", f"concat('x', id - {at}) as label", f"if(id = {at + 7}, '{other}', 'h') as drv_hash", "'font' as package_type", "3L as closure_size", "false as is_top_level"), None)
+    given = []
+    monkeypatch.setattr(reports, "counted_sides", lambda l, r, plain=reports.counted_sides: given.extend((l.count(), r.count())) or plain(l, r))
+    side = spark.createDataFrame([(1, "host", "base", None, 1)], "id bigint, name string, config_path string, imported_at timestamp_ntz, node_count bigint")
+    lines = reports.numbered_json(nodes(0, "a"), nodes(5_000, "b"), side, side, "now").orderBy("number").collect()
+    assert given == [1, 1] and [json.loads(r.line)["left_node"]["id"] for r in lines if '"left_node"' in r.line] == [7]
+
+
 def test_queries_on_pairs_store_none(spark, small, monkeypatch):
     """What is stored of a comparison are labels of many copies."""
     made = []
