@@ -373,7 +373,8 @@ def set_components(sets: Sets, lowest: DataFrame, n_grams: int, percent: int = 8
             yield batch.filter(pa.array(shared.value.holds(column(batch, "owner").to_numpy(zero_copy_only=False).view(np.uint64))))
 
     freed(spark)
-    some = written(sets.map(that_met, "digest binary, owner bigint, n bigint, hashes binary"))
+    # a set that many slices have is kept once
+    some = written(sets.map(that_met, "digest binary, owner bigint, n bigint, hashes binary").dropDuplicates(["digest"]))
     n_grams = some.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     repeated = repeated_grams(some.select(F.col("hashes").alias("lowest")), n_grams)
     met = shared_prefixes(some.select("owner", "hashes").mapInArrow, spark, repeated, percent, by_size=True)

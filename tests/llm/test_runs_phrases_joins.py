@@ -254,3 +254,15 @@ def test_odd_rows_of_collocations(spark, odd):
     assert {r.lang for r in got} <= {"en", "de", "und"} and got
     empty = collocations.collocations(spark.createDataFrame([], DOCS))
     assert empty.count() == 0 and empty.dtypes == collocations.collocations(odd).dtypes
+
+
+def test_sets_of_many_slices_are_kept_once(spark, monkeypatch):
+    """Copies of two near texts in many tasks: of the sets that met each is stored once."""
+    from graphloom.llm import jaccard_join as joins
+
+    kept = []
+    monkeypatch.setattr(joins, "written", lambda df, plain=joins.written: kept.append((df.columns, (out := plain(df)).count())) or out)
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([*words, "end"] if i % 2 else words)) for i in range(12)], "doc_id bigint, text string").repartition(6, "doc_id")
+    assert {r.component_id for r in joins.ngram_components(docs).collect()} == {0}
+    assert [n for columns, n in kept if columns == ["digest", "owner", "n", "hashes"]] == [2]
